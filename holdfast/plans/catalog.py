@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.operators import features as ft
-from holdfast.operators import money, reports
+from holdfast.operators import drift, evaluation, ingest, labels, money, reports
 from holdfast.operators.activity import activity
 from holdfast.functions import order
-from holdfast.functions.columns import micros
-from holdfast.session import hold, tune
+from holdfast.session import hold, release, scratch_path, tune
+from holdfast.sources import files
 from holdfast.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,8 +78,6 @@ def desk(spark: SparkSession, folder: str) -> Desk:
 
 def forget() -> None:
     """Drop all shared tables, so that the next query is timed from the parquet files."""
-    from holdfast.session import release
-
     _desks.clear()
     release()
 
@@ -480,3 +478,392 @@ def _(d):
 @query("roi_status")
 def _(d):
     return rounded(reports.roi_status(d.scored).select("user_id", "roi_status", "roi_cost"), 1)
+
+
+# ---- sources and ingestion -----------------------------------------------------------------------
+
+@query("read_parquet_tx")
+def _(d):
+    both = d.tx.select("user_id", "amount").unionByName(d.events.select("user_id", "amount"))
+    return rounded(both.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total")), 2)
+
+
+def _daily(tx: DataFrame) -> DataFrame:
+    return rounded(
+        tx.groupBy("user_id", F.date_format("timestamp", "yyyy-MM-dd").alias("day")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total")
+        ),
+        2,
+    )
+
+
+@query("read_csv_any")
+def _(d):
+    path = scratch_path(d.spark, "orders-csv")
+    raw = fx.table(d.spark, d.folder, "orders").select("o_custkey", "o_orderpriority", "o_totalprice")
+    raw.write.option("header", True).option("sep", ";").csv(path)
+    back = files.read_csv_any(d.spark, path)
+    return rounded(
+        back.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total")), 1
+    )
+
+
+@query("write_users_csv")
+def _(d):
+    path = scratch_path(d.spark, "users-csv")
+    files.write_csv(d.users.select("user_id", "segment", "frequency", "monetary"), path)
+    back = files.read_csv_any(d.spark, path, "user_id string, segment string, frequency bigint, monetary double")
+    return rounded(back, 2)
+
+
+@query("union_dedupe")
+def _(d):
+    raw = fx.retail_raw(d.spark, d.folder)
+    half = ingest.prepare_retail(raw.where("StockCode % 2 = 0"), time_mode="text")
+    whole = ingest.prepare_retail(raw, time_mode="text")
+    kept = ingest.union_dedupe([half, whole])
+    return rounded(kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total")), 2)
+
+
+@query("detect_domain")
+def _(d):
+    frames = {
+        "retail": fx.retail_raw(d.spark, d.folder),
+        "bank": fx.bank_raw(d.spark, d.folder),
+        "upi": fx.upi_raw(d.spark, d.folder),
+        "tax": fx.tax_raw(d.spark, d.folder),
+        "orders": fx.table(d.spark, d.folder, "orders"),
+    }
+    parts = [
+        df.agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(name).alias("source"), F.lit(ingest.detect_domain(df.columns)).alias("domain"), "rows"
+        )
+        for name, df in frames.items()
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@query("map_columns")
+def _(d):
+    mapped, _found = ingest.map_columns(fx.retail_raw(d.spark, d.folder), ingest.fixed.RETAIL_MAPPING)
+    return rounded(
+        mapped.groupBy(F.col("user_id").cast("string").alias("user_id")).agg(
+            F.sum("quantity").alias("quantity"), F.max("timestamp").alias("timestamp"), F.max("unit_price").alias("unit_price"),
+            F.min("description").alias("description"),
+        ),
+        3,
+    )
+
+
+def _dirty(d) -> DataFrame:
+    """Orders with values a file may hold: text numbers, bad numbers, blank ids, words for flags."""
+    key = F.col("o_orderkey")
+    return fx.table(d.spark, d.folder, "orders").select(
+        F.col("o_orderkey"),
+        F.when(key % 11 == 0, "  ").when(key % 13 == 0, "nan").otherwise(
+            F.concat(F.lit(" "), F.col("o_custkey").cast("string"), F.lit(" "))
+        ).alias("user_id"),
+        F.when(key % 7 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string")).alias("monetary"),
+        F.when(key % 3 == 0, "Yes").when(key % 3 == 1, " CHURNED ").otherwise("no").alias("target_churn"),
+        F.when(key % 17 == 0, "not a date")
+        .when(key % 2 == 0, F.date_format("o_orderdate", "MM/dd/yyyy HH:mm"))
+        .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+        .alias("timestamp"),
+        F.col("o_orderpriority").alias("Product"),
+    )
+
+
+@query("coerce_numeric")
+def _(d):
+    return rounded(ingest.coerce_numeric(_dirty(d)).select("o_orderkey", "monetary"), 2)
+
+
+@query("align_aliases")
+def _(d):
+    made = ingest.align_aliases(ingest.coerce_numeric(_dirty(d)))
+    return rounded(made.select("o_orderkey", "amount", "transaction_amount", "customer_id"), 2)
+
+
+@query("standardise_churn_label")
+def _(d):
+    return ingest.standardise_churn_label(_dirty(d)).select("o_orderkey", "target_churn")
+
+
+@query("description_fallback")
+def _(d):
+    return ingest.description_fallback(_dirty(d), "retail").select("o_orderkey", "description")
+
+
+@query("clean_user_id")
+def _(d):
+    return ingest.clean_user_id(_dirty(d)).select("o_orderkey", "user_id")
+
+
+@query("parse_timestamp")
+def _(d):
+    made = ingest.parse_timestamp(_dirty(d))
+    return made.select("o_orderkey", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+@query("parse_epoch")
+def _(d):
+    raw = fx.table(d.spark, d.folder, "events").select(
+        "event_id", (F.unix_millis(F.col("ts").cast("timestamp"))).alias("timestamp")
+    )
+    made = ingest.parse_timestamp(raw)
+    return made.select("event_id", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+@query("derive_amount")
+def _(d):
+    lines = fx.table(d.spark, d.folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("unit_price")
+    )
+    return rounded(ingest.derive_amount(lines).select("l_orderkey", "l_linenumber", "amount"), 4)
+
+
+@query("expand_summary")
+def _(d):
+    raw, _found = ingest.map_columns(fx.bank_raw(d.spark, d.folder), ingest.fixed.BANK_CHURN_MAPPING)
+    made = ingest.expand_summary(raw.drop("timestamp"))
+    return rounded(
+        made.select(
+            F.col("user_id").cast("string").alias("user_id"),
+            F.date_format("timestamp", "yyyy-MM-dd").alias("day"),
+            "amount",
+            "tenure_months",
+        ),
+        6,
+    )
+
+
+@query("drop_cancellations")
+def _(d):
+    kept = ingest.drop_cancellations(fx.retail_raw(d.spark, d.folder))
+    return kept.groupBy("Invoice").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("drop_non_positive")
+def _(d):
+    rows = fx.table(d.spark, d.folder, "customer").select("c_custkey", F.col("c_acctbal").alias("amount"))
+    return rounded(ingest.drop_non_positive(rows), 2)
+
+
+@query("drop_missing_keys")
+def _(d):
+    rows = fx.table(d.spark, d.folder, "orders").select(
+        "o_orderkey",
+        F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey")).alias("user_id"),
+        F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("amount"),
+    )
+    return ingest.drop_missing_keys(rows).select("o_orderkey")
+
+
+@query("sample_users")
+def _(d):
+    total = d.tx.count()
+    return ingest.sample_users(d.tx, total // 3).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("prepare_upi")
+def _(d):
+    made = ingest.prepare_upi(fx.upi_raw(d.spark, d.folder))
+    return rounded(
+        made.groupBy("user_id", "domain").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"), F.sum("is_failure").alias("failures")
+        ),
+        2,
+    )
+
+
+@query("prepare_tax")
+def _(d):
+    made = ingest.prepare_tax(fx.tax_raw(d.spark, d.folder))
+    return rounded(
+        made.groupBy("user_id").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.max("income_diversity").alias("income_diversity"),
+            F.max("section_count").alias("section_count"),
+            F.min("quarters_active").alias("quarters_active"),
+            F.sum("tds_amount").alias("tds_amount"),
+            F.avg("tds_rate").alias("tds_rate"),
+        ),
+        0,
+        tds_rate=5,
+    )
+
+
+@query("prepare_bank_churn")
+def _(d):
+    made = ingest.prepare_bank_churn(fx.bank_raw(d.spark, d.folder))
+    return rounded(
+        made.select(
+            "user_id", "frequency", "amount", "tenure_months", "recency", "target_churn", "estimated_salary",
+            F.date_format("timestamp", "yyyy-MM-dd").alias("day"),
+        ),
+        2,
+    )
+
+
+@query("prepare_retail")
+def _(d):
+    return _daily(ingest.prepare_retail(fx.retail_raw(d.spark, d.folder)))
+
+
+@query("prepare_generic")
+def _(d):
+    raw = fx.table(d.spark, d.folder, "orders").select(
+        F.col("o_custkey").alias("member_id"), F.col("o_orderdate").alias("Order Date"), F.col("o_totalprice").alias("revenue")
+    )
+    return _daily(ingest.prepare_generic(raw))
+
+
+@query("prepare_auto")
+def _(d):
+    made = ingest.prepare(fx.tax_raw(d.spark, d.folder))
+    return rounded(made.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total")), 0)
+
+
+@query("rfm_summary")
+def _(d):
+    made = ingest.prepare_bank_churn(fx.bank_raw(d.spark, d.folder))
+    users = ft.rfm(made, is_summary=True)
+    return rounded(
+        users.select("user_id", "frequency", "monetary", "recency", "account_age_days", "monetary_velocity", "ipi_consistency"), 3
+    )
+
+
+# ---- labels, evaluation, drift -------------------------------------------------------------------
+
+def _trained_rows(d) -> DataFrame:
+    return d._once("training", lambda: hold(labels.temporal_training_set(d.tx, "retail")))
+
+
+def _rated(d) -> DataFrame:
+    """Past users with the model-free score and the temporal label."""
+    rows = money.heuristic_churn(_trained_rows(d))
+    return rows.select("user_id", F.col("churn_probability").alias("p"), F.col("churned").alias("label"))
+
+
+@query("temporal_labels")
+def _(d):
+    return _trained_rows(d).select("user_id", "churned")
+
+
+@query("temporal_training_set")
+def _(d):
+    rows = _trained_rows(d)
+    return rounded(
+        rows.select(
+            "user_id", "frequency", "monetary", "recency", "ipi_median", "r_score", "segment",
+            "frequency_trend", "recent_spend_ratio", "recency_pct", "churned",
+        ),
+        3,
+    )
+
+
+@query("label_churn_flag")
+def _(d):
+    bank = ingest.prepare_bank_churn(fx.bank_raw(d.spark, d.folder))
+    return ft.labels_from_flag(bank)
+
+
+@query("labelled_training_set")
+def _(d):
+    bank = ingest.prepare_bank_churn(fx.bank_raw(d.spark, d.folder))
+    rows = labels.labelled_training_set(bank, ft.user_table(bank, is_summary=True), "bank_churn")
+    return rounded(rows.select("user_id", "monetary", "recency", "log_monetary", "tenure_months", "estimated_salary", "churned"), 2)
+
+
+@query("feature_matrix")
+def _(d):
+    rows = _trained_rows(d)
+    names = labels.feature_names(rows)
+    long = order.long_form(rows.fillna(0), names)
+    return long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 2).alias("mean"))
+
+
+@query("split_60_20_20")
+def _(d):
+    return labels.split3(_trained_rows(d).select("user_id", "churned")).select("user_id", "part")
+
+
+@query("threshold_opt")
+def _(d):
+    return rounded(evaluation.optimise_threshold(_rated(d)).drop("precision"), 6)
+
+
+@query("roc_auc")
+def _(d):
+    return rounded(evaluation.auc(_rated(d)), 6)
+
+
+@query("confusion_metrics")
+def _(d):
+    return evaluation.confusion(_rated(d), 0.2)
+
+
+@query("ks_two_sample")
+def _(d):
+    champions = d.users.where("segment = 'Champions'")
+    others = d.users.where("segment = 'Loyalists'")
+    rows = drift.ks_two_sample(champions, others, ["recency", "frequency", "monetary", "ipi_median"])
+    return rounded(rows, 6)
+
+
+@query("temporal_drift")
+def _(d):
+    cutoff = labels.label_window(d.tx, "retail").cutoff_us
+    rows = drift.temporal_drift(d.tx, cutoff).drop("raw_p")
+    return rows.withColumn("drifted", F.col("drifted").cast("int"))
+
+
+def _cents(d) -> DataFrame:
+    """Users with spend in whole cents: sums differ in the last bits between engines."""
+    return d._once("cents", lambda: hold(d.users.withColumn("monetary", F.round("monetary", 2))))
+
+
+def _baseline_flags(d) -> DataFrame:
+    cols = ["recency", "frequency", "monetary", "ipi_median", "account_age_days"]
+    base = drift.baseline_of(_cents(d).where("frequency <= 9"), cols, n=2000)
+    return drift.baseline_drift(_cents(d), base, cols)
+
+
+@query("drift_bonferroni")
+def _(d):
+    rows = _baseline_flags(d).drop("raw_p")
+    return rows.withColumn("drifted", F.col("drifted").cast("int"))
+
+
+@query("baseline_drift")
+def _(d):
+    cols = ["recency", "frequency", "monetary"]
+    path = scratch_path(d.spark, "baseline")
+    state, _found = drift.check_against_baseline(_cents(d), cols, path)
+    state, found = drift.check_against_baseline(_cents(d).where("recency > 60"), cols, path)
+    return rounded(found.select("feature", F.lit(state).alias("drift_type"), "ks_statistic"), 4)
+
+
+@query("drift_summary")
+def _(d):
+    rows = drift.drift_summary(_baseline_flags(d))
+    return rows.select(
+        "total_features", "drifted_count", "drifted_pct", "status", "data_drift_status", "avg_p_value",
+        "severity_reason", F.array_join("recommended_actions", " ").alias("actions"),
+        F.col("top_drifted")[0]["feature"].alias("top_feature"),
+    )
+
+
+@query("drift_baseline_save")
+def _(d):
+    path = scratch_path(d.spark, "baseline")
+    drift.save_baseline(d.users, ["recency", "monetary"], path, n=500)
+    return rounded(
+        drift.load_baseline(d.spark, path)
+        .groupBy("feature")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("mean").alias("mean"), F.max("std").alias("std")),
+        2,
+    )

@@ -308,3 +308,188 @@ ORACLES["personas"] = sql(SCORES, """select user_id, case segment when 'Champion
 ORACLES["roi_status"] = sql(SCORED, """select user_id,
     case when is_profitable then 'Profitable' else 'At Risk / Non-Profitable' end roi_status,
     case when coalesce(intervention_cost, 0) = 0 then 15 else round(intervention_cost, 1) end roi_cost from scored""")
+
+# ---- ingestion -----------------------------------------------------------------------------------
+
+RETAIL = """raw as (select case when o_orderkey % 50 = 0 then 'C' || o_orderkey else cast(o_orderkey as varchar) end invoice,
+  l_partkey, p_type, l_quantity qty, l_extendedprice / l_quantity price, o_orderdate ts, cast(o_custkey as varchar) user_id
+  from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey)"""
+BANK = f"""last as (select max(o_orderdate) t from orders),
+  pu as (select o_custkey, count(*) n, min(o_orderdate) f, max(o_orderdate) l from orders group by 1),
+  bank as (select cast(c_custkey as varchar) user_id, c_acctbal bal, n, cast(datediff('day', f, t) // 365 as double) ten,
+    abs(c_acctbal) * 12 salary, cast(datediff('day', l, t) > 120 as int) exited
+    from customer join pu on c_custkey = o_custkey, last),
+  tb as (select *, case when (select max(ten) from bank) <= 25 then ten * 12 else ten end tm from bank)"""
+DIRTY = """d as (select o_orderkey, case when o_orderkey % 11 = 0 then '  ' when o_orderkey % 13 = 0 then 'nan'
+    else ' ' || o_custkey || ' ' end user_id,
+  case when o_orderkey % 7 = 0 then 0 else o_totalprice end monetary,
+  case when o_orderkey % 3 in (0, 1) then 1 else 0 end label, o_orderpriority product, o_orderdate ts from orders)"""
+TAX = """raw as (select cast(o_custkey as varchar) user_id, l_extendedprice amount, l_extendedprice * l_tax tds,
+  l_returnflag head, l_returnflag || l_linestatus sec, quarter(o_orderdate) qt from lineitem join orders on l_orderkey = o_orderkey),
+  dv as (select user_id, count(distinct head) income_diversity, count(distinct sec) section_count,
+    count(distinct qt) quarters_active from raw group by user_id)"""
+
+ORACLES.update({
+    "read_parquet_tx": """select user_id, count(*) n, round(sum(a), 2) total from (select cast(o_custkey as varchar) user_id,
+        o_totalprice a from orders union all select cast(user_id as varchar), value from events) group by 1""",
+    "read_csv_any": "select o_orderpriority, count(*) n, round(sum(o_totalprice), 1) total from orders group by 1",
+    "write_users_csv": sql(SCORES, "select user_id, segment, frequency, round(monetary, 2) monetary from users"),
+    "union_dedupe": sql("", """select user_id, count(*) n, round(sum(a), 2) total from
+        (select distinct invoice, user_id, ts, qty * price a, l_partkey from raw where invoice not like 'C%' and user_id <> '0') group by 1""", RETAIL),
+    "detect_domain": """select 'retail' source, 'retail' "domain", count(*) "rows" from lineitem join orders on l_orderkey = o_orderkey
+          join part on l_partkey = p_partkey
+        union all select 'bank', 'bank_churn', count(*) from customer where c_custkey in (select o_custkey from orders)
+        union all select 'upi', 'upi', count(*) from events
+        union all select 'tax', 'tax', count(*) from lineitem join orders on l_orderkey = o_orderkey
+        union all select 'orders', 'generic', count(*) from orders""",
+    "map_columns": sql("", """select user_id, round(sum(qty), 3) quantity, strftime(max(ts), '%Y-%m-%d %H:%M:%S') "timestamp",
+        round(max(price), 3) unit_price, min(p_type) description from raw group by user_id""", RETAIL),
+    "coerce_numeric": sql("", "select o_orderkey, round(monetary, 2) monetary from d", DIRTY),
+    "align_aliases": sql("", """select o_orderkey, round(monetary, 2) amount, round(monetary, 2) transaction_amount,
+        user_id customer_id from d""", DIRTY),
+    "standardise_churn_label": sql("", "select o_orderkey, label target_churn from d", DIRTY),
+    "description_fallback": sql("", "select o_orderkey, product description from d", DIRTY),
+    "clean_user_id": sql("", "select o_orderkey, trim(user_id) user_id from d where trim(user_id) not in ('', 'nan', '0')", DIRTY),
+    "parse_timestamp": sql("", """select o_orderkey, strftime(ts, '%Y-%m-%d %H:%M:%S') ts from
+        (select o_orderkey, case when o_orderkey % 2 = 0 then date_trunc('minute', ts) else date_trunc('day', ts) end ts
+         from d where o_orderkey % 17 <> 0)""", DIRTY),
+    "parse_epoch": "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') ts from events",
+    "derive_amount": "select l_orderkey, l_linenumber, round(l_quantity * l_discount, 4) amount from lineitem",
+    "expand_summary": sql("""m as (select user_id, greatest(tm, 6) tenure_months, greatest(least(n, 10), 1) k,
+          greatest(case when bal > 0 then bal else 0 end, 100) amt from tb),
+        x as (select *, unnest(range(0, k)) t from m)""",
+        """select user_id, strftime(date '2024-05-10' - to_days(cast(floor(greatest(cast(floor(tenure_months * 30) as int), 30)
+          * (t + 1) / (k + 1)) as int)), '%Y-%m-%d') as "day", round(amt / k, 6) amount, round(tenure_months, 6) tenure_months from x""", BANK),
+    "drop_cancellations": sql("", 'select invoice "Invoice", count(*) n from raw where invoice not like \'C%\' group by 1', RETAIL),
+    "drop_non_positive": "select c_custkey, round(c_acctbal, 2) amount from customer where c_acctbal > 0",
+    "drop_missing_keys": "select o_orderkey from orders where o_orderkey % 5 <> 0 and o_orderkey % 7 <> 0",
+    "sample_users": sql("""c as (select user_id, count(*) n, row_number() over (order by md5(user_id || ':42')) rk from tx group by 1),
+        s as (select sum(n) r, count(*) k from c)""",
+        """select user_id, n from c, s where rk <= greatest(100, cast(floor(k * ((r // 3) / r)) as bigint))"""),
+    "prepare_upi": """select cast(user_id as varchar) user_id, 'upi' "domain", count(*) n, round(sum(value), 2) total,
+        cast(count(*) filter (event_type = 'error') as bigint) failures from events
+        where value > 0 and user_id <> 0 group by 1""",
+    "prepare_tax": sql("", """select user_id, count(*) n, max(income_diversity) income_diversity, max(section_count) section_count,
+        min(quarters_active) quarters_active, round(sum(tds), 0) tds_amount, round(avg(tds / greatest(amount, 1)), 5) tds_rate
+        from raw join dv using (user_id) where amount > 0 and user_id <> '0' group by user_id""", TAX),
+    "prepare_bank_churn": sql("", """select user_id, cast(n as double) frequency, round(bal, 2) amount, round(tm, 2) tenure_months,
+        round(tm * 30, 2) recency, exited target_churn, round(salary, 2) estimated_salary,
+        strftime(timestamp '2024-05-10' - to_days(cast(tm * 30 as int)), '%Y-%m-%d') as "day" from tb where user_id <> '0'""", BANK),
+    "prepare_retail": sql("", """select user_id, strftime(ts, '%Y-%m-%d') as "day", count(*) n, round(sum(qty * price), 2) total
+        from raw where invoice not like 'C%' and qty * price > 0 and user_id <> '0' group by 1, 2""", RETAIL),
+    "prepare_generic": """select cast(o_custkey as varchar) user_id, strftime(o_orderdate, '%Y-%m-%d') as "day", count(*) n,
+        round(sum(o_totalprice), 2) total from orders where o_totalprice > 0 and o_custkey <> 0 group by 1, 2""",
+    "prepare_auto": sql("", 'select \'tax\' "domain", count(*) n, round(sum(amount), 0) total from raw where amount > 0 and user_id <> \'0\'', TAX),
+    "rfm_summary": sql(f"""r as (select max(epoch_us(timestamp '2024-05-10' - to_days(cast(tm * 30 as int)))) + {DAY} ref from tb where user_id <> '0')""",
+        f"""select user_id, cast(1 as bigint) frequency, round(bal, 3) monetary,
+        cast((ref - epoch_us(timestamp '2024-05-10' - to_days(cast(tm * 30 as int)))) // {DAY} as double) recency,
+        round(tm * 30, 3) account_age_days, round(salary / 365, 3) monetary_velocity, cast(1 as double) ipi_consistency from tb, r where user_id <> '0'""", BANK),
+})
+
+# ---- labels, evaluation, drift -------------------------------------------------------------------
+
+CUT = f"""all_tx as (select cast(o_custkey as varchar) user_id, o_orderdate ts, o_totalprice amount,
+  o_orderpriority description, o_orderstatus status from orders),
+  w as (select min(epoch_us(ts)) mn0, max(epoch_us(ts)) mx0,
+    least(120, greatest(45, cast(floor(((max(epoch_us(ts)) - min(epoch_us(ts))) // {DAY}) * 0.3) as bigint))) dy from all_tx),
+  cu as (select *, mx0 - dy * {DAY} cut from w),
+  tx as (select all_tx.* from all_tx, cu where epoch_us(ts) <= cut),
+  lab as (select user_id, case when user_id in (select user_id from all_tx, cu where epoch_us(ts) > cut) then 0 else 1 end churned
+    from (select distinct user_id from tx))"""
+RATED = """rated as (select lab.user_id, recency / (select max(recency) from u) p, churned label from lab join u using (user_id))"""
+KS = """hv as (select feature, v, sum(a) a, sum(b) b from samples group by 1, 2),
+  cd as (select feature, abs(sum(a) over (partition by feature order by v) / sum(a) over (partition by feature)
+    - sum(b) over (partition by feature order by v) / sum(b) over (partition by feature)) g,
+    cast(sum(a) over (partition by feature) as bigint) na, cast(sum(b) over (partition by feature) as bigint) nb from hv),
+  dd as (select feature, max(g) d, max(na) n_a, max(nb) n_b from cd group by 1),
+  ks as (select *, d * sqrt(n_a * n_b / (n_a + n_b)) lam from dd),
+  kp as (select feature, d, n_a, n_b, case when lam < 0.2 then 1.0 else least(greatest((select sum(case when k % 2 = 1 then 2.0 else -2.0 end
+    * exp(-2.0 * k * k * lam * lam)) from range(1, 101) t(k)), 0), 1) end p from ks)"""
+
+
+def _samples(cols: list[str], a: str, b: str) -> str:
+    parts = [f"select '{c}' feature, cast({c} as double) v, 1 a, 0 b from {a} union all select '{c}', cast({c} as double), 0, 1 from {b}" for c in cols]
+    return "samples as (" + " union all ".join(parts) + ")"
+
+
+_FIVE = ["recency", "frequency", "monetary", "ipi_median", "account_age_days"]
+_BASE = """bl as (select * from cents where frequency <= 9 order by md5(user_id || ':42'), user_id limit 2000),
+  blr as (select round(recency, 6) recency, frequency, round(monetary, 6) monetary, round(ipi_median, 6) ipi_median,
+    account_age_days from bl)"""
+_CENTS = ", cents as (select * replace (round(monetary, 2) as monetary) from users),"
+_FLAGS = SCORES + _CENTS + _BASE + "," + _samples(_FIVE, "cents", "blr") + "," + KS
+
+ORACLES.update({
+    "temporal_labels": sql("", "select user_id, cast(churned as int) churned from lab", CUT),
+    "temporal_training_set": sql(SCORES + f""",
+        tr as (select user_id, (count(*) filter (epoch_us(ts) >= mn0 + (cut - mn0) / 2.0) + 1)
+          / (count(*) filter (epoch_us(ts) < mn0 + (cut - mn0) / 2.0) + 1) frequency_trend,
+          coalesce(sum(amount) filter (epoch_us(ts) >= mn0 + greatest(cast(floor(((cut - mn0) // {DAY}) * 0.7) as bigint), 1) * {DAY}), 0)
+          / (sum(amount) + 1e-9) rsr from tx, cu group by user_id),
+        rp as (select user_id, (rank() over (order by recency) + (count(*) over (partition by recency) - 1) / 2.0) / count(*) over () rp from u)""",
+        """select user_id, frequency, round(monetary, 3) monetary, recency, round(ipi_median, 3) ipi_median, r_score, segment,
+        round(frequency_trend, 3) frequency_trend, round(rsr, 3) recent_spend_ratio, round(rp, 3) recency_pct, cast(churned as int) churned
+        from users join tr using (user_id) join rp using (user_id) join lab using (user_id)""", CUT),
+    "label_churn_flag": sql("", "select user_id, exited churned from tb where user_id <> '0'", BANK),
+    "labelled_training_set": sql(f"""bu as (select * from tb where user_id <> '0'),
+        r as (select max(epoch_us(timestamp '2024-05-10' - to_days(cast(tm * 30 as int)))) + {DAY} ref from bu)""",
+        f"""select user_id, round(bal, 2) monetary,
+        cast((ref - epoch_us(timestamp '2024-05-10' - to_days(cast(tm * 30 as int)))) // {DAY} as double) recency,
+        round(ln(1 + greatest(bal, 0)), 2) log_monetary, round(tm, 2) tenure_months, round(salary, 2) estimated_salary,
+        exited churned from bu, r""", BANK),
+    "split_60_20_20": sql("""z as (select user_id, row_number() over (partition by churned order by md5(user_id || ':42')) - 1 pos,
+        count(*) over (partition by churned) n from lab)""",
+        "select user_id, case when pos * 5 < n * 3 then 'train' when pos * 5 < n * 4 then 'cal' else 'test' end part from z", CUT),
+    "threshold_opt": sql(USERS + "," + RATED + """,
+        cand as (select distinct t from (select least(greatest(p, 0.01), 0.99) t from rated union all
+          select unnest([0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95]))),
+        cf as (select t, count(*) filter (p >= t and label = 1) tp, count(*) filter (p >= t and label = 0) fp,
+          count(*) filter (p < t and label = 1) fn, count(*) filter (p < t and label = 0) tn from cand, rated group by t),
+        rt as (select *, tp / greatest(tp + fp, 1) pr, tp / greatest(tp + fn, 1) re, tn / greatest(tn + fp, 1) sp,
+          abs(fp / greatest(tn + fp, 1) - fn / greatest(tp + fn, 1)) im from cf),
+        sc as (select *, 2 * pr * re / greatest(pr + re, 1e-9) f1, (re + sp) / 2 ba from rt),
+        ut as (select *, 0.45 * f1 + 0.45 * ba + 0.10 * (1 - im) s from sc)""",
+        """select round(t, 6) threshold, tp, fp, fn, tn, round(re, 6) recall, round(sp, 6) specificity, round(f1, 6) f1,
+        round(ba, 6) balanced_accuracy, round(s, 6) score from ut
+        order by case when re >= 0.55 and sp >= 0.55 then 0 else 1 end, round(s, 12) desc, round(f1, 12) desc, round(ba, 12) desc, t limit 1""", CUT),
+    "roc_auc": sql(USERS + "," + RATED + """,
+        rk as (select label, rank() over (order by p) + (count(*) over (partition by p) - 1) / 2.0 r from rated),
+        a as (select (sum(r) filter (label = 1) - count(*) filter (label = 1) * (count(*) filter (label = 1) + 1) / 2.0)
+          / (count(*) filter (label = 1) * count(*) filter (label = 0)) v from rk)""",
+        "select round(v, 6) roc_auc, round(2 * v - 1, 6) gini from a", CUT),
+    "confusion_metrics": sql(USERS + "," + RATED + """,
+        c as (select count(*) filter (p >= 0.2 and label = 1) tp, count(*) filter (p >= 0.2 and label = 0) fp,
+          count(*) filter (p < 0.2 and label = 1) fn, count(*) filter (p < 0.2 and label = 0) tn from rated)""",
+        """select tp, fp, fn, tn, round(tp / greatest(tp + fn, 1) * 100, 1) tp_rate, round(fn / greatest(tp + fn, 1) * 100, 1) fn_rate,
+        round(tn / greatest(tn + fp, 1) * 100, 1) tn_rate, round(fp / greatest(tn + fp, 1) * 100, 1) fp_rate,
+        round(tp / greatest(tp + fn, 1) * 100, 1) recall, round(tp / greatest(tp + fp, 1) * 100, 1) "precision",
+        round(tn / greatest(tn + fp, 1) * 100, 1) specificity, round((tp + tn) / (tp + fp + fn + tn), 4) accuracy,
+        round(2 * tp / (2 * tp + fp + fn), 4) f1 from c""", CUT),
+    "ks_two_sample": sql(SCORES + """, ca as (select * from users where segment = 'Champions'),
+        lo as (select * from users where segment = 'Loyalists'),""" + _samples(["recency", "frequency", "monetary", "ipi_median"], "ca", "lo") + "," + KS,
+        "select feature, round(d, 6) d, n_a, n_b, round(p, 6) p from kp"),
+    "temporal_drift": sql("""lt as (select all_tx.* from all_tx, cu where epoch_us(ts) > cut),""" + _samples(["amount"], "tx", "lt") + "," + KS,
+        "select feature, round(d, 4) ks_statistic, round(p, 6) p_value, cast(p < 0.05 as int) drifted from kp", CUT),
+    "drift_bonferroni": sql(_FLAGS, "select feature, round(d, 4) ks_statistic, round(p, 6) p_value, cast(p < 0.05 / 5 as int) drifted from kp"),
+    "baseline_drift": sql(SCORES + _CENTS + """bl as (select * from cents order by md5(user_id || ':42'), user_id limit 2000),
+        blr as (select recency, frequency, round(monetary, 6) monetary from bl), late as (select * from cents where recency > 60),"""
+        + _samples(["recency", "frequency", "monetary"], "late", "blr") + "," + KS,
+        "select feature, 'Baseline Drift' drift_type, round(d, 4) ks_statistic from kp"),
+    "drift_summary": sql(_FLAGS + """, fl as (select *, p < 0.05 / 5 drifted from kp),
+        ag as (select count(*) total_features, count(*) filter (drifted) drifted_count, median(p) mp,
+          round(count(*) filter (drifted) / count(*) * 100, 1) pc from fl),
+        st as (select *, case when pc >= 50 and mp < 0.01 then 'HIGH DRIFT' when pc >= 25 or mp < 0.05 then 'LOW DRIFT' else 'STABLE' end status from ag)""",
+        """select total_features, drifted_count, pc drifted_pct, status,
+        case when status = 'HIGH DRIFT' then 'Drift Detected' else 'Stable' end data_drift_status, round(mp, 6) avg_p_value,
+        case status when 'HIGH DRIFT' then drifted_count || ' of ' || total_features || ' features (' || printf('%.1f', pc) || '%) show statistically significant distribution shifts. User behavior has materially changed since the model was trained.'
+          when 'LOW DRIFT' then drifted_count || ' of ' || total_features || ' features (' || printf('%.1f', pc) || '%) show minor distribution shifts. The model is still reliable but should be monitored closely.'
+          else 'Only ' || drifted_count || ' of ' || total_features || ' features (' || printf('%.1f', pc) || '%) show any shift. User behavior remains consistent with training data.' end severity_reason,
+        case status when 'HIGH DRIFT' then 'Retrain the model with recent data to capture new behavioral patterns. Investigate whether an external event (new competitor, policy change, seasonality) caused the shift. Review the top drifted features below — they indicate which behaviors changed the most. Consider increasing model retraining frequency (e.g., weekly instead of monthly).'
+          when 'LOW DRIFT' then 'Schedule a model retraining within the next 2-4 weeks. Monitor whether the drifted features stabilize or continue diverging. No immediate action needed — predictions remain trustworthy.'
+          else 'No action needed. The model is well-calibrated for current data. Continue routine monitoring on the next data refresh.' end actions,
+        (select list_aggregate(list_transform(string_split(replace(feature, '_', ' '), ' '), lambda x: upper(x[1]) || x[2:]), 'string_agg', ' ')
+          from fl where drifted order by round(d, 4) desc, feature limit 1) top_feature from st"""),
+    "drift_baseline_save": sql(SCORES + """, bl as (select * from users order by md5(user_id || ':42'), user_id limit 500),
+        lg as (select 'recency' feature, recency v from bl union all select 'monetary', round(monetary, 6) from bl)""",
+        "select feature, count(*) n, round(avg(v), 2) mean, round(stddev_pop(v), 2) std from lg group by 1"),
+})
