@@ -352,3 +352,150 @@ EVENT_RISK_WEIGHTS = {
     "transaction_fail": 0.03,
     "plan_downgrade": 0.055,
 }
+
+# Wording of the hypotheses: title, hypothesis, test, statistic, impact. {f} driver name, {fl} the
+# same in lower case, {a} current level, {b} target or retained level, {lift} expected lift.
+IDENTIFIER_PARTS = ["pan", "tan", "id", "ts", "cluster", "rank", "score", "month", "year"]
+CURRENCY_PARTS = ["monetary", "velocity", "amount", "spend", "value", "balance"]
+HYPOTHESIS_TEXT = {
+    ("recency", "tax"): (
+        "The {f} Hypothesis",
+        "Delay in {fl} correlates strongly with attrition. Reducing average turnaround from {a} days to below {b} days could improve compliance retention by {lift}%.",
+        "A/B Test: Automated document collection & VIP reminders triggered at Day {b}.",
+        "Target: {b}d (-20%)",
+        "Critical",
+    ),
+    ("recency", "upi"): (
+        "The {f} Hypothesis",
+        "By reducing {fl} from {a} days to below {b} days, we can potentially lower churn risk by {lift}%.",
+        "A/B Test: Cashback nudge triggered at Day {b} of inactivity.",
+        "Target: {b}d (-20%)",
+        "Critical",
+    ),
+    ("recency", ""): (
+        "The {f} Hypothesis",
+        "By reducing the {fl} from {a} days to below {b} days, we can potentially lower churn risk by {lift}%.",
+        "A/B Test: Automated nudge triggered at Day {b} vs Control.",
+        "Target: {b}d (-20%)",
+        "Critical",
+    ),
+    ("frequency", "tax"): (
+        "The {f} Hypothesis",
+        "Entities reaching {b} {fl} exhibit high compliance stability. Streamlining submissions for this bracket could yield a ~{lift}% retention lift.",
+        "A/B Test: Priority processing lanes for entities reaching {b} {fl}.",
+        "Target: {b} (+25%)",
+        "High",
+    ),
+    ("frequency", "upi"): (
+        "The {f} Hypothesis",
+        "Users reaching {b} {fl} show improved retention rates in our cohort models. Incentivizing this milestone could yield a ~{lift}% retention lift.",
+        'A/B Test: "Loyalty Milestone" rewards for users reaching {b} {fl}.',
+        "Target: {b} (+25%)",
+        "High",
+    ),
+    ("frequency", ""): (
+        "The {f} Hypothesis",
+        "Users reaching {b} {fl} show improved retention rates. Incentivizing this milestone could yield a ~{lift}% retention lift.",
+        "A/B Test: Gamified milestones for users reaching {b} {fl}.",
+        "Target: {b} (+25%)",
+        "High",
+    ),
+    ("monetary", "tax"): (
+        "The {f} Hypothesis",
+        "A variance in {fl} exists ({a} vs {b}). Offering specialized advisory or premium tax planning for the {a} bracket could stabilize the relationship by ~{lift}%.",
+        "A/B Test: Proactive tax-advisory consultation vs Control.",
+        "Target: {b}",
+        "Medium",
+    ),
+    ("monetary", ""): (
+        "The {f} Hypothesis",
+        "Increasing {fl} from {a} to {b} could stabilize high-risk accounts and improve retention by ~{lift}%.",
+        "A/B Test: Targeted cross-sell incentives for users in the {a} bracket.",
+        "Target: {b}",
+        "Medium",
+    ),
+}
+# Feature part -> title, hypothesis, test; {a} churn-side mean, {b} retained mean, ints as {ai} {bi}.
+GAP_TEXT = {
+    "section_count": (
+        "The Section Diversity Strategy",
+        "Entities with fewer active tax filing sections ({a:.1f} vs {b:.1f}) show a higher risk of churning. Expanding services to include at least {bi} sections could lower churn risk by {lift}%.",
+        "A/B Test: Proactive cross-selling of additional tax filing sections.",
+    ),
+    "tds_rate": (
+        "The TDS Optimization Hypothesis",
+        "Higher average TDS rates ({a:.2f}% vs {b:.2f}%) strongly correlate with higher user churn. Implementing TDS reconciliation tools could improve compliance retention by {lift}%.",
+        "A/B Test: Automatic TDS mismatch detection & reconciliation alerts.",
+    ),
+    "income_diversity": (
+        "The Income Source Diversity Hypothesis",
+        "Low income source diversity ({a:.1f} vs {b:.1f}) is a leading indicator of churn. Providing tools to manage diversified income streams could increase retention by {lift}%.",
+        "A/B Test: Specialized business tools for multi-source income earners.",
+    ),
+    "age": (
+        "The Demographic Alignment Hypothesis",
+        "A significant age gap exists ({bi} vs {ai}). Tailoring product UI and communication for the {bi}-year-old cohort could yield a {lift}% retention lift.",
+        "A/B Test: Age-specific UI themes and support channels.",
+    ),
+    "credit": (
+        "The Financial Risk Hypothesis",
+        "Users with {bi} credit scores show much higher stability. Offering credit-building tools to the churn-prone bracket ({ai}) could improve retention by {lift}%.",
+        "A/B Test: Credit-builder micro-product vs Control.",
+    ),
+    "salary": (
+        "The Purchasing Power Hypothesis",
+        "Lower income brackets are showing higher churn sensitivity. Dynamic pricing or monthly installment options could stabilize these accounts and yield a {lift}% lift.",
+        "A/B Test: Flexible payment plans for at-risk income tiers.",
+    ),
+    "income": (
+        "The Purchasing Power Hypothesis",
+        "Lower income brackets are showing higher churn sensitivity. Dynamic pricing or monthly installment options could stabilize these accounts and yield a {lift}% lift.",
+        "A/B Test: Flexible payment plans for at-risk income tiers.",
+    ),
+    "": (
+        "The {f} Strategic Pivot",
+        "A critical gap in {f} exists between loyal and churned users ({b:.1f} vs {a:.1f}). Targeting this gap could yield a {lift}% retention lift.",
+        "A/B Test: Customized engagement based on {f} cohorts.",
+    ),
+}
+ONE_SIDED_HYPOTHESIS = (
+    "The Engagement Hypothesis",
+    "With an average churn risk of {churn:.1f}%, proactive re-engagement for the bottom quartile could improve overall retention.",
+    "A/B Test: Personalized retention nudges vs control group.",
+    "Engagement",
+    "Avg Churn: {churn:.1f}%",
+    "Medium",
+)
+DEFAULT_HYPOTHESIS = (
+    "The Behavioral Engagement Hypothesis",
+    "Targeted re-engagement based on historical activity patterns could improve overall retention by 5-10%.",
+    "A/B Test: Personalized retention sequence vs Control.",
+    "Behavioral",
+    "ML Importance > 0.15",
+    "Medium",
+    7.5,
+)
+
+# Wording of the what-if answer.
+FEATURE_DISPLAY = {
+    "recency": "Recency (Days Since Last Purchase)",
+    "frequency": "Purchase Frequency (Order Count)",
+    "monetary": "Spending Engagement (Wallet Share)",
+    "failure_rate": "Transaction Failure Rate (%)",
+    "tds_rate": "TDS Compliance Rate",
+    "section_count": "Tax Section Diversity",
+}
+MODEL_LIMITATION_NOTE = (
+    "The ML model shows no predicted churn reduction for this intervention. "
+    "This can happen when the feature has low model importance "
+    "(the model relies more on other features), or when the change magnitude "
+    "is too small to cross a decision boundary in the tree-based model."
+)
+ROI_GOOD = (
+    "This intervention is profitable. Saving %s%% of users in this segment recovers ₹%s in LTV, "
+    "which easily covers the campaign cost of ₹%s."
+)
+ROI_BAD = (
+    "This intervention is not profitable. The campaign cost of ₹%s is higher than the ₹%s we expect "
+    "to save in customer LTV. We should reduce costs or target higher-value users."
+)

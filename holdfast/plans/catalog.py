@@ -8,12 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.operators import features as ft
-from holdfast.operators import drift, evaluation, ingest, labels, money, reports
+from holdfast.operators import (
+    attribution,
+    drift,
+    evaluation,
+    hypotheses,
+    ingest,
+    labels,
+    learners,
+    money,
+    reports,
+    simulate,
+)
 from holdfast.operators.activity import activity
-from holdfast.functions import order
+from holdfast.functions import fixed, order
+from holdfast.functions.columns import micros
 from holdfast.session import hold, release, scratch_path, tune
-from holdfast.sources import files
+from holdfast.sources import files, registry
 from holdfast.sources import fixtures as fx
+from holdfast.plans import report
+from holdfast.streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -548,7 +562,7 @@ def _(d):
 
 @query("map_columns")
 def _(d):
-    mapped, _found = ingest.map_columns(fx.retail_raw(d.spark, d.folder), ingest.fixed.RETAIL_MAPPING)
+    mapped, _found = ingest.map_columns(fx.retail_raw(d.spark, d.folder), fixed.RETAIL_MAPPING)
     return rounded(
         mapped.groupBy(F.col("user_id").cast("string").alias("user_id")).agg(
             F.sum("quantity").alias("quantity"), F.max("timestamp").alias("timestamp"), F.max("unit_price").alias("unit_price"),
@@ -627,7 +641,7 @@ def _(d):
 
 @query("expand_summary")
 def _(d):
-    raw, _found = ingest.map_columns(fx.bank_raw(d.spark, d.folder), ingest.fixed.BANK_CHURN_MAPPING)
+    raw, _found = ingest.map_columns(fx.bank_raw(d.spark, d.folder), fixed.BANK_CHURN_MAPPING)
     made = ingest.expand_summary(raw.drop("timestamp"))
     return rounded(
         made.select(
@@ -867,3 +881,321 @@ def _(d):
         .agg(F.count(F.lit(1)).alias("n"), F.max("mean").alias("mean"), F.max("std").alias("std")),
         2,
     )
+
+
+# ---- models --------------------------------------------------------------------------------------
+
+SMALL_RF = {"numTrees": 20, "maxDepth": 6}
+SMALL_GBT = {"maxIter": 8, "maxDepth": 4}
+
+
+def _model(d) -> learners.ChurnModel:
+    """One small forest and one small boosted model, picked, calibrated and evaluated once."""
+    return d._once("model", lambda: learners.train(_trained_rows(d), "retail", SMALL_RF, SMALL_GBT, stacked=False))
+
+
+def _now(d) -> DataFrame:
+    """Current features with the fitted score and the money metrics."""
+
+    def make():
+        scored = learners.score(_model(d), labels.current_features(d.tx))
+        rated = money.financials(scored, "retail")
+        return hold(ft.join_users(rated, reports.lifecycle(d.tx, d.act)))
+
+    return d._once("now", make)
+
+
+def _learn(d) -> DataFrame:
+    def make():
+        rows = labels.split3(_trained_rows(d)).where("part = 'train'")
+        names = labels.feature_names(_trained_rows(d))
+        return hold(learners.weighted(learners.assemble(rows, names)))
+
+    return d._once("learn", make)
+
+
+@query("kmeans_clusters")
+def _(d):
+    return learners.clusters(d.users).groupBy("cluster").agg(F.count(F.lit(1)).alias("users"))
+
+
+@query("silhouette")
+def _(d):
+    return rounded(learners.silhouette(learners.clusters(d.users)))
+
+
+def _fitted_scores(d, fitted, name: str) -> DataFrame:
+    model = learners.ChurnModel(name, labels.feature_names(_trained_rows(d)), [fitted])
+    return rounded(model.probabilities(_trained_rows(d).drop("churn_probability")).select("user_id", "churn_probability"), 6)
+
+
+@query("rf_fit")
+def _(d):
+    return _fitted_scores(d, learners.fit_rf(_learn(d), **SMALL_RF), "Random Forest")
+
+
+@query("gbt_fit")
+def _(d):
+    return _fitted_scores(d, learners.fit_gbt(_learn(d), **SMALL_GBT), "Boosted Trees")
+
+
+@query("tune")
+def _(d):
+    best = learners.tune(_learn(d), {"numTrees": 5, "maxDepth": 4}, {"maxIter": 2, "maxDepth": 2})
+    rows = [(k, str(v)) for k, v in best.items()]
+    return d.spark.createDataFrame(rows, "name string, choice string")
+
+
+@query("select_model")
+def _(d):
+    areas = _model(d).metrics["candidate_auc"]
+    rows = [(k, round(v, 4), k == _model(d).name) for k, v in areas.items()]
+    return d.spark.createDataFrame(rows, "model string, auc double, selected boolean")
+
+
+@query("stacking")
+def _(d):
+    pair = [learners.forest(**{**SMALL_RF, "numTrees": 8}), learners.boosted("Boosted Trees (subsampled)", maxIter=4, maxDepth=3)]
+    bases, meta = learners.fit_stack(_learn(d), pair, [p.fit(_learn(d)) for p in pair])
+    model = learners.ChurnModel("Stacking", labels.feature_names(_trained_rows(d)), bases, meta)
+    return rounded(model.probabilities(_trained_rows(d)).select("user_id", "churn_probability"), 6)
+
+
+@query("calibrate")
+def _(d):
+    rated = _rated(d)
+    fitted = learners.calibrate(rated)
+    return rounded(learners.apply_calibrator(fitted, rated, "p", "calibrated").select("user_id", "calibrated"), 6)
+
+
+@query("cv_auc")
+def _(d):
+    names = labels.feature_names(_trained_rows(d))
+    mean, std = learners.cross_val_auc(_trained_rows(d), names, learners.forest(numTrees=8, maxDepth=4))
+    return d.spark.createDataFrame([(round(mean, 4), round(std, 4))], "cv_auc_mean double, cv_auc_std double")
+
+
+@query("model_comparison")
+def _(d):
+    names = labels.feature_names(_trained_rows(d))
+    fits = [
+        learners.ChurnModel("Random Forest", names, [learners.fit_rf(_learn(d), **SMALL_RF)]),
+        learners.ChurnModel("Boosted Trees", names, [learners.fit_gbt(_learn(d), **SMALL_GBT)]),
+    ]
+    test = labels.split3(_trained_rows(d)).where("part = 'test'")
+    return rounded(learners.compare(fits, test, _model(d).threshold))
+
+
+@query("score_users")
+def _(d):
+    return rounded(_now(d).select("user_id", "churn_probability"), 6)
+
+
+@query("feature_importances")
+def _(d):
+    return rounded(learners.importances(_model(d), d.spark), 6)
+
+
+@query("shap_global")
+def _(d):
+    return rounded(attribution.shap_summary(_model(d), _now(d)), 6)
+
+
+@query("shap_user")
+def _(d):
+    return rounded(attribution.shap_users(_model(d), _now(d)), 6)
+
+
+@query("shap_segment")
+def _(d):
+    return rounded(attribution.shap_segments(_model(d), _now(d)), 6)
+
+
+@query("driver_table")
+def _(d):
+    """Importance = share of the spread of each feature, so that the table has an exact twin."""
+    names = ["recency", "frequency", "monetary", "monetary_velocity", "ipi_median", "avg_basket_value"]
+    spread = order.long_form(_cents(d), names).groupBy("feature").agg(
+        (F.stddev_pop("value") / F.max(F.abs("value"))).alias("importance")
+    )
+    total = spread.agg(F.sum("importance")).scalar()
+    return rounded(attribution.drivers(spread.withColumn("importance", F.col("importance") / total)), 5)
+
+
+@query("model_hash")
+def _(d):
+    names = F.sort_array(F.collect_list("feature"))
+    features = order.long_form(d.users, ["recency", "monetary", "frequency"]).select("feature").distinct()
+    return features.agg(registry.schema_hash(names).alias("schema_hash"))
+
+
+@query("model_registry")
+def _(d):
+    store = registry.ModelRegistry(d.spark, scratch_path(d.spark, "models"))
+    for _i in range(4):
+        store.save(_model(d), "orders")
+    again = store.load_latest("orders", _model(d).features)
+    back = again.probabilities(_now(d).drop("churn_probability"))
+    kept = store.list().agg(F.count(F.lit(1)).alias("versions"))
+    return back.agg(F.count(F.lit(1)).alias("scored")).withColumn("versions", kept.scalar())
+
+
+# ---- what-if, experiments, hypotheses ------------------------------------------------------------
+
+def _heuristic(d) -> simulate.Score:
+    return d._once("score", lambda: simulate.heuristic_score(order.facts(d.users, m=F.max("recency"))["m"]))
+
+
+@query("whatif")
+def _(d):
+    rows = simulate.whatif(d.scored, _heuristic(d), "At Risk", "order_delay", -30.0)
+    return rounded(rows.drop("model_limitation_note", "feature_display"), 3, revenue_saved=0, ltv_saved=0)
+
+
+@query("whatif_model")
+def _(d):
+    weights = {r["feature"]: r["importance"] for r in learners.importances(_model(d), d.spark).collect()}
+    rows = simulate.whatif(_now(d), _model(d).probabilities, "At Risk", "frequency", 20.0, importance=weights)
+    return rounded(rows, 4)
+
+
+@query("counterfactual_lift")
+def _(d):
+    lift = simulate.counterfactual_lift(d.scored, _heuristic(d), "recency", 400.0, True, 0.3)
+    return d.scored.agg(F.count_if(F.col("churn_probability") >= 0.3).alias("risky")).withColumn("lift", F.lit(lift))
+
+
+def _grid(d) -> DataFrame:
+    plans = [(n, None, f, delta, cost) for n, f, delta, cost in fixed.CAMPAIGNS]
+    plans += [p for p in fixed.PRESETS["retail"]]
+    return simulate.whatif_grid(d.scored, _heuristic(d), plans)
+
+
+@query("whatif_grid")
+def _(d):
+    return rounded(_grid(d), 3, revenue_saved=0, ltv_saved=0)
+
+
+@query("campaign_roi")
+def _(d):
+    rows = simulate.campaign_roi(_grid(d), d.segments, money.kpis(d.scored))
+    return rounded(
+        rows.select(
+            "scenario", "segment", "cost", "gain", F.col("is_profitable").cast("int").alias("is_profitable"),
+            "explanation", "portfolio_churn",
+        ),
+        5,
+        gain=0,
+    )
+
+
+@query("ab_assign")
+def _(d):
+    risky = d.scored.where("segment = 'At Risk'").select("user_id")
+    return simulate.ab_assign(risky)
+
+
+@query("ab_lift")
+def _(d):
+    users = _trained_rows(d).select("user_id", "churned")
+    assigned = simulate.ab_assign(users.select("user_id"))
+    return rounded(simulate.ab_lift(assigned, users), 6)
+
+
+@query("hypotheses")
+def _(d):
+    names = [("recency", "Recency"), ("frequency", "Frequency"), ("monetary_velocity", "Velocity"), ("ipi_median", "Cycle")]
+    return hypotheses.hypotheses(d.scored, names, 0.3, "retail", _heuristic(d))
+
+
+@query("hypothesis_means")
+def _(d):
+    return rounded(hypotheses.driver_means(d.scored, ["recency", "frequency", "monetary"], 0.3), 3)
+
+
+@query("rule_hypotheses")
+def _(d):
+    return hypotheses.rule_hypotheses(d.segments, "Recency", 0.41)
+
+
+@query("churn_forecast_rescored")
+def _(d):
+    return money.churn_forecast(_now(d), _model(d).probabilities, 8)
+
+
+@query("report_json")
+def _(d):
+    sections = {
+        "segments": ft.value_counts(d.users, "segment"),
+        "lifecycle_stages": ft.value_counts(d.scored, "lifecycle"),
+        "revenue_at_risk": money.rar_summary(d.scored, 0.3),
+    }
+    sample = rounded(d.scored.select("user_id", "segment", "lifecycle", "churn_probability"), 6)
+    rows = report.report_json(sections, sample)
+    return rows.select("section", F.size(F.from_json("body", "array<map<string,string>>")).alias("entries"))
+
+
+# ---- streaming -----------------------------------------------------------------------------------
+
+def _stream(d) -> DataFrame:
+    return events.read_events(d.spark, d.folder)
+
+
+def _back(d, path: str) -> DataFrame:
+    return d.spark.read.parquet(path)
+
+
+def _text(name: str):
+    return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
+
+
+@query("event_source")
+def _(d):
+    rows = _back(d, events.drain(_stream(d), "events"))
+    return rounded(rows.groupBy("event_type", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), 2)
+
+
+@query("event_dedupe")
+def _(d):
+    doubled = _stream(d).unionByName(_stream(d))
+    rows = _back(d, events.drain(events.dedupe(doubled), "dedupe"))
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("event_counts")
+def _(d):
+    rows = _back(d, events.drain(events.event_counts(_stream(d)), "counts"))
+    return rounded(rows.select(_text("day_start"), "event_type", "events", "total"), 2)
+
+
+@query("failure_rate_stream")
+def _(d):
+    rows = _back(d, events.drain(events.failure_rates(_stream(d)), "failures"))
+    return rounded(rows.select(_text("from_ts"), "user_id", "events", "failure_rate"), 6)
+
+
+@query("risk_ledger")
+def _(d):
+    weights = {"purchase": -0.0125, "error": 0.03}
+    rows = events.drain_updates(events.risk_ledger(_stream(d), weights), "ledger", "user_id")
+    return rounded(rows.select("user_id", "churn_delta", "events", _text("last_ts")), 4)
+
+
+@query("ipi_alert")
+def _(d):
+    seen = events.drain_updates(events.last_seen(_stream(d)), "seen", "user_id")
+    as_of = order.facts(seen, t=F.max(micros("last_ts")))["t"]
+    alerts = events.ipi_alerts(seen, ft.ipi(d.events).select("user_id", "ipi_median"), as_of, 0.1)
+    return rounded(alerts.select("user_id", "idle_days"), 4)
+
+
+@query("ticker")
+def _(d):
+    return events.ticker_stream(_stream(d)).select("event_id", "user_id", _text("ts"))
+
+
+@query("stream_scoring")
+def _(d):
+    scored = events.score_stream(_stream(d), _now(d), _model(d))
+    rows = _back(d, events.drain(scored, "scored"))
+    return rounded(rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("churn_probability").alias("p")), 4)

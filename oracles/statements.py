@@ -493,3 +493,114 @@ ORACLES.update({
         lg as (select 'recency' feature, recency v from bl union all select 'monetary', round(monetary, 6) from bl)""",
         "select feature, count(*) n, round(avg(v), 2) mean, round(stddev_pop(v), 2) std from lg group by 1"),
 })
+
+_DRIVER = {
+    "recency": "Recency (Days Since Last Order)", "frequency": "Purchase Frequency (Order Count)",
+    "monetary": "Spending Engagement (Wallet Share)", "monetary_velocity": "Daily Income Velocity",
+    "ipi_median": "Purchase Cycle (Days)", "avg_basket_value": "Average Order Value (AOV)",
+}
+_SPREAD = " union all ".join(
+    f"select '{c}' raw_feature, '{label}' feature, stddev_pop({c}) / max(abs({c})) v from cents" for c, label in _DRIVER.items()
+)
+ORACLES["driver_table"] = sql(SCORES + _CENTS + f"sp as ({_SPREAD}), im as (select *, v / sum(v) over () i from sp)",
+    """select raw_feature, feature, round(i, 5) importance, 'unknown' direction,
+    case when i > 0.2 then 'Critical' when i > 0.1 then 'High' when i > 0.05 then 'Medium' else 'Low' end impact from im""")
+ORACLES["model_hash"] = """select sha256(string_agg(f, ',' order by f)) schema_hash from
+    (values ('recency'), ('monetary'), ('frequency')) t(f) where exists (select 1 from orders)"""
+
+# ---- what-if, experiments, hypotheses ------------------------------------------------------------
+
+_SCEN = ", ".join(
+    f"('{n}', null, '{f}', {d}, {c})" for n, f, d, c in [
+        ("cashback", "monetary", 20.0, 200.0), ("push", "frequency", 15.0, 50.0), ("discount", "monetary", 25.0, 150.0),
+        ("loyalty", "frequency", 30.0, 100.0), ("email", "recency", -30.0, 500.0)]
+) + ", ('strat_retail_winback', 'At Risk', 'monetary', 20.0, 150.0), ('strat_retail_reengage', 'Hibernating', 'frequency', 15.0, 45.0)"
+GRID = SEGMENTS + f""",
+sc0(scenario, sg, feature, delta_pct, cost_per_user) as (values {_SCEN}),
+mxr as (select max(recency) m from u),
+gr as (select scenario, segment, feature, cast(delta_pct as double) delta_pct, cast(cost_per_user as double) cost_per_user, p,
+  least(greatest(recency * case when feature = 'recency' then 1 + delta_pct / 100 else 1 end / m, 0), 1) pn, monetary_velocity mv
+  from scored join sc0 on sg is null or sg = segment, mxr),
+ga as (select scenario, segment, feature, delta_pct, cost_per_user, avg(p) o, avg(pn) s, count(*) n, sum(mv) v from gr group by all),
+grid as (select *, greatest(o - s, 0) gain0 from ga)"""
+ORACLES.update({
+    "whatif": sql(SCORED + """, mxr as (select max(recency) m from u),
+        w as (select avg(p) o, avg(least(greatest(recency * 0.7 / m, 0), 1)) s, count(*) n, sum(monetary_velocity) v
+          from scored, mxr where segment = 'At Risk')""",
+        """select round(o, 3) original_churn, round(s, 3) simulated_churn, n users_affected,
+        round((o - s) / greatest(o, 0.001) * 100, 3) churn_reduction_pct, round((o - s) * 100, 3) absolute_reduction,
+        round(v * 90 * greatest(o - s, 0), 0) revenue_saved, round(v * 365 * greatest(o - s, 0), 0) ltv_saved,
+        'At Risk' segment, 'recency' feature, cast(-30 as double) delta_pct,
+        'A 30% decrease in order_delay for ''At Risk'' could reduce churn by ' || printf('%.1f', (o - s) / greatest(o, 0.001) * 100)
+          || '%, protecting ₹' || format('{:,}', cast(round(v * 90 * (o - s)) as bigint)) || ' in revenue.' recommendation,
+        cast(0 as double) model_evidence_pct from w"""),
+    "counterfactual_lift": sql(SCORED + """, mxr as (select max(recency) m from u),
+        w as (select count(*) n, avg(p) o, avg(least(recency, 400) / m) s from scored, mxr where p >= 0.3)""",
+        "select n risky, round(greatest(0.5, least(25, (o - s) / greatest(o, 0.001) * 100)), 1) lift from w"),
+    "whatif_grid": sql(GRID, """select scenario, segment, feature, delta_pct, cost_per_user, round(o, 3) original_churn,
+        round(s, 3) simulated_churn, n users_affected, round((o - s) / greatest(o, 0.001) * 100, 3) churn_reduction_pct,
+        round((o - s) * 100, 3) absolute_reduction, round(v * 90 * gain0, 0) revenue_saved, round(v * 365 * gain0, 0) ltv_saved from grid"""),
+    "campaign_roi": sql(GRID + """, rr as (select *, round(cost_per_user * n) cst, round(v * 365 * gain0) gn from grid)""",
+        """select scenario, segment, cst "cost", gn gain, cast(gn > cst * 0.85 as int) is_profitable,
+        case when gn > cst * 0.85 then 'This intervention is profitable. Saving ' || printf('%.1f', (o - s) * 100)
+            || '% of users in this segment recovers ₹' || format('{:,}', cast(gn as bigint))
+            || ' in LTV, which easily covers the campaign cost of ₹' || format('{:,}', cast(cst as bigint)) || '.'
+          else 'This intervention is not profitable. The campaign cost of ₹' || format('{:,}', cast(cst as bigint))
+            || ' is higher than the ₹' || format('{:,}', cast(gn as bigint))
+            || ' we expect to save in customer LTV. We should reduce costs or target higher-value users.' end explanation,
+        round((select avg(p) from scored) - (o - s) * n / (select count(*) from scored), 5) portfolio_churn from rr"""),
+    "ab_assign": sql(SCORES + """, ar as (select user_id, row_number() over (order by md5(user_id || ':42')) rk, count(*) over () n
+          from users where segment = 'At Risk')""",
+        "select user_id, case when rk <= least(n, greatest(100, ceil(n * 0.2))) then 'treatment' else 'control' end arm from ar"),
+    "ab_lift": sql("""ar as (select user_id, churned, row_number() over (order by md5(user_id || ':42')) rk, count(*) over () n from lab),
+        g as (select count(*) filter (rk <= greatest(100, ceil(n * 0.2))) treated, count(*) filter (rk > greatest(100, ceil(n * 0.2))) control,
+          count(*) filter (rk <= greatest(100, ceil(n * 0.2)) and churned = 1) treated_churned,
+          count(*) filter (rk > greatest(100, ceil(n * 0.2)) and churned = 1) control_churned from ar),
+        r as (select *, treated_churned / treated t, control_churned / control c,
+          (treated_churned + control_churned) / (treated + control) po from g)""",
+        """select treated, control, treated_churned, control_churned, round(t, 6) treated_rate, round(c, 6) control_rate,
+        round(c - t, 6) lift, round((c - t) / sqrt(po * (1 - po) * (1 / treated + 1 / control)), 6) z from r""", CUT),
+    "hypothesis_means": sql(SCORED, """select feature, round(avg(v) filter (p >= 0.3), 3) high_risk_mean,
+        round(avg(v) filter (p < 0.3), 3) low_risk_mean from (select 'recency' feature, recency v, p from scored union all
+        select 'frequency', frequency, p from scored union all select 'monetary', monetary, p from scored) group by 1"""),
+    "rule_hypotheses": sql(SEGMENTS + """, ws as (select * from seg order by avg_churn desc, segment limit 1),
+        bs as (select * from seg order by avg_churn, segment limit 1)""",
+        """select 1 "rank", 'Targeted Retention for ''' || segment || ''' Segment' title,
+          'The ''' || segment || ''' segment (' || "count" || ' users) has the highest churn rate at ' || printf('%.1f', avg_churn * 100)
+            || '%. Their avg spend is ₹' || format('{:,}', cast(round(avg_monetary) as bigint)) || '.' hypothesis,
+          'Reduce churn by 5-8% for ' || "count" || ' users, protecting ~₹'
+            || format('{:,}', cast(round(avg_monetary * "count" * 0.05) as bigint)) || ' in revenue.' expected_impact,
+          segment driver, 'Critical' impact, 'High' confidence from ws
+        union all select 2, 'Address Primary Churn Driver: Recency',
+          'Recency is the #1 churn predictor (importance: 41.0%). Users with extreme recency values are disproportionately churning.',
+          '3-6% reduction in at-risk user churn within 30 days.', 'Behavioral', 'High', 'High'
+        union all select 3, 'Cross-Sell to Retain High-Value Users', '''' || segment || ''' users (churn: ' || printf('%.1f', avg_churn * 100)
+          || '%) have high engagement. Expanding their product portfolio could lock in long-term loyalty.',
+          'Increase ARPU by 10% and reduce churn by 3-5% through product stickiness.', 'Product Mix', 'Medium', 'Medium'
+          from bs where (select count(*) from seg) > 1"""),
+    "report_json": sql(SCORED, """select 'segments' section, cast(count(distinct segment) as int) entries from scored
+        union all select 'lifecycle_stages', cast(count(distinct lifecycle) as int) from scored
+        union all select 'revenue_at_risk', 1 union all select 'users', cast(least(count(*), 1000) as int) from scored"""),
+})
+
+# ---- streaming: the bounded twins ----------------------------------------------------------------
+
+ORACLES.update({
+    "event_source": """select event_type, case when event_type = 'error' then 'failed' else 'success' end status, count(*) n,
+        round(sum(value), 2) total from events group by 1, 2""",
+    "event_dedupe": "select event_type, count(*) n from events group by 1",
+    # append mode leaves windows open that the watermark has not passed
+    "event_counts": """select strftime(d, '%Y-%m-%d %H:%M:%S') day_start, event_type, count(*) events, round(sum(value), 2) total
+        from (select *, date_trunc('day', ts) d from events)
+        where d + interval 1 day <= (select max(ts) - interval 1 hour from events) group by 1, 2""",
+    "failure_rate_stream": """select strftime(w, '%Y-%m-%d %H:%M:%S') from_ts, cast(user_id as varchar) user_id, count(*) events,
+        round(avg(case when event_type = 'error' then 1 else 0 end), 6) failure_rate
+        from (select *, time_bucket(interval 15 minute, ts) - to_minutes(unnest([0, 15, 30, 45])) w from events)
+        where w + interval 1 hour <= (select max(ts) - interval 1 hour from events) group by 1, 2""",
+    "risk_ledger": """select cast(user_id as varchar) user_id, round(sum(case event_type when 'purchase' then -0.0125
+        when 'error' then 0.03 else 0 end), 4) churn_delta, count(*) events, strftime(max(ts), '%Y-%m-%d %H:%M:%S') last_ts from events group by 1""",
+    "ipi_alert": sql(USERS, f"""select user_id, round((mx - last_us) / {DAY}.0, 4) idle_days from u, b
+        where (mx - last_us) / {DAY}.0 > greatest(ipi_median, 1) * 0.1""", EV),
+    "ticker": """select cast(event_id as varchar) event_id, cast(user_id as varchar) user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') ts
+        from events order by events.ts desc, events.event_id desc limit 20""",
+})
