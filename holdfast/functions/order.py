@@ -193,9 +193,12 @@ def salted_lookup(
 ) -> DataFrame:
     """Join `lookup` (one row per key, `weight` = rows that hold the key) without a hot partition.
 
-    A key with more than 1/width of all rows is dealt over several salts. There are fewer than
-    `width` such keys, so the list of them is broadcast; their lookup rows are copied per salt.
+    A lookup of a checked small size is broadcast. Beyond it a key with more than 1/width of all
+    rows is dealt over several salts: there are fewer than `width` such keys, so the list of them is
+    broadcast, and their lookup rows are copied per salt. Callers hold `lookup`.
     """
+    if is_small(lookup):
+        return df.join(F.broadcast(lookup.drop(weight)), key, how)
     width = shuffle_width(df.sparkSession)
     total = facts(lookup, total=F.sum(weight))["total"] or 1
     share = F.col(weight) * F.lit(width)
@@ -213,7 +216,7 @@ def salted_lookup(
 def pct_rank(df: DataFrame, col: str, name: str, spread: str = "user_id") -> DataFrame:
     """Average-tie percentile rank (rank / n) of a continuous column."""
     ranks = value_ranks(df, col).withColumn(name, F.col("avg_rank") / F.col("total"))
-    return salted_lookup(df, ranks.select(col, "n", name), col, "n", spread)
+    return salted_lookup(df, hold(ranks.select(col, "n", name)), col, "n", spread)
 
 
 def pct_rank_days(df: DataFrame, col: str, name: str) -> DataFrame:

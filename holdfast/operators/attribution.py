@@ -9,11 +9,13 @@ model parameters, not by the data.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -21,10 +23,13 @@ from pyspark.sql import Window as W
 from holdfast.functions.columns import fixed_digits, title_name
 from holdfast.functions.fixed import DOMAIN_DRIVER_LABELS, DRIVER_LABELS
 from holdfast.operators.learners import ChurnModel
-from holdfast.session import scratch_path
+from holdfast.session import scratch_path, small_table
 
 ROWS_AT_ONCE = 256
 
+# the functions below run in the Python workers, which need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @dataclass
 class LeafTable:
@@ -263,7 +268,7 @@ def drivers(importance: DataFrame, shap: DataFrame | None = None, domain: str =
             label = r["feature"].replace("_", " ").title()
         used.add(label)
         named.append((r["feature"], label, float(r["importance"])))
-    rows = spark.createDataFrame(named, "raw_feature string, feature string, importance double")
+    rows = small_table(spark, named, "raw_feature string, feature string, importance double")
     if shap is not None:
         signs = shap.select(F.col("feature").alias("raw_feature"), "direction")
         rows = rows.join(F.broadcast(signs), "raw_feature", "left")

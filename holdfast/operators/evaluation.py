@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from holdfast.functions.columns import ratio
 from holdfast.functions.fixed import THRESHOLD_GRID
 from holdfast.functions.order import running_totals
+from holdfast.session import small_table
 
 MIN_RECALL = MIN_SPECIFICITY = 0.55
 
@@ -31,7 +32,7 @@ def threshold_table(scored: DataFrame) -> DataFrame:
     """Every candidate threshold with its counts and the balanced utility score."""
     spark = scored.sparkSession
     clipped = scored.select(F.least(F.greatest("p", F.lit(0.01)), F.lit(0.99)).alias("p"), "label")
-    grid = spark.createDataFrame([(t, 0, 0) for t in THRESHOLD_GRID], "p double, pos bigint, neg bigint")
+    grid = small_table(spark, [(t, 0, 0) for t in THRESHOLD_GRID], "p double, pos bigint, neg bigint")
     # clipped scores may not be used for counting: count with the raw ones, at every candidate
     marks = score_histogram(clipped).select("p", F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("neg"))
     raw = score_histogram(scored).withColumn("candidate", F.lit(0))

@@ -18,6 +18,7 @@ from holdfast.functions.fixed import (
 )
 from holdfast.functions.order import facts
 from holdfast.operators.simulate import Score, counterfactual_lift
+from holdfast.session import small_table
 
 _SCHEMA = (
     "rank int, title string, hypothesis string, test string, driver string, stat string, "
@@ -69,7 +70,7 @@ def hypotheses(
         title, text, test, driver, stat, impact = ONE_SIDED_HYPOTHESIS
         lift = round(min(18.0, max(2.5, churn / 100 * 25)), 1)
         made = [(1, title, text.format(churn=churn), test, driver, stat.format(churn=churn), impact, lift)]
-        return spark.createDataFrame(made, _SCHEMA)
+        return small_table(spark, made, _SCHEMA)
 
     def lift_of(raw: str, target: float, reduce: bool) -> float:
         return counterfactual_lift(scored, score, named[raw], target, reduce, threshold)
@@ -121,7 +122,7 @@ def hypotheses(
     if not made:
         title, text, test, driver, stat, impact, lift = DEFAULT_HYPOTHESIS
         made = [(1, title, text, test, driver, stat, impact, lift)]
-    return spark.createDataFrame(made, _SCHEMA)
+    return small_table(spark, made, _SCHEMA)
 
 
 def driver_means(scored: DataFrame, features: Sequence[str], threshold: float = 0.5) -> DataFrame:

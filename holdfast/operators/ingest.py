@@ -17,18 +17,15 @@ from holdfast.functions.columns import micros, whole_days
 from holdfast.functions.order import dealt_order, draw, facts, salted_lookup
 from holdfast.session import hold
 
-TIME_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd",
-    "yyyy-MM-dd'T'HH:mm:ss",
+# tried for texts with a slash, and for texts with a dash that are not year-first
+SLASH_FORMATS = [
     "MM/dd/yyyy HH:mm",
     "MM/dd/yyyy HH:mm:ss",
     "MM/dd/yyyy",
-    "dd-MM-yyyy HH:mm:ss",
-    "dd-MM-yyyy HH:mm",
-    "dd-MM-yyyy",
+    "yyyy/MM/dd HH:mm:ss",
     "yyyy/MM/dd",
 ]
+DASH_FORMATS = ["dd-MM-yyyy HH:mm:ss", "dd-MM-yyyy HH:mm", "dd-MM-yyyy"]
 
 
 def q(name: str) -> Column:
@@ -193,13 +190,30 @@ def clean_user_id(df: DataFrame) -> DataFrame:
 
 
 def text_time(name: str) -> Column:
-    tries = [F.try_to_timestamp(q(name), F.lit(f)) for f in TIME_FORMATS]
-    return F.coalesce(*tries, q(name).try_cast("timestamp"))
+    """Instant of a date text, NULL when it is none.
+
+    Year-first texts go through the cast, which is much cheaper than a pattern; patterns are tried
+    only on texts of their shape because each failing one costs an exception.
+    """
+    text = q(name)
+
+    def first(formats: Sequence[str]) -> Column:
+        return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+
+    dashed = F.coalesce(text.try_cast("timestamp"), first(DASH_FORMATS))
+    return F.when(F.contains(text, F.lit("/")), first(SLASH_FORMATS)).when(
+        F.contains(text, F.lit("-")), F.when(F.rlike(text, F.lit(r"\d")), dashed)
+    )
+
+
+def plain_number(name: str) -> Column:
+    """Unsigned number in a text; other texts are sorted out before the cast."""
+    return F.when(F.rlike(q(name).cast("string"), F.lit(r"^\s*\d+(\.\d*)?([eE]\+?\d+)?\s*$")), number(name))
 
 
 def epoch_time(name: str, milliseconds: bool) -> Column:
     scale = 1_000 if milliseconds else 1_000_000
-    return F.timestamp_micros((number(name) * F.lit(scale)).cast("bigint"))
+    return F.timestamp_micros((plain_number(name) * F.lit(scale)).cast("bigint"))
 
 
 def parse_timestamp(df: DataFrame, mode: str = "auto") -> DataFrame:
@@ -222,8 +236,8 @@ def parse_timestamp(df: DataFrame, mode: str = "auto") -> DataFrame:
             df,
             rows=F.count(F.lit(1)),
             parsed=F.count(text),
-            numbers=F.count(number("timestamp")),
-            top=F.max(number("timestamp")),
+            numbers=F.count(plain_number("timestamp")),
+            top=F.max(plain_number("timestamp")),
         )
         numeric = look["rows"] and look["parsed"] < look["rows"] / 2 and look["numbers"] > 0
         if not numeric and look["parsed"] == 0:
@@ -368,14 +382,16 @@ def tax_diversity(df: DataFrame) -> DataFrame:
     found = {out: raw for out, raw in found.items() if raw is not None}
     if user is None or not found:
         return df
-    # one pass: the distinct values are combined on the map side, so no task holds the raw rows
-    # of one taxpayer
-    lookup = hold(
+    # rows are combined per distinct combination on the map side first: the three distinct counts
+    # then expand the combinations, not the raw rows, and no task holds the rows of one taxpayer
+    combined = (
         df.where(q(user).isNotNull())
-        .groupBy(q(user).alias(user))
-        .agg(
-            F.count(F.lit(1)).alias("_rows"),
-            *[F.countDistinct(q(raw)).alias(out) for out, raw in found.items()],
+        .groupBy(q(user).alias(user), *[q(raw).alias(out) for out, raw in found.items()])
+        .agg(F.count(F.lit(1)).alias("_rows"))
+    )
+    lookup = hold(
+        combined.groupBy(user).agg(
+            F.sum("_rows").alias("_rows"), *[F.countDistinct(out).alias(out) for out in found]
         )
     )
     spread = next(c for c in df.columns if c != user)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from holdfast.functions.order import facts
 from holdfast.operators import evaluation as ev
 from holdfast.operators.labels import feature_names, folds, split3
-from holdfast.session import cut_lineage, hold
+from holdfast.session import cut_lineage, hold, small_table
 
 SEED = 42
 FEATURES, LABEL, WEIGHT = "_features", "label", "_weight"
@@ -61,7 +61,7 @@ def silhouette(clustered: DataFrame) -> DataFrame:
     """Squared-Euclidean silhouette of all users; linear in the rows, so nothing is sampled."""
     evaluator = ClusteringEvaluator(featuresCol="_scaled", predictionCol="cluster")
     value = evaluator.evaluate(_scaled(clustered)) if clustered.select("cluster").distinct().count() > 1 else 0.0
-    return clustered.sparkSession.createDataFrame([(float(value),)], "silhouette double")
+    return small_table(clustered.sparkSession, [(float(value),)], "silhouette double")
 
 
 # ---- F5 ------------------------------------------------------------------------------------------
@@ -296,7 +296,7 @@ def importances(model: ChurnModel, spark) -> DataFrame:
     values = getattr(model.base, "featureImportances", None)
     shares = values.toArray().tolist() if values is not None else [1.0 / len(model.features)] * len(model.features)
     rows = [(f, float(v)) for f, v in zip(model.features, shares)]
-    return spark.createDataFrame(rows, "feature string, importance double")
+    return small_table(spark, rows, "feature string, importance double")
 
 
 # ---- the whole training --------------------------------------------------------------------------

@@ -21,7 +21,7 @@ from holdfast.functions.fixed import (
 )
 from holdfast.functions.order import dealt_order, draw, facts
 from holdfast.operators.money import MARGIN, risk_window
-from holdfast.session import hold
+from holdfast.session import hold, small_table
 
 Score = Callable[[DataFrame], DataFrame]
 RAISING = {"monetary", "frequency", "section_count"}
@@ -155,8 +155,8 @@ def whatif_grid(
         for name, wanted, feature, delta, cost in scenarios
         for seg in ([wanted] if wanted else segments)
     ]
-    plan = spark.createDataFrame(
-        rows, "scenario string, segment string, feature string, delta_pct double, cost_per_user double"
+    plan = small_table(
+        spark, rows, "scenario string, segment string, feature string, delta_pct double, cost_per_user double"
     )
     users = scored.withColumns({"_before": F.col("churn_probability"), "_velocity": F.col("monetary_velocity")})
     paired = users.join(F.broadcast(plan), "segment")

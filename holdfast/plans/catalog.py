@@ -23,7 +23,7 @@ from holdfast.operators import (
 from holdfast.operators.activity import activity
 from holdfast.functions import fixed, order
 from holdfast.functions.columns import micros
-from holdfast.session import hold, release, scratch_path, tune
+from holdfast.session import hold, release, scratch_path, small_table, tune
 from holdfast.sources import files, registry
 from holdfast.sources import fixtures as fx
 from holdfast.plans import report
@@ -943,14 +943,14 @@ def _(d):
 def _(d):
     best = learners.tune(_learn(d), {"numTrees": 5, "maxDepth": 4}, {"maxIter": 2, "maxDepth": 2})
     rows = [(k, str(v)) for k, v in best.items()]
-    return d.spark.createDataFrame(rows, "name string, choice string")
+    return small_table(d.spark, rows, "name string, choice string")
 
 
 @query("select_model")
 def _(d):
     areas = _model(d).metrics["candidate_auc"]
     rows = [(k, round(v, 4), k == _model(d).name) for k, v in areas.items()]
-    return d.spark.createDataFrame(rows, "model string, auc double, selected boolean")
+    return small_table(d.spark, rows, "model string, auc double, selected boolean")
 
 
 @query("stacking")
@@ -972,7 +972,7 @@ def _(d):
 def _(d):
     names = labels.feature_names(_trained_rows(d))
     mean, std = learners.cross_val_auc(_trained_rows(d), names, learners.forest(numTrees=8, maxDepth=4))
-    return d.spark.createDataFrame([(round(mean, 4), round(std, 4))], "cv_auc_mean double, cv_auc_std double")
+    return small_table(d.spark, [(round(mean, 4), round(std, 4))], "cv_auc_mean double, cv_auc_std double")
 
 
 @query("model_comparison")

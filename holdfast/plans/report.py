@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from holdfast.functions.fixed import FALLBACK_DRIVERS
 from holdfast.operators import attribution, drift, features, hypotheses, labels, learners, money, reports
 from holdfast.operators.activity import activity, span
-from holdfast.session import hold
+from holdfast.session import hold, small_table
 
 
 @dataclass
@@ -23,8 +23,8 @@ class Analysis:
 
 
 def fallback_drivers(spark) -> DataFrame:
-    return spark.createDataFrame(
-        FALLBACK_DRIVERS, "feature string, raw_feature string, importance double, direction string, impact string"
+    return small_table(
+        spark, FALLBACK_DRIVERS, "feature string, raw_feature string, importance double, direction string, impact string"
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,3 +80,9 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few literal rows as a local relation (no Python workers at run time)."""
+    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+    return spark.createDataFrame(pd.DataFrame(rows, columns=names), schema)

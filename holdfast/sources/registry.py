@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from holdfast.operators.learners import ChurnModel, pipeline
-from holdfast.session import shared_folder
+from holdfast.session import shared_folder, small_table
 
 _ENTRY = (
     "model_id string, version string, saved_at bigint, model string, threshold double, "
@@ -44,7 +44,7 @@ class ModelRegistry:
         pipeline(model).write().overwrite().save(path)
         row = (model_id, version, at, model.name, float(model.threshold), model.features,
                None, json.dumps(model.metrics, default=str), path)
-        entry = self.spark.createDataFrame([row], _ENTRY).withColumn("schema_hash", schema_hash(F.col("features")))
+        entry = small_table(self.spark, [row], _ENTRY).withColumn("schema_hash", schema_hash(F.col("features")))
         entry.coalesce(1).write.mode("append").parquet(self._log)
         return version
 
