@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.functions.columns import fixed_digits, grouped
+from holdfast.functions.columns import fixed_digits, grouped, numeric_columns
 from holdfast.functions.fixed import (
     CURRENCY_PARTS,
     DEFAULT_HYPOTHESIS,
@@ -55,7 +55,7 @@ def hypotheses(
     spark = scored.sparkSession
     p = F.col("churn_probability")
     top = list(driver_rows)[:8]
-    column = {c.lower(): c for c in scored.columns}
+    column = {c.lower(): c for c in numeric_columns(scored)}
     named = {raw: column.get(raw.lower()) or column.get(concept_of(raw.lower())) for raw, _ in top}
     stats = {"users": F.count(F.lit(1)), "high": F.count_if(p >= threshold), "mean": F.avg(p)}
     for i, (raw, _) in enumerate(top):

@@ -133,8 +133,9 @@ class ChurnModel:
 
     def probabilities(self, df: DataFrame, name: str = "churn_probability") -> DataFrame:
         """Score every row; the whole chain stays inside the JVM."""
+        df = df.drop(name)
         rows = assemble(df, self.features)
-        keep = [c for c in df.columns if c != name]
+        keep = df.columns
         for i, base in enumerate(self.bases):
             rows = _positive(base.transform(rows), f"_p{i}")
         rows = rows.drop(FEATURES)
@@ -234,14 +235,16 @@ def calibrate(raw: DataFrame):
     seen = facts(raw, n=F.count(F.lit(1)), pos=F.sum("label"))
     if min(seen["pos"] or 0, seen["n"] - (seen["pos"] or 0)) < 30:
         return None
-    points = raw.groupBy(F.round("p", SCORE_STEP).alias("p")).agg(
+    points = raw.groupBy(F.round("p", SCORE_STEP).alias("_point")).agg(
         F.avg(F.col("label").cast("double")).alias("share"), F.count(F.lit(1)).cast("double").alias("n")
     )
     points = cut_lineage(points, "calibration")
     if seen["n"] >= 500:
-        return IsotonicRegression(featuresCol="p", labelCol="share", weightCol="n").fit(points)
-    sides = points.selectExpr("p", "stack(2, 1.0D, n * share, 0.0D, n * (1 - share)) as (label, n)").where("n > 0")
-    vector = VectorAssembler(inputCols=["p"], outputCol="_v").transform(sides)
+        return IsotonicRegression(
+            featuresCol="_point", labelCol="share", weightCol="n", predictionCol="_mapped"
+        ).fit(points)
+    sides = points.selectExpr("_point", "stack(2, 1.0D, n * share, 0.0D, n * (1 - share)) as (label, n)").where("n > 0")
+    vector = VectorAssembler(inputCols=["_point"], outputCol="_v").transform(sides)
     return LogisticRegression(featuresCol="_v", labelCol="label", weightCol="n").fit(vector)
 
 
@@ -249,8 +252,8 @@ def apply_calibrator(calibrator, df: DataFrame, raw: str, name: str) -> DataFram
     if calibrator is None:
         return df.withColumnRenamed(raw, name)
     if calibrator.__class__.__name__.startswith("Isotonic"):
-        rows = df.withColumnRenamed(raw, "p").drop("prediction")
-        return calibrator.transform(rows).withColumnRenamed("prediction", name).drop("p")
+        rows = calibrator.transform(df.withColumnRenamed(raw, "_point"))
+        return rows.drop("_point").withColumnRenamed("_mapped", name)
     vector = VectorAssembler(inputCols=[raw], outputCol="_v").transform(df)
     return _positive(calibrator.transform(vector), name).drop("_v", raw)
 

@@ -885,8 +885,8 @@ def _(d):
 
 # ---- models --------------------------------------------------------------------------------------
 
-SMALL_RF = {"numTrees": 20, "maxDepth": 6}
-SMALL_GBT = {"maxIter": 8, "maxDepth": 4}
+SMALL_RF = {"numTrees": 12, "maxDepth": 5}
+SMALL_GBT = {"maxIter": 5, "maxDepth": 3}
 
 
 def _model(d) -> learners.ChurnModel:

@@ -9,20 +9,20 @@ from pyspark.sql.types import StructType
 SEPARATORS = [",", ";", "\t", "|"]
 
 
-def sniff(spark: SparkSession, path: str) -> tuple[str, str, bool]:
-    """(encoding, separator, has byte-order mark) from the first lines of the file."""
-    sample = spark.read.text(path).limit(20)
-    head = sample.select(
-        F.col("value"),
-        # a broken UTF-8 byte shows as the replacement character
-        F.contains("value", F.lit("�")).alias("broken"),
-    ).collect()
-    if not head:
-        return "UTF-8", ",", False
-    first = head[0]["value"]
+def sniff(spark: SparkSession, path: str, encoding: str | None = None) -> tuple[str, str, bool]:
+    """(encoding, separator, has byte-order mark).
+
+    The separator comes from the header line. UTF-8 is believed only when every line is valid, which
+    is one distributed pass over the text; naming the encoding skips it.
+    """
+    text = spark.read.text(path)
+    header = text.limit(1).collect()
+    first = header[0]["value"] if header else ""
     separator = max(SEPARATORS, key=first.count)
-    encoding = "ISO-8859-1" if any(r["broken"] for r in head) else "UTF-8"
-    return encoding, separator if first.count(separator) else ",", first.startswith("﻿")
+    if encoding is None:
+        valid = text.agg(F.every(F.is_valid_utf8("value"))).first()[0]
+        encoding = "ISO-8859-1" if valid is False else "UTF-8"
+    return encoding, separator if first.count(separator) else ",", first.startswith("\ufeff")
 
 
 def read_csv_any(
@@ -35,18 +35,17 @@ def read_csv_any(
     """CSV with the encoding and separator found by looking at it.
 
     Without a schema the types are inferred, which reads the data twice: give one for large files.
-    Bytes that are not UTF-8 beyond the first lines are found only when `encoding` says so.
     """
-    found, separator, marked = sniff(spark, path)
+    found, separator, marked = sniff(spark, path, encoding)
     reader = (
         spark.read.option("header", True)
         .option("sep", separator)
-        .option("encoding", encoding or found)
+        .option("encoding", found)
         .option("mode", "PERMISSIVE")
     )
     df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     if marked:
-        df = df.withColumnRenamed(df.columns[0], df.columns[0].lstrip("﻿").strip('"'))
+        df = df.withColumnRenamed(df.columns[0], df.columns[0].lstrip("\ufeff").strip('"'))
     return df.limit(max_rows) if max_rows is not None else df
 
 
