@@ -257,3 +257,42 @@ def draw(users: DataFrame, size: int, seed: int = 42) -> str | None:
     dealt = positions(users.select(dealt_order("user_id", seed).alias("_d")), ["_d"])
     last = dealt.where(F.col("_pos") == size - 1).agg(F.max("_d").alias("d")).first()["d"]
     return last
+
+
+def dealt_cuts(
+    users: DataFrame, ends: Sequence[tuple[int, int]], by: str | None = None, seed: int = 42
+) -> dict:
+    """Digests that end the given shares of the dealt order, per `by` group.
+
+    `ends` are shares as (numerator, denominator); a group maps to one digest per share, "" for an
+    empty one. A handful of rows reach the driver, and the parts are told by comparing digests, so
+    nothing has to be joined back to the users.
+    """
+    groups = [by] if by else []
+    dealt = positions(users.select(*groups, dealt_order("user_id", seed).alias("_d")), ["_d"], by=groups)
+
+    def upto(share: tuple[int, int], size: str = "_size") -> str:
+        # rows whose position p satisfies p * denominator < size * numerator
+        return f"(({size} * {share[0]} + {share[1]} - 1) div {share[1]})"
+
+    wanted = " or ".join(f"_pos = {upto(e)} - 1" for e in ends)
+    cuts: dict = {}
+    for r in dealt.where(wanted).collect():
+        key, size = (r[by] if by else None), r["_size"]
+        mine = cuts.setdefault(key, [""] * len(ends))
+        for i, (top, bottom) in enumerate(ends):
+            if r["_pos"] == -(-size * top // bottom) - 1:
+                mine[i] = r["_d"]
+    return cuts
+
+
+def dealt_part(cuts: dict, names: Sequence, by: str | None = None, seed: int = 42) -> Column:
+    """The part of the dealt order a user falls into: one name more than there are cuts."""
+    digest = dealt_order("user_id", seed)
+    out = F.lit(names[-1])
+    for key, ends in cuts.items():
+        part = F.lit(names[-1])
+        for end, name in reversed(list(zip(ends, names))):
+            part = F.when(digest <= F.lit(end), F.lit(name)).otherwise(part)
+        out = part if by is None else F.when(F.col(by) == F.lit(key), part).otherwise(out)
+    return out

@@ -22,10 +22,11 @@ from pyspark.sql import Window as W
 
 from holdfast.functions.columns import fixed_digits, title_name
 from holdfast.functions.fixed import DOMAIN_DRIVER_LABELS, DRIVER_LABELS
+from holdfast.functions.order import dealt_order
 from holdfast.operators.learners import ChurnModel
 from holdfast.session import scratch_path, small_table
 
-ROWS_AT_ONCE = 256
+CELLS_AT_ONCE = 2_000_000  # rows x leaves x depth held by one step
 
 # the functions below run in the Python workers, which need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -96,27 +97,37 @@ def load_trees(model: ChurnModel, spark) -> tuple[list[LeafTable], float]:
 
 def shapley(tables: list[LeafTable], x: np.ndarray) -> np.ndarray:
     """(rows, features) attributions; their sum is prediction minus mean prediction."""
-    out = np.zeros_like(x, dtype=float)
+    out = np.zeros(x.shape, dtype=float)
     for t in tables:
-        leaves, depth = t.feature.shape
+        depth = t.feature.shape[1]
         points, weights = np.polynomial.legendre.leggauss(max(1, (depth + 1) // 2))
         points, weights = (points + 1) / 2, weights / 2
-        used = t.feature.ravel() >= 0
-        spread = np.zeros((leaves * depth, x.shape[1]))
-        spread[np.flatnonzero(used), t.feature.ravel()[used]] = 1.0
-        values = x[:, np.where(t.feature < 0, 0, t.feature)]
-        met = ((values > t.low) & (values <= t.high) | (t.feature < 0)).astype(float)
-        share = np.zeros_like(met)
-        for point, weight in zip(points, weights):
-            factor = (1 - point) * t.cover + point * met
-            share += weight * factor.prod(axis=2, keepdims=True) / factor
-        parts = t.value[None, :, None] * (met - t.cover) * share
-        out += parts.reshape(len(x), -1) @ spread
+        # cells grouped by feature, so that one reduction adds up all leaves
+        flat = t.feature.ravel()
+        grouped = np.argsort(flat, kind="stable")
+        names, starts = np.unique(flat[grouped], return_index=True)
+        real = names >= 0
+        step = max(1, CELLS_AT_ONCE // t.feature.size)
+        for begin in range(0, len(x), step):
+            rows = x[begin : begin + step]
+            values = rows[:, np.where(t.feature < 0, 0, t.feature)]
+            met = ((values > t.low) & (values <= t.high) | (t.feature < 0)).astype(float)
+            share = np.zeros_like(met)
+            for point, weight in zip(points, weights):
+                factor = (1 - point) * t.cover + point * met
+                share += weight * factor.prod(axis=2, keepdims=True) / factor
+            parts = (t.value[None, :, None] * (met - t.cover) * share).reshape(len(rows), -1)
+            sums = np.add.reduceat(parts[:, grouped], starts, axis=1)
+            out[begin : begin + step, names[real]] += sums[:, real]
     return out
 
 
 def attributions(model: ChurnModel, users: DataFrame) -> DataFrame:
-    """(user_id, phi array, x array) of every user; `x` are the feature values scored."""
+    """(user_id, phi array, x array) of every user; `x` are the feature values scored.
+
+    The work per row grows with trees x leaves x depth and the leaf tables travel to every worker:
+    models that are to be explained for all users should stay at depth 8 or less.
+    """
     tables, _base = load_trees(model, users.sparkSession)
     filled = users.select(
         "user_id",
@@ -130,11 +141,10 @@ def attributions(model: ChurnModel, users: DataFrame) -> DataFrame:
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start in range(0, len(batch), ROWS_AT_ONCE):
-                piece = batch.iloc[start : start + ROWS_AT_ONCE]
-                x = np.stack(piece["x"].to_numpy())
+            if len(batch):
+                x = np.stack(batch["x"].to_numpy())
                 yield pd.DataFrame(
-                    {"user_id": piece["user_id"].to_numpy(), "phi": list(shapley(tables, x)), "x": list(x)}
+                    {"user_id": batch["user_id"].to_numpy(), "phi": list(shapley(tables, x)), "x": list(x)}
                 )
 
     return filled.mapInPandas(explain, "user_id string, phi array<double>, x array<double>")
@@ -161,7 +171,10 @@ def summarise(rows: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def shap_summary(model: ChurnModel, users: DataFrame) -> DataFrame:
+def shap_summary(model: ChurnModel, users: DataFrame, n: int | None = None) -> DataFrame:
+    """Mean absolute attribution and direction per feature, over all users or a draw of `n`."""
+    if n is not None:
+        users = users.orderBy(dealt_order(), "user_id").limit(n)
     rows = summarise(attribution_rows(model, users))
     return rows.select("feature", "importance", _direction(F.col("_sign")).alias("direction"))
 

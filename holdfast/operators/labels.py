@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.functions.columns import DAY_US, micros, numeric_columns
+from holdfast.functions.columns import DAY_US, numeric_columns
 from holdfast.functions.fixed import BANK_PRUNED_FEATURES, LEAKAGE_COLUMNS
-from holdfast.functions.order import dealt_order, facts, positions, quantile
+from holdfast.functions.order import dealt_cuts, dealt_part, facts, quantile
 from holdfast.operators import features as ft
 from holdfast.operators.activity import activity, span
 from holdfast.session import hold
@@ -74,11 +74,12 @@ def temporal_training_set(tx: DataFrame, domain: str = "retail", days: int | Non
     None when fewer than five users have a past. A single class is split by recency instead.
     """
     window = label_window(tx, domain, days)
-    at = micros("timestamp")
-    past = tx.where(at <= window.cutoff_us)
+    # a literal instant, so that the scan can skip row groups
+    cutoff = F.timestamp_micros(F.lit(window.cutoff_us))
+    past = tx.where(F.col("timestamp") <= cutoff)
     act = activity(past, trend_until=window.cutoff_us)
     users = _with_means(ft.engineered(ft.user_table(past, act=act), act), past)
-    later = tx.where(at > window.cutoff_us).groupBy("user_id").agg(F.lit(0).alias("churned"))
+    later = tx.where(F.col("timestamp") > cutoff).groupBy("user_id").agg(F.lit(0).alias("churned"))
     rows = hold(users.join(later, "user_id", "left").fillna({"churned": 1}))
     seen = facts(rows, users=F.count(F.lit(1)), churned=F.sum("churned"))
     if seen["users"] < MIN_USERS:
@@ -100,21 +101,16 @@ def labelled_training_set(tx: DataFrame, users: DataFrame, domain: str = "generi
 def split3(rows: DataFrame, seed: int = 42) -> DataFrame:
     """Add `part`: train / cal / test = 60 / 20 / 20 of every class, by the dealt order of users.
 
-    Positions come from the range-laid order, not from one window per class; classes with fewer
-    than two users are dealt together with the others.
+    The split is exact: four digests mark where the parts of each class end, and every user is
+    placed by comparison. Classes with a single user are dealt together with the others.
     """
     counts = rows.groupBy("churned").count().collect()  # two rows
-    strata = ["churned"] if counts and min(r["count"] for r in counts) >= 2 else []
-    dealt = rows.select("user_id", *strata, dealt_order("user_id", seed).alias("_d"))
-    placed = positions(dealt, ["_d", "user_id"], by=strata)
-    at, size = F.col("_pos"), F.col("_size")
-    part = F.when(at * 5 < size * 3, "train").when(at * 5 < size * 4, "cal").otherwise("test")
-    return rows.join(placed.select("user_id", part.alias("part")), "user_id")
+    by = "churned" if counts and min(r["count"] for r in counts) >= 2 else None
+    cuts = dealt_cuts(rows, [(3, 5), (4, 5)], by, seed)
+    return rows.withColumn("part", dealt_part(cuts, ["train", "cal", "test"], by, seed))
 
 
 def folds(rows: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """Add an integer `fold` 0..k-1, stratified by class in the dealt order."""
-    dealt = rows.select("user_id", "churned", dealt_order("user_id", seed).alias("_d"))
-    placed = positions(dealt, ["_d", "user_id"], by=["churned"])
-    fold = F.pmod(F.col("_pos"), F.lit(k)).cast("int")
-    return rows.join(placed.select("user_id", fold.alias("fold")), "user_id")
+    """Add an integer `fold` 0..k-1: k equal stretches of the dealt order of every class."""
+    cuts = dealt_cuts(rows, [(i, k) for i in range(1, k)], "churned", seed + 1)
+    return rows.withColumn("fold", dealt_part(cuts, list(range(k)), "churned", seed + 1))

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from holdfast.functions.fixed import FALLBACK_DRIVERS
 from holdfast.operators import attribution, drift, features, hypotheses, labels, learners, money, reports
 from holdfast.operators.activity import activity, span
-from holdfast.session import hold, small_table
+from holdfast.session import cut_lineage, hold, small_table
+
+
+SHAP_ROWS = 200  # users behind the global attribution summary
 
 
 @dataclass
@@ -35,9 +38,14 @@ def analyse(
     rf: dict | None = None,
     gbt: dict | None = None,
     explain: bool = True,
+    stage: bool = False,
 ) -> Analysis:
-    """Canonical transactions in, scored users and every report section out."""
-    tx = hold(tx)
+    """Canonical transactions in, scored users and every report section out.
+
+    Each section scans `tx` for the columns it needs. `stage` first writes the prepared rows to the
+    shared folder as a columnar table: worth it when `tx` still parses text files.
+    """
+    tx = cut_lineage(tx, "tx") if stage else tx
     spark = tx.sparkSession
     if is_summary or "target_churn" in tx.columns:
         base = features.user_table(tx, is_summary)
@@ -54,7 +62,7 @@ def analyse(
 
     threshold = model.threshold if model else 0.5
     auc = model.metrics["roc_auc"] if model else 0.5
-    shap = attribution.shap_summary(model, users) if model and explain else None
+    shap = attribution.shap_summary(model, users, SHAP_ROWS) if model and explain else None
     drivers = (
         attribution.drivers(learners.importances(model, spark), shap, domain) if model else fallback_drivers(spark)
     )
