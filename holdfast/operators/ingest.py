@@ -232,17 +232,16 @@ def parse_timestamp(df: DataFrame, mode: str = "auto") -> DataFrame:
         )
     text = text_time("timestamp") if kind == "string" else F.lit(None).cast("timestamp")
     if mode == "auto":
-        look = facts(
-            df,
-            rows=F.count(F.lit(1)),
-            parsed=F.count(text),
-            numbers=F.count(plain_number("timestamp")),
-            top=F.max(plain_number("timestamp")),
-        )
-        numeric = look["rows"] and look["parsed"] < look["rows"] / 2 and look["numbers"] > 0
-        if not numeric and look["parsed"] == 0:
+        plain = plain_number("timestamp")
+        look = facts(df, rows=F.count(F.lit(1)), numbers=F.count(plain), top=F.max(plain))
+        # dates are parsed for this look only when there are numbers among them
+        parsed = facts(df, n=F.count(text))["n"] if look["numbers"] else 0
+        if look["numbers"] and parsed < look["rows"] / 2:
+            mode = "ms" if look["top"] > 1e11 else "s"
+        elif kind != "string" or df.where(text.isNotNull()).isEmpty():
             return df.drop("timestamp")
-        mode = ("ms" if look["top"] > 1e11 else "s") if numeric else "text"
+        else:
+            mode = "text"
     value = text if mode == "text" else epoch_time("timestamp", mode == "ms")
     return df.withColumn("timestamp", value).where("timestamp is not null")
 
@@ -343,7 +342,8 @@ def clean(
         is_summary = True
     df = drop_cancellations(df)
     df = drop_non_positive(df, is_summary)
-    df = drop_missing_keys(df)
+    # the steps above leave no NULL in user, time and amount: repeating the test here would only
+    # evaluate the date parsing once more per row
     if max_rows is not None:
         df = sample_users(df, max_rows)
     if has(df, "amount") and not has(df, "monetary"):
