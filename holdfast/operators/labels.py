@@ -54,9 +54,9 @@ def feature_names(df: DataFrame, domain: str = "generic") -> list[str]:
     return sorted(names)
 
 
-def current_features(tx: DataFrame) -> DataFrame:
+def current_features(tx: DataFrame, act: DataFrame | None = None) -> DataFrame:
     """Scores, engineered features and numeric means of all users as of now."""
-    act = activity(tx)
+    act = activity(tx) if act is None else act
     users = ft.engineered(ft.user_table(tx, act=act), act)
     return hold(_with_means(users, tx))
 

@@ -22,7 +22,7 @@ from holdfast.operators import (
 )
 from holdfast.operators.activity import activity
 from holdfast.functions import fixed, order
-from holdfast.functions.columns import micros
+from holdfast.functions.columns import DAY_US, micros
 from holdfast.session import hold, release, scratch_path, small_table, tune
 from holdfast.sources import files, registry
 from holdfast.sources import fixtures as fx
@@ -272,10 +272,11 @@ def _(d):
 
 @query("join_anti_future")
 def _(d):
-    cut = F.expr("timestamp_micros(as_of_us) - interval 120 days")
-    future = d.tx.join(F.broadcast(d.act.select("as_of_us").limit(1)), F.col("timestamp") > cut)
+    last = order.facts(d.act, t=F.max("as_of_us"))["t"]
+    cut = F.timestamp_micros(F.lit(last - 120 * DAY_US))
+    future = d.tx.where(F.col("timestamp") > cut).select("user_id").distinct()
     past = d.act.where(F.timestamp_micros("first_us") <= cut).select("user_id")
-    return past.join(future.select("user_id").distinct(), "user_id", "left_anti")
+    return past.join(future, "user_id", "left_anti")
 
 
 @query("join_scalar")
@@ -898,7 +899,7 @@ def _now(d) -> DataFrame:
     """Current features with the fitted score and the money metrics."""
 
     def make():
-        scored = learners.score(_model(d), labels.current_features(d.tx))
+        scored = learners.score(_model(d), labels.current_features(d.tx, d.act))
         rated = money.financials(scored, "retail")
         return hold(ft.join_users(rated, reports.lifecycle(d.tx, d.act)))
 

@@ -46,6 +46,7 @@ def analyse(
     shared folder as a columnar table: worth it when `tx` still parses text files.
     """
     tx = cut_lineage(tx, "tx") if stage else tx
+    act = activity(tx)
     spark = tx.sparkSession
     if is_summary or "target_churn" in tx.columns:
         base = features.user_table(tx, is_summary)
@@ -53,12 +54,12 @@ def analyse(
         training = current if "target_churn" in tx.columns else None
         users = features.join_users(base, current.drop("churned"))
     else:
-        users = labels.current_features(tx)
+        users = labels.current_features(tx, act)
         training = labels.temporal_training_set(tx, domain)
     model = learners.train(training, domain, rf, gbt)
     scored = learners.score(model, users) if model else money.heuristic_churn(users)
     rated = money.financials(scored, domain)
-    users = hold(features.join_users(rated, reports.lifecycle(tx, activity(tx))))
+    users = hold(features.join_users(rated, reports.lifecycle(tx, act)))
 
     threshold = model.threshold if model else 0.5
     auc = model.metrics["roc_auc"] if model else 0.5

@@ -19,7 +19,8 @@ def test_entry_runs(spark):
 
 def test_no_python_rows_and_no_pairs_in_core_plans(spark):
     """Core queries stay in the JVM and never pair all rows with all rows."""
-    for name in ("rfm_base", "segment_churn", "lifecycle", "cohort_matrix", "product_risk", "prepare_retail", "roc_auc"):
+    for name in ("rfm_base", "segment_churn", "lifecycle", "cohort_matrix", "product_risk", "prepare_retail", "roc_auc",
+                 "join_anti_future", "whatif_grid", "campaign_roi", "value_counts_segment", "prepare_tax"):
         plan = catalog.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("BatchEvalPython|ArrowEvalPython|CartesianProduct|BroadcastNestedLoopJoin", plan), name
 
