@@ -707,7 +707,7 @@ def _(d):
             F.avg("tds_rate").alias("tds_rate"),
         ),
         0,
-        tds_rate=5,
+        tds_rate=8,
     )
 
 

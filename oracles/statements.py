@@ -370,7 +370,7 @@ ORACLES.update({
         cast(count(*) filter (event_type = 'error') as bigint) failures from events
         where value > 0 and user_id <> 0 group by 1""",
     "prepare_tax": sql("", """select user_id, count(*) n, max(income_diversity) income_diversity, max(section_count) section_count,
-        min(quarters_active) quarters_active, round(sum(tds), 0) tds_amount, round(avg(tds / greatest(amount, 1)), 5) tds_rate
+        min(quarters_active) quarters_active, round(sum(tds), 0) tds_amount, round(avg(tds / greatest(amount, 1)), 8) tds_rate
         from raw join dv using (user_id) where amount > 0 and user_id <> '0' group by user_id""", TAX),
     "prepare_bank_churn": sql("", """select user_id, cast(n as double) frequency, round(bal, 2) amount, round(tm, 2) tenure_months,
         round(tm * 30, 2) recency, exited target_churn, round(salary, 2) estimated_salary,
