@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import exact_dedup, line_dedup, sharding, url_rules
+from holdfast.llm import bpe, exact_dedup, line_dedup, sharding, url_rules
 from holdfast.llm.common import table
 from holdfast.session import tune
 
@@ -27,6 +28,12 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    outputs = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode(table(tune(spark), folder, "documents"), path, outputs=outputs).select("doc_id", *outputs)
+
+
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shards(table(tune(spark), folder, "documents"))
 
@@ -35,5 +42,6 @@ QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_url_filters": op2_url_filters,
     "op4_line_dedup": op4_line_dedup,
+    "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
 }
