@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -22,9 +23,13 @@ _held: list[DataFrame] = []
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings every operator relies on."""
+    """Apply the runtime settings every operator relies on.
+
+    Python workers look for this package where the driver found it, whatever folder they start in.
+    """
     for key, value in _RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     return spark
 
 
