@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bpe, exact_dedup, line_dedup, sharding, url_rules
+from holdfast.llm import bpe, exact_dedup, html_text, language, line_dedup, near_dedup, sharding, url_rules
 from holdfast.llm.common import table
 from holdfast.session import tune
 
@@ -38,10 +38,28 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shards(table(tune(spark), folder, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_components(table(tune(spark), folder, "documents"))
+
+
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(tune(spark), folder, "documents")
+    model = language.learn(docs, public_tokenizers.path("word_bpe_49k.json"))
+    rows = docs.select("doc_id", "text", language.held_out("doc_id").alias("held_out"))
+    return language.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.main_texts(table(tune(spark), folder, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_url_filters": op2_url_filters,
     "op4_line_dedup": op4_line_dedup,
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
+    "op7_near_dedup": op7_near_dedup,
+    "op9_language": op9_language,
+    "op10_html_text": op10_html_text,
 }

@@ -74,8 +74,8 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
             own = np.sort(rolled[a : b - k + 1])
             out.append(own[np.r_[True, own[1:] != own[:-1]]])
         elif b > a:
-            total = (words[a:b] * _PLACES[: b - a]).sum(dtype=np.uint64) + _SHORT[b - a]
-            out.append(_mix(np.array([total], dtype=np.uint64)))
+            total = (words[a:b] * _PLACES[: b - a]).sum(dtype=np.uint64, keepdims=True)
+            out.append(_mix(total + _SHORT[b - a : b - a + 1]))
         else:
             out.append(rolled[:0])
     return out
