@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bpe, exact_dedup, html_text, language, line_dedup, near_dedup, sharding, url_rules
+from holdfast.llm import bpe, exact_dedup, html_text, language, line_dedup, mixing, near_dedup, neighbours, sharding, url_rules
 from holdfast.llm.common import table
 from holdfast.session import tune
 
@@ -23,6 +24,10 @@ def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.url_verdicts(table(tune(spark), folder, "pages"))
 
 
+def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sources(table(tune(spark), folder, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     done = line_dedup.line_bitmaps(table(tune(spark), folder, "documents"), keep_text=True)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -42,6 +47,10 @@ def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_components(table(tune(spark), folder, "documents"))
 
 
+def op8_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(tune(spark), folder, "embeddings"))
+
+
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(tune(spark), folder, "documents")
     model = language.learn(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -53,13 +62,20 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.main_texts(table(tune(spark), folder, "pages"))
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(tune(spark), folder)
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_url_filters": op2_url_filters,
+    "op3_mix_sources": op3_mix_sources,
     "op4_line_dedup": op4_line_dedup,
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
     "op7_near_dedup": op7_near_dedup,
+    "op8_neighbours": op8_neighbours,
     "op9_language": op9_language,
     "op10_html_text": op10_html_text,
+    "pipeline": pipeline,
 }

@@ -51,4 +51,44 @@ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
 from m group by doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1, "op2_url_filters": OP2, "op4_line_dedup": OP4}
+_UNIFORM = "('0x' || substr(md5({0}), 1, 13))::bigint"
+
+OP3 = f"""
+with recursive counts as (
+  select coalesce(source, '') as src, count(*) as n,
+         case coalesce(source, '') when 'src0' then 2.0 when 'src1' then 4.0 when 'src2' then 0.5 when 'src3' then 1.5
+         else 1.0 end::double as weight
+  from documents group by 1, 3),
+rates as (select src, weight / sum(weight) over () * sum(n) over () / n as mean from counts),
+cdf(src, k, p, c, mean) as (
+  select src, 0, exp(-mean), exp(-mean), mean from rates
+  union all select src, k + 1, p * mean / (k + 1), c + p * mean / (k + 1), mean from cdf where k < mean + 12 * sqrt(mean) + 40),
+drawn as (select *, {_UNIFORM.format("'20250301:' || coalesce(doc_id::varchar, '') || ':1'")}::double / 4503599627370496.0 as u
+          from documents),
+counted as (
+  select d.doc_id, d.text, d.lang, d.source, d.n_chars, count(*) as times
+  from drawn d join cdf on cdf.src = coalesce(d.source, '') and cdf.c <= d.u group by all)
+select doc_id, text, lang, source, n_chars, copy,
+       {_UNIFORM.format("'20250301:turn:' || coalesce(doc_id::varchar, '') || ':' || copy")} as mix_key
+from (select *, unnest(generate_series(1, times))::int as copy from counted)
+"""
+
+_VECTORS = """select vec_id, embedding::double[] as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0"""
+
+OP8 = f"""
+with v as ({_VECTORS}),
+pairs as (select q.vec_id as query_id, c.vec_id, list_distance(q.v, c.v) as score
+          from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 100 = 0)
+select query_id, row_number() over (partition by query_id order by score, vec_id)::int as rank, vec_id, score
+from pairs qualify rank <= 10
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_exact_dedup": OP1,
+    "op2_url_filters": OP2,
+    "op3_mix_sources": OP3,
+    "op4_line_dedup": OP4,
+    "op8_neighbours": OP8,
+}
