@@ -321,29 +321,22 @@ SEGMENT_ACTIONS = {
 THRESHOLD_GRID = [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95]
 
 DRIFT_REASONS = {
-    "HIGH DRIFT": "%d of %d features (%s%%) show statistically significant distribution shifts. "
-    "User behavior has materially changed since the model was trained.",
-    "LOW DRIFT": "%d of %d features (%s%%) show minor distribution shifts. "
-    "The model is still reliable but should be monitored closely.",
-    "STABLE": "Only %d of %d features (%s%%) show any shift. "
-    "User behavior remains consistent with training data.",
+    "HIGH DRIFT": "%d of %d columns (%s%%) differ between the two periods. Scores trained on the old period are in doubt.",
+    "LOW DRIFT": "%d of %d columns (%s%%) differ a little between the two periods. Scores can still be used.",
+    "STABLE": "%d of %d columns (%s%%) differ between the two periods. Old and new rows look alike.",
 }
 DRIFT_ACTIONS = {
     "HIGH DRIFT": [
-        "Retrain the model with recent data to capture new behavioral patterns.",
-        "Investigate whether an external event (new competitor, policy change, seasonality) caused the shift.",
-        "Review the top drifted features below — they indicate which behaviors changed the most.",
-        "Consider increasing model retraining frequency (e.g., weekly instead of monthly).",
+        "Train again on recent rows.",
+        "Ask what changed outside the product, such as prices, seasons or rivals.",
+        "Start with the columns that moved most.",
+        "Plan shorter gaps between trainings.",
     ],
     "LOW DRIFT": [
-        "Schedule a model retraining within the next 2-4 weeks.",
-        "Monitor whether the drifted features stabilize or continue diverging.",
-        "No immediate action needed — predictions remain trustworthy.",
-    ],
-    "STABLE": [
-        "No action needed. The model is well-calibrated for current data.",
-        "Continue routine monitoring on the next data refresh.",
+        "Put the next training on the calendar of this month.",
+        "Look at the moved columns again with the next data.",
     ],
+    "STABLE": ["Keep the model and check again with the next data."],
 }
 
 # Event type -> churn change, the middle of the published ranges.
@@ -359,119 +352,119 @@ IDENTIFIER_PARTS = ["pan", "tan", "id", "ts", "cluster", "rank", "score", "month
 CURRENCY_PARTS = ["monetary", "velocity", "amount", "spend", "value", "balance"]
 HYPOTHESIS_TEXT = {
     ("recency", "tax"): (
-        "The {f} Hypothesis",
-        "Delay in {fl} correlates strongly with attrition. Reducing average turnaround from {a} days to below {b} days could improve compliance retention by {lift}%.",
-        "A/B Test: Automated document collection & VIP reminders triggered at Day {b}.",
-        "Target: {b}d (-20%)",
+        "Shorter waits: {f}",
+        "Filers who leave show {a} days of {fl}. Bringing it under {b} days should win back about {lift}% of them.",
+        "Split test: collect documents by a reminder on day {b} for one half.",
+        "Goal: {b} days (a fifth less)",
         "Critical",
     ),
     ("recency", "upi"): (
-        "The {f} Hypothesis",
-        "By reducing {fl} from {a} days to below {b} days, we can potentially lower churn risk by {lift}%.",
-        "A/B Test: Cashback nudge triggered at Day {b} of inactivity.",
-        "Target: {b}d (-20%)",
+        "Sooner return: {f}",
+        "Payers who leave show {a} days of {fl}. A return before day {b} should lower churn by about {lift}%.",
+        "Split test: offer a small reward on day {b} to one half.",
+        "Goal: {b} days (a fifth less)",
         "Critical",
     ),
     ("recency", ""): (
-        "The {f} Hypothesis",
-        "By reducing the {fl} from {a} days to below {b} days, we can potentially lower churn risk by {lift}%.",
-        "A/B Test: Automated nudge triggered at Day {b} vs Control.",
-        "Target: {b}d (-20%)",
+        "Sooner return: {f}",
+        "Customers who leave show {a} days of {fl}. A return before day {b} should lower churn by about {lift}%.",
+        "Split test: send a message on day {b} to one half.",
+        "Goal: {b} days (a fifth less)",
         "Critical",
     ),
     ("frequency", "tax"): (
-        "The {f} Hypothesis",
-        "Entities reaching {b} {fl} exhibit high compliance stability. Streamlining submissions for this bracket could yield a ~{lift}% retention lift.",
-        "A/B Test: Priority processing lanes for entities reaching {b} {fl}.",
-        "Target: {b} (+25%)",
+        "More filings: {f}",
+        "Filers with {b} of {fl} rarely leave. Easier filing up to that point should keep about {lift}% more.",
+        "Split test: serve filers near {b} of {fl} first in one half.",
+        "Goal: {b} (a quarter more)",
         "High",
     ),
     ("frequency", "upi"): (
-        "The {f} Hypothesis",
-        "Users reaching {b} {fl} show improved retention rates in our cohort models. Incentivizing this milestone could yield a ~{lift}% retention lift.",
-        'A/B Test: "Loyalty Milestone" rewards for users reaching {b} {fl}.',
-        "Target: {b} (+25%)",
+        "More payments: {f}",
+        "Payers with {b} of {fl} rarely leave. Rewarding that count should keep about {lift}% more.",
+        "Split test: promise a reward at {b} of {fl} to one half.",
+        "Goal: {b} (a quarter more)",
         "High",
     ),
     ("frequency", ""): (
-        "The {f} Hypothesis",
-        "Users reaching {b} {fl} show improved retention rates. Incentivizing this milestone could yield a ~{lift}% retention lift.",
-        "A/B Test: Gamified milestones for users reaching {b} {fl}.",
-        "Target: {b} (+25%)",
+        "More orders: {f}",
+        "Customers with {b} of {fl} rarely leave. Rewarding that count should keep about {lift}% more.",
+        "Split test: show a progress bar towards {b} of {fl} to one half.",
+        "Goal: {b} (a quarter more)",
         "High",
     ),
     ("monetary", "tax"): (
-        "The {f} Hypothesis",
-        "A variance in {fl} exists ({a} vs {b}). Offering specialized advisory or premium tax planning for the {a} bracket could stabilize the relationship by ~{lift}%.",
-        "A/B Test: Proactive tax-advisory consultation vs Control.",
-        "Target: {b}",
+        "Deeper relation: {f}",
+        "{f} is {a} among filers who leave, against a goal of {b}. Advice for them should keep about {lift}% more.",
+        "Split test: call half of the filers near {a} with an offer of advice.",
+        "Goal: {b}",
         "Medium",
     ),
     ("monetary", ""): (
-        "The {f} Hypothesis",
-        "Increasing {fl} from {a} to {b} could stabilize high-risk accounts and improve retention by ~{lift}%.",
-        "A/B Test: Targeted cross-sell incentives for users in the {a} bracket.",
-        "Target: {b}",
+        "Deeper relation: {f}",
+        "Raising {fl} from {a} to {b} should keep about {lift}% more of the accounts at risk.",
+        "Split test: offer a second product to half of the customers near {a}.",
+        "Goal: {b}",
         "Medium",
     ),
 }
 # Feature part -> title, hypothesis, test; {a} churn-side mean, {b} retained mean, ints as {ai} {bi}.
 GAP_TEXT = {
     "section_count": (
-        "The Section Diversity Strategy",
-        "Entities with fewer active tax filing sections ({a:.1f} vs {b:.1f}) show a higher risk of churning. Expanding services to include at least {bi} sections could lower churn risk by {lift}%.",
-        "A/B Test: Proactive cross-selling of additional tax filing sections.",
+        "More sections",
+        "Filers who leave use {a:.1f} sections, those who stay {b:.1f}. Service for {bi} sections or more should lower churn by {lift}%.",
+        "Split test: propose one more section to one half.",
     ),
     "tds_rate": (
-        "The TDS Optimization Hypothesis",
-        "Higher average TDS rates ({a:.2f}% vs {b:.2f}%) strongly correlate with higher user churn. Implementing TDS reconciliation tools could improve compliance retention by {lift}%.",
-        "A/B Test: Automatic TDS mismatch detection & reconciliation alerts.",
+        "Deductions in order",
+        "The mean deduction is {a:.2f}% among those who leave and {b:.2f}% among those who stay. Help with matching it should lower churn by {lift}%.",
+        "Split test: warn one half about deductions that do not match.",
     ),
     "income_diversity": (
-        "The Income Source Diversity Hypothesis",
-        "Low income source diversity ({a:.1f} vs {b:.1f}) is a leading indicator of churn. Providing tools to manage diversified income streams could increase retention by {lift}%.",
-        "A/B Test: Specialized business tools for multi-source income earners.",
+        "More kinds of income",
+        "Those who leave report {a:.1f} kinds of income, those who stay {b:.1f}. Help with several kinds should lower churn by {lift}%.",
+        "Split test: open the tools for several incomes to one half.",
     ),
     "age": (
-        "The Demographic Alignment Hypothesis",
-        "A significant age gap exists ({bi} vs {ai}). Tailoring product UI and communication for the {bi}-year-old cohort could yield a {lift}% retention lift.",
-        "A/B Test: Age-specific UI themes and support channels.",
+        "Age groups",
+        "Those who stay are {bi} years old on average, those who leave {ai}. A design for each group should keep {lift}% more.",
+        "Split test: show one half the design of its age group.",
     ),
     "credit": (
-        "The Financial Risk Hypothesis",
-        "Users with {bi} credit scores show much higher stability. Offering credit-building tools to the churn-prone bracket ({ai}) could improve retention by {lift}%.",
-        "A/B Test: Credit-builder micro-product vs Control.",
+        "Credit standing",
+        "A credit score near {bi} goes with staying, one near {ai} with leaving. Help with raising it should keep {lift}% more.",
+        "Split test: offer one half a plan to raise the score.",
     ),
     "salary": (
-        "The Purchasing Power Hypothesis",
-        "Lower income brackets are showing higher churn sensitivity. Dynamic pricing or monthly installment options could stabilize these accounts and yield a {lift}% lift.",
-        "A/B Test: Flexible payment plans for at-risk income tiers.",
+        "Means to pay",
+        "Customers with less income leave more often. Payment in parts should keep {lift}% more.",
+        "Split test: let one half pay in parts.",
     ),
     "income": (
-        "The Purchasing Power Hypothesis",
-        "Lower income brackets are showing higher churn sensitivity. Dynamic pricing or monthly installment options could stabilize these accounts and yield a {lift}% lift.",
-        "A/B Test: Flexible payment plans for at-risk income tiers.",
+        "Means to pay",
+        "Customers with less income leave more often. Payment in parts should keep {lift}% more.",
+        "Split test: let one half pay in parts.",
     ),
     "": (
-        "The {f} Strategic Pivot",
-        "A critical gap in {f} exists between loyal and churned users ({b:.1f} vs {a:.1f}). Targeting this gap could yield a {lift}% retention lift.",
-        "A/B Test: Customized engagement based on {f} cohorts.",
+        "Close the gap: {f}",
+        "{f} is {b:.1f} among those who stay and {a:.1f} among those who leave. Closing the gap should keep {lift}% more.",
+        "Split test: address one half by its {f}.",
     ),
 }
 ONE_SIDED_HYPOTHESIS = (
-    "The Engagement Hypothesis",
-    "With an average churn risk of {churn:.1f}%, proactive re-engagement for the bottom quartile could improve overall retention.",
-    "A/B Test: Personalized retention nudges vs control group.",
+    "Ask the quiet quarter",
+    "The mean churn risk is {churn:.1f}%. Contacting the least active quarter should keep more customers.",
+    "Split test: write to half of that quarter.",
     "Engagement",
-    "Avg Churn: {churn:.1f}%",
+    "Mean churn: {churn:.1f}%",
     "Medium",
 )
 DEFAULT_HYPOTHESIS = (
-    "The Behavioral Engagement Hypothesis",
-    "Targeted re-engagement based on historical activity patterns could improve overall retention by 5-10%.",
-    "A/B Test: Personalized retention sequence vs Control.",
+    "Ask the quiet ones",
+    "Contact that follows past activity should keep five to ten percent more customers.",
+    "Split test: a series of messages to one half.",
     "Behavioral",
-    "ML Importance > 0.15",
+    "Importance above 0.15",
     "Medium",
     7.5,
 )
@@ -486,16 +479,8 @@ FEATURE_DISPLAY = {
     "section_count": "Tax Section Diversity",
 }
 MODEL_LIMITATION_NOTE = (
-    "The ML model shows no predicted churn reduction for this intervention. "
-    "This can happen when the feature has low model importance "
-    "(the model relies more on other features), or when the change magnitude "
-    "is too small to cross a decision boundary in the tree-based model."
-)
-ROI_GOOD = (
-    "This intervention is profitable. Saving %s%% of users in this segment recovers ₹%s in LTV, "
-    "which easily covers the campaign cost of ₹%s."
-)
-ROI_BAD = (
-    "This intervention is not profitable. The campaign cost of ₹%s is higher than the ₹%s we expect "
-    "to save in customer LTV. We should reduce costs or target higher-value users."
+    "The scores do not fall under this change. The model may hardly look at the column, or the step may be too "
+    "small to cross a split of its trees."
 )
+ROI_GOOD = "Worth doing: keeping %s%% of the segment brings ₹%s of lifetime value for ₹%s of cost."
+ROI_BAD = "Not worth doing: it costs ₹%s and brings ₹%s of lifetime value. Lower the cost or choose customers of higher value."

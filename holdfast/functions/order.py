@@ -1,14 +1,16 @@
 """Ordering at user scale: prefix sums, exact quantiles, positions and tie-averaged ranks.
 
-Nothing here sorts a whole table in one task. A table is laid out in range partitions, each
-partition is numbered or summed on its own, and the partition totals (one row per partition) are
-broadcast back as offsets. Equal values are counted before they are shuffled, so a value that a
-third of the rows share is one row of the layout.
+Nothing here sorts a whole table in one task. Rows are dealt to buckets that follow the order; the
+bucket of a row is a comparison of its keys with cut keys that stand in the plan as literals. So a
+recomputed task deals its rows exactly as before, and sums of buckets and sums inside a bucket always
+speak of the same rows. Equal values are counted before they are shuffled, so a value that a third of
+the rows share is one row of the layout.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -16,10 +18,12 @@ from pyspark.sql import Window as W
 
 from holdfast.session import hold, shuffle_width
 
-SMALL_ROWS_KEY = "spark.holdfast.smallRows"
-SMALL_ROWS_DEFAULT = 200_000
-
-_LOCAL_BITS = 33  # monotonically_increasing_id: partition id above, row number below
+#: Rows that one bucket should hold, buckets that a table has at most, and rows sampled per cut.
+BUCKET_ROWS = 200_000
+MOST_BUCKETS = 512
+SAMPLED_PER_CUT = 40
+#: A lookup of so many rows at most is broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def facts(df: DataFrame, **columns: Column) -> Row:
@@ -30,10 +34,41 @@ def facts(df: DataFrame, **columns: Column) -> Row:
     return df.agg(*[c.alias(n) for n, c in columns.items()]).first()
 
 
-def is_small(df: DataFrame) -> bool:
-    """Counted size check: such a table may be ordered by one task. Callers hold `df` first."""
-    limit = int(df.sparkSession.conf.get(SMALL_ROWS_KEY, str(SMALL_ROWS_DEFAULT)))
-    return limit > 0 and df.count() <= limit
+def fits_broadcast(df: DataFrame) -> bool:
+    """Counted size check of a lookup. Callers hold `df` first."""
+    return df.count() <= BROADCAST_ROWS
+
+
+def _place(value):
+    """Sort key of a Python value in Spark's order: null, numbers, NaN."""
+    if value is None:
+        return (0, 0)
+    if isinstance(value, float) and math.isnan(value):
+        return (2, 0)
+    return (1, value)
+
+
+def bucket_of(df: DataFrame, keys: Sequence[str]) -> Column:
+    """Bucket of a row in the order of `keys`: how many cut keys lie below its own.
+
+    The cuts are taken from rows whose digest is small, a bounded number per cut, sorted on the
+    driver. They only decide how even the buckets are; every row lies in exactly one of them.
+    """
+    n = df.count()
+    wanted = min(MOST_BUCKETS, -(-n // BUCKET_ROWS))
+    if wanted <= 1:
+        return F.lit(0)
+    share = min(1.0, 2 * SAMPLED_PER_CUT * wanted / n)
+    turn = F.pmod(F.xxhash64(*keys, F.lit(3)), F.lit(1 << 20))
+    seen = df.where(turn < math.ceil(share * (1 << 20))).select(*keys).limit(8 * SAMPLED_PER_CUT * wanted).collect()
+    seen = sorted(seen, key=lambda r: [_place(v) for v in r])
+    kinds = [df.schema[k].dataType for k in keys]
+    cuts = list(dict.fromkeys(tuple(seen[len(seen) * i // wanted]) for i in range(1, wanted))) if seen else []
+    if not cuts:
+        return F.lit(0)
+    rows = [F.struct(*[F.lit(v).cast(t).alias(k) for v, t, k in zip(cut, kinds, keys)]) for cut in cuts]
+    own = F.struct(*[F.col(k) for k in keys])
+    return F.size(F.filter(F.array(*rows), lambda c: c < own))
 
 
 def running_totals(
@@ -41,17 +76,12 @@ def running_totals(
 ) -> DataFrame:
     """Add `cum_<s>` (inclusive running sum by `order`) and `tot_<s>` per `by` group.
 
-    `hist` has one row per (by, order). The offsets table has at most one row per partition plus
-    one per group, which is what makes its broadcast safe.
+    `hist` has one row per (by, order). The offsets table has at most one row per bucket plus one
+    per group, which is what makes its broadcast safe.
     """
     by = list(by)
     hist = hold(hist)
-    if is_small(hist):
-        return small_running_totals(hist, order, sums, by)
-    width = shuffle_width(hist.sparkSession)
-    laid = hold(
-        hist.repartitionByRange(width, *by, order).withColumn("_part", F.spark_partition_id())
-    )
+    laid = hist.withColumn("_part", bucket_of(hist, [*by, order]))
     pieces = laid.groupBy("_part", *by).agg(*[F.sum(s).alias(s) for s in sums])
     group = W.partitionBy(*by) if by else W.partitionBy()
     before = group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
@@ -71,10 +101,10 @@ def running_totals(
     )
 
 
-def small_running_totals(
+def calendar_totals(
     hist: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Same columns through one window, for value sets of a checked or calendar-bounded size."""
+    """The columns of `running_totals` through one window, for at most one row per calendar day."""
     group = W.partitionBy(*by)
     upto = group.orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     return hist.select(
@@ -113,14 +143,7 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
-    """feature -> quantiles, one short row per column fetched. NULL-only columns are absent.
-
-    `df` should be held: it is counted before the way is chosen.
-    """
-    if is_small(df):
-        spots = ", ".join(repr(float(p)) for p in probs)
-        row = facts(df, **{c: F.expr(f"percentile({c}, array({spots}))") for c in cols})
-        return {c: list(row[c]) for c in cols if row[c] is not None}
+    """feature -> quantiles, one short row per column fetched. NULL-only columns are absent."""
     return {r["feature"]: list(r["q"]) for r in quantile_table(df, cols, probs).collect()}
 
 
@@ -132,43 +155,21 @@ def positions(df: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> Dat
     """Add `_pos` (0-based position by `keys` within each `by` group) and `_size` of the group.
 
     `keys` should end in a unique column: that also splits a run of equal leading values over
-    partitions.
+    buckets.
     """
     by = list(by)
-    order = [*by, *keys]
     df = hold(df)
-    if is_small(df):
-        group = W.partitionBy(*by)
-        return df.withColumns(
-            {
-                "_pos": (F.row_number().over(group.orderBy(*keys)) - 1).cast("bigint"),
-                "_size": F.count(F.lit(1)).over(group),
-            }
-        )
-    width = shuffle_width(df.sparkSession)
-    laid = hold(
-        df.repartitionByRange(width, *order)
-        .sortWithinPartitions(*order)
-        .withColumn("_mid", F.monotonically_increasing_id())
-    )
-    part = F.shiftright("_mid", _LOCAL_BITS).alias("_part")
-    sizes = laid.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
-    before = W.partitionBy().orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_off"))
-    numbered = (
-        laid.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn("_at", F.col("_off") + F.col("_mid").bitwiseAND((1 << _LOCAL_BITS) - 1))
-        .drop("_part", "_off", "_mid")
+    laid = df.withColumn("_part", bucket_of(df, [*by, *keys]))
+    sizes = laid.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n"))
+    group = W.partitionBy(*by)
+    before = group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(
+        "_part", *by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), F.sum("_n").over(group).alias("_size")
     )
-    if by:
-        groups = numbered.groupBy(*by).agg(
-            F.min("_at").alias("_start"), F.count(F.lit(1)).alias("_size")
-        )
-        numbered = numbered.join(F.broadcast(groups), by)
-    else:
-        numbered = numbered.withColumns({"_start": F.lit(0), "_size": F.lit(laid.count())})
-    return numbered.withColumn("_pos", F.col("_at") - F.col("_start")).drop("_at", "_start")
+    inside = F.row_number().over(W.partitionBy("_part", *by).orderBy(*keys)).cast("bigint")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ["_part", *by]]
+    joined = laid.withColumn("_row", inside).alias("l").join(F.broadcast(offsets.alias("r")), same)
+    return joined.select(*[f"l.{c}" for c in df.columns], (F.col("_row") - 1 + F.col("_off")).alias("_pos"), "_size")
 
 
 def global_rank(df: DataFrame, keys: Sequence[str], name: str = "rank") -> DataFrame:
@@ -189,15 +190,17 @@ def value_ranks(df: DataFrame, col: str) -> DataFrame:
 
 
 def salted_lookup(
-    df: DataFrame, lookup: DataFrame, key: str, weight: str, spread: str, how: str = "inner"
+    df: DataFrame, lookup: DataFrame, key: str, weight: str, spread: str | Sequence[str], how: str = "inner"
 ) -> DataFrame:
     """Join `lookup` (one row per key, `weight` = rows that hold the key) without a hot partition.
 
-    A lookup of a checked small size is broadcast. Beyond it a key with more than 1/width of all
+    A lookup of a counted size is broadcast. Beyond it a key with more than 1/width of all
     rows is dealt over several salts: there are fewer than `width` such keys, so the list of them is
-    broadcast, and their lookup rows are copied per salt. Callers hold `lookup`.
+    broadcast, and their lookup rows are copied per salt. The salt is a digest of the `spread`
+    columns, so rows that agree in one of them still part. Callers hold `lookup`.
     """
-    if is_small(lookup):
+    spread = [spread] if isinstance(spread, str) else list(spread)
+    if fits_broadcast(lookup):
         return df.join(F.broadcast(lookup.drop(weight)), key, how)
     width = shuffle_width(df.sparkSession)
     total = facts(lookup, total=F.sum(weight))["total"] or 1
@@ -206,7 +209,7 @@ def salted_lookup(
     sized = lookup.withColumn("_ways", ways)
     hot = sized.where("_ways > 1").select(key, "_ways")
     dealt = df.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(spread), F.coalesce("_ways", F.lit(1)).cast("bigint")).cast("int")
+        "_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spread]), F.coalesce("_ways", F.lit(1)).cast("bigint")).cast("int")
     )
     copies = sized.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_ways") - 1)))
     joined = dealt.drop("_ways").join(copies.drop("_ways", weight), [key, "_salt"], how)
@@ -214,15 +217,15 @@ def salted_lookup(
 
 
 def pct_rank(df: DataFrame, col: str, name: str, spread: str = "user_id") -> DataFrame:
-    """Average-tie percentile rank (rank / n) of a continuous column."""
+    """Average-tie percentile rank (rank / n) of a continuous column; null values have no rank."""
     ranks = value_ranks(df, col).withColumn(name, F.col("avg_rank") / F.col("total"))
-    return salted_lookup(df, hold(ranks.select(col, "n", name)), col, "n", spread)
+    return salted_lookup(df, hold(ranks.select(col, "n", name)), col, "n", spread, how="left")
 
 
 def pct_rank_days(df: DataFrame, col: str, name: str) -> DataFrame:
     """`pct_rank` for whole-day columns: one lookup row per calendar day, so it is broadcast."""
     hist = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    ranks = small_running_totals(hist, col, ["n"]).select(
+    ranks = calendar_totals(hist, col, ["n"]).select(
         col, ((F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2) / F.col("tot_n")).alias(name)
     )
     return df.join(F.broadcast(ranks), col, "left")
@@ -247,6 +250,39 @@ def dealt_order(key: str = "user_id", seed: int = 42) -> Column:
     return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
 
 
+#: Leading hexadecimal digits of a digest by which users are counted before any are sorted.
+PREFIX_DIGITS = 3
+
+
+def _digests_at(users: DataFrame, wanted: Callable[[int], list[int]], groups: list[str], digest: Column) -> dict:
+    """(group, position) -> digest, for the asked positions of every group in the dealt order.
+
+    `wanted` gives the positions from the size of a group. One aggregate counts digests by their first
+    digits (4096 counts per group), a second look sorts only those with the digits in question.
+    """
+    dealt = users.select(*groups, digest.alias("_d")).withColumn("_p", F.substring("_d", 1, PREFIX_DIGITS))
+    counts: dict = {}
+    for r in dealt.groupBy(*groups, "_p").count().orderBy("_p").collect():
+        counts.setdefault(r[groups[0]] if groups else None, []).append((r["_p"], r["count"]))
+    asked: dict = {}
+    for key, parts in counts.items():
+        for at in wanted(sum(n for _, n in parts)):
+            before = 0
+            for prefix, n in parts:
+                if before <= at < before + n:
+                    asked[key, at] = (prefix, at - before)
+                    break
+                before += n
+    sizes = {key: sum(n for _, n in parts) for key, parts in counts.items()}
+    if not asked:
+        return {"sizes": sizes}
+    place = F.row_number().over(W.partitionBy(*groups, "_p").orderBy("_d")) - 1
+    near = dealt.where(F.col("_p").isin(sorted({p for p, _ in asked.values()}))).withColumn("_at", place)
+    near = near.where(F.col("_at").isin(sorted({i for _, i in asked.values()}))).collect()
+    found = {(r[groups[0]] if groups else None, r["_p"], r["_at"]): r["_d"] for r in near}
+    return {"sizes": sizes} | {(key, at): found[key, *spot] for (key, at), spot in asked.items()}
+
+
 def draw(users: DataFrame, size: int, seed: int = 42) -> str | None:
     """Digest of the last of `size` users drawn without replacement; None when all are drawn.
 
@@ -254,9 +290,7 @@ def draw(users: DataFrame, size: int, seed: int = 42) -> str | None:
     """
     if size < 1:
         return ""
-    dealt = positions(users.select(dealt_order("user_id", seed).alias("_d")), ["_d"])
-    last = dealt.where(F.col("_pos") == size - 1).agg(F.max("_d").alias("d")).first()["d"]
-    return last
+    return _digests_at(users, lambda n: [size - 1], [], dealt_order("user_id", seed)).get((None, size - 1))
 
 
 def dealt_cuts(
@@ -268,22 +302,13 @@ def dealt_cuts(
     empty one. A handful of rows reach the driver, and the parts are told by comparing digests, so
     nothing has to be joined back to the users.
     """
-    groups = [by] if by else []
-    dealt = positions(users.select(*groups, dealt_order("user_id", seed).alias("_d")), ["_d"], by=groups)
-
-    def upto(share: tuple[int, int], size: str = "_size") -> str:
-        # rows whose position p satisfies p * denominator < size * numerator
-        return f"(({size} * {share[0]} + {share[1]} - 1) div {share[1]})"
-
-    wanted = " or ".join(f"_pos = {upto(e)} - 1" for e in ends)
-    cuts: dict = {}
-    for r in dealt.where(wanted).collect():
-        key, size = (r[by] if by else None), r["_size"]
-        mine = cuts.setdefault(key, [""] * len(ends))
-        for i, (top, bottom) in enumerate(ends):
-            if r["_pos"] == -(-size * top // bottom) - 1:
-                mine[i] = r["_d"]
-    return cuts
+
+    def last(size: int) -> list[int]:
+        # the last position p with p * denominator < size * numerator
+        return [-(-size * top // bottom) - 1 for top, bottom in ends]
+
+    found = _digests_at(users, last, [by] if by else [], dealt_order("user_id", seed))
+    return {key: [found.get((key, at), "") for at in last(size)] for key, size in found["sizes"].items()}
 
 
 def dealt_part(cuts: dict, names: Sequence, by: str | None = None, seed: int = 42) -> Column:

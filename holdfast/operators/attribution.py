@@ -22,7 +22,6 @@ from pyspark.sql import Window as W
 
 from holdfast.functions.columns import fixed_digits, title_name
 from holdfast.functions.fixed import DOMAIN_DRIVER_LABELS, DRIVER_LABELS
-from holdfast.functions.order import dealt_order
 from holdfast.operators.learners import ChurnModel
 from holdfast.session import scratch_path, small_table
 
@@ -171,10 +170,8 @@ def summarise(rows: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def shap_summary(model: ChurnModel, users: DataFrame, n: int | None = None) -> DataFrame:
-    """Mean absolute attribution and direction per feature, over all users or a draw of `n`."""
-    if n is not None:
-        users = users.orderBy(dealt_order(), "user_id").limit(n)
+def shap_summary(model: ChurnModel, users: DataFrame) -> DataFrame:
+    """Mean absolute attribution and direction per feature, over all users."""
     rows = summarise(attribution_rows(model, users))
     return rows.select("feature", "importance", _direction(F.col("_sign")).alias("direction"))
 

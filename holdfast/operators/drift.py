@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from holdfast.functions.columns import numeric_columns, title_name
 from holdfast.functions.fixed import DRIFT_ACTIONS, DRIFT_REASONS
-from holdfast.functions.order import dealt_order, long_form, running_totals
+from holdfast.functions.order import long_form, running_totals
 from holdfast.session import hold
 
 ALPHA = 0.05
@@ -78,20 +78,22 @@ def temporal_drift(tx: DataFrame, cutoff_us: int) -> DataFrame:
 
 # ---- A6 ------------------------------------------------------------------------------------------
 
-def baseline_of(users: DataFrame, cols: Sequence[str], n: int = 2000, seed: int = 42) -> DataFrame:
-    """(feature, value, mean, std) of a bounded deterministic sample of users."""
-    drawn = users.orderBy(dealt_order("user_id", seed), "user_id").limit(n)
-    rows = hold(long_form(drawn, cols).withColumn("value", F.round("value", 6)))
-    moments = rows.groupBy("feature").agg(
-        F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std")
+def baseline_of(users: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(feature, value, n, mean, std): how often each value occurs among all users, at six decimals."""
+    values = long_form(users, cols).withColumn("value", F.round("value", 6))
+    rows = hold(values.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
+    mean = F.sum(F.col("value") * F.col("n")) / F.sum("n")
+    means = rows.groupBy("feature").agg(mean.alias("_m"))
+    spread = F.sqrt(F.sum(F.col("n") * F.pow(F.col("value") - F.col("_m"), 2)) / F.sum("n"))
+    # one row per feature
+    moments = rows.join(F.broadcast(means), "feature").groupBy("feature").agg(
+        F.round(F.max("_m"), 6).alias("mean"), F.round(spread, 6).alias("std")
     )
     return rows.join(F.broadcast(moments), "feature")
 
 
-def save_baseline(
-    users: DataFrame, cols: Sequence[str], path: str, n: int = 2000, seed: int = 42
-) -> None:
-    baseline_of(users, cols, n, seed).write.mode("overwrite").parquet(path)
+def save_baseline(users: DataFrame, cols: Sequence[str], path: str) -> None:
+    baseline_of(users, cols).write.mode("overwrite").parquet(path)
 
 
 def load_baseline(spark: SparkSession, path: str) -> DataFrame | None:
@@ -109,7 +111,7 @@ def baseline_drift(users: DataFrame, baseline: DataFrame | None, cols: Sequence[
     if baseline is None:
         return None
     current = long_form(users, cols).withColumns({"in_a": F.lit(1), "in_b": F.lit(0)})
-    saved = baseline.select("feature", "value").withColumns({"in_a": F.lit(0), "in_b": F.lit(1)})
+    saved = baseline.select("feature", "value", F.lit(0).alias("in_a"), F.col("n").alias("in_b"))
     return flag_drift(ks_long(current.unionByName(saved)), len(cols))
 
 

@@ -6,7 +6,8 @@ the units of epoch times and tenures need a one-row aggregate over the data.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 from pyspark.sql import Column, DataFrame
@@ -17,15 +18,23 @@ from holdfast.functions.columns import micros, whole_days
 from holdfast.functions.order import dealt_order, draw, facts, salted_lookup
 from holdfast.session import hold
 
-# tried for texts with a slash, and for texts with a dash that are not year-first
-SLASH_FORMATS = [
-    "MM/dd/yyyy HH:mm",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy",
-    "yyyy/MM/dd HH:mm:ss",
-    "yyyy/MM/dd",
-]
-DASH_FORMATS = ["dd-MM-yyyy HH:mm:ss", "dd-MM-yyyy HH:mm", "dd-MM-yyyy"]
+_CLOCK = r"(?:[\sT,]+(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d+)?))?\s*([AaPp])?\.?[Mm]?\.?)?\s*$"
+#: Shapes of dates that the cast does not read, as groups: two numbers and a year, a day and a month
+#: name, a month name and a day, digits without separators; each with an optional clock time.
+NUMBERS_FIRST = r"^\s*(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})" + _CLOCK
+DAY_NAME = r"^\s*(?:[A-Za-z]{3,9},?\s+)?(\d{1,2})(?:st|nd|rd|th)?[\s-]+([A-Za-z]{3})[A-Za-z]*\.?[\s,-]+(\d{4}|\d{2})" + _CLOCK
+NAME_DAY = r"^\s*(?:[A-Za-z]{3,9},\s+)?([A-Za-z]{3})[A-Za-z]*\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})" + _CLOCK
+COMPACT = r"^\s*((?:19|20)\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(?:[T ]?([01]\d|2[0-3])([0-5]\d)([0-5]\d)?)?()\s*$"
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+
+
+@dataclass(frozen=True)
+class TimeLook:
+    """How a raw time column is written: text, seconds, milliseconds or nothing readable; and whether
+    two leading numbers are day and month (None: month first with slashes, day first otherwise)."""
+
+    mode: str
+    day_first: bool | None = None
 
 
 def q(name: str) -> Column:
@@ -189,20 +198,57 @@ def clean_user_id(df: DataFrame) -> DataFrame:
     return df.where((F.length("user_id") > 0) & ~F.col("user_id").isin(fixed.BLANK_USER_IDS))
 
 
-def text_time(name: str) -> Column:
+def _instant(text: Column, pattern: str, build: Callable[[Column], tuple]) -> Column:
+    """Instant of a text of the shape; the groups are cut out once."""
+    groups = F.split(F.regexp_replace(text, F.lit(pattern), F.lit("$1 $2 $3 $4 $5 $6 $7")), " ")
+
+    def make(p: Column) -> Column:
+        year, month, day = (x.try_cast("int") for x in build(p))
+        short = F.when(year < 69, year + 2000).when(year < 100, year + 1900).otherwise(year)
+        hour = F.coalesce(F.get(p, 3).try_cast("int"), F.lit(0))
+        half = F.lower(F.coalesce(F.get(p, 6), F.lit("")))
+        hour = F.when(half == "p", hour % 12 + 12).when(half == "a", hour % 12).otherwise(hour)
+        minute = F.coalesce(F.get(p, 4).try_cast("int"), F.lit(0))
+        second = F.coalesce(F.get(p, 5).try_cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)"))
+        return F.try_make_timestamp(short, month, day, hour, minute, second)
+
+    return F.when(F.rlike(text, F.lit(pattern)), F.transform(F.array(groups), make)[0])
+
+
+def _month(name: Column) -> Column:
+    at = F.instr(F.lit(MONTHS), F.lower(name))
+    return F.when(at % 3 == 1, (at + 2) / 3)
+
+
+def text_time(name: str, day_first: bool | None = None) -> Column:
     """Instant of a date text, NULL when it is none.
 
-    Year-first texts go through the cast, which is much cheaper than a pattern; patterns are tried
-    only on texts of their shape because each failing one costs an exception.
+    Year-first texts go through the cast, which is much cheaper than a pattern; other shapes are
+    tried only on texts that can have them. A number above 12 is a day wherever it stands.
     """
     text = q(name)
 
-    def first(formats: Sequence[str]) -> Column:
-        return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    def numbers(p: Column) -> tuple:
+        a, b = F.get(p, 0).try_cast("int"), F.get(p, 1).try_cast("int")
+        default = ~F.contains(text, F.lit("/")) if day_first is None else F.lit(day_first)
+        first = F.when(a > 12, F.lit(True)).when(b > 12, F.lit(False)).otherwise(default)
+        return F.get(p, 2), F.when(first, b).otherwise(a), F.when(first, a).otherwise(b)
 
-    dashed = F.coalesce(text.try_cast("timestamp"), first(DASH_FORMATS))
-    return F.when(F.contains(text, F.lit("/")), first(SLASH_FORMATS)).when(
-        F.contains(text, F.lit("-")), F.when(F.rlike(text, F.lit(r"\d")), dashed)
+    spelt = F.coalesce(
+        _instant(text, DAY_NAME, lambda p: (F.get(p, 2), _month(F.get(p, 1)), F.get(p, 0))),
+        _instant(text, NAME_DAY, lambda p: (F.get(p, 2), _month(F.get(p, 0)), F.get(p, 1))),
+    )
+    compact = _instant(text, COMPACT, lambda p: (F.get(p, 0), F.get(p, 1), F.get(p, 2)))
+    counted = _instant(text, NUMBERS_FIRST, numbers)
+    yearly = F.regexp_replace(text, F.lit(r"^\s*(\d{4})[/.](\d{1,2})[/.](\d{1,2})"), F.lit("$1-$2-$3")).try_cast("timestamp")
+    lettered = F.rlike(text, F.lit("[A-Za-z]{3}"))
+    dashed = F.when(F.rlike(text, F.lit(r"\d")), F.coalesce(text.try_cast("timestamp"), counted, spelt))
+    dotted = F.rlike(text, F.lit(r"^\s*\d+\.\d+\.\d"))
+    return (
+        F.when(F.contains(text, F.lit("/")) | dotted, F.coalesce(F.when(F.rlike(text, F.lit(r"^\s*\d{4}")), yearly), counted))
+        .when(F.contains(text, F.lit("-")), dashed)
+        .when(lettered, F.coalesce(spelt, compact))
+        .otherwise(compact)
     )
 
 
@@ -216,34 +262,67 @@ def epoch_time(name: str, milliseconds: bool) -> Column:
     return F.timestamp_micros((plain_number(name) * F.lit(scale)).cast("bigint"))
 
 
-def parse_timestamp(df: DataFrame, mode: str = "auto") -> DataFrame:
+def look_at_time(df: DataFrame, name: str = "timestamp") -> TimeLook:
+    """How the column is written, from one aggregate over it alone.
+
+    Numbers are epoch seconds, or milliseconds when the largest exceeds 1e11, unless most of them are
+    dates without separators. A column that is mostly numbers is read as numbers.
+    """
+    kind = type_of(df, name)
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return TimeLook("typed")
+    text, plain = q(name).cast("string"), plain_number(name)
+    numbered = F.rlike(text, F.lit(NUMBERS_FIRST))
+    part = lambda i: F.regexp_extract(text, NUMBERS_FIRST, i).try_cast("int")
+    seen = facts(
+        df.select(q(name)),
+        rows=F.count(F.lit(1)),
+        numbers=F.count(plain),
+        top=F.max(plain),
+        compact=F.count_if(F.rlike(text, F.lit(COMPACT))),
+        shaped=F.count_if(F.rlike(text, F.lit(r"\d[-/.]|[A-Za-z]{3}.*\d|\d.*[A-Za-z]{3}"))),
+        first=F.max(F.when(numbered, part(1))),
+        second=F.max(F.when(numbered, part(2))),
+    )
+    if kind != "string":
+        return TimeLook("nothing" if not seen["numbers"] else "ms" if seen["top"] > 1e11 else "s")
+    if seen["numbers"] >= max(1, seen["rows"] / 2) and seen["compact"] < seen["numbers"] / 2:
+        return TimeLook("ms" if seen["top"] > 1e11 else "s")
+    if not seen["shaped"] and not seen["compact"]:
+        return TimeLook("nothing")
+    first, second = (seen["first"] or 0) > 12, (seen["second"] or 0) > 12
+    return TimeLook("text", None if first == second else first)
+
+
+def parse_timestamp(df: DataFrame, mode: str | TimeLook = "auto") -> DataFrame:
     """Typed `timestamp`; rows without one are dropped, or the column if it holds none.
 
-    Numbers are epoch seconds, or milliseconds when the largest exceeds 1e11. Text is parsed; when
-    over half of it fails, it is tried as numbers. `mode` "s" or "ms" or "text" skips that look at
-    the data.
+    `mode` is "text", "s", "ms" or what `look_at_time` has found; "auto" looks at the data.
+    `unread_times` counts the rows that this drops.
     """
     if not has(df, "timestamp"):
         return df
-    kind = type_of(df, "timestamp")
-    if kind in ("timestamp", "timestamp_ntz", "date"):
-        return df.withColumn("timestamp", F.col("timestamp").cast("timestamp")).where(
-            "timestamp is not null"
-        )
-    text = text_time("timestamp") if kind == "string" else F.lit(None).cast("timestamp")
-    if mode == "auto":
-        plain = plain_number("timestamp")
-        look = facts(df, rows=F.count(F.lit(1)), numbers=F.count(plain), top=F.max(plain))
-        # dates are parsed for this look only when there are numbers among them
-        parsed = facts(df, n=F.count(text))["n"] if look["numbers"] else 0
-        if look["numbers"] and parsed < look["rows"] / 2:
-            mode = "ms" if look["top"] > 1e11 else "s"
-        elif kind != "string" or df.where(text.isNotNull()).isEmpty():
-            return df.drop("timestamp")
-        else:
-            mode = "text"
-    value = text if mode == "text" else epoch_time("timestamp", mode == "ms")
-    return df.withColumn("timestamp", value).where("timestamp is not null")
+    look = TimeLook(mode) if isinstance(mode, str) and mode != "auto" else mode
+    if type_of(df, "timestamp") in ("timestamp", "timestamp_ntz", "date"):
+        look = TimeLook("typed")
+    elif look == "auto":
+        look = look_at_time(df)
+    if look.mode == "nothing":
+        return df.drop("timestamp")
+    return df.withColumn("timestamp", read_time("timestamp", look)).where("timestamp is not null")
+
+
+def read_time(name: str, look: TimeLook) -> Column:
+    if look.mode == "typed":
+        return q(name).cast("timestamp")
+    return text_time(name, look.day_first) if look.mode == "text" else epoch_time(name, look.mode == "ms")
+
+
+def unread_times(df: DataFrame, name: str = "timestamp", look: TimeLook | None = None) -> DataFrame:
+    """One row: rows, and rows whose time is missing or cannot be read and which cleaning drops."""
+    look = look or look_at_time(df, name)
+    lost = F.lit(True) if look.mode == "nothing" else read_time(name, look).isNull()
+    return df.select(lost.alias("lost")).agg(F.count(F.lit(1)).alias("rows"), F.count_if("lost").alias("lost"))
 
 
 def derive_amount(df: DataFrame, price_is_total: bool = False) -> DataFrame:
@@ -306,17 +385,15 @@ def drop_missing_keys(df: DataFrame) -> DataFrame:
 
 
 def sample_users(
-    df: DataFrame, max_rows: int, min_users: int = fixed.MIN_USERS_KEPT, seed: int = 42
+    df: DataFrame, share: float, min_users: int = fixed.MIN_USERS_KEPT, seed: int = 42
 ) -> DataFrame:
-    """All rows of a deterministic draw of users when there are more than `max_rows` rows."""
-    per_user = hold(df.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")))
-    size = facts(per_user, rows=F.sum("n"), users=F.count(F.lit(1)))
-    if (size["rows"] or 0) <= max_rows:
-        return df
-    wanted = max(min_users, int(size["users"] * (max_rows / size["rows"])))
-    if wanted >= size["users"]:
+    """All rows of a deterministic draw of the given share of users, `min_users` at least."""
+    users = hold(df.select("user_id").distinct())
+    size = users.count()
+    wanted = max(min_users, int(size * share))
+    if wanted >= size:
         return df
-    return df.where(dealt_order("user_id", seed) <= F.lit(draw(per_user, wanted, seed)))
+    return df.where(dealt_order("user_id", seed) <= F.lit(draw(users, wanted, seed)))
 
 
 # ---- B16–B21 -------------------------------------------------------------------------------------
@@ -325,11 +402,10 @@ def clean(
     df: DataFrame,
     domain: str,
     is_summary: bool = False,
-    time_mode: str = "auto",
-    max_rows: int | None = None,
+    time_mode: str | TimeLook = "auto",
     as_of: str = fixed.SUMMARY_AS_OF,
 ) -> DataFrame:
-    """The cleaning chain shared by all domains. Row sampling is off unless `max_rows` is given."""
+    """The cleaning chain shared by all domains. No row is sampled."""
     df = coerce_numeric(df)
     df = align_aliases(df)
     df = standardise_churn_label(df)
@@ -344,8 +420,6 @@ def clean(
     df = drop_non_positive(df, is_summary)
     # the steps above leave no NULL in user, time and amount: repeating the test here would only
     # evaluate the date parsing once more per row
-    if max_rows is not None:
-        df = sample_users(df, max_rows)
     if has(df, "amount") and not has(df, "monetary"):
         df = df.withColumn("monetary", F.col("amount"))
     return df
@@ -394,7 +468,7 @@ def tax_diversity(df: DataFrame) -> DataFrame:
             F.sum("_rows").alias("_rows"), *[F.countDistinct(out).alias(out) for out in found]
         )
     )
-    spread = next(c for c in df.columns if c != user)
+    spread = [c for c in df.columns if c != user] or [user]
     return salted_lookup(df, lookup, user, "_rows", spread, how="left").select(
         *[q(c) for c in df.columns], *found
     )
@@ -402,6 +476,10 @@ def tax_diversity(df: DataFrame) -> DataFrame:
 
 def prepare_tax(df: DataFrame, **options) -> DataFrame:
     tds = named(df, "tds_amount_inr")
+    # the look at the time column reads the raw rows; after it no step starts a job over the join
+    raw, _ = map_columns(df, fixed.TAX_MAPPING)
+    if has(raw, "timestamp"):
+        options.setdefault("time_mode", look_at_time(raw))
     df = tax_diversity(df)
     df, found = map_columns(df, fixed.TAX_MAPPING)
     if tds is not None and tds not in found:

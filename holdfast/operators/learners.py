@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
@@ -27,7 +26,11 @@ from holdfast.session import cut_lineage, hold, small_table
 
 SEED = 42
 FEATURES, LABEL, WEIGHT = "_features", "label", "_weight"
-SCORE_STEP = 6  # decimals of a score when calibration points are counted
+#: Fewer rows than these do not carry the step: tuning, its three folds, calibration (rows of each
+#: class), the isotonic map, stacking, and each fold of the cross-validated AUC.
+TUNE_ROWS, TUNE_CLASS, THREE_FOLDS_FROM = 100, 5, 1000
+CALIBRATE_CLASS, ISOTONIC_FROM = 30, 500
+STACK_ROWS, FOLD_ROWS = 300, 10
 
 RF_PARAMS = {"numTrees": 200, "maxDepth": 15}
 GBT_PARAMS = {
@@ -171,9 +174,9 @@ def tune(train: DataFrame, rf: dict | None = None, gbt: dict | None = None, para
     `train` carries `_features`, `label`, `_weight`, `user_id` and `churned`.
     """
     seen = facts(train, n=F.count(F.lit(1)), pos=F.sum("churned"))
-    if seen["n"] < 100 or min(seen["pos"], seen["n"] - seen["pos"]) < 5:
+    if seen["n"] < TUNE_ROWS or min(seen["pos"], seen["n"] - seen["pos"]) < TUNE_CLASS:
         return {}
-    k = 3 if seen["n"] >= 1000 else 2
+    k = 3 if seen["n"] >= THREE_FOLDS_FROM else 2
     rows = hold(folds(train, k))
     area = BinaryClassificationEvaluator(labelCol=LABEL, metricName="areaUnderROC")
     best = {}
@@ -227,19 +230,20 @@ def fit_stack(train: DataFrame, learners: Sequence, fitted: Sequence, k: int = 3
 # ---- F12 -----------------------------------------------------------------------------------------
 
 def calibrate(raw: DataFrame):
-    """Isotonic (500 rows and more) or sigmoid map of raw scores, or None when too few of a class.
+    """Isotonic (ISOTONIC_FROM rows and more) or sigmoid map of raw scores, or None with too few rows
+    of a class.
 
-    `raw` has `p` and `label`. Rows are counted per score at six decimals first, which bounds what
-    the fit handles by a million points however many users there are.
+    `raw` has `p` and `label`. Rows are counted per distinct score first: a forest has at most as many
+    scores as combinations of leaves that occur.
     """
     seen = facts(raw, n=F.count(F.lit(1)), pos=F.sum("label"))
-    if min(seen["pos"] or 0, seen["n"] - (seen["pos"] or 0)) < 30:
+    if min(seen["pos"] or 0, seen["n"] - (seen["pos"] or 0)) < CALIBRATE_CLASS:
         return None
-    points = raw.groupBy(F.round("p", SCORE_STEP).alias("_point")).agg(
+    points = raw.groupBy(F.col("p").alias("_point")).agg(
         F.avg(F.col("label").cast("double")).alias("share"), F.count(F.lit(1)).cast("double").alias("n")
     )
     points = cut_lineage(points, "calibration")
-    if seen["n"] >= 500:
+    if seen["n"] >= ISOTONIC_FROM:
         return IsotonicRegression(
             featuresCol="_point", labelCol="share", weightCol="n", predictionCol="_mapped"
         ).fit(points)
@@ -266,11 +270,10 @@ def select_best(models: Sequence[ChurnModel], test: DataFrame) -> tuple[ChurnMod
     return max(models, key=lambda m: areas[m.name]), areas
 
 
-def cross_val_auc(rows: DataFrame, features: Sequence[str], learner, limit: int = 50_000) -> tuple[float, float]:
-    """Mean and population deviation of the fold AUCs; (0, 0) for tiny or very large sets."""
-    n = rows.count()
-    k = min(5, n // 10)
-    if n > limit or k < 2:
+def cross_val_auc(rows: DataFrame, features: Sequence[str], learner) -> tuple[float, float]:
+    """Mean and population deviation of the AUCs of up to five folds; (0, 0) below two folds of FOLD_ROWS."""
+    k = min(5, rows.count() // FOLD_ROWS)
+    if k < 2:
         return 0.0, 0.0
     parts = hold(folds(weighted(assemble(rows, features)), k))
     areas = []
@@ -338,7 +341,7 @@ def train(
     models = [ChurnModel(n, features, [lr.fit(learn)]) for n, lr in learners.items()]
     chosen, areas = select_best(models, test)
 
-    if stacked and learn.count() >= 300:
+    if stacked and learn.count() >= STACK_ROWS:
         pair = ["Random Forest", "Boosted Trees (subsampled)"]
         by_name = {m.name: m for m in models}
         bases, meta = fit_stack(learn, [learners[n] for n in pair], [by_name[n].base for n in pair])
@@ -367,9 +370,3 @@ def train(
         mean, std = cross_val_auc(rows, features, learners.get(chosen.name, rf_learner))
         model.metrics.update(cv_auc_mean=mean, cv_auc_std=std)
     return model
-
-
-def pipeline(model: ChurnModel) -> PipelineModel:
-    """The vector step and the base classifier as one saved unit."""
-    vector = VectorAssembler(inputCols=model.features, outputCol=FEATURES, handleInvalid="keep")
-    return PipelineModel(stages=[vector, model.base])

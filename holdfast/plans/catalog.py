@@ -623,6 +623,26 @@ def _(d):
     return made.select("o_orderkey", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
+LAYOUTS = ["M/d/yyyy H:mm", "dd/MM/yyyy", "dd/MM/yyyy HH:mm", "yyyy/MM/dd HH:mm", "d-M-yyyy", "dd MMM yyyy", "MMM d, yyyy h:mm a", "yyyyMMdd", "M/d/yy H:mm"]
+
+
+@query("date_layouts")
+def _(d):
+    """Every order date written in every layout and read back."""
+    made = None
+    for layout in LAYOUTS:
+        dates = fx.table(d.spark, d.folder, "orders").select(
+            F.col("o_orderdate").cast("timestamp").alias("day"), F.date_format("o_orderdate", layout).alias("timestamp")
+        )
+        got = ingest.read_time("timestamp", ingest.look_at_time(dates))
+        one = dates.select((F.to_date(got) == F.to_date("day")).alias("same")).agg(
+            F.count(F.lit(1)).alias("n"), F.count_if("same").alias("read")
+        )
+        one = one.select(F.lit(layout).alias("layout"), "n", "read")
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
 @query("parse_epoch")
 def _(d):
     raw = fx.table(d.spark, d.folder, "events").select(
@@ -679,8 +699,7 @@ def _(d):
 
 @query("sample_users")
 def _(d):
-    total = d.tx.count()
-    return ingest.sample_users(d.tx, total // 3).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return ingest.sample_users(d.tx, 0.25).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("prepare_upi")
@@ -843,7 +862,7 @@ def _cents(d) -> DataFrame:
 
 def _baseline_flags(d) -> DataFrame:
     cols = ["recency", "frequency", "monetary", "ipi_median", "account_age_days"]
-    base = drift.baseline_of(_cents(d).where("frequency <= 9"), cols, n=2000)
+    base = drift.baseline_of(_cents(d).where("frequency <= 9"), cols)
     return drift.baseline_drift(_cents(d), base, cols)
 
 
@@ -875,11 +894,11 @@ def _(d):
 @query("drift_baseline_save")
 def _(d):
     path = scratch_path(d.spark, "baseline")
-    drift.save_baseline(d.users, ["recency", "monetary"], path, n=500)
+    drift.save_baseline(d.users, ["recency", "monetary"], path)
     return rounded(
         drift.load_baseline(d.spark, path)
         .groupBy("feature")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("mean").alias("mean"), F.max("std").alias("std")),
+        .agg(F.sum("n").alias("n"), F.max("mean").alias("mean"), F.max("std").alias("std")),
         2,
     )
 
@@ -1131,11 +1150,17 @@ def _(d):
         "lifecycle_stages": ft.value_counts(d.scored, "lifecycle"),
         "revenue_at_risk": money.rar_summary(d.scored, 0.3),
     }
-    sample = rounded(d.scored.select("user_id", "segment", "lifecycle", "churn_probability"), 6)
-    rows = report.report_json(sections, sample)
+    rows = report.report_json(sections)
     return rows.select("section", F.size(F.from_json("body", "array<map<string,string>>")).alias("entries"))
 
 
+@query("users_json")
+def _(d):
+    users = rounded(d.scored.select("user_id", "segment", "lifecycle", "churn_probability"), 6)
+    read = F.from_json("body", "user_id string, segment string, lifecycle string, churn_probability double")
+    return report.users_json(users).select(read.alias("r")).select("r.*")
+
+
 # ---- streaming -----------------------------------------------------------------------------------
 
 def _stream(d) -> DataFrame:
@@ -1165,13 +1190,13 @@ def _(d):
 
 @query("event_counts")
 def _(d):
-    rows = _back(d, events.drain(events.event_counts(_stream(d)), "counts"))
+    rows = events.drain_updates(events.event_counts(_stream(d)), "counts", ["day_start", "event_type"])
     return rounded(rows.select(_text("day_start"), "event_type", "events", "total"), 2)
 
 
 @query("failure_rate_stream")
 def _(d):
-    rows = _back(d, events.drain(events.failure_rates(_stream(d)), "failures"))
+    rows = events.drain_updates(events.failure_rates(_stream(d)), "failures", ["from_ts", "user_id"])
     return rounded(rows.select(_text("from_ts"), "user_id", "events", "failure_rate"), 6)
 
 

@@ -11,9 +11,7 @@ from holdfast.functions.fixed import FALLBACK_DRIVERS
 from holdfast.operators import attribution, drift, features, hypotheses, labels, learners, money, reports
 from holdfast.operators.activity import activity, span
 from holdfast.session import cut_lineage, hold, small_table
-
-
-SHAP_ROWS = 200  # users behind the global attribution summary
+from holdfast.sources.registry import ModelRegistry
 
 
 @dataclass
@@ -63,7 +61,7 @@ def analyse(
 
     threshold = model.threshold if model else 0.5
     auc = model.metrics["roc_auc"] if model else 0.5
-    shap = attribution.shap_summary(model, users, SHAP_ROWS) if model and explain else None
+    shap = attribution.shap_summary(model, users) if model and explain else None
     drivers = (
         attribution.drivers(learners.importances(model, spark), shap, domain) if model else fallback_drivers(spark)
     )
@@ -98,18 +96,31 @@ def analyse(
     return Analysis(users, model, sections)
 
 
+def score_stored(tx: DataFrame, store: ModelRegistry, model_id: str, domain: str = "retail") -> DataFrame | None:
+    """Scores and values of all current users by the newest stored model; None without a usable one.
+
+    Nothing is trained: the features are built from `tx`, and columns that the model does not know
+    are carried along.
+    """
+    model = store.load_latest(model_id)
+    if model is None:
+        return None
+    users = labels.current_features(tx, activity(tx))
+    return money.financials(learners.score(model, users), domain)
+
+
 def title_top(drivers: list[tuple[str, str]]) -> str:
     return drivers[0][1] if drivers else "Engagement"
 
 
-def report_json(sections: dict[str, DataFrame], users: DataFrame, n: int = 1000) -> DataFrame:
-    """(section, body): each small section as one JSON array, and a bounded sample of users.
+def report_json(sections: dict[str, DataFrame]) -> DataFrame:
+    """(section, body): each section as one JSON array.
 
-    Sections are aggregates of at most a few hundred rows; the user list is a top-n.
+    Sections are aggregates of at most a few hundred rows; the user table is an output of its own
+    (`users_json`).
     """
-    parts = {**sections, "users": reports.user_sample(users, n)}
     out = None
-    for name, df in parts.items():
+    for name, df in sections.items():
         rows = F.sort_array(F.collect_list(F.to_json(F.struct(*df.columns))))
         body = F.concat(F.lit("["), F.array_join(rows, ","), F.lit("]"))
         one = df.agg(body.alias("body")).select(F.lit(name).alias("section"), "body")
@@ -117,3 +128,6 @@ def report_json(sections: dict[str, DataFrame], users: DataFrame, n: int = 1000)
     return out
 
 
+def users_json(users: DataFrame) -> DataFrame:
+    """(user_id, body): one JSON object per user, for all users."""
+    return users.select("user_id", F.to_json(F.struct(*users.columns)).alias("body"))

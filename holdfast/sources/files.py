@@ -29,7 +29,6 @@ def read_csv_any(
     spark: SparkSession,
     path: str,
     schema: StructType | str | None = None,
-    max_rows: int | None = None,
     encoding: str | None = None,
 ) -> DataFrame:
     """CSV with the encoding and separator found by looking at it.
@@ -46,7 +45,7 @@ def read_csv_any(
     df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     if marked:
         df = df.withColumnRenamed(df.columns[0], df.columns[0].lstrip("\ufeff").strip('"'))
-    return df.limit(max_rows) if max_rows is not None else df
+    return df
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from holdfast.operators.learners import ChurnModel, pipeline
+from holdfast.operators.learners import ChurnModel
 from holdfast.session import shared_folder, small_table
 
 _ENTRY = (
     "model_id string, version string, saved_at bigint, model string, threshold double, "
-    "features array<string>, schema_hash string, metrics string, path string"
+    "features array<string>, schema_hash string, metrics string, path string, roles array<string>"
 )
 KEPT_PER_ID, KEPT_WITHOUT_ID = 3, 5
 
@@ -37,17 +37,28 @@ class ModelRegistry:
         return f"{self.root}/log"
 
     def save(self, model: ChurnModel, model_id: str = "") -> str:
-        """Write the pipeline and append one row to the log."""
+        """Write every fitted stage, append one row to the log, and delete the versions it displaces."""
         at = time.time_ns() // 1000
         version = f"{model_id or 'model'}_v{at}"
         path = f"{self.root}/{version}"
-        pipeline(model).write().overwrite().save(path)
+        stages = [("base", b) for b in model.bases] + [("meta", model.meta), ("calibrator", model.calibrator)]
+        stages = [(role, stage) for role, stage in stages if stage is not None]
+        PipelineModel(stages=[stage for _, stage in stages]).write().overwrite().save(path)
         row = (model_id, version, at, model.name, float(model.threshold), model.features,
-               None, json.dumps(model.metrics, default=str), path)
+               None, json.dumps(model.metrics, default=str), path, [role for role, _ in stages])
         entry = small_table(self.spark, [row], _ENTRY).withColumn("schema_hash", schema_hash(F.col("features")))
         entry.coalesce(1).write.mode("append").parquet(self._log)
+        self._prune(model_id)
         return version
 
+    def _prune(self, model_id: str) -> None:
+        """Delete the folders of versions that are no longer listed."""
+        kept = KEPT_PER_ID if model_id else KEPT_WITHOUT_ID
+        mine = self.entries().where(F.col("model_id") == model_id)
+        for row in mine.orderBy(F.desc("saved_at"), F.desc("version")).select("path").collect()[kept:]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(row["path"])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def entries(self) -> DataFrame:
         from pyspark.errors import AnalysisException
 
@@ -72,8 +83,10 @@ class ModelRegistry:
             wanted = self.spark.range(1).select(schema_hash(F.array(*[F.lit(f) for f in features]))).first()[0]
             if wanted != row["schema_hash"]:
                 return None
-        stages = PipelineModel.load(row["path"]).stages
+        parts: dict[str, list] = {"base": [], "meta": [None], "calibrator": [None]}
+        for role, stage in zip(row["roles"], PipelineModel.load(row["path"]).stages):
+            parts[role].append(stage)
         return ChurnModel(
-            row["model"], list(row["features"]), [stages[-1]], threshold=row["threshold"],
-            metrics=json.loads(row["metrics"]),
+            row["model"], list(row["features"]), parts["base"], parts["meta"][-1], parts["calibrator"][-1],
+            threshold=row["threshold"], metrics=json.loads(row["metrics"]),
         )

@@ -57,7 +57,10 @@ def dedupe(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def event_counts(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Events and value per type and day; later rows than the delay are dropped."""
+    """Events and value per type and day; rows later than the delay are dropped.
+
+    In append mode only closed windows come out; `drain_updates` gives the open ones too.
+    """
     day = F.window("ts", "1 day")
     return (
         events.withWatermark("ts", delay)
@@ -113,10 +116,13 @@ def ipi_alerts(seen: DataFrame, users: DataFrame, as_of_us: int, factor: float =
 
 
 def score_stream(events: DataFrame, users: DataFrame, model: ChurnModel) -> DataFrame:
-    """Every event with the current churn score of its user (stream–static join, JVM scoring)."""
-    joined = events.join(users.select("user_id", *[f for f in model.features if f in users.columns]), "user_id")
-    scored = model.probabilities(joined)
-    return scored.select("event_id", "user_id", "ts", "event_type", "churn_probability")
+    """Every event with the current churn score of its user; null for an unknown user.
+
+    Users are scored once per batch, not once per event, and the join is a stream–static left join on
+    the user, whose hot partitions adaptive execution splits: no state is kept.
+    """
+    scored = model.probabilities(users).select("user_id", "churn_probability")
+    return events.join(scored, "user_id", "left").select("event_id", "user_id", "ts", "event_type", "churn_probability")
 
 
 # ---- running a stream to its current end ----------------------------------------------------------
@@ -138,8 +144,12 @@ def drain(df: DataFrame, name: str, each: Callable[[DataFrame, int], None] | Non
     return path
 
 
-def drain_updates(df: DataFrame, name: str, key: str) -> DataFrame:
-    """Latest row per key of an update-mode stream: each batch is written once, under its number."""
+def drain_updates(df: DataFrame, name: str, key: str | list[str]) -> DataFrame:
+    """Latest row per key of an update-mode stream: each batch is written once, under its number.
+
+    Windows that are still open are part of the result, as far as they have come.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
     path = scratch_path(df.sparkSession, f"{name}-rows")
 
     def each(batch: DataFrame, number: int) -> None:
@@ -148,9 +158,9 @@ def drain_updates(df: DataFrame, name: str, key: str) -> DataFrame:
 
     drain(df, name, each, mode="update")
     rows = df.sparkSession.read.parquet(path)
-    others = [c for c in rows.columns if c not in (key, "batch")]
-    newest = rows.groupBy(key).agg(F.max_by(F.struct(*others), "batch").alias("r"))
-    return newest.select(key, *[F.col(f"r.{c}").alias(c) for c in others])
+    others = [c for c in rows.columns if c not in (*keys, "batch")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("r"))
+    return newest.select(*keys, *[F.col(f"r.{c}").alias(c) for c in others])
 
 
 def ticker_stream(events: DataFrame, name: str = "ticker", n: int = 20) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from holdfast.functions.fixed import DRIFT_ACTIONS, DRIFT_REASONS, ROI_BAD, ROI_GOOD
+
 DAY = 86400000000
 
 TX = """tx as (select cast(o_custkey as varchar) user_id, o_orderdate ts, o_totalprice amount,
@@ -353,6 +355,8 @@ ORACLES.update({
     "parse_timestamp": sql("", """select o_orderkey, strftime(ts, '%Y-%m-%d %H:%M:%S') ts from
         (select o_orderkey, case when o_orderkey % 2 = 0 then date_trunc('minute', ts) else date_trunc('day', ts) end ts
          from d where o_orderkey % 17 <> 0)""", DIRTY),
+    "date_layouts": """select unnest(['M/d/yyyy H:mm', 'dd/MM/yyyy', 'dd/MM/yyyy HH:mm', 'yyyy/MM/dd HH:mm', 'd-M-yyyy', 'dd MMM yyyy',
+        'MMM d, yyyy h:mm a', 'yyyyMMdd', 'M/d/yy H:mm']) layout, n, n "read" from (select count(*) n from orders)""",
     "parse_epoch": "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') ts from events",
     "derive_amount": "select l_orderkey, l_linenumber, round(l_quantity * l_discount, 4) amount from lineitem",
     "expand_summary": sql("""m as (select user_id, greatest(tm, 6) tenure_months, greatest(least(n, 10), 1) k,
@@ -364,8 +368,8 @@ ORACLES.update({
     "drop_non_positive": "select c_custkey, round(c_acctbal, 2) amount from customer where c_acctbal > 0",
     "drop_missing_keys": "select o_orderkey from orders where o_orderkey % 5 <> 0 and o_orderkey % 7 <> 0",
     "sample_users": sql("""c as (select user_id, count(*) n, row_number() over (order by md5(user_id || ':42')) rk from tx group by 1),
-        s as (select sum(n) r, count(*) k from c)""",
-        """select user_id, n from c, s where rk <= greatest(100, cast(floor(k * ((r // 3) / r)) as bigint))"""),
+        s as (select count(*) k from c)""",
+        """select user_id, n from c, s where rk <= greatest(100, cast(floor(k * 0.25) as bigint))"""),
     "prepare_upi": """select cast(user_id as varchar) user_id, 'upi' "domain", count(*) n, round(sum(value), 2) total,
         cast(count(*) filter (event_type = 'error') as bigint) failures from events
         where value > 0 and user_id <> 0 group by 1""",
@@ -413,7 +417,7 @@ def _samples(cols: list[str], a: str, b: str) -> str:
 
 
 _FIVE = ["recency", "frequency", "monetary", "ipi_median", "account_age_days"]
-_BASE = """bl as (select * from cents where frequency <= 9 order by md5(user_id || ':42'), user_id limit 2000),
+_BASE = """bl as (select * from cents where frequency <= 9),
   blr as (select round(recency, 6) recency, frequency, round(monetary, 6) monetary, round(ipi_median, 6) ipi_median,
     account_age_days from bl)"""
 _CENTS = ", cents as (select * replace (round(monetary, 2) as monetary) from users),"
@@ -471,8 +475,7 @@ ORACLES.update({
     "temporal_drift": sql("""lt as (select all_tx.* from all_tx, cu where epoch_us(ts) > cut),""" + _samples(["amount"], "tx", "lt") + "," + KS,
         "select feature, round(d, 4) ks_statistic, round(p, 6) p_value, cast(p < 0.05 as int) drifted from kp", CUT),
     "drift_bonferroni": sql(_FLAGS, "select feature, round(d, 4) ks_statistic, round(p, 6) p_value, cast(p < 0.05 / 5 as int) drifted from kp"),
-    "baseline_drift": sql(SCORES + _CENTS + """bl as (select * from cents order by md5(user_id || ':42'), user_id limit 2000),
-        blr as (select recency, frequency, round(monetary, 6) monetary from bl), late as (select * from cents where recency > 60),"""
+    "baseline_drift": sql(SCORES + _CENTS + """blr as (select recency, frequency, round(monetary, 6) monetary from cents), late as (select * from cents where recency > 60),"""
         + _samples(["recency", "frequency", "monetary"], "late", "blr") + "," + KS,
         "select feature, 'Baseline Drift' drift_type, round(d, 4) ks_statistic from kp"),
     "drift_summary": sql(_FLAGS + """, fl as (select *, p < 0.05 / 5 drifted from kp),
@@ -481,16 +484,11 @@ ORACLES.update({
         st as (select *, case when pc >= 50 and mp < 0.01 then 'HIGH DRIFT' when pc >= 25 or mp < 0.05 then 'LOW DRIFT' else 'STABLE' end status from ag)""",
         """select total_features, drifted_count, pc drifted_pct, status,
         case when status = 'HIGH DRIFT' then 'Drift Detected' else 'Stable' end data_drift_status, round(mp, 6) avg_p_value,
-        case status when 'HIGH DRIFT' then drifted_count || ' of ' || total_features || ' features (' || printf('%.1f', pc) || '%) show statistically significant distribution shifts. User behavior has materially changed since the model was trained.'
-          when 'LOW DRIFT' then drifted_count || ' of ' || total_features || ' features (' || printf('%.1f', pc) || '%) show minor distribution shifts. The model is still reliable but should be monitored closely.'
-          else 'Only ' || drifted_count || ' of ' || total_features || ' features (' || printf('%.1f', pc) || '%) show any shift. User behavior remains consistent with training data.' end severity_reason,
-        case status when 'HIGH DRIFT' then 'Retrain the model with recent data to capture new behavioral patterns. Investigate whether an external event (new competitor, policy change, seasonality) caused the shift. Review the top drifted features below — they indicate which behaviors changed the most. Consider increasing model retraining frequency (e.g., weekly instead of monthly).'
-          when 'LOW DRIFT' then 'Schedule a model retraining within the next 2-4 weeks. Monitor whether the drifted features stabilize or continue diverging. No immediate action needed — predictions remain trustworthy.'
-          else 'No action needed. The model is well-calibrated for current data. Continue routine monitoring on the next data refresh.' end actions,
+        case status """ + " ".join(f"when '{k}' then printf('{v}', drifted_count, total_features, printf('%.1f', pc))" for k, v in DRIFT_REASONS.items()) + """ end severity_reason,
+        case status """ + " ".join(f"when '{k}' then '{' '.join(v)}'" for k, v in DRIFT_ACTIONS.items()) + """ end actions,
         (select list_aggregate(list_transform(string_split(replace(feature, '_', ' '), ' '), lambda x: upper(x[1]) || x[2:]), 'string_agg', ' ')
           from fl where drifted order by round(d, 4) desc, feature limit 1) top_feature from st"""),
-    "drift_baseline_save": sql(SCORES + """, bl as (select * from users order by md5(user_id || ':42'), user_id limit 500),
-        lg as (select 'recency' feature, recency v from bl union all select 'monetary', round(monetary, 6) from bl)""",
+    "drift_baseline_save": sql(SCORES + """, lg as (select 'recency' feature, recency v from users union all select 'monetary', round(monetary, 6) from users)""",
         "select feature, count(*) n, round(avg(v), 2) mean, round(stddev_pop(v), 2) std from lg group by 1"),
 })
 
@@ -542,12 +540,9 @@ ORACLES.update({
         round((o - s) * 100, 3) absolute_reduction, round(v * 90 * gain0, 0) revenue_saved, round(v * 365 * gain0, 0) ltv_saved from grid"""),
     "campaign_roi": sql(GRID + """, rr as (select *, round(cost_per_user * n) cst, round(v * 365 * gain0) gn from grid)""",
         """select scenario, segment, cst "cost", gn gain, cast(gn > cst * 0.85 as int) is_profitable,
-        case when gn > cst * 0.85 then 'This intervention is profitable. Saving ' || printf('%.1f', (o - s) * 100)
-            || '% of users in this segment recovers ₹' || format('{:,}', cast(gn as bigint))
-            || ' in LTV, which easily covers the campaign cost of ₹' || format('{:,}', cast(cst as bigint)) || '.'
-          else 'This intervention is not profitable. The campaign cost of ₹' || format('{:,}', cast(cst as bigint))
-            || ' is higher than the ₹' || format('{:,}', cast(gn as bigint))
-            || ' we expect to save in customer LTV. We should reduce costs or target higher-value users.' end explanation,
+        case when gn > cst * 0.85 then printf('""" + ROI_GOOD + """', printf('%.1f', (o - s) * 100), format('{:,}', cast(gn as bigint)),
+            format('{:,}', cast(cst as bigint)))
+          else printf('""" + ROI_BAD + """', format('{:,}', cast(cst as bigint)), format('{:,}', cast(gn as bigint))) end explanation,
         round((select avg(p) from scored) - (o - s) * n / (select count(*) from scored), 5) portfolio_churn from rr"""),
     "ab_assign": sql(SCORES + """, ar as (select user_id, row_number() over (order by md5(user_id || ':42')) rk, count(*) over () n
           from users where segment = 'At Risk')""",
@@ -580,7 +575,8 @@ ORACLES.update({
           from bs where (select count(*) from seg) > 1"""),
     "report_json": sql(SCORED, """select 'segments' section, cast(count(distinct segment) as int) entries from scored
         union all select 'lifecycle_stages', cast(count(distinct lifecycle) as int) from scored
-        union all select 'revenue_at_risk', 1 union all select 'users', cast(least(count(*), 1000) as int) from scored"""),
+        union all select 'revenue_at_risk', 1"""),
+    "users_json": sql(SCORED, "select user_id, segment, lifecycle, round(churn_probability, 6) churn_probability from scored"),
 })
 
 # ---- streaming: the bounded twins ----------------------------------------------------------------
@@ -589,14 +585,12 @@ ORACLES.update({
     "event_source": """select event_type, case when event_type = 'error' then 'failed' else 'success' end status, count(*) n,
         round(sum(value), 2) total from events group by 1, 2""",
     "event_dedupe": "select event_type, count(*) n from events group by 1",
-    # append mode leaves windows open that the watermark has not passed
     "event_counts": """select strftime(d, '%Y-%m-%d %H:%M:%S') day_start, event_type, count(*) events, round(sum(value), 2) total
-        from (select *, date_trunc('day', ts) d from events)
-        where d + interval 1 day <= (select max(ts) - interval 1 hour from events) group by 1, 2""",
+        from (select *, date_trunc('day', ts) d from events) group by 1, 2""",
     "failure_rate_stream": """select strftime(w, '%Y-%m-%d %H:%M:%S') from_ts, cast(user_id as varchar) user_id, count(*) events,
         round(avg(case when event_type = 'error' then 1 else 0 end), 6) failure_rate
         from (select *, time_bucket(interval 15 minute, ts) - to_minutes(unnest([0, 15, 30, 45])) w from events)
-        where w + interval 1 hour <= (select max(ts) - interval 1 hour from events) group by 1, 2""",
+        group by 1, 2""",
     "risk_ledger": """select cast(user_id as varchar) user_id, round(sum(case event_type when 'purchase' then -0.0125
         when 'error' then 0.03 else 0 end), 4) churn_delta, count(*) events, strftime(max(ts), '%Y-%m-%d %H:%M:%S') last_ts from events group by 1""",
     "ipi_alert": sql(USERS, f"""select user_id, round((mx - last_us) / {DAY}.0, 4) idle_days from u, b

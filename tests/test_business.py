@@ -114,7 +114,7 @@ def test_hypotheses_have_one_concept_each(rated):
     assert [r["driver"] for r in rows] == ["Recency", "Frequency", "Spend"]
     assert all(0.5 <= r["expected_lift_pct"] <= 25 for r in rows)
     one_sided = hypotheses.hypotheses(rated, names, 2.0).collect()
-    assert len(one_sided) == 1 and one_sided[0]["title"] == "The Engagement Hypothesis"
+    assert len(one_sided) == 1 and one_sided[0]["title"] == "Ask the quiet quarter"
 
 
 def test_rule_based_rows(rated):

@@ -98,11 +98,11 @@ def test_all_score_triples_have_a_segment(spark):
 
 
 def test_summary_velocity_is_salary_per_day(spark):
-    rows = [(f"user_{i}", pd.Timestamp("2024-01-01") + pd.Timedelta(days=i), 1000.0, 120000.0, 12.0) for i in range(20)]
+    rows = [(f"c-{i}", pd.Timestamp("2022-07-15") + pd.Timedelta(days=3 * i), 250.0, 73000.0, 7.0) for i in range(9)]
     tx = frame(spark, rows, TX + ", estimated_salary double, tenure double")
     got = ft.rfm(tx, is_summary=True).toPandas()
-    assert np.allclose(got["monetary_velocity"], 120000.0 / 365.0)
-    assert set(got["account_age_days"]) == {360.0} and set(got["ipi_consistency"]) == {1.0}
+    assert np.allclose(got["monetary_velocity"], 73000.0 / 365.0)
+    assert set(got["account_age_days"]) == {210.0} and set(got["ipi_consistency"]) == {1.0}
 
 
 def test_first_attribute_skips_nulls(spark):
@@ -127,7 +127,7 @@ def test_cohort_matrix(spark):
 def test_invariants_on_the_seeded_fixture(spark, seeded_tx):
     users = ft.user_table(seeded_tx, act=activity(seeded_tx))
     rows = users.toPandas()
-    assert len(rows) == seeded_tx.select("user_id").distinct().count() == 200
+    assert len(rows) == seeded_tx.select("user_id").distinct().count() == 240
     assert rows[["r_score", "f_score", "m_score"]].stack().between(1, 5).all()
     assert rows.isna().mean().max() <= 0.05
-    assert sum(r["users"] for r in ft.value_counts(users, "segment").collect()) == 200
+    assert sum(r["users"] for r in ft.value_counts(users, "segment").collect()) == 240

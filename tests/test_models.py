@@ -155,14 +155,35 @@ def test_drivers_and_labels(spark, model):
 def test_registry_keeps_three_and_checks_the_schema(spark, model, training, tmp_path):
     store = ModelRegistry(spark, str(tmp_path / "models"))
     assert store.load_latest("x") is None
-    for _ in range(4):
-        store.save(model, "x")
+    versions = [store.save(model, "x") for _ in range(4)]
     assert store.list().count() == 3
+    assert sorted(p.name for p in (tmp_path / "models").iterdir() if p.name != "log") == versions[1:]
     assert store.load_latest("x", [*model.features[1:], "other"]) is None
     back = store.load_latest("x", list(reversed(model.features)))
     assert back.features == model.features and back.threshold == model.threshold
 
 
+@pytest.mark.parametrize("stacked", [False, True])
+def test_registry_gives_the_same_scores(spark, training, tmp_path, stacked):
+    names = labels.feature_names(training, "retail")
+    rows = learners.weighted(learners.assemble(training, names))
+    bases = [learners.fit_rf(rows, **RF), learners.fit_gbt(rows, **GBT)] if stacked else [learners.fit_rf(rows, **RF)]
+    meta = None
+    if stacked:
+        bases, meta = learners.fit_stack(rows, [learners.forest(**RF), learners.boosted(**GBT)], bases, k=2)
+    one = learners.ChurnModel("Any", names, bases, meta)
+    one.calibrator = learners.calibrate(learners.labelled_scores(one, training))
+    one.threshold = 0.31
+    store = ModelRegistry(spark, str(tmp_path / "models"))
+    store.save(one, "y")
+    back = store.load_latest("y")
+    assert len(back.bases) == len(bases) and (back.meta is None) == (meta is None)
+    assert (back.calibrator is None) == (one.calibrator is None) and back.threshold == 0.31
+    odd = training.withColumn(names[0], F.when(F.col("churned") == 1, F.col(names[0])))  # nulls are filled alike
+    both = one.probabilities(odd, "p").select("user_id", "p").join(back.probabilities(odd, "q").select("user_id", "q"), "user_id")
+    assert both.agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0] == 0.0
+
+
 def rated(spark, p, y):
     return frame(spark, [(float(a), int(b)) for a, b in zip(p, y)], "p double, label int")
 
@@ -212,10 +233,11 @@ def test_first_baseline_run_saves(spark, tmp_path):
 def test_full_report(spark, seeded_tx):
     done = report.analyse(seeded_tx, "retail", rf=RF, gbt=GBT)
     users = done.users.toPandas()
-    assert len(users) == 200 and users["churn_probability"].between(0, 1).all() and (users["revenue_at_risk"] >= 0).all()
+    assert len(users) == 240 and users["churn_probability"].between(0, 1).all() and (users["revenue_at_risk"] >= 0).all()
     assert users[["churn_probability", "predicted_ltv", "segment", "lifecycle"]].isna().sum().sum() == 0
-    body = report.report_json(done.sections, done.users)
-    assert {r["section"] for r in body.collect()} >= {"kpis", "segment_churn", "forecast", "hypotheses", "drift", "users"}
+    body = report.report_json(done.sections)
+    assert {r["section"] for r in body.collect()} >= {"kpis", "segment_churn", "forecast", "hypotheses", "drift"}
+    assert report.users_json(done.users).count() == len(users)
 
 
 def test_heuristic_fallback(spark):

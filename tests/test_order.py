@@ -85,13 +85,36 @@ def test_draw(spark, both_ways):
     assert order.draw(users, 0) == ""
 
 
-def test_ranges_use_no_single_partition(spark, values):
-    """The distributed way sorts by range; only per-partition totals meet in one task."""
-    spark.conf.set("spark.holdfast.smallRows", "0")
-    try:
-        hist = spark.createDataFrame(values).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-        plan = order.running_totals(hist, "x", ["n"])._jdf.queryExecution().toString()
-    finally:
-        spark.conf.unset("spark.holdfast.smallRows")
-    assert "rangepartitioning(x" in plan
-    assert "BatchEvalPython" not in plan
+def test_buckets_are_the_same_in_every_evaluation(spark, monkeypatch):
+    """200,000 rows from an unpivot with kept columns: sums and offsets speak of the same rows."""
+    monkeypatch.setattr(order, "BUCKET_ROWS", 5_000)
+    base = spark.range(100_000).select(
+        F.col("id").cast("string").alias("user_id"), (F.col("id") % 2).alias("side"),
+        (F.pmod(F.xxhash64("id"), F.lit(90_000)) / 7).alias("x"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(40)).cast("double").alias("y"),
+    )
+    long = order.long_form(base, ["x", "y"], ["side"])
+    assert long.count() == 200_000
+    hist = long.groupBy("feature", "value").agg(F.sum("side").alias("a"), F.sum(1 - F.col("side")).alias("b"))
+    got = order.running_totals(hist, "value", ["a", "b"], by=["feature"])
+    for _ in range(3):
+        one = got.toPandas().sort_values(["feature", "value"]).reset_index(drop=True)
+        for s in "ab":
+            assert (one[f"cum_{s}"] == one.groupby("feature")[s].cumsum()).all()
+            assert (one[f"tot_{s}"] == one.groupby("feature")[s].transform("sum")).all()
+    plan = got._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan and "BatchEvalPython" not in plan
+
+
+def test_buckets_follow_the_order_with_nulls_and_odd_numbers(spark, monkeypatch):
+    monkeypatch.setattr(order, "BUCKET_ROWS", 20)
+    rows = [(None if i % 7 == 0 else float("nan") if i % 11 == 0 else (i * 37 % 100) / 3 - 10, f"é{i:03d}") for i in range(300)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["v", "u"]).astype({"v": object}), "v double, u string")
+    got = df.withColumn("part", order.bucket_of(df, ["v", "u"])).orderBy("v", "u").collect()
+    parts = [r.part for r in got]
+    assert parts == sorted(parts) and len(set(parts)) > 5
+
+
+def test_pct_rank_keeps_rows_without_a_value(spark, both_ways):
+    df = hold(spark.createDataFrame([("a", 1.0), ("b", None), ("c", 1.0), ("d", 5.0)], "user_id string, x double"))
+    got = {r.user_id: r.pct for r in order.pct_rank(df, "x", "pct").collect()}
+    assert got == {"a": 0.5, "b": None, "c": 0.5, "d": 1.0}

@@ -32,6 +32,12 @@ def test_closed_windows_equal_the_batch(spark, bounded):
     assert rows(got.select(cols)) == rows(want.select(cols))
 
 
+def test_open_windows_come_out_in_update_mode(spark, bounded):
+    got = ev.drain_updates(ev.event_counts(ev.read_events(spark, FOLDER)), "t-open", ["day_start", "event_type"])
+    cols = ["day_start", "event_type", "events"]
+    assert rows(got.select(cols)) == rows(ev.event_counts(bounded).select(cols))
+
+
 def test_ledger_is_the_sum_of_weights(spark, bounded):
     weights = {"purchase": -0.5, "error": 0.25}
     got = ev.drain_updates(ev.risk_ledger(ev.read_events(spark, FOLDER), weights), "t-ledger", "user_id")
