@@ -1,0 +1,258 @@
+"""Tokens, near copies, neighbours, languages and page texts against libraries and brute force."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from conftest import FOLDER
+from holdfast.llm import bpe, html_text, language, near_dedup, neighbours
+from holdfast.llm import shingles as sh
+
+VOCAB = public_tokenizers.path("word_bpe_49k.json")
+
+ODD = [
+    "", None, "  ", "aaaaaaaaa aaaa aaa", "Hello WORLD's don't I'll 1234 !!??", "<|endoftext|>x<|startoftext|> y", "<|ENDOFTEXT|> a",
+    "ÀÉ é Σας ΟΔΟΣ İstanbul", "a\x1cb\x1d c\x85d\xa0e　f᠎g​h﻿", "日本語テキスト 😀😀 ｆｕｌｌ ½ ² Ⅳ", "\x00\x01 �",
+    "ﬁ ǅ ß ẞ ẛ̣", "'S 'T 'Re it'S", " x", "ͅİi̇", "the " * 20_000, "x" * 30_000,
+]
+
+
+def test_ids_and_texts_equal_the_library(spark):
+    own = Tokenizer.from_file(VOCAB)
+    texts = ODD + [r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("text").collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("IDS", F.lit(1)).withColumn("_bpe_text", F.lit(2))
+    got = bpe.encode(df, VOCAB, outputs=("ids", "n_tokens", "decoded"))
+    assert got.columns == ["doc_id", "text", "_bpe_text", "ids", "n_tokens", "decoded"]
+    again = {r.doc_id: r.decoded for r in bpe.decode_ids(got, VOCAB).collect()}
+    for r in got.collect():
+        want = own.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.ids == want and r.n_tokens == len(want), texts[r.doc_id]
+        assert r.decoded == again[r.doc_id] == own.decode(want, skip_special_tokens=False)
+    assert bpe.encode(df.limit(0), VOCAB).count() == 0
+
+
+def test_forgetting_pieces_changes_nothing(monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_PIECES", 3)
+    own, encoder = Tokenizer.from_file(VOCAB), bpe.Encoder(bpe.Vocabulary(bpe.read_vocabulary(VOCAB)))
+    for batch in (["one two three four", "five"], ["one six", "two"], ["seven"]):
+        for text, (ids, _) in zip(batch, encoder.encode(batch)):
+            assert ids.tolist() == own.encode(text, add_special_tokens=False).ids
+
+
+def brute_set(text):
+    words = (text or "").encode().lower().split()
+    if len(words) < 4:
+        return {tuple(words)} if words else set()
+    return {tuple(words[i : i + 4]) for i in range(len(words) - 3)}
+
+
+def brute_components(rows, percent=80):
+    sets = [brute_set(t) for _, t in rows]
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
+                x, y = find(rows[a][0]), find(rows[b][0])
+                root[max(x, y)] = min(x, y)
+    return {i: (len(s), find(i)) for (i, _), s in zip(rows, sets)}
+
+
+def test_near_components(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    rows, base = [], [word() for _ in range(120)]
+    for i in range(150):  # a star of copies whose edits overlap little, so most meet only near their middle
+        own = list(base)
+        for _ in range(rnd.randrange(0, 5)):
+            own[rnd.randrange(len(own))] = word()
+        rows.append((1000 - i, " ".join(own)))
+    passage = " ".join(word() for _ in range(60))
+    rows += [(2000 + i, passage + " " + " ".join(word() for _ in range(rnd.choice([5, 12, 40])))) for i in range(80)]
+    rows += [(3000 + i, " ".join(word() for _ in range(rnd.choice([1, 2, 3, 4, 30])))) for i in range(60)]
+    rows += [(4000, ""), (4001, " \t\n"), (4002, "a b"), (4003, "A  B"), (4004, "a b c d"), (4005, "a b c"), (4006, "a b c d a b c d"), (4007, "é É b c")]
+    df = spark.createDataFrame(rows + [(4008, None)], "doc_id long, text string").withColumn("node", F.lit(1)).withColumn("digest", F.lit(0))
+    got = {r.doc_id: r for r in near_dedup.near_components(df).collect()}
+    want = brute_components(rows) | {4008: (0, 4008)}
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
+    assert all(r.kept == (r.component_id == i) for i, r in got.items())
+    kept = near_dedup.drop_near_copies(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, w in want.items() if w[1] == i}
+    assert near_dedup.near_components(df.limit(0)).count() == 0
+
+
+def test_near_components_of_null_and_repeated_ids(spark):
+    rows = [(None, "p q r s t u"), (None, "alone in the world here"), (3, "p q r s t u"), (3, "p q r s t u"), (2, "other words are found here now"), (3, "other words are found here now")]
+    got = [tuple(r) for r in near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted(
+        [(None, 3, 2, False), (None, 2, None, True), (3, 3, 2, False), (3, 3, 2, False), (2, 3, 2, True), (3, 3, 2, False)], key=str)
+
+
+def test_short_sets_and_signatures():
+    texts = ["a", "a b", "b a", "a b c", "a b c d", "x a b c d", "x\x0by\x0cz\rw", None, ""]
+    sets = sh.shingle_sets(pa.array(texts))
+    assert [len(s) for s in sets] == [len(brute_set(t)) for t in texts]
+    assert len({s.tobytes() for s in sets[:6]}) == 6
+    assert sh.linked(sets[0], sets[0], 80) and not sh.linked(sets[7], sets[8], 80)
+    assert not sh.min_hashes(sets, 8)[7:].any()
+
+
+def test_hilbert_neighbours_touch():
+    """Following the curve, exactly one axis changes by one."""
+    for axes, bits in ((2, 4), (3, 3), (4, 2)):
+        grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * axes, indexing="ij"), -1).reshape(-1, axes)
+        keys = neighbours.hilbert_keys(grid, bits)
+        assert sorted(keys.tolist()) == list(range(len(grid)))
+        assert (np.abs(np.diff(grid[np.argsort(keys)].astype(int), axis=0)).sum(axis=1) == 1).all()
+
+
+def brute_nearest(rows, every, count=10):
+    good = [(i, np.array(v, dtype=float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v, dtype=float)).all() and any(v)]
+    out = {}
+    for i, v in good:
+        if i % every == 0:
+            near = sorted((float(np.sqrt(((v - w) ** 2).sum())), j) for j, w in good if j != i)[:count]
+            out[i] = [(r + 1, j, round(s, 9)) for r, (s, j) in enumerate(near)]
+    return out
+
+
+def test_nearest_on_small_tables_is_exact(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).round(2).tolist()) for i in range(60)]
+    rows += [(100 + i, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) for i in range(40)]  # one very common vector
+    rows += [(200, None), (201, [0.0] * 6), (202, [None] + [1.0] * 5), (203, [float("nan")] * 6), (204, [float("inf")] + [1.0] * 5), (None, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("cell", F.lit(1)).withColumn("members", F.lit(2))
+    want = brute_nearest(rows, 10)
+    got = {}
+    for r in neighbours.nearest(df, every=10).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, round(r.score, 9)))
+    assert got == want
+    assert neighbours.nearest(df.limit(0)).count() == 0
+    assert neighbours.nearest(df.filter("vec_id = 100"), every=10).count() == 0
+
+
+def test_recall_of_windows_smaller_than_the_table(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "WINDOW", 256)
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    want = brute_nearest([(r.vec_id, r.embedding) for r in df.collect()], 100)
+    got = {}
+    for r in neighbours.nearest(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    found = sum(len(got[q] & {j for _, j, _ in near}) for q, near in want.items())
+    assert found >= 0.9 * sum(map(len, want.values()))
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return language.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), VOCAB, sample_docs=150)
+
+
+def test_forward_sums_all_segmentations(model):
+    pieces = language.Pieces(model.file_text)
+    number = {int(k): i for i, k in enumerate(pieces.keys)}
+
+    def brute(word, k):
+        chance = [1.0] + [0.0] * len(word)
+        for j in range(1, len(word) + 1):
+            for i in range(max(0, j - language.PIECE_BYTES), j):
+                at = number.get(language._hash(word[i:j]) ^ (int(language._END) if j == len(word) else 0))
+                if at is not None:
+                    chance[j] += chance[i] * model.chances[at, k]
+        return chance[-1]
+
+    words = ["the", "été", "über", "a", "internationalisations", "zzzz"]
+    scores = language.word_scores(pieces, model.chances, [w.encode() for w in words])
+    for i, word in enumerate(words):
+        for k in range(len(model.languages)):
+            assert np.exp(scores[i, k]) == pytest.approx(brute(word.encode(), k))
+    assert model.chances[:-1].sum(axis=0) == pytest.approx(np.ones(len(model.languages)))
+
+
+def test_expected_counts_cover_the_words(model):
+    """Pieces used in expectation spell exactly the bytes of the words."""
+    pieces = language.Pieces(model.file_text)
+    words, times = [b"the", "été".encode(), b"internationalisation"], np.array([3.0, 2.0, 1.0])
+    uses = language.expected_counts(pieces, model.chances[:, 0], words, times)
+    import json
+
+    vocab = json.loads(model.file_text)["model"]
+    byte = {c: b for b, c in enumerate(bpe.byte_letters())}
+    size = np.zeros(len(pieces))
+    for token in vocab["vocab"]:
+        final = token.endswith(vocab["end_of_word_suffix"])
+        piece = bytes(byte[c] for c in token.removesuffix(vocab["end_of_word_suffix"]))
+        if len(piece) <= language.PIECE_BYTES:
+            size[np.searchsorted(pieces.keys, np.uint64(language._hash(piece) ^ (int(language._END) if final else 0)))] = len(piece)
+    assert (uses * size).sum() == pytest.approx(sum(len(w) * t for w, t in zip(words, times)))
+
+
+def test_held_out_accuracy(spark, model):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language.identify(docs.withColumn("held", language.held_out("doc_id")), model).filter("held and lang is not null")
+    right, n = got.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert n > 100 and right >= 0.97 * n
+    scores = got.agg(F.min("score"), F.max("score")).first()
+    assert 0 <= scores[0] <= scores[1] <= 1
+
+
+def test_languages_of_odd_texts(spark, model):
+    rows = [(1, None), (2, ""), (3, "123 !? 45"), (4, "the of and"), (None, "le la les des"), (6, "der " * 50_000), (7, "w" * 5_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang_pred", F.lit("old")).withColumn("_text", F.lit(0))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(df, model).collect()}
+    assert got[1] == got[2] == got[3] == ("und", 0.0)
+    assert got[4][0] == "en" and got[None][0] == "fr" and got[6][0] == "de" and got[7][0] in model.languages
+    kept = language.keep_identified(df, model)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} <= {4, None, 6, 7}
+    nothing = language.learn(spark.createDataFrame([], "doc_id long, text string, lang string"), VOCAB)
+    assert {r.lang_pred for r in language.identify(df, nothing).collect()} == {"und"}
+
+
+CASES = [
+    (None, ""),
+    ("", ""),
+    ("plain  text", "plain text"),
+    ("<p>a<p>b", "a\nb"),
+    ("<nav><ul><li>m<li>n</ul></nav><article><h1>T &amp; t</h1><p><b>One\n two<br><p>three</article><footer>f</footer>", "T & t\nOne two\nthree"),
+    ("<body><div class='sidebar'>s</div><header>h</header><div><p>x</p>y</div><form>z</form></body>", "x\ny"),
+    ("<article><header><h1>h</h1></header><p>b</p><div id='comments'><p>c</p></div><aside>z</aside></article><article class=comment>q</article>", "h\nb"),
+    ("a<script>var t='</p>'</script>b<style>p{}</style><!-- <p>no</p> -->", "ab"),
+    ("<table><tr><td>1<td>2<tr><td>3</table>", "1\n2\n3"),
+    ("a < b &lt;p&gt; &eacute;&#233;&#x41; &nosuch;", "a < b <p> ééA &nosuch;"),
+    ("<main><p title=\"a>b\">in</p></main><p>out</p>", "in"),
+    ("<p>" * 3000 + "deep" + "<div>" * 3000 + "er", "deep\ner"),
+    ("<b " * 5000 + "\"'" * 5000, None),
+    ("<div class=cookie-notice>n</div><p>t</p>", "t"),
+]
+
+
+def test_texts_of_pages(spark):
+    df = spark.createDataFrame([(i, f"http://h{i}.net/", s) for i, (s, _) in enumerate(CASES)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_text.main_texts(df.withColumn("host", F.lit(1)).withColumn("text", F.lit("old"))).collect()}
+    for i, (_, want) in enumerate(CASES):
+        assert want is None or got[i].text == want, i
+        assert got[i].n_chars == len(got[i].text)
+    assert html_text.main_texts(df.limit(0)).count() == 0
+
+
+def test_site_tree_removes_what_a_site_repeats(spark, monkeypatch):
+    page = "<body><div class=x><p>Read more about our great company</p></div><div class=y><p>story {0} of its own</p><p>and more of {0}</p></div></body>"
+    rows = [(i, "http://one.net/" + str(i), page.format(i)) for i in range(30)] + [(100, None, page.format(1)), (101, "http://two.net/", page.format(2))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_texts(df).collect()}
+    assert got[3] == "story 3 of its own\nand more of 3"
+    assert got[101].startswith("Read more") and got[100].startswith("Read more")  # a site of one page says nothing
+    monkeypatch.setattr(html_text, "BROADCAST_ROWS", 0)
+    assert {r.page_id: r.text for r in html_text.main_texts(df).collect()} == got
