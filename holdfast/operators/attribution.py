@@ -121,8 +121,10 @@ def shapley(tables: list[LeafTable], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def attributions(model: ChurnModel, users: DataFrame) -> DataFrame:
-    """(user_id, phi array, x array) of every user; `x` are the feature values scored.
+def attributions(model: ChurnModel, users: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(user_id, keep..., phi array, x array) of every user; `x` are the feature values scored.
+
+    `keep` names text columns of the users that are carried along, so that later groupings need no join.
 
     The work per row grows with trees x leaves x depth and the leaf tables travel to every worker:
     models that are to be explained for all users should stay at depth 8 or less.
@@ -130,6 +132,7 @@ def attributions(model: ChurnModel, users: DataFrame) -> DataFrame:
     tables, _base = load_trees(model, users.sparkSession)
     filled = users.select(
         "user_id",
+        *[F.col(c).cast("string").alias(c) for c in keep],
         F.array(
             *[
                 F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) if c in users.columns else F.lit(0.0)
@@ -142,19 +145,23 @@ def attributions(model: ChurnModel, users: DataFrame) -> DataFrame:
         for batch in batches:
             if len(batch):
                 x = np.stack(batch["x"].to_numpy())
-                yield pd.DataFrame(
-                    {"user_id": batch["user_id"].to_numpy(), "phi": list(shapley(tables, x)), "x": list(x)}
-                )
+                yield batch.drop(columns="x").assign(phi=list(shapley(tables, x)), x=list(x))
+
+    kept = "".join(f"`{c}` string, " for c in keep)
+    return filled.mapInPandas(explain, f"user_id string, {kept}phi array<double>, x array<double>")
+
 
-    return filled.mapInPandas(explain, "user_id string, phi array<double>, x array<double>")
+def base_value(model: ChurnModel, spark) -> float:
+    """The mean prediction that the attributions of a row add up from."""
+    return load_trees(model, spark)[1]
 
 
-def attribution_rows(model: ChurnModel, users: DataFrame) -> DataFrame:
-    """Long form: (user_id, feature, shap_value, value)."""
+def attribution_rows(model: ChurnModel, users: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Long form: (user_id, keep..., feature, shap_value, value)."""
     names = F.array(*[F.lit(f) for f in model.features])
     zipped = F.explode(F.arrays_zip(names.alias("feature"), F.col("phi").alias("phi"), F.col("x").alias("x")))
-    rows = attributions(model, users).select("user_id", zipped.alias("r"))
-    return rows.select("user_id", F.col("r.feature").alias("feature"), F.col("r.phi").alias("shap_value"), F.col("r.x").alias("value"))
+    rows = attributions(model, users, keep).select("user_id", *keep, zipped.alias("r"))
+    return rows.select("user_id", *keep, F.col("r.feature").alias("feature"), F.col("r.phi").alias("shap_value"), F.col("r.x").alias("value"))
 
 
 def _direction(sign: Column) -> Column:
@@ -220,7 +227,7 @@ def explanation_summary(shap: DataFrame, scored: DataFrame) -> DataFrame:
 
 def shap_segments(model: ChurnModel, users: DataFrame, top: int = 3) -> DataFrame:
     """Strongest drivers of each segment over all of its users."""
-    rows = attribution_rows(model, users).join(users.select("user_id", "segment"), "user_id")
+    rows = attribution_rows(model, users, ("segment",))
     stats = summarise(rows, "segment")
     order = W.partitionBy("segment").orderBy(F.desc("importance"), "feature")
     up = F.col("_sign") >= 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -814,10 +815,10 @@ def _(d):
 
 @query("feature_matrix")
 def _(d):
-    rows = _trained_rows(d)
-    names = labels.feature_names(rows)
-    long = order.long_form(rows.fillna(0), names)
-    return long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 2).alias("mean"))
+    names = ["frequency", "monetary", "recency", "ipi_median", "frequency_trend", "recent_spend_ratio", "no_such_column"]
+    vector = vector_to_array(learners.FEATURES)
+    rows = learners.assemble(_trained_rows(d), names).select("user_id", *[vector[i].alias(f"x{i}") for i in range(len(names))])
+    return rounded(rows, 3)
 
 
 @query("split_60_20_20")
@@ -934,6 +935,51 @@ def _learn(d) -> DataFrame:
     return d._once("learn", make)
 
 
+@query("model_registry_scores")
+def _(d):
+    """Largest difference between the scores of a saved and a loaded model, and the versions kept."""
+    store = registry.ModelRegistry(d.spark, scratch_path(d.spark, "models"))
+    for _turn in range(4):
+        store.save(_model(d), "r")
+    back = store.load_latest("r")
+    rows = _trained_rows(d).drop("churn_probability")
+    both = _model(d).probabilities(rows, "p").select("user_id", "p").join(back.probabilities(rows, "q").select("user_id", "q"), "user_id")
+    found = both.agg(F.count(F.lit(1)).alias("users"), F.max(F.abs(F.col("p") - F.col("q"))).alias("max_gap"))
+    return found.withColumn("kept", F.lit(store.list().count()))
+
+
+@query("score_invariants")
+def _(d):
+    """Rows, nulls and scores outside [0, 1] of every fitted candidate over all labelled users."""
+    names, made = labels.feature_names(_trained_rows(d)), None
+    for name, fitted in (("forest", learners.fit_rf(_learn(d), **SMALL_RF)), ("boosted", learners.fit_gbt(_learn(d), **SMALL_GBT))):
+        scored = learners.ChurnModel(name, names, [fitted]).probabilities(_trained_rows(d).drop("churn_probability"))
+        p = F.col("churn_probability")
+        one = scored.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("users"), F.countDistinct("user_id").alias("ids"),
+                         F.count_if(p.isNull() | (p < 0) | (p > 1)).alias("odd"))
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
+@query("shap_additivity")
+def _(d):
+    """For every user: whether attributions and mean prediction add up to the forest's raw score."""
+    names = labels.feature_names(_trained_rows(d))
+    model = learners.ChurnModel("Random Forest", names, [learners.fit_rf(_learn(d), **SMALL_RF)])
+    base = attribution.base_value(model, d.spark)
+    total = F.aggregate("phi", F.lit(base), lambda a, x: a + x)
+    whole = attribution.attributions(model, _now(d)).select("user_id", total.alias("whole"))
+    raw = model.probabilities(_now(d).drop("churn_probability"), "raw").select("user_id", "raw")
+    close = F.abs(F.col("whole") - F.col("raw")) < 1e-6
+    return whole.join(raw, "user_id").select("user_id", close.cast("int").alias("adds_up"))
+
+
+@query("silhouette_fixed")
+def _(d):
+    """Silhouette of the recency scores taken as clusters."""
+    return rounded(learners.silhouette(d.users.withColumn("cluster", F.col("r_score").cast("int"))), 5)
+
+
 @query("kmeans_clusters")
 def _(d):
     return learners.clusters(d.users).groupBy("cluster").agg(F.count(F.lit(1)).alias("users"))

@@ -434,6 +434,26 @@ ORACLES.update({
         """select user_id, frequency, round(monetary, 3) monetary, recency, round(ipi_median, 3) ipi_median, r_score, segment,
         round(frequency_trend, 3) frequency_trend, round(rsr, 3) recent_spend_ratio, round(rp, 3) recency_pct, cast(churned as int) churned
         from users join tr using (user_id) join rp using (user_id) join lab using (user_id)""", CUT),
+    "feature_matrix": sql(SCORES + f""",
+        tr as (select user_id, (count(*) filter (epoch_us(ts) >= mn0 + (cut - mn0) / 2.0) + 1)
+          / (count(*) filter (epoch_us(ts) < mn0 + (cut - mn0) / 2.0) + 1) frequency_trend,
+          coalesce(sum(amount) filter (epoch_us(ts) >= mn0 + greatest(cast(floor(((cut - mn0) // {DAY}) * 0.7) as bigint), 1) * {DAY}), 0)
+          / (sum(amount) + 1e-9) rsr from tx, cu group by user_id)""",
+        """select user_id, cast(frequency as double) x0, round(monetary, 3) x1, recency x2, round(ipi_median, 3) x3, round(frequency_trend, 3) x4,
+        round(rsr, 3) x5, 0.0::double x6 from users join tr using (user_id) join lab using (user_id)""", CUT),
+    "model_registry_scores": sql("", "select count(*) users, 0.0::double max_gap, 3 kept from lab", CUT),
+    "score_invariants": sql("", """select unnest(['forest', 'boosted']) model, n users, n ids, 0 odd
+        from (select count(distinct user_id) n from lab)""", CUT),
+    "shap_additivity": sql(USERS, "select user_id, 1 adds_up from u"),
+    "silhouette_fixed": sql(SCORES + """,
+        st as (select avg(recency) mr, stddev_samp(recency) sr, avg(frequency) mf, stddev_samp(frequency) sf, avg(monetary) mm, stddev_samp(monetary) sm from users),
+        pt as (select user_id, r_score c, (recency - mr) / sr x, (frequency - mf) / sf y, (monetary - mm) / sm z from users, st),
+        cl as (select c, count(*) n, sum(x) sx, sum(y) sy, sum(z) sz, sum(x * x + y * y + z * z) q from pt group by c),
+        ds as (select p.user_id, p.c own, cl.c other, cl.n, (p.x * p.x + p.y * p.y + p.z * p.z) + cl.q / cl.n
+            - 2 * (p.x * cl.sx + p.y * cl.sy + p.z * cl.sz) / cl.n dist from pt p, cl),
+        ab as (select user_id, max(case when own = other then case when n > 1 then dist * n / (n - 1) else 0 end end) a,
+            min(case when own <> other then dist end) b, max(case when own = other then n end) k from ds group by 1)""",
+        "select round(avg(case when k = 1 then 0 when greatest(a, b) = 0 then 0 else (b - a) / greatest(a, b) end), 5) silhouette from ab"),
     "label_churn_flag": sql("", "select user_id, exited churned from tb where user_id <> '0'", BANK),
     "labelled_training_set": sql(f"""bu as (select * from tb where user_id <> '0'),
         r as (select max(epoch_us(timestamp '2024-05-10' - to_days(cast(tm * 30 as int)))) + {DAY} ref from bu)""",
