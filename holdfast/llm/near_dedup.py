@@ -17,12 +17,15 @@ from holdfast.session import cut_lineage, shuffle_width
 #: Orders of the forest and hashes of each label; all hashes together are the signature.
 TREES, DEPTH = 16, 8
 HASHES = TREES * DEPTH
-#: Neighbours taken before each row of an order; every pair of near rows meets in several orders.
-REACH = 6
+#: Neighbours taken before each row of an order, in the first and the second walk; the second only
+#: looks at pairs of different components. Every pair of near rows meets in several orders.
+REACH, FAR_REACH = 16, 64
 #: Regions (rows that share so many leading hashes) that also name centres, and how many of them.
 CENTRE_DEPTHS, CENTRES = (1, 2, 4), 4
-#: Estimated similarity from which a candidate goes to the confirmation, four deviations below 0.8.
-LEAST_ESTIMATE = 0.65
+#: Estimated similarity from which a candidate goes to the confirmation, three deviations below 0.8.
+LEAST_ESTIMATE = 0.69
+#: Candidates of a class that are confirmed first.
+FIRST_PAIRS = 2
 PERCENT = 80
 ARROW_ROWS = 500
 
@@ -54,14 +57,18 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "doc long, n long, digest binary, label binary, sketch binary")
 
 
-def _pairs(labels: np.ndarray, sketches: np.ndarray, trees: np.ndarray, nodes: np.ndarray) -> Iterator[tuple]:
+def _pairs(
+    labels: np.ndarray, sketches: np.ndarray, trees: np.ndarray, nodes: np.ndarray, roots: np.ndarray, far: int
+) -> Iterator[tuple]:
     """Candidates (row, row, equal half bytes) of one sorted part of the forest."""
 
     def measured(a: np.ndarray, b: np.ndarray):
         for i in range(0, len(a), 200_000):
             p, q = a[i : i + 200_000], b[i : i + 200_000]
+            apart = roots[p] != roots[q]
+            p, q = p[apart], q[apart]
             same = _EQUAL[sketches[p] ^ sketches[q]].sum(axis=1, dtype=np.int64)
-            good = (same >= _NEEDED) & (nodes[p] != nodes[q])
+            good = same >= _NEEDED
             yield p[good], q[good], same[good]
 
     # together[d][i]: row i shares its tree and its first d + 1 hashes with the row before it
@@ -72,14 +79,16 @@ def _pairs(labels: np.ndarray, sketches: np.ndarray, trees: np.ndarray, nodes: n
         together.append(joined)
     near = together[0]
     reach = near.copy()
-    for back in range(1, REACH + 1):
+    for back in range(1, far + 1):
         rows = np.flatnonzero(reach)
+        if not len(rows):
+            break
         yield from measured(rows - back, rows)
         reach = reach & np.concatenate([np.zeros(back, dtype=bool), near[:-back]])
     for depth in CENTRE_DEPTHS:
         starts = np.flatnonzero(~together[depth - 1])
         for a, b in zip(starts.tolist(), np.append(starts[1:], len(nodes)).tolist()):
-            if b - a <= REACH + 1:
+            if b - a <= far + 1:
                 continue
             own = sketches[a:b]
             halves = np.concatenate([own >> 4, own & 15], axis=1)
@@ -90,38 +99,70 @@ def _pairs(labels: np.ndarray, sketches: np.ndarray, trees: np.ndarray, nodes: n
                 yield from measured(np.full(b - a, centre), rows)
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """(a, b, same) of distinct candidate pairs, a < b, from rows (node, label, sketch).
+def _best(p: np.ndarray, q: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Places of the pairs that are the most similar one of either of their rows."""
+    rows, pair = np.concatenate([p, q]), np.tile(np.arange(len(p)), 2)
+    order = np.lexsort((pair, -same[pair], rows))
+    first = np.r_[True, rows[order][1:] != rows[order][:-1]]
+    return np.unique(pair[order][first])
 
-    Each order is sorted by (tree, label, node) and range-partitioned in that order, so a dense
-    region is split like any other rows. Within a part a row meets the `REACH` rows before it as far
-    as they share a prefix: in a dense region these share a long one, in a sparse one a short one,
-    which is the depth of the forest adapting to the region. Regions too large for that also compare
-    every row with their most central rows, so copies of one original meet it however many lie
-    between. A pair that a part's edge separates in one order meets in the others.
+
+def candidates(reps: DataFrame, only_best: bool) -> DataFrame:
+    """(a, b, same) of distinct candidate pairs, a < b, from rows (node, root, label, sketch).
+
+    Each order is sorted by (tree, label, the following hashes, node) and range-partitioned in that
+    order, so a dense region is split like any other rows. Within a part a row meets the rows shortly
+    before it as far as they share a prefix: in a dense region these share a long one, in a sparse
+    one a short one, which is the depth of the forest adapting to the region. Regions too large for
+    that also compare every row with their most central rows, so copies of one original meet it
+    however many lie between. A pair that a part's edge separates in one order meets in the others.
+
+    Pairs of one root say nothing new and are left out. With `only_best` a row names its most similar
+    candidate of each order, if it has any.
     """
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    rows = reps.select("node", tree.alias("tree"), "label", "sketch")
-    rows = rows.select("node", "tree", F.expr(f"substring(label, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("label"), "sketch")
-    rows = rows.repartitionByRange(shuffle_width(reps.sparkSession), "tree", "label", "node")
-    rows = rows.sortWithinPartitions("tree", "label", "node")
+    rows = reps.select("node", "root", tree.alias("tree"), "label", "sketch")
+    part = F.expr(f"substring(label, tree * {4 * DEPTH} + 1, {4 * DEPTH})")
+    rows = rows.select("node", "root", "tree", part.alias("label"), "sketch")
+    # Rows of equal labels go on in the order of the hashes behind the label, of which the sketch has half a byte each.
+    behind = F.expr(f"concat(substring(sketch, (tree + 1) * {DEPTH // 2} + 1), substring(sketch, 1, tree * {DEPTH // 2}))")
+    order = ["tree", "label", behind, "node"]
+    rows = rows.repartitionByRange(shuffle_width(reps.sparkSession), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         part = pa.Table.from_batches(held)
-        nodes, trees = part["node"].to_numpy(), part["tree"].to_numpy()
+        nodes, roots, trees = (part[c].to_numpy() for c in ("node", "root", "tree"))
         labels = np.frombuffer(b"".join(part["label"].to_pylist()), dtype=">u4").reshape(-1, DEPTH)
         sketches = np.frombuffer(b"".join(part["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, HASHES // 2)
-        for p, q, same in _pairs(labels, sketches, trees, nodes):
-            a, b = np.minimum(nodes[p], nodes[q]), np.maximum(nodes[p], nodes[q])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(same)], names=["a", "b", "same"])
+        kept: list[tuple] = []
+        for p, q, same in _pairs(labels, sketches, trees, nodes, roots, REACH if only_best else FAR_REACH):
+            if only_best:
+                kept.append((p, q, same))
+                if len(kept) > 50:  # a row has one best pair, so what is held stays small
+                    kept = [_reduced(kept)]
+            else:
+                yield _pair_batch(nodes[p], nodes[q], same)
+        if kept:
+            p, q, same = _reduced(kept)
+            yield _pair_batch(nodes[p], nodes[q], same)
 
     pairs = rows.mapInArrow(run, "a long, b long, same long")
     return pairs.groupBy("a", "b").agg(F.max("same").alias("same"))
 
 
+def _reduced(kept: list[tuple]) -> tuple:
+    p, q, same = (np.concatenate(x) for x in zip(*kept))
+    best = _best(p, q, same)
+    return p[best], q[best], same[best]
+
+
+def _pair_batch(x: np.ndarray, y: np.ndarray, same: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(same)], names=["a", "b", "same"])
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough; texts has (node, text)."""
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
@@ -136,6 +177,47 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+#: Links that one task joins into trees before the rounds over all links begin.
+LINKS_EACH = 500_000
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """The components of links (a, b): trees within parts of bounded size first, then star rounds.
+
+    A part replaces its links by one link per node to the least node it reaches there, so the rounds
+    over all parts start from fewer and shorter paths. Parts grow in number with the links.
+    """
+    links = cut_lineage(links, "links")
+    parts = -(-links.count() // LINKS_EACH) or 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = find(a), find(b)
+                root[max(a, b)] = min(a, b)
+        nodes = [x for x in root if root[x] != x]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(map(find, nodes), pa.int64())], names=["a", "b"])
+
+    trees = links.select("a", "b").coalesce(parts).mapInArrow(run, "a long, b long")
+    return components(trees, "a", "b")
+
+
+def _one_id(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) from an id that rows with different sets share to the classes of these sets."""
+    rows = signed.filter("n > 0 and doc is not null")
+    mark = F.xxhash64("digest")
+    several = rows.groupBy("doc").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low <> high").select("doc")
+    own = rows.join(several, "doc").select("doc", "digest").distinct().join(classes, "digest")
+    return own.select(F.col("doc").alias("a"), F.col("node").alias("b")).filter("a <> b")
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
 
@@ -144,9 +226,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are linked when 100 * intersection >= percent * union, confirmed on full sets.
     component_id is the smallest id reachable, kept tells whether it is the document's own.
 
-    Texts of equal sets form one class, so copies enter the forest once. Candidates of the forest
-    are confirmed in two rounds: the most similar one of every class, then all that still lie in
-    different components; pairs inside a component cannot change it.
+    Texts of equal sets form one class, so copies enter the forest once. The forest is walked twice:
+    first every class names its most similar candidates and these are confirmed and joined, then all
+    candidates that still lie in different components are; pairs inside one cannot change it.
 
     Null ids: such rows belong to the component of their set but never name one; without any id
     component_id is null. Rows that repeat an id count as linked. Other columns are ignored. An
@@ -156,26 +238,26 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = signed.filter("n > 0 and doc is not null").groupBy("digest").agg(F.min("doc").alias("node"))
     classes = cut_lineage(classes, "classes")
     reps = signed.join(classes.withColumnRenamed("node", "doc"), ["digest", "doc"])
-    reps = reps.dropDuplicates(["digest", "doc"]).select(F.col("doc").alias("node"), "label", "sketch")
-    pairs = cut_lineage(candidates(reps), "candidates")
+    reps = cut_lineage(reps.dropDuplicates(["digest", "doc"]).select(F.col("doc").alias("node"), "label", "sketch"), "points")
+    pairs = cut_lineage(candidates(reps.withColumn("root", F.col("node")), only_best=True), "candidates")
+    # every class that has any candidate names one, so these are all the texts that a confirmation can need
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    texts = cut_lineage(texts.join(ends, "node").dropDuplicates(), "texts")
-
-    ways = pairs.select(F.explode(F.array(F.struct("a", "b", "same"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "same"))).alias("w"))
-    best = ways.select("w.*").groupBy("a").agg(F.max(F.struct("same", F.negative("b").alias("other"))).alias("best"))
-    best = best.select("a", (-F.col("best.other")).alias("b"))
-    best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = cut_lineage(confirmed(best, texts, percent), "links")
-    roots = components(links, "a", "b")
-    apart = pairs.join(best, ["a", "b"], "left_anti")
-    for end in ("a", "b"):
-        own = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-        apart = apart.join(own, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    apart = apart.filter("root_a <> root_b").select("a", "b")
-    links = links.unionByName(confirmed(apart, texts, percent))
+    # A sorted merge at every size: whether the ids are few enough to be broadcast is a matter of luck.
+    texts = cut_lineage(texts.join(ends.hint("merge"), "node").dropDuplicates(), "texts")
+
+    # of the at most TREES pairs that a class has named, its most similar ones
+    ways = F.explode(F.array(F.struct("a", "b", "same"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "same"))).alias("w")
+    mine = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("same"), "b"))
+    named = pairs.filter("a <> b").select(ways).select("w.*").withColumn("turn", mine).filter(F.col("turn") <= FIRST_PAIRS)
+    named = named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    roots = _joined(confirmed(named, texts, percent).unionByName(_one_id(signed, classes)))
+
+    known = ends.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    apart = cut_lineage(candidates(reps.join(known, "node"), only_best=False).select("a", "b"), "apart")
+    links = confirmed(apart, texts, percent)
     links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    roots = components(links, "a", "b")
+    roots = _joined(links)
 
     named = classes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component"))
     out = signed.select("doc", "n", "digest").join(named, "digest", "left")
