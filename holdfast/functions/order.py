@@ -48,8 +48,9 @@ def _place(value):
     return (1, value)
 
 
-def bucket_of(df: DataFrame, keys: Sequence[str]) -> Column:
-    """Bucket of a row in the order of `keys`: how many cut keys lie below its own.
+def bucket_of(df: DataFrame, keys: Sequence[str]) -> Column | None:
+    """Bucket of a row in the order of `keys`: how many cut keys lie below its own. None if one bucket
+    holds all rows, so that there are no offsets to add.
 
     The cuts are taken from rows whose digest is small, a bounded number per cut, sorted on the
     driver. They only decide how even the buckets are; every row lies in exactly one of them.
@@ -57,7 +58,7 @@ def bucket_of(df: DataFrame, keys: Sequence[str]) -> Column:
     n = df.count()
     wanted = min(MOST_BUCKETS, -(-n // BUCKET_ROWS))
     if wanted <= 1:
-        return F.lit(0)
+        return None
     share = min(1.0, 2 * SAMPLED_PER_CUT * wanted / n)
     turn = F.pmod(F.xxhash64(*keys, F.lit(3)), F.lit(1 << 20))
     seen = df.where(turn < math.ceil(share * (1 << 20))).select(*keys).limit(8 * SAMPLED_PER_CUT * wanted).collect()
@@ -65,7 +66,7 @@ def bucket_of(df: DataFrame, keys: Sequence[str]) -> Column:
     kinds = [df.schema[k].dataType for k in keys]
     cuts = list(dict.fromkeys(tuple(seen[len(seen) * i // wanted]) for i in range(1, wanted))) if seen else []
     if not cuts:
-        return F.lit(0)
+        return None
     rows = [F.struct(*[F.lit(v).cast(t).alias(k) for v, t, k in zip(cut, kinds, keys)]) for cut in cuts]
     own = F.struct(*[F.col(k) for k in keys])
     return F.size(F.filter(F.array(*rows), lambda c: c < own))
@@ -81,7 +82,10 @@ def running_totals(
     """
     by = list(by)
     hist = hold(hist)
-    laid = hist.withColumn("_part", bucket_of(hist, [*by, order]))
+    bucket = bucket_of(hist, [*by, order])
+    if bucket is None:
+        return whole_totals(hist, order, sums, by)
+    laid = hist.withColumn("_part", bucket)
     pieces = laid.groupBy("_part", *by).agg(*[F.sum(s).alias(s) for s in sums])
     group = W.partitionBy(*by) if by else W.partitionBy()
     before = group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
@@ -101,10 +105,11 @@ def running_totals(
     )
 
 
-def calendar_totals(
+def whole_totals(
     hist: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
-    """The columns of `running_totals` through one window, for at most one row per calendar day."""
+    """The columns of `running_totals` through one window per group: for rows of one bucket, or at most
+    one per calendar day."""
     group = W.partitionBy(*by)
     upto = group.orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     return hist.select(
@@ -159,9 +164,13 @@ def positions(df: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> Dat
     """
     by = list(by)
     df = hold(df)
-    laid = df.withColumn("_part", bucket_of(df, [*by, *keys]))
-    sizes = laid.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n"))
     group = W.partitionBy(*by)
+    bucket = bucket_of(df, [*by, *keys])
+    if bucket is None:
+        at = (F.row_number().over(group.orderBy(*keys)) - 1).cast("bigint")
+        return df.withColumns({"_pos": at, "_size": F.count(F.lit(1)).over(group)})
+    laid = df.withColumn("_part", bucket)
+    sizes = laid.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n"))
     before = group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
         "_part", *by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), F.sum("_n").over(group).alias("_size")
@@ -225,7 +234,7 @@ def pct_rank(df: DataFrame, col: str, name: str, spread: str = "user_id") -> Dat
 def pct_rank_days(df: DataFrame, col: str, name: str) -> DataFrame:
     """`pct_rank` for whole-day columns: one lookup row per calendar day, so it is broadcast."""
     hist = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    ranks = calendar_totals(hist, col, ["n"]).select(
+    ranks = whole_totals(hist, col, ["n"]).select(
         col, ((F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2) / F.col("tot_n")).alias(name)
     )
     return df.join(F.broadcast(ranks), col, "left")

@@ -230,13 +230,14 @@ def test_first_baseline_run_saves(spark, tmp_path):
     assert state == "Baseline Drift" and found.first()["drifted"] is False
 
 
-def test_full_report(spark, seeded_tx):
-    done = report.analyse(seeded_tx, "retail", rf=RF, gbt=GBT)
+def test_full_report(spark, seeded_tx, tmp_path):
+    done = report.analyse(seeded_tx, "retail", rf=RF, gbt=GBT, baseline=str(tmp_path / "base"))
     users = done.users.toPandas()
     assert len(users) == 240 and users["churn_probability"].between(0, 1).all() and (users["revenue_at_risk"] >= 0).all()
     assert users[["churn_probability", "predicted_ltv", "segment", "lifecycle"]].isna().sum().sum() == 0
     body = report.report_json(done.sections)
-    assert {r["section"] for r in body.collect()} >= {"kpis", "segment_churn", "forecast", "hypotheses", "drift"}
+    assert {r["section"] for r in body.collect()} >= {
+        "kpis", "segment_churn", "forecast", "hypotheses", "drift", "clusters", "silhouette", "metrics", "shap", "shap_segments", "baseline_drift"}
     assert report.users_json(done.users).count() == len(users)
 
 
