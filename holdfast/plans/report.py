@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions.fixed import FALLBACK_DRIVERS
-from holdfast.operators import attribution, drift, features, hypotheses, labels, learners, money, reports
+from holdfast.operators import attribution, drift, features, hypotheses, ingest, labels, learners, money, reports
 from holdfast.operators.activity import activity, span
 from holdfast.session import cut_lineage, hold, small_table
 from holdfast.sources.registry import ModelRegistry
@@ -37,11 +37,13 @@ def analyse(
     gbt: dict | None = None,
     explain: bool = True,
     stage: bool = False,
+    baseline: str | None = None,
 ) -> Analysis:
     """Canonical transactions in, scored users and every report section out.
 
     Each section scans `tx` for the columns it needs. `stage` first writes the prepared rows to the
-    shared folder as a columnar table: worth it when `tx` still parses text files.
+    shared folder as a columnar table: worth it when `tx` still parses text files. `baseline` is the
+    path of a drift baseline; the first run saves it.
     """
     tx = cut_lineage(tx, "tx") if stage else tx
     act = activity(tx)
@@ -67,6 +69,7 @@ def analyse(
     )
     drivers = hold(drivers)
     top = [(r["raw_feature"], r["feature"]) for r in drivers.orderBy(F.desc("importance")).limit(8).collect()]
+    grouped = hold(learners.clusters(users))
     segments = hold(money.segment_churn(users))
     cohorts = reports.cohort_matrix(tx)
     month = spark.range(1).select(F.month(F.timestamp_micros(F.lit(span(tx)[1])))).first()[0]
@@ -76,6 +79,8 @@ def analyse(
         "risk_counts": money.risk_counts(users),
         "data_health": reports.data_health(tx),
         "segments": features.value_counts(users, "segment"),
+        "clusters": features.value_counts(grouped.withColumn("cluster", F.col("cluster").cast("string")), "cluster"),
+        "silhouette": learners.silhouette(grouped),
         "lifecycle_stages": features.value_counts(users, "lifecycle"),
         "segment_churn": segments,
         "cohorts": cohorts,
@@ -87,6 +92,16 @@ def analyse(
         "hypotheses": hypotheses.hypotheses(users, top, threshold, domain, score),
         "interventions": reports.interventions(segments, title_top(top)),
     }
+    if model:
+        sections["metrics"] = small_table(
+            spark, [(k, str(v)) for k, v in model.metrics.items()], "metric string, value string"
+        )
+    if shap is not None:
+        sections["shap"] = shap
+        sections["shap_segments"] = attribution.shap_segments(model, users)
+    if baseline is not None:
+        state, found = drift.check_against_baseline(users, ["recency", "frequency", "monetary"], baseline)
+        sections["baseline_drift"] = found if found is not None else small_table(spark, [(state,)], "state string")
     if reports.product_column(tx):
         sections["product_mix"] = reports.product_mix_segment(tx, users)
         sections["product_risk"] = reports.product_risk(tx, users)
@@ -96,6 +111,12 @@ def analyse(
     return Analysis(users, model, sections)
 
 
+def analyse_files(frames: list[DataFrame], domain: str | None = None, **options) -> Analysis:
+    """Several raw tables of one business: each is prepared, their rows are stacked without repeats."""
+    tx = ingest.union_dedupe([ingest.prepare(f, domain) for f in frames])
+    return analyse(ingest.require_columns(tx), domain or ingest.detect_domain(frames[0].columns), **options)
+
+
 def score_stored(tx: DataFrame, store: ModelRegistry, model_id: str, domain: str = "retail") -> DataFrame | None:
     """Scores and values of all current users by the newest stored model; None without a usable one.
 
