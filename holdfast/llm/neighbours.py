@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from holdfast.session import cut_lineage, shuffle_width
 
@@ -28,6 +29,13 @@ def usable(name: str):
     return v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
 
 
+def _vector(vectors: DataFrame, name: str) -> Column:
+    """The vector column; single precision stays as it is and is widened where distances are taken."""
+    kind = vectors.schema[name].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    return F.col(name) if single else F.col(name).cast("array<double>")
+
+
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     """Place on the Hilbert curve of every row of axis numbers below 2**bits.
 
@@ -84,7 +92,7 @@ def _classes(vectors: DataFrame, id_col: str, vec_col: str, every: int, most: in
     Rows of one vector are dealt over salts first. The other ids of a vector are at the same
     distance from everything and larger, so no list of fewer than `most` neighbours can hold them.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vector"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), _vector(vectors, vec_col).alias("vector"))
     rows = rows.filter(F.col("id").isNotNull() & usable("vector"))
     sizes = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
     rows = rows.filter(F.size("vector") == (sizes[0] if sizes else 0)).distinct()
@@ -116,7 +124,7 @@ def _laid(classes: DataFrame, curves: Curves) -> DataFrame:
                     [pa.array(np.full(len(keys), curve, dtype=np.int32)), pa.array(keys.view(np.int64)), *batch.columns],
                     names=["curve", "key", "vector", "id", "members", "asked"])
 
-    kind = "curve int, key long, vector array<double>, id long, members array<long>, asked int"
+    kind = f"curve int, key long, vector {classes.schema['vector'].dataType.simpleString()}, id long, members array<long>, asked int"
     rows = classes.select("vector", "id", "members", "asked").mapInArrow(run, kind)
     rows = rows.repartitionByRange(shuffle_width(spark), "curve", "key", "id").sortWithinPartitions("curve", "key", "id")
     # Number of the partition in the upper bits, number of the row in the lower 33.
@@ -160,7 +168,7 @@ def nearest(
     def search(cell: pa.Table) -> pa.Table:
         asks = cell["asks"].to_numpy().astype(bool)
         ids = cell["id"].to_numpy()
-        flat = cell["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        flat = cell["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
         matrix = flat.reshape(cell.num_rows, -1)
         there = np.flatnonzero(~asks)
         base, own = matrix[there], ids[there]
@@ -188,7 +196,7 @@ def nearest(
     first = F.row_number().over(Window.partitionBy("query").orderBy("score", "id"))
     found = found.withColumn("place", first).filter(F.col("place") <= count + 1).select("query", "score", "id")
 
-    asked = vectors.select(F.col(id_col).cast("long").alias("query_id"), F.col(vec_col).cast("array<double>").alias("vector"))
+    asked = vectors.select(F.col(id_col).cast("long").alias("query_id"), _vector(vectors, vec_col).alias("vector"))
     asked = asked.filter((F.col("query_id") % every == 0) & usable("vector")).distinct()
     asked = asked.join(classes.filter("asked = 1").select("vector", F.col("id").alias("query")), "vector")
     answers = asked.select("query_id", "query").join(found, "query").filter(F.col("id") != F.col("query_id"))
