@@ -26,6 +26,9 @@ from holdfast.operators.learners import ChurnModel
 from holdfast.session import scratch_path, small_table
 
 CELLS_AT_ONCE = 2_000_000  # rows x leaves x depth held by one step
+#: Depth of the trees that a report trains and explains unless it is told otherwise: it bounds the node
+#: table on the driver (trees x 2**(depth + 1) rows), the leaf tables of the tasks and the work per row.
+FOREST_DEPTH, BOOSTED_DEPTH = 8, 6
 
 # the functions below run in the Python workers, which need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -127,7 +130,7 @@ def attributions(model: ChurnModel, users: DataFrame, keep: tuple[str, ...] = ()
     `keep` names text columns of the users that are carried along, so that later groupings need no join.
 
     The work per row grows with trees x leaves x depth and the leaf tables travel to every worker:
-    models that are to be explained for all users should stay at depth 8 or less.
+    FOREST_DEPTH and BOOSTED_DEPTH keep both small for models that are explained for all users.
     """
     tables, _base = load_trees(model, users.sparkSession)
     filled = users.select(

@@ -242,11 +242,12 @@ def text_time(name: str, day_first: bool | None = None) -> Column:
     counted = _instant(text, NUMBERS_FIRST, numbers)
     yearly = F.regexp_replace(text, F.lit(r"^\s*(\d{4})[/.](\d{1,2})[/.](\d{1,2})"), F.lit("$1-$2-$3")).try_cast("timestamp")
     lettered = F.rlike(text, F.lit("[A-Za-z]{3}"))
-    dashed = F.when(F.rlike(text, F.lit(r"\d")), F.coalesce(text.try_cast("timestamp"), counted, spelt))
-    dotted = F.rlike(text, F.lit(r"^\s*\d+\.\d+\.\d"))
+    parted = F.coalesce(F.when(F.rlike(text, F.lit(r"^\s*\d{4}")), yearly), counted)
+    # a plain year-first text with dashes costs two searches for a character and the cast
     return (
-        F.when(F.contains(text, F.lit("/")) | dotted, F.coalesce(F.when(F.rlike(text, F.lit(r"^\s*\d{4}")), yearly), counted))
-        .when(F.contains(text, F.lit("-")), dashed)
+        F.when(F.contains(text, F.lit("/")), parted)
+        .when(F.contains(text, F.lit("-")), F.coalesce(text.try_cast("timestamp"), counted, spelt))
+        .when(F.rlike(text, F.lit(r"^\s*\d+\.\d+\.\d")), parted)
         .when(lettered, F.coalesce(spelt, compact))
         .otherwise(compact)
     )
@@ -272,15 +273,18 @@ def look_at_time(df: DataFrame, name: str = "timestamp") -> TimeLook:
     if kind in ("timestamp", "timestamp_ntz", "date"):
         return TimeLook("typed")
     text, plain = q(name).cast("string"), plain_number(name)
-    numbered = F.rlike(text, F.lit(NUMBERS_FIRST))
+    yearly = F.rlike(text, F.lit(r"^\s*\d{4}[-/.]\d"))  # needs no further look
+    other = ~F.col("yearly")
+    shape = F.rlike(text, F.lit(r"\d[-/.]|[A-Za-z]{3}.*\d|\d.*[A-Za-z]{3}"))
+    numbered = other & F.rlike(text, F.lit(NUMBERS_FIRST))
     part = lambda i: F.regexp_extract(text, NUMBERS_FIRST, i).try_cast("int")
     seen = facts(
-        df.select(q(name)),
+        df.select(q(name), yearly.alias("yearly")),
         rows=F.count(F.lit(1)),
-        numbers=F.count(plain),
-        top=F.max(plain),
-        compact=F.count_if(F.rlike(text, F.lit(COMPACT))),
-        shaped=F.count_if(F.rlike(text, F.lit(r"\d[-/.]|[A-Za-z]{3}.*\d|\d.*[A-Za-z]{3}"))),
+        numbers=F.count(F.when(other, plain)),
+        top=F.max(F.when(other, plain)),
+        compact=F.count_if(other & F.rlike(text, F.lit(COMPACT))),
+        shaped=F.count_if(F.col("yearly") | (other & shape)),
         first=F.max(F.when(numbered, part(1))),
         second=F.max(F.when(numbered, part(2))),
     )
