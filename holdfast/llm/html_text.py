@@ -53,6 +53,8 @@ NEVER_WORDS = frozenset(
     "navigation breadcrumb breadcrumbs pagination pager footer comment comments disqus respond reply replies related "
     "recommended share sharing social toolbar skip copyright".split()
 )
+#: Of these, the ones that count on an article or main element itself.
+MAIN_WORDS = frozenset("ad ads advert comment comments reply replies related recommended sponsored".split())
 OUTSIDE_WORDS = frozenset("header masthead topbar search".split())
 #: Text of these inside an article is never weighed by its importance.
 PLAIN = frozenset("article main p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table tbody thead tr td th figure figcaption b i em strong a span".split())
@@ -64,6 +66,8 @@ _TOKEN = re.compile(
 _RAW_END = {tag: re.compile(rf"</{tag}[^>]*>?", re.I) for tag in RAW}
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PARTS = re.compile(r"[a-z]+")
+#: Names that say what a wrapper has or shows name no part: has-sidebar, with-nav.
+_STATES = re.compile(r"\b(?:has|with|no|is|show|hide)[-_][a-z]+")
 
 
 class _Open:
@@ -85,7 +89,7 @@ def _mark(tag: str, attributes: str) -> tuple[int, frozenset[str]]:
     words: list[str] = []
     if "=" in attributes:
         for value in _NAMES.findall(attributes):
-            words += _PARTS.findall(value.lower())
+            words += _PARTS.findall(_STATES.sub(" ", value.lower()))
     return xxh64_intdigest(" ".join([tag, *sorted(set(words))])), frozenset(words)
 
 
@@ -143,9 +147,9 @@ class Page:
         if tag in VOID:
             self.text.append(" ")
             return
-        no = tag in NEVER or bool(words & NEVER_WORDS) and tag not in ("html", "body")
+        no = tag in NEVER or bool(words & (MAIN_WORDS if tag in MAIN else NEVER_WORDS)) and tag not in ("html", "body")
         if not parent.main:
-            no = no or tag in OUTSIDE or bool(words & OUTSIDE_WORDS) and tag not in ("html", "body")
+            no = no or tag in OUTSIDE or bool(words & OUTSIDE_WORDS) and tag not in ("html", "body", *MAIN)
         dropped = parent.dropped or no
         if tag in BLOCKS or dropped != parent.dropped:
             self._flush()

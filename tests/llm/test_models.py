@@ -235,6 +235,8 @@ CASES = [
     ("<p>" * 3000 + "deep" + "<div>" * 3000 + "er", "deep\ner"),
     ("<b " * 5000 + "\"'" * 5000, None),
     ("<div class=cookie-notice>n</div><p>t</p>", "t"),
+    ("<div class='wrap has-sidebar'><main class='post menu'><p>t</p></main><div class='sidebar'>s</div></div>", "t"),
+    ("<div role=navigation>n</div><div itemprop=articleBody><p>a</p><div class='share-buttons'>s</div></div><ul class=breadcrumbs><li>b</ul>", "a"),
 ]
 
 
