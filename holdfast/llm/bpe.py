@@ -24,8 +24,8 @@ SEPARATORS = regex.compile("[\x1c-\x1f]")
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+")
 #: Texts are encoded together until they have so many characters; pieces known to a task are
 #: forgotten beyond so many. Both bound memory and change no result.
-BATCH_CHARS = 8_000_000
-KNOWN_PIECES = 600_000
+BATCH_CHARS = 2_000_000
+KNOWN_PIECES = 150_000
 ARROW_ROWS = 500
 
 
