@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by shifted Hilbert orders of projected vectors."""
+"""Nearest neighbours by a Hilbert order of projected vectors, with exact bounds for the windows not looked at."""
 
 from __future__ import annotations
 
@@ -12,9 +12,13 @@ from pyspark.sql import types as T
 
 from holdfast.session import cut_lineage, shuffle_width
 
-#: Orders; axes of each projection and bits of each axis (together at most 64); rows of a key window.
-#: A query sees its own window and those before and after it in every order.
-CURVES, AXES, BITS, WINDOW = 12, 16, 4, 4096
+#: Axes of the projection and bits of each axis (together at most 64).
+AXES, BITS = 16, 4
+#: Key windows that the order is cut into, and rows of one at least. A window, and the queries that meet
+#: it in one task, hold at most BLOCK_BYTES of double precision; larger tables have more windows.
+WINDOWS, WINDOW, BLOCK_BYTES = 64, 128, 1 << 25
+#: Distances that a task holds at once.
+DISTANCES = 1 << 22
 #: Vectors that the middle and the spread of the projections are taken from.
 SAMPLE_ROWS = 5000
 SALTS = 32
@@ -64,24 +68,21 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-class Curves:
-    """Projections, scales and shifts of all orders, from a sample of vectors."""
+class Curve:
+    """Projection, scale and shift of the order, from a sample of vectors."""
 
     def __init__(self, sample: np.ndarray, seed: int = SEED):
         rng = np.random.default_rng(seed)
         width = sample.shape[1]
         axes = min(AXES, width)
         self.middle = sample.mean(axis=0)
-        self.turns, self.scales, self.shifts = [], [], []
-        for _ in range(CURVES):
-            turn = np.linalg.qr(rng.normal(size=(width, width)))[0][:, :axes]
-            spread = ((sample - self.middle) @ turn).std(axis=0)
-            self.turns.append(turn)
-            self.scales.append(np.where(spread > 0, spread, 1.0) * 3)
-            self.shifts.append(rng.uniform(-0.125, 0.125, size=axes))
-
-    def keys(self, vectors: np.ndarray, curve: int) -> np.ndarray:
-        placed = ((vectors - self.middle) @ self.turns[curve] / self.scales[curve] + 1) / 2 + self.shifts[curve]
+        self.turn = np.linalg.qr(rng.normal(size=(width, width)))[0][:, :axes]
+        spread = ((sample - self.middle) @ self.turn).std(axis=0)
+        self.scale = np.where(spread > 0, spread, 1.0) * 3
+        self.shift = rng.uniform(-0.125, 0.125, size=axes)
+
+    def keys(self, vectors: np.ndarray) -> np.ndarray:
+        placed = ((vectors - self.middle) @ self.turn / self.scale + 1) / 2 + self.shift
         cells = np.clip(np.nan_to_num(placed) * (1 << BITS), 0, (1 << BITS) - 1)
         return hilbert_keys(cells, BITS)
 
@@ -107,92 +108,149 @@ def _classes(vectors: DataFrame, id_col: str, vec_col: str, every: int, most: in
     return rows.groupBy("vector").agg(F.min("id").alias("id"), members, F.max("asked").alias("asked"))
 
 
-def _laid(classes: DataFrame, curves: Curves) -> DataFrame:
-    """Every class once per order with its `cell`, the number of its key window, in the shared folder."""
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a column in double precision, one a row."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def _laid(classes: DataFrame, curve: Curve, window: int) -> DataFrame:
+    """Every class with its `cell`, the number of its key window, in the shared folder."""
     spark = classes.sparkSession
-    shared = spark.sparkContext.broadcast(curves)
+    shared = spark.sparkContext.broadcast(curve)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float)
-            vectors = flat.reshape(batch.num_rows, -1)
-            for curve in range(CURVES):
-                keys = shared.value.keys(vectors, curve) ^ np.uint64(1 << 63)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(keys), curve, dtype=np.int32)), pa.array(keys.view(np.int64)), *batch.columns],
-                    names=["curve", "key", "vector", "id", "members", "asked"])
-
-    kind = f"curve int, key long, vector {classes.schema['vector'].dataType.simpleString()}, id long, members array<long>, asked int"
+            if batch.num_rows:
+                keys = shared.value.keys(_matrix(batch.column(0))) ^ np.uint64(1 << 63)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *batch.columns], names=["key", "vector", "id", "members", "asked"])
+
+    kind = f"key long, vector {classes.schema['vector'].dataType.simpleString()}, id long, members array<long>, asked int"
     rows = classes.select("vector", "id", "members", "asked").mapInArrow(run, kind)
-    rows = rows.repartitionByRange(shuffle_width(spark), "curve", "key", "id").sortWithinPartitions("curve", "key", "id")
+    rows = rows.repartitionByRange(shuffle_width(spark), "key", "id").sortWithinPartitions("key", "id")
     # Number of the partition in the upper bits, number of the row in the lower 33.
     rows = cut_lineage(rows.withColumn("at", F.monotonically_increasing_id()), "orders")
-    part, row = F.shiftright("at", 33).alias("part"), (F.col("at") % 2**33).alias("row")
-    # One row per partition and order, numbered from the first of its order.
-    parts = rows.groupBy("curve", part).agg(F.count("*").alias("n"), F.min(row).alias("first"))
-    before = F.sum("n").over(Window.partitionBy("curve").orderBy("part")) - F.col("n")
-    parts = parts.select(F.col("curve").alias("_curve"), F.col("part").alias("_part"), (before - F.col("first")).alias("start"))
-    same = (F.col("curve") == F.col("_curve")) & (F.shiftright("at", 33) == F.col("_part"))
-    placed = rows.join(F.broadcast(parts), same)
-    cell = F.expr(f"(start + at % {2**33}) div {WINDOW}")
-    return placed.select("curve", cell.alias("cell"), "vector", "id", "members", "asked")
+    parts = rows.groupBy(F.shiftright("at", 33).alias("_part")).agg(F.count("*").alias("n"))
+    # One row per partition, so a window without a key is small.
+    parts = parts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("start"))
+    placed = rows.join(F.broadcast(parts), F.shiftright("at", 33) == F.col("_part"))
+    cell = F.expr(f"(start + at % {2**33}) div {window}")
+    return placed.select(cell.alias("cell"), "vector", "id", "members", "asked")
+
+
+def _nearest_in(base: np.ndarray, own: np.ndarray, asks: np.ndarray, most: int, bounds: np.ndarray) -> Iterator[tuple]:
+    """(query, places, distances) of the `most` nearest rows of `base` within the bound of each query.
+
+    Products of matrices leave out rows that are surely too far, by more than their rounding; the
+    distances of the others are sums of squared differences. Ties go to the smaller id in `own`.
+    """
+    middle = base.mean(axis=0)
+    moved, norms = base - middle, ((base - middle) ** 2).sum(axis=1)
+    step = max(1, DISTANCES // len(base))
+    for i in range(0, len(asks), step):
+        turned = asks[i : i + step] - middle
+        lengths = (turned**2).sum(axis=1)
+        slack = 1e-9 * (lengths + norms.max())
+        far = norms + lengths[:, None] - 2 * (turned @ moved.T)
+        last = bounds[i : i + step] ** 2
+        if not np.isfinite(bounds[i : i + step]).all() and len(base) > most:
+            last = np.minimum(last, np.partition(far, most - 1, axis=1)[:, most - 1])
+        sure = np.isfinite(slack) & ~np.isnan(last)
+        for k in range(len(turned)):
+            some = np.flatnonzero(far[k] <= last[k] + 2 * slack[k]) if sure[k] else np.arange(len(base))
+            distance = np.sqrt(((base[some] - asks[i + k]) ** 2).sum(axis=1))
+            some, distance = some[distance <= bounds[i + k]], distance[distance <= bounds[i + k]]
+            first = np.lexsort((own[some], distance))[:most]
+            yield i + k, some[first], distance[first]
 
 
 def nearest(
     vectors: DataFrame, every: int = 100, count: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = SEED
 ) -> DataFrame:
-    """The `count` nearest rows found for every row whose id is divisible by `every`.
+    """The `count` nearest rows of every row whose id is divisible by `every`.
 
     Columns query_id, rank (from 1), the id column, score: the Euclidean distance in double precision
-    on the original vectors; ties go to the smaller id. Equal vectors are one point of the orders and
-    come back as their ids. Every vector is in every order; a window of an order is one group of at
-    most WINDOW points and the queries of three windows, so no group grows with the table, however
-    many rows are alike. Recall falls slowly as the table grows; README has figures.
+    on the original vectors; ties go to the smaller id. Equal vectors are one point of the order and
+    come back as their ids.
+
+    The result is exact at every size. A query first looks at its own window of the order, whose last
+    distance wanted bounds the true one; then it meets every window whose middle and radius do not put
+    all its points beyond that bound. Where vectors form clusters most windows are passed over; where
+    dimensions are independent none are, and the work grows with rows times queries (README has
+    figures). A task meets one window and as many queries as BLOCK_BYTES hold.
 
     Null ids, unusable vectors (`usable`) and vectors of another length than most take no part. Rows
     that repeat id and vector count once. Fewer candidates than `count` give fewer rows, an empty
     table none.
     """
+    spark = vectors.sparkSession
     classes = cut_lineage(_classes(vectors, id_col, vec_col, every, count + 1), "points")
     sample = classes.orderBy(F.xxhash64("id")).limit(SAMPLE_ROWS).select("vector").toPandas()["vector"]
     out = f"query_id long, rank int, {id_col} long, score double"
     if not len(sample):
-        return vectors.sparkSession.createDataFrame([], out)
-    laid = _laid(classes, Curves(np.stack(sample.to_list()).astype(float), seed))
-    points = laid.select("curve", "cell", "vector", "id", "members", F.lit(False).alias("asks"))
-    around = F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell")
-    asking = laid.filter("asked = 1").select("curve", around, "vector", "id", "members", F.lit(True).alias("asks"))
+        return spark.createDataFrame([], out)
+    points, asking = classes.agg(F.count("*"), F.coalesce(F.sum("asked"), F.lit(0))).first()
+    block = max(1, BLOCK_BYTES // (8 * len(sample[0])))
+    laid = _laid(classes, Curve(np.stack(sample.to_list()).astype(float), seed), min(block, max(WINDOW, -(-points // WINDOWS))))
 
-    def search(cell: pa.Table) -> pa.Table:
-        asks = cell["asks"].to_numpy().astype(bool)
-        ids = cell["id"].to_numpy()
-        flat = cell["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
-        matrix = flat.reshape(cell.num_rows, -1)
-        there = np.flatnonzero(~asks)
-        base, own = matrix[there], ids[there]
-        query, at, scores = [], [], []
-        for q in np.flatnonzero(asks) if len(there) else ():
-            distance = np.sqrt(((base - matrix[q]) ** 2).sum(axis=1))
-            some = np.arange(len(own))
-            if len(own) > count + 1:  # all as near as the last one wanted, ties included
-                last = np.partition(distance, count)[count]
-                some = np.flatnonzero(distance <= last)
-            some = some[np.lexsort((own[some], distance[some]))][: count + 1]
-            query.append(np.full(len(some), ids[q]))
-            at.append(there[some])
-            scores.append(distance[some])
-        none = np.zeros(0, dtype=np.int64)
-        chosen = np.concatenate([none, *at])
+    def look(cell: pa.Table) -> pa.Table:
+        """The queries of a window with the last distance wanted in it, and (asks 0) its middle and radius."""
+        base, own, asks = _matrix(cell["vector"]), cell["id"].to_numpy(), np.flatnonzero(cell["asked"].to_numpy())
+        middle = base.mean(axis=0)
+        bounds = np.full(len(asks), np.inf)
+        for q, some, distance in _nearest_in(base, own, base[asks], count + 1, bounds.copy()):
+            bounds[q] = distance[count] if len(some) > count else np.inf
+        rows = [middle, *base[asks]]
+        radius = np.sqrt(((base - middle) ** 2).sum(axis=1)).max()
         return pa.table({
-            "query": pa.array(np.concatenate([none, *query])), "point": pa.array(ids[chosen]),
-            "score": pa.array(np.concatenate([np.zeros(0), *scores])), "members": cell["members"].take(pa.array(chosen)),
+            "cell": pa.array(np.full(len(rows), cell["cell"][0].as_py())), "query": pa.array(np.r_[own[:1], own[asks]]),
+            "asks": pa.array(np.r_[0, np.ones(len(asks), dtype=int)].astype(np.int32)),
+            "vector": pa.array(list(np.array(rows))), "bound": pa.array(np.r_[radius, bounds]),
         })
 
-    found = points.unionByName(asking).groupBy("curve", "cell")
-    found = found.applyInArrow(search, "query long, point long, score double, members array<long>")
-    found = found.dropDuplicates(["query", "point"]).select("query", "score", F.explode("members").alias("id"))
+    seen = laid.select("cell", "vector", "id", "asked").groupBy("cell")
+    seen = seen.applyInArrow(look, "cell long, query long, asks int, vector array<double>, bound double")
+    seen = cut_lineage(seen, "bounds")
+    cells = seen.filter("asks = 0").select("cell", "vector", "bound").toPandas()
+    shared = spark.sparkContext.broadcast((cells["cell"].to_numpy(), np.stack(cells["vector"].to_list()), cells["bound"].to_numpy()))
+
+    def open_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, middles, radii = shared.value
+        for batch in batches:
+            near = []
+            for q, bound in zip(_matrix(batch.column(1)) if batch.num_rows else (), batch.column(2).to_numpy()):
+                away = np.sqrt(((middles - q) ** 2).sum(axis=1))
+                beyond = away - radii > bound + 1e-9 * (away + radii)  # false for what is not a number
+                near.append(numbers[~beyond])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.int64()))], names=["query", "vector", "bound", "cells"])
+
+    groups = -(-asking // block) or 1
+    turn = F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int").alias("turn")
+    asks = seen.filter("asks = 1").select("query", "vector", "bound")
+    asks = asks.mapInArrow(open_cells, "query long, vector array<double>, bound double, cells array<long>")
+    asks = asks.select(F.explode("cells").alias("cell"), turn, F.col("vector").cast(laid.schema["vector"].dataType), F.col("query").alias("id"), "bound")
+    every_turn = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("turn")
+    points = laid.select("cell", every_turn, "vector", "id", F.lit(None).cast("double").alias("bound"))
+
+    def search(cell: pa.Table) -> pa.Table:
+        asks = np.flatnonzero(cell["bound"].is_valid().to_numpy())
+        there = np.flatnonzero(cell["bound"].is_null().to_numpy())
+        ids, matrix = cell["id"].to_numpy(), _matrix(cell["vector"])
+        query, at, scores = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+        if len(asks):
+            bounds = cell["bound"].to_numpy()[asks]
+            for q, some, distance in _nearest_in(matrix[there], ids[there], matrix[asks], count + 1, bounds):
+                query.append(np.full(len(some), ids[asks[q]]))
+                at.append(ids[there[some]])
+                scores.append(distance)
+        return pa.table({"query": np.concatenate(query), "point": np.concatenate(at), "score": np.concatenate(scores)})
+
+    found = points.unionByName(asks).groupBy("cell", "turn").applyInArrow(search, "query long, point long, score double")
+    first = F.row_number().over(Window.partitionBy("query").orderBy("score", "point"))
+    found = found.withColumn("place", first).filter(F.col("place") <= count + 1)
+    found = found.join(classes.select(F.col("id").alias("point"), "members"), "point")
+    found = found.select("query", "score", F.explode("members").alias("id"))
     first = F.row_number().over(Window.partitionBy("query").orderBy("score", "id"))
     found = found.withColumn("place", first).filter(F.col("place") <= count + 1).select("query", "score", "id")
 

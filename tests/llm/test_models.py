@@ -155,6 +155,20 @@ def test_recall_of_windows_smaller_than_the_table(spark, monkeypatch):
     assert found >= 0.9 * sum(map(len, want.values()))
 
 
+def test_nearest_beyond_the_own_window_is_exact(spark, monkeypatch):
+    """Independent dimensions, and windows of a two-hundredth of the rows: no window order shows the neighbours."""
+    monkeypatch.setattr(neighbours, "WINDOW", 16)
+    monkeypatch.setattr(neighbours, "WINDOWS", 200)
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 16 * 8 * 32)  # several groups of queries too
+    rng = np.random.default_rng(8)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(3000, 32)))]
+    want = brute_nearest(rows, 100)
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, round(r.score, 9)))
+    assert got == want
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     return language.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), VOCAB, sample_docs=150)
