@@ -17,7 +17,8 @@ from holdfast.llm.url_rules import host_of
 from holdfast.session import cut_lineage
 
 #: A branch is removed if its importance in the site's tree is below this, outside and inside the
-#: article. Sites that show the branch fewer times say nothing about it.
+#: article, or if the importance of its own content is below the latter. Sites that show the branch
+#: fewer times, or the content on fewer pages, say nothing about it.
 LEAST_OUTSIDE, LEAST_INSIDE, LEAST_PAGES = 0.5, 0.2, 8
 #: Removed branches up to this number are broadcast; beyond it pages meet them by a salted join.
 BROADCAST_ROWS = 100_000
@@ -56,8 +57,8 @@ NEVER_WORDS = frozenset(
 #: Of these, the ones that count on an article or main element itself.
 MAIN_WORDS = frozenset("ad ads advert comment comments reply replies related recommended sponsored".split())
 OUTSIDE_WORDS = frozenset("header masthead topbar search".split())
-#: Text of these inside an article is never weighed by its importance.
-PLAIN = frozenset("article main p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table tbody thead tr td th figure figcaption b i em strong a span".split())
+#: Never weighed; and weighed by all their appearances only, as a value of a table may repeat.
+WHOLE, CELLS = frozenset(["html", "body"]), frozenset(["td", "th"])
 
 #: Possessive throughout: no text makes the search go back.
 _TOKEN = re.compile(
@@ -71,12 +72,12 @@ _STATES = re.compile(r"\b(?:has|with|no|is|show|hide)[-_][a-z]+")
 
 
 class _Open:
-    """An open element: its place in the style tree and what has been seen below it."""
+    """An open element: its place in the style tree and on the page, and what has been seen below it."""
 
-    __slots__ = ("tag", "path", "main", "dropped", "children", "content", "plain")
+    __slots__ = ("tag", "path", "main", "dropped", "children", "content", "number")
 
-    def __init__(self, tag: str, path: int, main: bool, dropped: bool, plain: bool):
-        self.tag, self.path, self.main, self.dropped, self.plain = tag, path, main, dropped, plain
+    def __init__(self, tag: str, path: int, main: bool, dropped: bool, number: int):
+        self.tag, self.path, self.main, self.dropped, self.number = tag, path, main, dropped, number
         self.children = self.content = 0
 
 
@@ -96,15 +97,18 @@ def _mark(tag: str, attributes: str) -> tuple[int, frozenset[str]]:
 class Page:
     """Blocks and branches of one page.
 
-    blocks: (text, main, dropped, branches), with the paths of the elements around the block that may
-    be weighed; branches: (path, presentation, content) of every closed element that holds text.
+    blocks: (text, main, dropped, number of the element around it); parents: for each element the number
+    of the one around it; weighed: for each element its path and, once closed, the mark of its content
+    (None where it is not weighed); branches: (path, presentation, mark of content) of every closed
+    element that holds text.
     """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, bool, bool, tuple[int, ...]]] = []
+        self.blocks: list[tuple[str, bool, bool, int]] = []
         self.branches: list[tuple[int, int, int]] = []
-        self.stack = [_Open("", 0, False, False, True)]
-        self.weighed: list[int] = []
+        self.stack = [_Open("", 0, False, False, 0)]
+        self.parents = [0]
+        self.weighed: list[tuple[int | None, int | None]] = [(None, None)]
         self.text: list[str] = []
         self._read(source)
 
@@ -115,7 +119,7 @@ class Page:
             if words:
                 top = self.stack[-1]
                 top.content = _chain(top.content, xxh64_intdigest(words.encode("utf-8", "surrogatepass")))
-                self.blocks.append((words, top.main, top.dropped, tuple(self.weighed[-12:])))
+                self.blocks.append((words, top.main, top.dropped, top.number))
 
     def _close(self, count: int) -> None:
         """Close the innermost `count` elements."""
@@ -123,10 +127,11 @@ class Page:
             if self.stack[-1].tag in BLOCKS or self.stack[-1].dropped != self.stack[-2].dropped:
                 self._flush()
             done = self.stack.pop()
-            if not done.plain:
-                self.weighed.pop()
             if done.content:
-                self.branches.append((done.path, done.children, done.content))
+                mark = _chain(done.path, done.content)
+                self.branches.append((done.path, done.children, mark))
+                if done.tag not in WHOLE:
+                    self.weighed[done.number] = (done.path, None if done.tag in CELLS else mark)
                 self.stack[-1].content = _chain(self.stack[-1].content, done.content)
 
     def _close_until(self, tags: set[str] | frozenset[str], stop) -> None:
@@ -154,11 +159,9 @@ class Page:
         if tag in BLOCKS or dropped != parent.dropped:
             self._flush()
         main = parent.main or not dropped and (tag in MAIN or "main" in words and tag == "div" or "articlebody" in words)
-        plain = tag in PLAIN if main else tag in ("html", "body")
-        path = _chain(parent.path, mark)
-        if not plain:
-            self.weighed.append(path)
-        self.stack.append(_Open(tag, path, main, dropped, plain))
+        self.stack.append(_Open(tag, _chain(parent.path, mark), main, dropped, len(self.parents)))
+        self.parents.append(parent.number)
+        self.weighed.append((None, None))
 
     def _read(self, source: str) -> None:
         at = 0
@@ -189,13 +192,22 @@ class Page:
         self.text.append(html.unescape(text) if "&" in text else text)
 
     def main_text(self, unimportant: dict[int, float]) -> str:
-        """The blocks of the article, or of the whole body where no element is named so."""
+        """The blocks of the article, or of the whole body where no element is named so.
+
+        `unimportant` has the importance of paths, and of contents by their marks. An element is as
+        important as the least important one around it, however far out that is.
+        """
+        worst: list[float] = []
+        for (path, mark), parent in zip(self.weighed, self.parents):
+            own = unimportant.get(path, 1.0)
+            if unimportant.get(mark, 1.0) < LEAST_INSIDE:
+                own = 0.0
+            worst.append(min(own, worst[parent]) if worst else own)
 
         def kept(main: bool) -> list[str]:
             least = LEAST_INSIDE if main else LEAST_OUTSIDE
             own = [b for b in self.blocks if not b[2] and (b[1] or not main)]
-            good = [b[0] for b in own if not any(unimportant.get(p, 1.0) < least for p in b[3])]
-            return good or [b[0] for b in own]
+            return [b[0] for b in own if worst[b[3]] >= least] or [b[0] for b in own]
 
         return "\n".join(kept(any(b[1] and not b[2] for b in self.blocks)))
 
@@ -205,37 +217,53 @@ def _signed(number: int) -> int:
 
 
 def style_tree(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(host, path, importance) of the branches that are unimportant on their site.
+    """(host, path, importance) of the branches and contents that are unimportant on their site.
 
     Every element that holds text adds its presentation (the marks of its children, in order) and its
     content (the digest of its whole text) to the node of the site's tree that its path leads to. The
     importance of a node is the larger of the two entropies over all its appearances, as a share of
-    the largest possible one. Counts are combined per task and by (host, path, value), so a host with
-    a third of all pages is no hot key.
+    the largest possible one. The importance of a content (its mark stands for the path) is its own
+    part of that entropy over the pages: the logarithm of the share of the node's pages that have it,
+    as a share of the largest possible one; a notice that every article repeats has 0 however varied
+    its sisters are. Counts are combined per task and by (host, path, value), so a host with a third of
+    all pages is no hot key.
     """
     rows = pages.select(host_of(F.col(url_col).cast("string")).alias("host"), F.col(html_col).cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[tuple, int] = {}
+            on: dict[tuple, int] = {}
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                page = set()
                 for path, shape, content in Page(source or "").branches:
+                    page |= {(host, path, 1, content), (host, path, 2, 0)}
                     for key in ((host, path, 0, shape), (host, path, 1, content)):
                         counts[key] = counts.get(key, 0) + 1
+                for key in page:
+                    on[key] = on.get(key, 0) + 1
+            for key, n in on.items():
+                if key[2] == 2:  # pages that have the path
+                    counts[key] = n
             columns = list(zip(*counts)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.string()), pa.array(map(_signed, columns[1]), pa.int64()), pa.array(columns[2], pa.int32()),
-                 pa.array(map(_signed, columns[3]), pa.int64()), pa.array(counts.values(), pa.int64())],
-                names=["host", "path", "kind", "value", "n"])
+                 pa.array(map(_signed, columns[3]), pa.int64()), pa.array(counts.values(), pa.int64()),
+                 pa.array([on.get(key, 0) for key in counts], pa.int64())],
+                names=["host", "path", "kind", "value", "n", "on"])
 
-    seen = rows.mapInArrow(run, "host string, path long, kind int, value long, n long")
-    seen = seen.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
+    seen = rows.mapInArrow(run, "host string, path long, kind int, value long, n long, on long")
+    # read for the branches and for the contents
+    seen = cut_lineage(seen.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"), F.sum("on").alias("on")), "seen")
     weight = F.sum("n").alias("all"), F.sum(F.col("n") * F.ln("n")).alias("logs")
-    nodes = seen.groupBy("host", "path", "kind").agg(*weight)
+    nodes = seen.filter("kind < 2").groupBy("host", "path", "kind").agg(*weight)
     entropy = F.when(F.col("all") > 1, (F.ln("all") - F.col("logs") / F.col("all")) / F.ln("all")).otherwise(1.0)
     nodes = nodes.groupBy("host", "path").agg(F.max(entropy).alias("importance"), F.max("all").alias("pages"))
     nodes = nodes.filter((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < max(LEAST_INSIDE, LEAST_OUTSIDE)))
-    return nodes.select("host", "path", "importance")
+    pages_of = seen.filter((F.col("kind") == 2) & (F.col("on") >= LEAST_PAGES)).select("host", "path", F.col("on").alias("pages"))
+    contents = seen.filter((F.col("kind") == 1) & (F.col("on") >= LEAST_PAGES)).join(pages_of, ["host", "path"])
+    contents = contents.withColumn("importance", 1 - F.ln("on") / F.ln("pages")).filter(F.col("importance") < LEAST_INSIDE)
+    return nodes.select("host", "path", "importance").unionByName(contents.select("host", F.col("value").alias("path"), "importance"))
 
 
 def main_texts(
@@ -246,8 +274,9 @@ def main_texts(
     The text holds the blocks of the page's article (or main element; else of its body) in page order,
     one per line, character references decoded and white space inside a block made one space. Left
     out are elements that are no main text by their markup or names (menus, headers, footers,
-    sidebars, notices, adverts, forms, reader comments, scripts, styles) and branches that are
-    unimportant in the merged tree of the site. If these would leave nothing, importance is ignored.
+    sidebars, notices, adverts, forms, reader comments, scripts, styles), and branches that are
+    unimportant in the merged tree of the site or whose content the site repeats, inside the article
+    as outside. If these would leave nothing, importance is ignored.
 
     A null html counts as empty and gives an empty text. Pages without a host form one site. Repeated
     rows each give a row; broken or unclosed markup is read as far as it goes. Other columns are

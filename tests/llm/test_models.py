@@ -272,3 +272,19 @@ def test_site_tree_removes_what_a_site_repeats(spark, monkeypatch):
     assert got[101].startswith("Read more") and got[100].startswith("Read more")  # a site of one page says nothing
     monkeypatch.setattr(html_text, "BROADCAST_ROWS", 0)
     assert {r.page_id: r.text for r in html_text.main_texts(df).collect()} == got
+
+
+def test_site_tree_weighs_paragraphs_of_articles_and_outer_wrappers(spark):
+    note = "<p>Read more about our great company</p>"
+    page = "<body><article><h1>title {0}</h1><p>story {0}</p>" + note + "<ul><li>fact {0}</li><li>Follow us</li></ul><p>end {0}</p><table><tr><td>yes<td>{0}</table></article></body>"
+    deep = "<body><div class=tip>" + "<div>" * 15 + "<p>same</p><p>words</p>" + "</div>" * 16 + "<div class=y><p>story {0}</p></div></body>"
+    rows = [(i, f"http://one.net/{i}", page.format(i)) for i in range(30)] + [(100 + i, f"http://two.net/{i}", deep.format(i)) for i in range(30)]
+    rows.append((200, "http://three.net/", page.format(7)))
+    got = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "title 3\nstory 3\nfact 3\nend 3\nyes\n3"
+    assert got[103] == "story 3"
+    assert "great company" in got[200]  # a site of one page says nothing
+    # an unimportant wrapper further out than any fixed number of ancestors
+    read = html_text.Page("<div class=tip>" + "<div>" * 40 + "<p>in</p>" + "</div>" * 41 + "<p>out</p>")
+    tip = next(path for path, mark in read.weighed[1:2])
+    assert read.main_text({tip: 0.0}) == "out"
