@@ -26,7 +26,7 @@ SALTS = 32
 
 # Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object audio video canvas".split())
+RAW = frozenset("script style template iframe svg audio video canvas annotation annotation-xml".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary "
@@ -45,8 +45,12 @@ ENDS = {
 KEEPS_P = frozenset("td th caption button object".split())
 #: Elements that are never main text, anywhere; and those that are not outside an article.
 NEVER = frozenset("head title nav footer aside form button select menu dialog search".split())
-OUTSIDE = frozenset(["header"])
+OUTSIDE = frozenset(["header", "noscript", "textarea"])
 MAIN = frozenset(["article", "main"])
+#: Elements that their names never drop inside an article, and those of which the id names a passage
+#: (often made from its heading) and not a part of the page.
+TEXT = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre b i em strong a span code table tbody thead tr td th figure figcaption math".split())
+PASSAGES = TEXT | frozenset(["section", "li", "dt", "dd"])
 #: Words in class, id or role that name a part of the page that is no main text.
 NEVER_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent "
@@ -57,6 +61,12 @@ NEVER_WORDS = frozenset(
 #: Of these, the ones that count on an article or main element itself.
 MAIN_WORDS = frozenset("ad ads advert comment comments reply replies related recommended sponsored".split())
 OUTSIDE_WORDS = frozenset("header masthead topbar search".split())
+#: Words that may stand beside these in one name: share-buttons and cookie-notice, not sharing-data.
+SIDE_WORDS = frozenset(
+    "area articles bar block blocks bottom box btn button buttons container content desktop footer form global header icon icons "
+    "inner item items left link links list main message mobile outer page panel post posts primary right secondary section site "
+    "stories text top wrap wrapper".split()
+)
 #: Never weighed; and weighed by all their appearances only, as a value of a table may repeat.
 WHOLE, CELLS = frozenset(["html", "body"]), frozenset(["td", "th"])
 
@@ -65,8 +75,10 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S
 )
 _RAW_END = {tag: re.compile(rf"</{tag}[^>]*>?", re.I) for tag in RAW}
-_NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_NAMES = re.compile(r"""(?:^|\s)(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PARTS = re.compile(r"[a-z]+")
+_JOINT = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_PART_WORDS = NEVER_WORDS | OUTSIDE_WORDS | SIDE_WORDS
 #: Names that say what a wrapper has or shows name no part: has-sidebar, with-nav.
 _STATES = re.compile(r"\b(?:has|with|no|is|show|hide)[-_][a-z]+")
 
@@ -85,13 +97,23 @@ def _chain(a: int, b: int) -> int:
     return xxh64_intdigest(a.to_bytes(8, "little") + b.to_bytes(8, "little"))
 
 
-def _mark(tag: str, attributes: str) -> tuple[int, frozenset[str]]:
-    """Number of an element's presentation, and the words of its names."""
-    words: list[str] = []
+def _mark(tag: str, attributes: str) -> tuple[int, frozenset[str], frozenset[str]]:
+    """Number of an element's presentation, the words of its names, and those that name a part of the
+    page: the words of a name count if each names a part or may stand beside one."""
+    words: set[str] = set()
+    parts: set[str] = set()
     if "=" in attributes:
-        for value in _NAMES.findall(attributes):
-            words += _PARTS.findall(_STATES.sub(" ", value.lower()))
-    return xxh64_intdigest(" ".join([tag, *sorted(set(words))])), frozenset(words)
+        for kind, value in _NAMES.findall(attributes):
+            value = value.strip("\"'")
+            words |= set(_PARTS.findall(_STATES.sub(" ", value.lower())))
+            if kind.lower() == "id" and tag in PASSAGES:
+                continue
+            for name in value.split():
+                # joined words too: cookieNotice
+                own = set(_PARTS.findall(_STATES.sub(" ", _JOINT.sub("-", name).lower())))
+                if own <= _PART_WORDS:
+                    parts |= own
+    return xxh64_intdigest(" ".join([tag, *sorted(words)])), frozenset(words), frozenset(parts)
 
 
 class Page:
@@ -146,15 +168,16 @@ class Page:
             self._close_until({"p"}, KEEPS_P)
             if tag in ENDS:
                 self._close_until(*ENDS[tag])
-        mark, words = _mark(tag, attributes)
+        mark, words, parts = _mark(tag, attributes)
         parent = self.stack[-1]
         parent.children = _chain(parent.children, mark)
         if tag in VOID:
             self.text.append(" ")
             return
-        no = tag in NEVER or bool(words & (MAIN_WORDS if tag in MAIN else NEVER_WORDS)) and tag not in ("html", "body")
+        named = tag not in WHOLE and not (parent.main and tag in TEXT)
+        no = tag in NEVER or named and bool(parts & (MAIN_WORDS if tag in MAIN else NEVER_WORDS))
         if not parent.main:
-            no = no or tag in OUTSIDE or bool(words & OUTSIDE_WORDS) and tag not in ("html", "body", *MAIN)
+            no = no or tag in OUTSIDE or named and tag not in MAIN and bool(parts & OUTSIDE_WORDS)
         dropped = parent.dropped or no
         if tag in BLOCKS or dropped != parent.dropped:
             self._flush()

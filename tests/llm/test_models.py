@@ -288,3 +288,17 @@ def test_site_tree_weighs_paragraphs_of_articles_and_outer_wrappers(spark):
     read = html_text.Page("<div class=tip>" + "<div>" * 40 + "<p>in</p>" + "</div>" * 41 + "<p>out</p>")
     tip = next(path for path, mark in read.weighed[1:2])
     assert read.main_text({tip: 0.0}) == "out"
+
+
+def test_names_of_passages_drop_no_text():
+    inside = [
+        ("<h2 id=related-work>R</h2><p>r</p>", "R\nr"),
+        ("<section id=sharing-data><h2 id='navigation-basics'>N</h2><p class=alert>a</p></section>", "N\na"),
+        ("<div id=social-impact><p>s</p></div><section class='cookie-chemistry'>c</section>", "s\nc"),
+        ("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> then</p>", "if x=1 then"),
+        ("<object data=f><p>fallback</p></object><noscript>no script</noscript>", "fallback\nno script"),
+        ("<div class='social-links'>s</div><div class=relatedPosts>q</div><div id=comments>c</div><section class=related>x</section><p>t</p>", "t"),
+    ]
+    for source, want in inside:
+        assert html_text.Page(f"<article>{source}</article>").main_text({}) == want, source
+    assert html_text.Page("<noscript>enable it</noscript><p>t</p>").main_text({}) == "t"
