@@ -90,15 +90,40 @@ def _pairs(
         for a, b in zip(starts.tolist(), np.append(starts[1:], len(nodes)).tolist()):
             if b - a <= far + 1:
                 continue
-            own = sketches[a:b]
-            halves = np.concatenate([own >> 4, own & 15], axis=1)
-            votes = np.stack([(halves == v).sum(axis=0) for v in range(16)])
-            agree = (halves == votes.argmax(axis=0).astype(np.uint8)).sum(axis=1)
+            agree = _agreement(sketches[a:b], _votes(sketches[a:b]))
             for centre in a + np.lexsort((nodes[a:b], -agree))[:CENTRES]:
                 rows = np.arange(a, b)
                 yield from measured(np.full(b - a, centre), rows)
 
 
+def _halves(sketches: np.ndarray) -> np.ndarray:
+    return np.concatenate([sketches >> 4, sketches & 15], axis=1)
+
+
+def _votes(sketches: np.ndarray) -> np.ndarray:
+    """How many rows have each of the 16 values at each place of the sketch."""
+    halves = _halves(sketches)
+    return np.stack([(halves == v).sum(axis=0) for v in range(16)])
+
+
+def _agreement(sketches: np.ndarray, votes: np.ndarray) -> np.ndarray:
+    return (_halves(sketches) == votes.argmax(axis=0).astype(np.uint8)).sum(axis=1)
+
+
+def _edges(labels: np.ndarray, sketches: np.ndarray, trees: np.ndarray, nodes: np.ndarray) -> Iterator[tuple]:
+    """(tree, prefix, votes, its most central rows) of the regions that reach an edge of a sorted part."""
+    for depth in CENTRE_DEPTHS:
+        seen = set()
+        for edge in (0, len(nodes) - 1):
+            inside = (trees == trees[edge]) & (labels[:, :depth] == labels[edge, :depth]).all(axis=1)
+            rows = np.flatnonzero(inside)
+            if rows[0] not in seen:
+                seen.add(rows[0])
+                votes = _votes(sketches[rows])
+                best = rows[np.lexsort((nodes[rows], -_agreement(sketches[rows], votes)))[:CENTRES]]
+                yield int(trees[edge]), labels[edge, :depth].tobytes(), votes, best
+
+
 def _best(p: np.ndarray, q: np.ndarray, same: np.ndarray) -> np.ndarray:
     """Places of the pairs that are the most similar one of either of their rows."""
     rows, pair = np.concatenate([p, q]), np.tile(np.arange(len(p)), 2)
@@ -115,7 +140,8 @@ def candidates(reps: DataFrame, only_best: bool) -> DataFrame:
     before it as far as they share a prefix: in a dense region these share a long one, in a sparse
     one a short one, which is the depth of the forest adapting to the region. Regions too large for
     that also compare every row with their most central rows, so copies of one original meet it
-    however many lie between. A pair that a part's edge separates in one order meets in the others.
+    however many lie between. A region that reaches over the edge of a part has its central rows chosen
+    from all its parts (`_met_centres`). Other pairs that an edge separates meet in other orders.
 
     Pairs of one root say nothing new and are left out. With `only_best` a row names its most similar
     candidate of each order, if it has any.
@@ -129,14 +155,21 @@ def candidates(reps: DataFrame, only_best: bool) -> DataFrame:
     order = ["tree", "label", behind, "node"]
     rows = rows.repartitionByRange(shuffle_width(reps.sparkSession), *order).sortWithinPartitions(*order)
 
+    def read(held: list[pa.RecordBatch]) -> tuple:
+        part = pa.Table.from_batches(held)
+        labels = np.frombuffer(b"".join(part["label"].to_pylist()), dtype=">u4").reshape(-1, DEPTH)
+        sketches = np.frombuffer(b"".join(part["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, HASHES // 2)
+        return *(part[c].to_numpy() for c in ("node", "root", "tree")), labels, sketches
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        part = pa.Table.from_batches(held)
-        nodes, roots, trees = (part[c].to_numpy() for c in ("node", "root", "tree"))
-        labels = np.frombuffer(b"".join(part["label"].to_pylist()), dtype=">u4").reshape(-1, DEPTH)
-        sketches = np.frombuffer(b"".join(part["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, HASHES // 2)
+        nodes, roots, trees, labels, sketches = read(held)
+        for tree, prefix, votes, best in _edges(labels, sketches, trees, nodes):
+            yield _pair_batch(nodes[:0], nodes[:0], nodes[:0], [{
+                "tree": tree, "prefix": prefix, "votes": votes.astype("<i4").tobytes(),
+                "nodes": nodes[best].tolist(), "sketches": [sketches[i].tobytes() for i in best]}])
         kept: list[tuple] = []
         for p, q, same in _pairs(labels, sketches, trees, nodes, roots, REACH if only_best else FAR_REACH):
             if only_best:
@@ -149,18 +182,92 @@ def candidates(reps: DataFrame, only_best: bool) -> DataFrame:
             p, q, same = _reduced(kept)
             yield _pair_batch(nodes[p], nodes[q], same)
 
-    pairs = rows.mapInArrow(run, "a long, b long, same long")
+    kind = "struct<tree:int,prefix:binary,votes:binary,nodes:array<bigint>,sketches:array<binary>>"
+    found = cut_lineage(rows.mapInArrow(run, f"a long, b long, same long, edge {kind}"), "walk")
+    pairs = found.filter("edge is null").select("a", "b", "same").unionByName(_met_centres(found, reps, only_best))
     return pairs.groupBy("a", "b").agg(F.max("same").alias("same"))
 
 
+def _met_centres(found: DataFrame, reps: DataFrame, only_best: bool) -> DataFrame:
+    """(a, b, same): rows with the central rows of the regions that lie in several parts.
+
+    The parts of a region add up their votes, and of the rows that they name the CENTRES that agree
+    most with all votes are its centres. A part names at most two regions a depth, so centres are few
+    and go to every task; each row of the whole table meets those of its own regions.
+    """
+    spark = reps.sparkSession
+
+    def choose(region: pa.Table) -> pa.Table:
+        votes = sum(np.frombuffer(v, dtype="<i4").reshape(16, -1) for v in region["votes"].to_pylist())
+        nodes = np.concatenate(region["nodes"].to_pylist()).astype(np.int64)
+        raw = [s for part in region["sketches"].to_pylist() for s in part]
+        agree = _agreement(np.frombuffer(b"".join(raw), dtype=np.uint8).reshape(len(raw), -1), votes)
+        best = np.lexsort((nodes, -agree))[:CENTRES] if region.num_rows > 1 else np.zeros(0, dtype=np.int64)
+        return pa.table({
+            "tree": pa.array([region["tree"][0].as_py()] * len(best), pa.int32()),
+            "prefix": pa.array([region["prefix"][0].as_py()] * len(best), pa.binary()),
+            "node": nodes[best], "sketch": pa.array([raw[i] for i in best], pa.binary())})
+
+    regions = found.filter("edge is not null").select("edge.*").groupBy("tree", "prefix")
+    centres = regions.applyInArrow(choose, "tree int, prefix binary, node long, sketch binary")
+    centres = centres.join(reps.select("node", "root"), "node").toPandas()
+    shared = spark.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        groups = [(tree, prefix, g) for (tree, prefix), g in own.groupby(["tree", "prefix"])]
+        groups = [(t, np.frombuffer(p, dtype=np.uint8), g["node"].to_numpy(), g["root"].to_numpy(),
+                   np.frombuffer(b"".join(g["sketch"]), dtype=np.uint8).reshape(len(g), -1)) for t, p, g in groups]
+        for batch in batches:
+            if not batch.num_rows or not groups:
+                continue
+            nodes, roots = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            labels = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(len(nodes), -1)
+            sketches = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(len(nodes), -1)
+            best = np.zeros(len(nodes), dtype=np.int64)
+            to = np.zeros(len(nodes), dtype=np.int64)
+            met: dict[tuple[int, int], int] = {}
+            for tree, prefix, ids, tops, marks in groups:
+                at = tree * 4 * DEPTH
+                first = labels[:, at] == prefix[0]
+                rows = np.flatnonzero(first)
+                rows = rows[(labels[rows, at : at + len(prefix)] == prefix).all(axis=1)]
+                for node, top, mark in zip(ids.tolist(), tops.tolist(), marks):
+                    near = rows[roots[rows] != top]
+                    same = _EQUAL[sketches[near] ^ mark].sum(axis=1, dtype=np.int64)
+                    near, same = near[same >= _NEEDED], same[same >= _NEEDED]
+                    if only_best:
+                        better = (same > best[near]) | (same == best[near]) & (node < to[near])
+                        best[near[better]], to[near[better]] = same[better], node
+                    else:
+                        met.update({(node, int(n)): int(s) for n, s in zip(nodes[near], same)})
+            if only_best:
+                rows = np.flatnonzero(best)
+                met = {(int(to[r]), int(nodes[r])): int(best[r]) for r in rows}
+            some = np.array([(a, b, n) for (a, b), n in met.items()], dtype=np.int64).reshape(-1, 3)
+            yield _pair_batch(some[:, 0], some[:, 1], some[:, 2]).select(["a", "b", "same"])
+
+    return reps.select("node", "root", "label", "sketch").mapInArrow(run, "a long, b long, same long")
+
+
 def _reduced(kept: list[tuple]) -> tuple:
     p, q, same = (np.concatenate(x) for x in zip(*kept))
     best = _best(p, q, same)
     return p[best], q[best], same[best]
 
 
-def _pair_batch(x: np.ndarray, y: np.ndarray, same: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(same)], names=["a", "b", "same"])
+_EDGE = pa.struct([
+    ("tree", pa.int32()), ("prefix", pa.binary()), ("votes", pa.binary()),
+    ("nodes", pa.list_(pa.int64())), ("sketches", pa.list_(pa.binary()))])
+
+
+def _pair_batch(x: np.ndarray, y: np.ndarray, same: np.ndarray, edges: list[dict] | None = None) -> pa.RecordBatch:
+    """Pairs, or instead of them what a part says about the regions at its edges."""
+    if edges:
+        none = pa.nulls(len(edges), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, pa.array(edges, _EDGE)], names=["a", "b", "same", "edge"])
+    columns = [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(same), pa.nulls(len(same), _EDGE)]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "same", "edge"])
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -240,11 +347,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = signed.join(classes.withColumnRenamed("node", "doc"), ["digest", "doc"])
     reps = cut_lineage(reps.dropDuplicates(["digest", "doc"]).select(F.col("doc").alias("node"), "label", "sketch"), "points")
     pairs = cut_lineage(candidates(reps.withColumn("root", F.col("node")), only_best=True), "candidates")
-    # every class that has any candidate names one, so these are all the texts that a confirmation can need
+    # every class that has a candidate in this walk names one, so these are the texts that its confirmations can need
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
+    rows_of = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
     # A sorted merge at every size: whether the ids are few enough to be broadcast is a matter of luck.
-    texts = cut_lineage(texts.join(ends.hint("merge"), "node").dropDuplicates(), "texts")
+    texts = cut_lineage(rows_of.join(ends.hint("merge"), "node").dropDuplicates(), "texts")
 
     # of the at most TREES pairs that a class has named, its most similar ones
     ways = F.explode(F.array(F.struct("a", "b", "same"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "same"))).alias("w")
@@ -253,8 +360,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     roots = _joined(confirmed(named, texts, percent).unionByName(_one_id(signed, classes)))
 
-    known = ends.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    apart = cut_lineage(candidates(reps.join(known, "node"), only_best=False).select("a", "b"), "apart")
+    known = reps.join(roots, "node", "left").select(*reps.columns, F.coalesce("root", "node").alias("root"))
+    apart = cut_lineage(candidates(cut_lineage(known, "known"), only_best=False).select("a", "b"), "apart")
+    # rows that only the second walk found a candidate for
+    late = apart.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(ends, "node", "left_anti")
+    texts = texts.unionByName(rows_of.join(late.hint("merge"), "node").dropDuplicates())
     links = confirmed(apart, texts, percent)
     links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
     roots = _joined(links)

@@ -94,6 +94,28 @@ def test_near_components(spark):
     assert near_dedup.near_components(df.limit(0)).count() == 0
 
 
+def test_a_star_over_many_parts_meets_its_original(spark):
+    """Copies that are linked with their original only, in more parts than its neighbours fill."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    base = [word() for _ in range(203)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 1500):  # 20 of 200 shingles: similarity 0.82 with the original, about 0.7 with each other
+        own = list(base)
+        for at in rnd.sample(range(4, 196, 4), 5):
+            own[at] = word()
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    try:
+        got = {r.doc_id: r.component_id for r in near_dedup.near_components(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    first = brute_set(rows[0][1])
+    assert all(100 * len(first & brute_set(t)) >= 80 * len(first | brute_set(t)) for _, t in rows)
+    assert set(got.values()) == {0}
+
+
 def test_near_components_of_null_and_repeated_ids(spark):
     rows = [(None, "p q r s t u"), (None, "alone in the world here"), (3, "p q r s t u"), (3, "p q r s t u"), (2, "other words are found here now"), (3, "other words are found here now")]
     got = [tuple(r) for r in near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
