@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -116,6 +117,13 @@ def test_a_star_over_many_parts_meets_its_original(spark):
     assert set(got.values()) == {0}
 
 
+def test_the_estimate_loses_few_true_pairs():
+    """Pairs at the threshold of 0.8 that the sketch of all orders puts below the cut, by the binomial."""
+    equal = 0.8 + 0.2 / 16
+    lost = sum(math.comb(near_dedup.HASHES, k) * equal**k * (1 - equal) ** (near_dedup.HASHES - k) for k in range(near_dedup._NEEDED))
+    assert lost < 1e-4
+
+
 def test_near_components_of_null_and_repeated_ids(spark):
     rows = [(None, "p q r s t u"), (None, "alone in the world here"), (3, "p q r s t u"), (3, "p q r s t u"), (2, "other words are found here now"), (3, "other words are found here now")]
     got = [tuple(r) for r in near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
