@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +32,51 @@ def free_name(df: DataFrame, wish: str) -> str:
     while wish.lower() in taken:
         wish = f"_{wish}"
     return wish
+
+
+def text_batches(batches: Iterator[pa.RecordBatch], column: int, chars: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches joined until their texts have so many bytes; one longer batch passes as it is."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= chars:
+            yield _one_batch(held)
+            held, size = [], 0
+    if held:
+        yield _one_batch(held)
+
+
+def _one_batch(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def lenient_text(raw: bytes) -> str:
+    """UTF-8 decoded; every byte that is part of no character becomes U+FFFD."""
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        out, at = [], 0
+        while at < len(raw):
+            for size in (1, 2, 3, 4):
+                try:
+                    out.append(raw[at : at + size].decode())
+                    break
+                except UnicodeDecodeError:
+                    continue
+            else:
+                out.append("�")
+                size = 1
+            at += size
+        return "".join(out)
+
+
+def python_texts(column: pa.Array) -> list[str]:
+    """The texts of an Arrow column; null is empty."""
+    try:
+        return [t or "" for t in column.to_pylist()]
+    except UnicodeDecodeError:
+        return [lenient_text(b or b"") for b in column.cast(pa.binary()).to_pylist()]
