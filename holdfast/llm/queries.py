@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bpe, exact_dedup, html_text, language, line_dedup, mixing, near_dedup, neighbours, sentence_pieces, sharding, url_rules
+from holdfast.llm import bpe, exact_dedup, html_text, language, line_dedup, mixing, near_dedup, neighbours, sentence_pieces, sharding, token_alignment, url_rules
 from holdfast.llm.common import table
 from holdfast.session import tune
 
@@ -62,6 +62,11 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.main_texts(table(tune(spark), folder, "pages"))
 
 
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.align(table(tune(spark), folder, "documents"), *paths)
+
+
 def op13_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     outputs = ("n_tokens", "ids_sha256", "decoded_sha256")
@@ -83,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "op8_neighbours": op8_neighbours,
     "op9_language": op9_language,
     "op10_html_text": op10_html_text,
+    "op11_token_alignment": op11_token_alignment,
     "op13_sentence_pieces": op13_sentence_pieces,
     "pipeline": pipeline,
 }
