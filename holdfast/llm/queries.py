@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bpe, exact_dedup, html_text, language, line_dedup, mixing, near_dedup, neighbours, sentence_pieces, sharding, token_alignment, url_rules
+from holdfast.llm import bpe, exact_dedup, html_text, language, lexical_search, line_dedup, mixing, near_dedup, neighbours, sentence_pieces, sharding, token_alignment, url_rules
 from holdfast.llm.common import table
 from holdfast.session import tune
 
@@ -67,6 +67,10 @@ def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return token_alignment.align(table(tune(spark), folder, "documents"), *paths)
 
 
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.rank(table(tune(spark), folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op13_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     outputs = ("n_tokens", "ids_sha256", "decoded_sha256")
@@ -89,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op9_language": op9_language,
     "op10_html_text": op10_html_text,
     "op11_token_alignment": op11_token_alignment,
+    "op12_lexical_search": op12_lexical_search,
     "op13_sentence_pieces": op13_sentence_pieces,
     "pipeline": pipeline,
 }

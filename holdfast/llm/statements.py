@@ -85,10 +85,31 @@ select query_id, row_number() over (partition by query_id order by score, vec_id
 from pairs qualify rank <= 10
 """
 
+_TERMS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP12 = f"""
+with d as (select doc_id, {_TERMS.format("text")} as own from documents where text is not null),
+held as (select doc_id, term, count(*) as tf from (select doc_id, unnest(own) as term from d) group by all),
+sizes as (select doc_id, len(own)::bigint as n from d where len(own) > 0),
+total as (select count(*)::bigint as n_docs, sum(n)::bigint as n_terms from sizes),
+asked as (select distinct item_id, unnest({_TERMS.format("text")}) as term from benchmark),
+weights as (
+  select term, floor(1000 * ln((2 * any_value(n_docs) + 2)::double / (2 * count(*) + 1)))::bigint as w
+  from held, total group by term),
+norms as (select doc_id, 100 - 90 + ((90 * n * n_docs) // n_terms) as m from sizes, total),
+scores as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+  from asked join weights using (term) join held using (term) join norms using (doc_id) group by all)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+from scores where score > 0
+qualify row_number() over (partition by item_id order by score desc, doc_id) <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": OP1,
     "op2_url_filters": OP2,
     "op3_mix_sources": OP3,
     "op4_line_dedup": OP4,
     "op8_neighbours": OP8,
+    "op12_lexical_search": OP12,
 }
