@@ -7,12 +7,14 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
-WORDS_EACH = 4
+WORDS_EACH, MOST_WORDS = 4, 8
+#: A power of 2. Sets of more members than about this rule out few pairs.
+PARITY_BITS = 1024
 _RNG = np.random.default_rng(20_250_101)
 _BYTES = _RNG.integers(1, 2**63, size=256, dtype=np.uint64) | np.uint64(1)
-_PLACES = _RNG.integers(1, 2**63, size=WORDS_EACH, dtype=np.uint64) | np.uint64(1)
+_PLACES = _RNG.integers(1, 2**63, size=MOST_WORDS, dtype=np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
-_SHORT = _RNG.integers(1, 2**63, size=WORDS_EACH, dtype=np.uint64)
+_SHORT = _RNG.integers(1, 2**63, size=MOST_WORDS, dtype=np.uint64)
 #: Bytes lower-cased in A-Z; \t to \r and the space divide words.
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
@@ -60,10 +62,10 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _mix(np.add.reduceat(terms, opening)), np.searchsorted(first, ends)
 
 
-def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of every text; of fewer words, the whole sequence as one."""
+def shingle_sets(texts: pa.Array, k: int = WORDS_EACH) -> list[np.ndarray]:
+    """The sorted distinct hashes of every text's shingles of k words (MOST_WORDS at most); of fewer
+    words, the whole sequence as one."""
     words, at = word_hashes(texts)
-    k = WORDS_EACH
     rolled = np.zeros(0, np.uint64)
     if len(words) >= k:
         n = len(words) - k + 1
@@ -85,6 +87,12 @@ def set_digest(own: np.ndarray) -> bytes:
     return hashlib.sha256(own.astype("<u8").tobytes()).digest()[:16]
 
 
+def parity(own: np.ndarray) -> bytes:
+    """Bits that say of how many members an odd number falls on each of PARITY_BITS places."""
+    odd = np.bincount((own & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def min_hashes(sets: list[np.ndarray], count: int) -> np.ndarray:
     """One row of `count` 32-bit minima per set; rows of empty sets are zero."""
     rng = np.random.default_rng(77)

@@ -14,7 +14,7 @@ from holdfast.llm import near_dedup
 
 def test_registered():
     known = contract.queries()
-    assert {n.split("_")[0] for n in known if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in known if n.startswith("op")} >= {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in known and "pipeline" not in contract.oracle_sql()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mix_sources", "bpe"]
 
@@ -37,7 +37,7 @@ def test_stages_in_turn(spark, tmp_path):
     assert top + 3 not in known and top + 4 not in known and len(known) >= 0.98 * before.count() / 2
     bodies = [r.text.lower() for r in seen["exact_dedup"].collect()]
     assert len(bodies) == len(set(bodies))
-    near = near_dedup.near_components(seen["exact_dedup"]).collect()
+    near = near_dedup.near_components(seen["exact_dedup"], words=5).collect()
     assert {r.doc_id for r in near if r.kept} == {r.doc_id for r in seen["near_dedup"].collect()}
     assert top + 2 not in {r.doc_id for r in seen["near_dedup"].collect()}
     mixed = Counter(r.doc_id for r in seen["mix_sources"].collect())

@@ -117,6 +117,53 @@ def test_a_star_over_many_parts_meets_its_original(spark):
     assert set(got.values()) == {0}
 
 
+def test_a_star_sends_few_pairs_to_the_confirmation(spark, monkeypatch):
+    """Sister copies that pass the estimate, but are linked with their original only."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    base = [word() for _ in range(203)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 2200):  # 17 of 200 shingles: 0.84 with the original, about 0.72 with each other
+        own = list(base)
+        for at in rnd.sample(range(4, 196, 4), 4):
+            own[at] = word()
+        rows.append((i, " ".join(own)))
+    sent, plain = [], near_dedup.confirmed
+    monkeypatch.setattr(near_dedup, "confirmed", lambda pairs, *rest: sent.append(pairs.count()) or plain(pairs, *rest))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in near_dedup.near_components(df).collect()} == {0}
+    assert sum(sent) <= 4 * len(rows), sent
+
+
+def test_parity_never_rules_out_a_link():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        both, own, other = rng.integers(1, 400), rng.integers(0, 60), rng.integers(0, 60)
+        drawn = rng.integers(0, 2**63, both + own + other, dtype=np.uint64)
+        a, b = np.unique(drawn[: both + own]), np.unique(np.concatenate([drawn[:both], drawn[both + own :]]))
+        bits = [np.frombuffer(sh.parity(x), dtype=np.uint64) for x in (a, b)]
+        apart = int(np.bitwise_count(bits[0] ^ bits[1]).sum())
+        assert apart <= len(np.setxor1d(a, b))
+        assert not sh.linked(a, b, 80) or apart * 180 <= (len(a) + len(b)) * 20
+
+
+def test_shingles_of_other_sizes(spark):
+    texts = ["a b c d e f", "a b c d e", "A b c d", "", "a b c d e a b c d e"]
+    for k in (1, 2, 5):
+        sets = sh.shingle_sets(pa.array(texts), k)
+        words = [t.lower().split() for t in texts]
+        want = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set()) for w in words]
+        assert [len(x) for x in sets] == [len(x) for x in want]
+        for i in range(len(texts)):
+            for j in range(len(texts)):
+                assert len(np.intersect1d(sets[i], sets[j])) == len(want[i] & want[j])
+    rows = [(0, "a b c d e f g h i j k l m n"), (1, "a b c d e f g h i j k l m x"), (2, "a b c d e f g h i j k l m n o")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # 11 shingles of four, 10 in both: 10 / 12; 10 shingles of five, 9 in both: 9 / 11
+    assert {r.component_id for r in near_dedup.near_components(df).collect()} == {0}
+    assert {r.doc_id: r.component_id for r in near_dedup.near_components(df, percent=82, words=5).collect()} == {0: 0, 1: 1, 2: 0}
+
+
 def test_the_estimate_loses_few_true_pairs():
     """Pairs at the threshold of 0.8 that the sketch of all orders puts below the cut, by the binomial."""
     equal = 0.8 + 0.2 / 16
