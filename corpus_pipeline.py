@@ -12,6 +12,8 @@ from holdfast.llm import bpe, exact_dedup, language, mixing, near_dedup
 from holdfast.session import scratch_path, tune
 
 VOCABULARY = "word_bpe_49k.json"
+#: Words of a shingle of the near-duplicate stage (op7_near_dedup has four by its contract).
+NEAR_WORDS = 5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +30,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every component of near-duplicates."""
+    """One document of every component of near-duplicates: shingles of five words, similarity 0.8 or more."""
     tune(spark)
-    return near_dedup.drop_near_copies(docs)
+    return near_dedup.drop_near_copies(docs, words=NEAR_WORDS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
