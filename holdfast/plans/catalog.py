@@ -28,7 +28,7 @@ from holdfast.session import hold, release, scratch_path, small_table, tune
 from holdfast.sources import files, registry
 from holdfast.sources import fixtures as fx
 from holdfast.plans import report
-from holdfast.streaming import events
+from holdfast.streaming import events, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1261,6 +1261,21 @@ def _(d):
     return rounded(alerts.select("user_id", "idle_days"), 4)
 
 
+@query("ipi_alert_timer")
+def _(d):
+    """Idle periods longer than a usual interval, told by timers while the stream runs."""
+    found = live.idle_alerts(_stream(d), ft.ipi(d.events).select("user_id", "ipi_median"), 1.0)
+    return _back(d, events.drain(found, "idle")).select("user_id", _text("last_ts"), _text("due_ts"))
+
+
+@query("live_user_features")
+def _(d):
+    """User features from keyed state, after the last event."""
+    newest = events.drain_updates(live.live_activity(_stream(d)), "live", "user_id")
+    last = order.facts(newest, t=F.max("last_us"))["t"]
+    return rounded(live.live_features(newest, last))
+
+
 @query("ticker")
 def _(d):
     return events.ticker_stream(_stream(d)).select("event_id", "user_id", _text("ts"))

@@ -615,6 +615,16 @@ ORACLES.update({
         when 'error' then 0.03 else 0 end), 4) churn_delta, count(*) events, strftime(max(ts), '%Y-%m-%d %H:%M:%S') last_ts from events group by 1""",
     "ipi_alert": sql(USERS, f"""select user_id, round((mx - last_us) / {DAY}.0, 4) idle_days from u, b
         where (mx - last_us) / {DAY}.0 > greatest(ipi_median, 1) * 0.1""", EV),
+    "ipi_alert_timer": sql(USERS, f"""select user_id, strftime(make_timestamp(us), '%Y-%m-%d %H:%M:%S') last_ts,
+        strftime(make_timestamp(us + lim), '%Y-%m-%d %H:%M:%S') due_ts
+        from (select r.user_id, us, lead(us) over (partition by r.user_id order by us) nx,
+                floor(greatest(ipi_median, 1) * 1.0 * {DAY})::bigint lim from rows0 r join u on u.user_id = r.user_id) g,
+          (select (epoch_ms(max(ts)) - 3600000) * 1000 w from tx) b
+        where us <= w and case when nx is null or nx > w then us + lim <= w else nx > us + lim end""", EV),
+    "live_user_features": sql(USERS, """select user_id, frequency, round(monetary, 4) monetary, round(avg_basket_value, 4) avg_basket_value,
+        round(monetary_std, 4) monetary_std, max_spend, min_spend, recency, account_age_days, round(ipi_median, 4) ipi_median,
+        round(ipi_std, 4) ipi_std, round(ipi_consistency, 4) ipi_consistency, round(recency_deviation, 4) recency_deviation,
+        round(monetary_velocity, 4) monetary_velocity from u""", EV),
     "ticker": """select cast(event_id as varchar) event_id, cast(user_id as varchar) user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') ts
         from events order by events.ts desc, events.event_id desc limit 20""",
 })
