@@ -1067,6 +1067,44 @@ def _(d):
     return rounded(attribution.shap_summary(_model(d), _now(d)), 6)
 
 
+@query("shap_interactions")
+def _(d):
+    """Mean joint effect of every pair of features under the picked model."""
+    return rounded(attribution.interaction_summary(attribution.interaction_rows(_model(d), _now(d))), 6)
+
+
+@query("shap_dependence")
+def _(d):
+    return rounded(attribution.dependence(_model(d), _now(d)), 6)
+
+
+@query("interaction_additivity")
+def _(d):
+    """For every user: whether each row of the pair matrix adds up to the attribution of its feature."""
+    pairs = attribution.interaction_rows(_model(d), _now(d)).groupBy("user_id", "feature").agg(F.sum("shap_interaction").alias("s"))
+    both = pairs.join(attribution.attribution_rows(_model(d), _now(d)), ["user_id", "feature"])
+    close = F.abs(F.col("s") - F.col("shap_value")) < 1e-9
+    return both.groupBy("user_id").agg(F.min(close.cast("int")).alias("adds_up"))
+
+
+@query("shap_rule_tree")
+def _(d):
+    """Attributions under a tree whose cuts, weights and values are figures of the users themselves."""
+    names = ["recency", "frequency", "monetary"]
+    cuts = order.quantiles(d.rfm, names, [0.5, 0.75])
+    (a, c), (b, _b), (m, _m) = (cuts[n] for n in names)
+    low, few, small = F.col("recency") <= a, F.col("frequency") <= b, F.col("monetary") <= m
+    inside = {1: low, 2: ~low, 3: low & few, 4: low & ~few, 5: ~low & (F.col("recency") <= c), 6: ~low & (F.col("recency") > c),
+              7: low & ~few & small, 8: low & ~few & ~small}
+    seen = order.facts(d.rfm, n0=F.count(F.lit(1)), **{f"n{i}": F.count_if(w) for i, w in inside.items()},
+                       **{f"v{i}": F.avg(F.when(inside[i], F.col("avg_basket_value"))) for i in (3, 5, 6, 7, 8)}).asDict()
+    splits = {0: (1, 2, 0, a), 1: (3, 4, 1, b), 2: (5, 6, 0, c), 4: (7, 8, 2, m)}
+    rows = [(0, i, *splits.get(i, (-1, -1, -1, 0.0)), float(seen[f"n{i}"]), float(seen.get(f"v{i}") or 0.0)) for i in range(9)]
+    schema = "tree int, id int, left int, right int, feature int, threshold double, weight double, value double"
+    phi = attribution.attributions_of(small_table(d.spark, rows, schema), names, d.rfm)
+    return rounded(phi.select("user_id", *[F.col("phi")[i].alias(f"phi_{n}") for i, n in enumerate(names)]), 4)
+
+
 @query("shap_user")
 def _(d):
     return rounded(attribution.shap_users(_model(d), _now(d)), 6)

@@ -43,12 +43,9 @@ def analyse(
 
     Each section scans `tx` for the columns it needs. `stage` first writes the prepared rows to the
     shared folder as a columnar table: worth it when `tx` still parses text files. `baseline` is the
-    path of a drift baseline; the first run saves it. With `explain` trees are as deep as attributions of
-    all users allow, unless `rf` and `gbt` name a depth.
+    path of a drift baseline; the first run saves it. `explain` adds attributions of all users; the
+    model is the same with and without it.
     """
-    if explain:
-        rf = {"maxDepth": attribution.FOREST_DEPTH, **(rf or {})}
-        gbt = {"maxDepth": attribution.BOOSTED_DEPTH, **(gbt or {})}
     tx = cut_lineage(tx, "tx") if stage else tx
     act = activity(tx)
     spark = tx.sparkSession

@@ -94,6 +94,23 @@ def sql(lists: str, body: str, source: str = TX) -> str:
     head = ", ".join(x.strip() for x in (source, lists) if x.strip())
     return f"with {head} {body}"
 
+# worth of every coalition (bit 1 recency, 2 frequency, 4 monetary) under a tree of five leaves, by its definition
+_RULE_TREE = """,
+cuts as (select quantile_cont(recency, 0.5) a, quantile_cont(recency, 0.75) c, quantile_cont(frequency, 0.5) b,
+  quantile_cont(monetary, 0.5) m from u),
+parts as (select u.*, recency <= a lo, recency > a and recency <= c mid, recency > c hi, frequency <= b few, monetary <= m small from u, cuts),
+sums as (select count(*) n, count_if(lo) nl, count_if(mid) nm, count_if(hi) nh, count_if(lo and few) nf, count_if(lo and not few) ng,
+  count_if(lo and not few and small) ns, count_if(lo and not few and not small) nb,
+  avg(avg_basket_value) filter (lo and few) v1, avg(avg_basket_value) filter (lo and not few and small) v2,
+  avg(avg_basket_value) filter (lo and not few and not small) v3, avg(avg_basket_value) filter (mid) v4,
+  avg(avg_basket_value) filter (hi) v5 from parts),
+worths as (select user_id, """ + ", ".join(
+    "v1 * {l} * {f} + v2 * {l} * {g} * {s} + v3 * {l} * {g} * {b} + v4 * {m} + v5 * {h}".format(
+        l="lo::int" if k & 1 else "nl / n", m="mid::int" if k & 1 else "nm / n", h="hi::int" if k & 1 else "nh / n",
+        f="few::int" if k & 2 else "nf / nl", g="(not few)::int" if k & 2 else "ng / nl",
+        s="small::int" if k & 4 else "ns / ng", b="(not small)::int" if k & 4 else "nb / ng") + f" w{k}" for k in range(8)
+) + " from parts, sums)"
+
 
 ORACLES: dict[str, str] = {
     "rfm_base": sql(USERS, """select user_id, frequency, round(monetary, 4) monetary,
@@ -444,6 +461,11 @@ ORACLES.update({
     "model_registry_scores": sql("", "select count(*) users, 0.0::double max_gap, 3 kept from lab", CUT),
     "score_invariants": sql("", """select unnest(['forest', 'boosted']) model, n users, n ids, 0 odd
         from (select count(distinct user_id) n from lab)""", CUT),
+    "interaction_additivity": sql(USERS, "select user_id, 1 adds_up from u"),
+    "shap_rule_tree": sql(USERS, _RULE_TREE + """ select user_id, round(
+        (w1 - w0) / 3 + (w3 - w2) / 6 + (w5 - w4) / 6 + (w7 - w6) / 3, 4) phi_recency,
+        round((w2 - w0) / 3 + (w3 - w1) / 6 + (w6 - w4) / 6 + (w7 - w5) / 3, 4) phi_frequency,
+        round((w4 - w0) / 3 + (w5 - w1) / 6 + (w6 - w2) / 6 + (w7 - w3) / 3, 4) phi_monetary from worths"""),
     "shap_additivity": sql(USERS, "select user_id, 1 adds_up from u"),
     "silhouette_fixed": sql(SCORES + """,
         st as (select avg(recency) mr, stddev_samp(recency) sr, avg(frequency) mf, stddev_samp(frequency) sf, avg(monetary) mm, stddev_samp(monetary) sm from users),

@@ -99,7 +99,7 @@ def test_attributions_add_up_to_the_prediction(spark, training, kind):
     learn = hold(learners.weighted(learners.assemble(training, names)))
     fit = learners.fit_rf(learn, numTrees=6, maxDepth=4) if kind == "forest" else learners.fit_gbt(learn, maxIter=4, maxDepth=3)
     model = learners.ChurnModel(kind, names, [fit])
-    _tables, base = attribution.load_trees(model, spark)
+    base = attribution.base_value(model, spark)
     rows = attribution.attribution_rows(model, training).groupBy("user_id").agg(F.sum("shap_value").alias("s"))
     got = rows.join(model.probabilities(training), "user_id").toPandas()
     total = got["s"] + base
@@ -133,13 +133,82 @@ def test_shapley_equals_brute_force():
 
     rng = np.random.default_rng(0)
     xs = rng.random((20, 3))
-    got = attribution.shapley([attribution.leaf_table(nodes)], xs)
-    for x, row in zip(xs, got):
+    tree = attribution.tree_of(pd.DataFrame([{"id": i, **n} for i, n in nodes.items()]))
+    got, pairs = attribution.shapley([tree], xs), attribution.interactions([tree], xs)
+    for x, row, pair in zip(xs, got, pairs):
+        assert tree.mean == pytest.approx(worth(x, set()))
         for i in range(3):
             rest = [j for j in range(3) if j != i]
             phi = sum(factorial(k) * factorial(2 - k) / 6 * (worth(x, {*s, i}) - worth(x, set(s)))
                       for k in range(3) for s in combinations(rest, k))
             assert row[i] == pytest.approx(phi, abs=1e-12)
+            for j in rest:
+                other = next(k for k in rest if k != j)
+                joint = [worth(x, {*s, i, j}) - worth(x, {*s, i}) - worth(x, {*s, j}) + worth(x, set(s)) for s in ([], [other])]
+                assert pair[i, j] == pytest.approx(sum(joint) / 4, abs=1e-12)
+    assert np.allclose(pairs.sum(axis=2), got, atol=1e-12)
+
+
+def grown(rng, depth, width):
+    """A random tree whose paths split on a feature again and again."""
+    rows = []
+
+    def grow(level, weight):
+        at = len(rows)
+        rows.append({"id": at, "left": -1, "right": -1, "feature": -1, "threshold": 0.0, "weight": weight, "value": float(rng.normal())})
+        if level and weight > 1 and rng.random() < 0.9:
+            share = float(rng.integers(1, int(weight))) if weight > 2 else 1.0
+            rows[at].update(feature=int(rng.integers(width)), threshold=float(rng.random()))
+            rows[at].update(left=grow(level - 1, share), right=grow(level - 1, weight - share))
+        return at
+
+    grow(depth, 4000.0)
+    return rows
+
+
+def test_deep_trees_equal_the_definition():
+    from math import factorial
+
+    rng, width = np.random.default_rng(4), 4
+    for _ in range(6):
+        rows = grown(rng, 11, width)
+        tree = attribution.tree_of(pd.DataFrame(rows))
+
+        def worth(x, known, at=0):
+            n = rows[at]
+            if n["left"] < 0:
+                return n["value"]
+            if n["feature"] in known:
+                return worth(x, known, n["left"] if x[n["feature"]] <= n["threshold"] else n["right"])
+            return sum(rows[n[c]]["weight"] * worth(x, known, n[c]) for c in ("left", "right")) / n["weight"]
+
+        xs = rng.random((3, width))
+        got = attribution.shapley([tree], xs)
+        for x, row in zip(xs, got):
+            worths = {bits: worth(x, {f for f in range(width) if bits >> f & 1}) for bits in range(1 << width)}
+            for i in range(width):
+                phi = sum(factorial(bits.bit_count()) * factorial(width - 1 - bits.bit_count()) / factorial(width) * (worths[bits | 1 << i] - v)
+                          for bits, v in worths.items() if not bits >> i & 1)
+                assert row[i] == pytest.approx(phi, abs=1e-9)
+
+
+def test_groups_of_trees_change_nothing(spark, training, monkeypatch):
+    names = ["recency", "frequency", "monetary", "ipi_median"]
+    fit = learners.fit_rf(hold(learners.weighted(learners.assemble(training, names))), numTrees=5, maxDepth=9)
+    model = learners.ChurnModel("forest", names, [fit])
+    once = {r.user_id: r.phi for r in attribution.attributions(model, training).collect()}
+    pairs = attribution.interaction_rows(model, training)
+    sums = {(r.user_id, r.feature): r.s for r in pairs.groupBy("user_id", "feature").agg(F.sum("shap_interaction").alias("s")).collect()}
+    monkeypatch.setattr(attribution, "NODES_AT_ONCE", 1)
+    monkeypatch.setattr(attribution, "CELLS_AT_ONCE", 1000)
+    again = {r.user_id: r.phi for r in attribution.attributions(model, training).collect()}
+    assert once.keys() == again.keys() and all(np.allclose(once[u], again[u], atol=1e-12) for u in once)
+    assert all(sums[u, f] == pytest.approx(v, abs=1e-9) for u in once for f, v in zip(names, once[u]))
+    top = attribution.interaction_summary(pairs).collect()
+    assert len(top) == 6 and [r.importance for r in top] == sorted((r.importance for r in top), reverse=True)
+    curve = attribution.dependence(model, training, bins=4).collect()
+    total = {f: sum(r.users for r in curve if r.feature == f) for f in names}
+    assert set(total.values()) == {training.count()} and all(r.low <= r.high for r in curve)
 
 
 def test_drivers_and_labels(spark, model):
