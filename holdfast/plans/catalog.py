@@ -28,7 +28,7 @@ from holdfast.session import hold, release, scratch_path, small_table, tune
 from holdfast.sources import files, registry
 from holdfast.sources import fixtures as fx
 from holdfast.plans import report
-from holdfast.streaming import events, live
+from holdfast.streaming import events, live, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1324,3 +1324,15 @@ def _(d):
     scored = events.score_stream(_stream(d), _now(d), _model(d))
     rows = _back(d, events.drain(scored, "scored"))
     return rounded(rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("churn_probability").alias("p")), 4)
+
+
+@query("live_scoring")
+def _(d):
+    """How often each user with events was scored under how many versions, after two runs over the stream."""
+    root = scratch_path(d.spark, "live-scores")
+    store = ModelRegistry(d.spark, f"{root}/models")
+    store.save(_model(d), "live")
+    table = scoring.live_scores(_stream(d), _now(d).drop("churn_probability"), store, "live", root)
+    table.run(_stream(d))
+    return table.scores().groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("scores"), F.countDistinct("version").alias("versions"), F.count_if(F.col("churn_probability").between(0, 1)).alias("valid"))

@@ -62,6 +62,12 @@ def release() -> None:
         _held.pop().unpersist()
 
 
+def release_of(df: DataFrame) -> None:
+    """Free one held table."""
+    _held[:] = [held for held in _held if held is not df]
+    df.unpersist()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, named by spark.checkpoint.dir.
 

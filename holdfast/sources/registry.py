@@ -6,7 +6,7 @@ import json
 import time
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -83,6 +83,16 @@ class ModelRegistry:
             wanted = self.spark.range(1).select(schema_hash(F.array(*[F.lit(f) for f in features]))).first()[0]
             if wanted != row["schema_hash"]:
                 return None
+        return self._loaded(row)
+
+    def load(self, version: str) -> ChurnModel:
+        """A kept version by its name."""
+        row = self.entries().where(F.col("version") == version).first()
+        if row is None:
+            raise ValueError(f"unknown model version {version}")
+        return self._loaded(row)
+
+    def _loaded(self, row: Row) -> ChurnModel:
         parts: dict[str, list] = {"base": [], "meta": [None], "calibrator": [None]}
         for role, stage in zip(row["roles"], PipelineModel.load(row["path"]).stages):
             parts[role].append(stage)

@@ -647,6 +647,8 @@ ORACLES.update({
         round(monetary_std, 4) monetary_std, max_spend, min_spend, recency, account_age_days, round(ipi_median, 4) ipi_median,
         round(ipi_std, 4) ipi_std, round(ipi_consistency, 4) ipi_consistency, round(recency_deviation, 4) recency_deviation,
         round(monetary_velocity, 4) monetary_velocity from u""", EV),
+    "live_scoring": """select distinct cast(user_id as varchar) user_id, 1 scores, 1 versions, 1 valid from events
+        where user_id in (select o_custkey from orders)""",
     "ticker": """select cast(event_id as varchar) event_id, cast(user_id as varchar) user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') ts
         from events order by events.ts desc, events.event_id desc limit 20""",
 })
