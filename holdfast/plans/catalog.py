@@ -1330,7 +1330,7 @@ def _(d):
 def _(d):
     """How often each user with events was scored under how many versions, after two runs over the stream."""
     root = scratch_path(d.spark, "live-scores")
-    store = ModelRegistry(d.spark, f"{root}/models")
+    store = registry.ModelRegistry(d.spark, f"{root}/models")
     store.save(_model(d), "live")
     table = scoring.live_scores(_stream(d), _now(d).drop("churn_probability"), store, "live", root)
     table.run(_stream(d))
