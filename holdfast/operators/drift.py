@@ -124,6 +124,64 @@ def check_against_baseline(users: DataFrame, cols: Sequence[str], path: str) ->
     return "Baseline Drift", found
 
 
+# ---- sketches of unbounded values ------------------------------------------------------------------
+
+SKETCH_K = 4096
+#: Quantiles that stand for a side when two are compared.
+SKETCH_POINTS = 4096
+
+
+def rank_error(k: int = SKETCH_K) -> float:
+    """Error of a sketch's normalised ranks that holds with 99 % confidence."""
+    return 2.296 / k**0.9021
+
+
+def sketch_baseline(users: DataFrame, cols: Sequence[str], by: Sequence[str] = (), k: int = SKETCH_K) -> DataFrame:
+    """(by..., feature, sketch): a quantile sketch of bounded size per feature (and day, or any other group).
+
+    Sketches are built on the map side and merge, so a baseline of many days is the merge of theirs
+    (`merged_sketches`) and no value histogram is stored.
+    """
+    values = long_form(users, cols, list(by))
+    return values.groupBy(*by, "feature").agg(F.kll_sketch_agg_double("value", k).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, k: int = SKETCH_K) -> DataFrame:
+    return sketches.groupBy("feature").agg(F.kll_merge_agg_double("sketch", k).alias("sketch"))
+
+
+def sketch_ks(a: DataFrame, b: DataFrame, k: int = SKETCH_K, points: int = SKETCH_POINTS, minimum: int = 5) -> DataFrame:
+    """One row per feature of two sketch tables: D, its error bound, p and both sizes.
+
+    Each side stands for `points` of its quantiles in equal steps. D is off by no more than the rank
+    errors of both sketches and one step a side; a sketch of fewer than k values has no rank error.
+    """
+    steps = F.lit([i / points for i in range(1, points + 1)])
+
+    def side(sketches: DataFrame, in_a: int) -> DataFrame:
+        values = F.explode(F.kll_sketch_get_quantile_double("sketch", steps)).alias("value")
+        return sketches.select("feature", values, F.lit(in_a).alias("in_a"), F.lit(1 - in_a).alias("in_b"))
+
+    sizes = a.select("feature", F.kll_sketch_get_n_double("sketch").alias("n_a")).join(
+        b.select("feature", F.kll_sketch_get_n_double("sketch").alias("n_b")), "feature")
+    rows = ks_long(side(a, 1).unionByName(side(b, 0))).select("feature", "d").join(sizes, "feature")
+    rows = rows.where((F.col("n_a") >= minimum) & (F.col("n_b") >= minimum))
+    error = sum((F.when(F.col(n) <= k, 0.0).otherwise(rank_error(k)) + F.lit(1.0 / points) for n in ("n_a", "n_b")), F.lit(0.0))
+    return rows.withColumns({
+        "d_error": error, "p": p_value(F.col("d"), F.col("n_a").cast("double"), F.col("n_b").cast("double"))})
+
+
+def sketch_drift(users: DataFrame, baseline: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Current users against a sketch baseline: the flags of `flag_drift`, the error of D, and whether
+    the verdict would be the same at both ends of it (if not, the exact comparison decides)."""
+    found = hold(sketch_ks(hold(sketch_baseline(users, cols)), baseline))
+    level = F.lit(ALPHA / max(len(cols), 1))
+    sizes = F.col("n_a").cast("double"), F.col("n_b").cast("double")
+    ends = [p_value(F.greatest(F.col("d") + side * F.col("d_error"), F.lit(0.0)), *sizes) < level for side in (-1, 1)]
+    sure = found.select("feature", F.round("d_error", 6).alias("ks_error"), (ends[0] == ends[1]).alias("sure"))
+    return flag_drift(found, len(cols)).join(sure, "feature")
+
+
 # ---- G5 ------------------------------------------------------------------------------------------
 
 def drift_summary(flagged: DataFrame, top: int = 5) -> DataFrame:

@@ -560,6 +560,9 @@ def prepare(df: DataFrame, domain: str | None = None, **options) -> DataFrame:
 
 # ---- A4 ------------------------------------------------------------------------------------------
 
+_LINE_KEYS = ("Invoice", "user_id", "timestamp", "amount", "StockCode")
+
+
 def union_dedupe(frames: Sequence[DataFrame]) -> DataFrame:
     """Stack prepared datasets and keep one row per invoice line.
 
@@ -568,7 +571,7 @@ def union_dedupe(frames: Sequence[DataFrame]) -> DataFrame:
     out = frames[0]
     for more in frames[1:]:
         out = out.unionByName(more, allowMissingColumns=True)
-    keys = [c for c in ("Invoice", "user_id", "timestamp", "amount", "StockCode") if c in out.columns]
+    keys = [c for c in _LINE_KEYS if c in out.columns]
     rest = [c for c in out.columns if c not in keys]
     if not keys:
         return out
@@ -576,3 +579,51 @@ def union_dedupe(frames: Sequence[DataFrame]) -> DataFrame:
         return out.dropDuplicates(keys)
     kept = out.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row"))
     return kept.select(*[F.col(f"_row.{c}").alias(c) if c in rest else F.col(c) for c in out.columns])
+
+
+#: Bits of a key filter per key, and the largest filter that is sent to every task.
+FILTER_BITS_PER_KEY, FILTER_BYTES = 16, 64 * 2**20
+_FILTER_PART = 32_768  # bits of one bitmap of the built-in aggregate
+
+
+def key_filter(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int] | None:
+    """Bitmaps (_part, _bits) of the key digests of `rows`, and how many bits they have; None beyond FILTER_BYTES."""
+    size = max(rows.count(), 1) * FILTER_BITS_PER_KEY
+    parts = -(-size // _FILTER_PART)
+    if parts * _FILTER_PART // 8 > FILTER_BYTES:
+        return None
+    place = F.pmod(F.xxhash64(*keys), F.lit(parts * _FILTER_PART)).alias("_at")
+    bits = rows.select(place).groupBy(F.expr(f"_at div {_FILTER_PART}").alias("_part")).agg(
+        F.bitmap_construct_agg(F.col("_at") % _FILTER_PART).alias("_bits"))
+    return bits, parts * _FILTER_PART
+
+
+def may_be_in(rows: DataFrame, keys: Sequence[str], found: tuple[DataFrame, int]) -> DataFrame:
+    """`rows` with `_maybe`: false only where no row behind the filter has the same keys."""
+    bits, size = found
+    at = rows.withColumn("_at", F.pmod(F.xxhash64(*keys), F.lit(size)))
+    at = at.withColumn("_part", F.expr(f"_at div {_FILTER_PART}")).join(F.broadcast(bits), "_part", "left")
+    byte = F.expr(f"cast(conv(hex(substring(_bits, cast(_at % {_FILTER_PART} div 8 as int) + 1, 1)), 16, 10) as int)")
+    hit = F.call_function("bit_get", byte, F.expr("cast(_at % 8 as int)")) == 1
+    return at.withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_at", "_part", "_bits")
+
+
+def append_dedupe(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """`union_dedupe([stored, fresh])` for a stored table that has one row per key already.
+
+    A filter of the fresh keys goes to every task, and only stored rows that may have one of them are
+    shuffled: bytes in proportion to the fresh rows, not to the store. Fresh rows are read three
+    times: give a written or held table. Beyond FILTER_BYTES of filter everything is shuffled.
+    """
+    out = stored.unionByName(fresh, allowMissingColumns=True)
+    keys = [c for c in _LINE_KEYS if c in out.columns]
+    shared = [c for c in keys if c in stored.columns and c in fresh.columns]
+    found = key_filter(fresh, shared) if shared == keys and keys else None
+    if found is None:
+        return union_dedupe([stored, fresh])
+    marked = may_be_in(stored, keys, found)
+    untouched = marked.where(~F.col("_maybe")).drop("_maybe")
+    touched = marked.where(F.col("_maybe")).drop("_maybe")
+    nothing = fresh.limit(0)
+    return untouched.unionByName(nothing, allowMissingColumns=True).select(*out.columns).unionByName(
+        union_dedupe([touched, fresh]).select(*out.columns))

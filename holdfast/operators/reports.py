@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,13 +13,12 @@ from holdfast.functions.columns import (
     flag,
     lookup_text,
     micros,
-    month_label,
     numeric_columns,
     whole_days,
 )
 from holdfast.functions.fixed import PERSONAS, SEGMENT_ACTIONS, SEGMENT_PROBLEMS
 from holdfast.functions.order import facts
-from holdfast.operators.activity import activity
+from holdfast.operators.activity import activity, span
 
 
 # ---- J1 ------------------------------------------------------------------------------------------
@@ -55,25 +56,49 @@ def max_gap(tx: DataFrame, act: DataFrame | None = None) -> DataFrame:
 
 # ---- J2 ------------------------------------------------------------------------------------------
 
+MONTHS_A_WORD = 63
+
+
+def month_bitmaps(tx: DataFrame) -> DataFrame:
+    """(user_id, first_month, months): the months in which a user was active, as bits of 64-bit words.
+
+    Months are counted from year 0. Bit i of word w stands for the month MONTHS_A_WORD * w + i after the
+    first month of the data, so a user is one row of a map-side combined aggregate, however active.
+    """
+    first, last = (_month_number(us) for us in span(tx))
+    number = (12 * F.year("timestamp") + F.month("timestamp") - 1).alias("number")
+    rows = tx.where("timestamp is not null").select("user_id", number)
+    since = F.col("number") - F.lit(first)
+    words = [
+        F.bit_or(F.when((since / MONTHS_A_WORD).cast("int") == w, F.call_function("shiftleft", F.lit(1).cast("bigint"), since % MONTHS_A_WORD))
+                 .otherwise(F.lit(0).cast("bigint"))).alias(f"w{w}")
+        for w in range((last - first) // MONTHS_A_WORD + 1)
+    ]
+    users = rows.groupBy("user_id").agg(F.min("number").alias("first_month"), *words)
+    return users.select("user_id", "first_month", F.array(*[f"w{w}" for w in range(len(words))]).alias("months"), F.lit(first).alias("base"))
+
+
+def _month_number(micros_at: int | None) -> int:
+    at = dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=micros_at or 0)
+    return 12 * at.year + at.month - 1
+
+
 def cohort_retention(tx: DataFrame) -> DataFrame:
     """(cohort, period, active, size, retention %) with one row per existing pair.
 
-    Users are reduced to their active months first; the cohort is the smallest of them, taken by a
-    window over at most one row per month.
+    Users are one bitmap each (`month_bitmaps`), the only rows that are shuffled; their set bits are
+    counted per (cohort, period) on the map side. The cohort is a user's first month.
     """
-    months = (
-        tx.where("timestamp is not null")
-        .select("user_id", F.date_trunc("month", "timestamp").alias("month"))
-        .distinct()
-    )
-    started = months.withColumn("cohort", F.min("month").over(W.partitionBy("user_id")))
-    period = 12 * (F.year("month") - F.year("cohort")) + F.month("month") - F.month("cohort")
-    active = started.groupBy("cohort", period.alias("period")).agg(F.count(F.lit(1)).alias("active"))
+    users = month_bitmaps(tx)
+    month = F.explode(F.expr(
+        f"filter(sequence(0, size(months) * {MONTHS_A_WORD} - 1), m -> bit_get(months[cast(m div {MONTHS_A_WORD} as int)], cast(m % {MONTHS_A_WORD} as int)) = 1)"))
+    active = users.select("first_month", "base", month.alias("month"))
+    active = active.groupBy("first_month", (F.col("base") + F.col("month") - F.col("first_month")).alias("period")).agg(F.count(F.lit(1)).alias("active"))
     # the first month of a cohort holds all of its users
-    size = F.max(F.when(F.col("period") == 0, F.col("active"))).over(W.partitionBy("cohort"))
-    sized = active.withColumn("size", size)
-    return sized.select(
-        month_label(F.col("cohort")).alias("cohort"),
+    size = F.max(F.when(F.col("period") == 0, F.col("active"))).over(W.partitionBy("first_month"))
+    cohort = F.format_string("%04d-%02d", F.expr("cast(first_month div 12 as int)"), F.expr("cast(first_month % 12 + 1 as int)"))
+    return active.withColumn("size", size).select(
+        cohort.alias("cohort"),
         F.col("period").cast("int").alias("period"),
         "active",
         "size",

@@ -524,6 +524,27 @@ def _(d):
     )
 
 
+@query("read_csv_folder")
+def _(d):
+    """Orders written as three kinds of files into one folder, read back in one pass."""
+    path = scratch_path(d.spark, "mixed-csv")
+    raw = fx.table(d.spark, d.folder, "orders").select("o_custkey", F.concat("o_orderpriority", F.lit(" é")).alias("priority"), "o_totalprice")
+    for part, separator, encoding in ((0, ";", "UTF-8"), (1, ",", "ISO-8859-1"), (2, "\t", "UTF-8")):
+        mine = raw.where(F.col("o_custkey") % 3 == part)
+        mine = mine if part else mine.select("o_totalprice", "priority", "o_custkey")
+        mine.write.option("header", True).option("sep", separator).option("encoding", encoding).mode("append").csv(path)
+    back = files.read_csv_folder(d.spark, path, "o_custkey bigint, priority string, o_totalprice double").rows
+    return rounded(back.groupBy("priority").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total")), 1)
+
+
+@query("append_dedupe")
+def _(d):
+    raw = fx.retail_raw(d.spark, d.folder)
+    stored = hold(ingest.union_dedupe([ingest.prepare_retail(raw.where("StockCode % 10 > 0"), time_mode="text")]))
+    fresh = hold(ingest.prepare_retail(raw.where("StockCode % 10 < 2"), time_mode="text"))
+    return rounded(ingest.append_dedupe(stored, fresh).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total")), 2)
+
+
 @query("write_users_csv")
 def _(d):
     path = scratch_path(d.spark, "users-csv")
@@ -882,6 +903,19 @@ def _(d):
     return rounded(found.select("feature", F.lit(state).alias("drift_type"), "ks_statistic"), 4)
 
 
+@query("sketch_drift")
+def _(d):
+    """Drift by sketches of two halves merged, beside the exact distance: within its error or not."""
+    cols = ["recency", "frequency", "monetary"]
+    base = drift.sketch_baseline(_cents(d).withColumn("half", F.col("frequency") % 2), cols, ["half"])
+    late = _cents(d).where("recency > 60")
+    found = drift.sketch_drift(late, drift.merged_sketches(base), cols)
+    exact = drift.ks_two_sample(late, _cents(d), cols).select("feature", "d")
+    near = F.abs(F.col("ks_statistic") - F.col("d")) <= F.col("ks_error") + 0.00005
+    return found.join(exact, "feature").select(
+        "feature", near.cast("int").alias("in_bound"), F.round("d", 4).alias("ks_exact"), F.col("drifted").cast("int").alias("drifted"))
+
+
 @query("drift_summary")
 def _(d):
     rows = drift.drift_summary(_baseline_flags(d))

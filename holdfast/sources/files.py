@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -48,6 +51,106 @@ def read_csv_any(
     return df
 
 
+# ---- folders of mixed files ----------------------------------------------------------------------
+
+HEAD_BYTES = 65_536
+HEADS_AT_ONCE = 16
+
+
+@dataclass
+class FolderRead:
+    """Rows of all files, and what one pass over them has seen (known after an action on `rows`)."""
+
+    rows: DataFrame
+    kinds: dict[tuple[str, str], list[str]]  # (header, separator) -> files
+    seen: Observation
+
+    @property
+    def other_lines(self) -> int:
+        """Lines that were no UTF-8 and were read as ISO-8859-1."""
+        return self.seen.get["other_lines"]
+
+    @property
+    def lines(self) -> int:
+        return self.seen.get["lines"]
+
+
+def first_lines(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The first line of every file, by the file systems that Spark reads them with: one short read each."""
+    conf, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
+
+    def head(path: str) -> str:
+        where = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path))
+        opened = jvm.org.apache.spark.sql.execution.datasources.CodecStreams.createInputStream(conf, where)
+        try:
+            raw = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(
+                jvm.org.apache.commons.io.input.BoundedInputStream(opened, HEAD_BYTES)))
+        finally:
+            opened.close()
+        line = raw.splitlines()[0] if raw else b""
+        try:
+            return line.decode()
+        except UnicodeDecodeError:
+            return line.decode("iso-8859-1")
+
+    with ThreadPoolExecutor(HEADS_AT_ONCE) as pool:
+        return list(pool.map(head, paths))
+
+
+def separator_of(header: str) -> str:
+    best = max(SEPARATORS, key=header.count)
+    return best if header.count(best) else ","
+
+
+def read_csv_folder(spark: SparkSession, path: str, schema: StructType | str | None = None) -> FolderRead:
+    """CSV files whose headers, separators and encodings differ from file to file, in one pass.
+
+    The header of each file names its columns and its separator. Every line is read as UTF-8 if it is
+    valid, else as ISO-8859-1; the pass that parses counts those. Columns are matched by name and
+    are strings unless `schema` names types; a file without a column gives nulls. A line equal to
+    its file's header is no row. Quoted line ends are not supported, as files are split anywhere.
+    """
+    text = spark.read.text(path)
+    names = sorted(text.inputFiles())
+    kinds: dict[tuple[str, str], list[str]] = {}
+    for name, header in zip(names, first_lines(spark, names)):
+        header = header.rstrip("\r\n")
+        if header.strip("\ufeff \t"):
+            kinds.setdefault((header, separator_of(header)), []).append(name)
+    wanted = _fields(schema)
+    parts = []
+    for (header, separator), own in kinds.items():
+        parts.append(_one_kind(spark, own, header, separator, wanted))
+    if not parts:
+        rows = spark.createDataFrame([], wanted or StructType([])).withColumn("_other", F.lit(False))
+    else:
+        rows = parts[0]
+        for more in parts[1:]:
+            rows = rows.unionByName(more, allowMissingColumns=True)
+    if wanted is not None:
+        rows = rows.select(*[F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted], "_other")
+    seen = Observation()
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("lines"), F.count_if("_other").alias("other_lines"))
+    return FolderRead(rows.drop("_other"), kinds, seen)
+
+
+def _fields(schema: StructType | str | None) -> StructType | None:
+    return StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
+def _one_kind(spark: SparkSession, paths: list[str], header: str, separator: str, wanted: StructType | None) -> DataFrame:
+    names = [n.strip().strip('"') for n in header.lstrip("\ufeff").split(separator)]
+    types = {f.name: f.dataType.simpleString() for f in wanted} if wanted is not None else {}
+    ddl = ", ".join(f"`{n.replace('`', '``')}` {types.get(n, 'string')}" for n in names)
+    raw = F.col("value")
+    valid = F.is_valid_utf8(raw)
+    line = F.when(valid, raw).otherwise(F.decode(raw.cast("binary"), "ISO-8859-1"))
+    lines = spark.read.text(paths).select(F.regexp_replace(line, "\r$", "").alias("line"), (~valid).alias("_other"))
+    lines = lines.where(~F.col("line").isin(header, header.lstrip("\ufeff"), ""))
+    parsed = lines.select(F.from_csv("line", F.lit(ddl), {"sep": separator}).alias("r"), "_other")
+    return parsed.select("r.*", "_other")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header and empty nulls, one file per partition."""
     df.write.option("header", True).option("nullValue", "").option("emptyValue", "").mode(

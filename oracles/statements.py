@@ -353,6 +353,9 @@ ORACLES.update({
         o_totalprice a from orders union all select cast(user_id as varchar), value from events) group by 1""",
     "read_csv_any": "select o_orderpriority, count(*) n, round(sum(o_totalprice), 1) total from orders group by 1",
     "write_users_csv": sql(SCORES, "select user_id, segment, frequency, round(monetary, 2) monetary from users"),
+    "read_csv_folder": "select o_orderpriority || ' é' priority, count(*) n, round(sum(o_totalprice), 1) total from orders group by 1",
+    "append_dedupe": sql("", """select user_id, count(*) n, round(sum(a), 2) total from
+        (select distinct invoice, user_id, ts, qty * price a, l_partkey from raw where invoice not like 'C%' and user_id <> '0') group by 1""", RETAIL),
     "union_dedupe": sql("", """select user_id, count(*) n, round(sum(a), 2) total from
         (select distinct invoice, user_id, ts, qty * price a, l_partkey from raw where invoice not like 'C%' and user_id <> '0') group by 1""", RETAIL),
     "detect_domain": """select 'retail' source, 'retail' "domain", count(*) "rows" from lineitem join orders on l_orderkey = o_orderkey
@@ -520,6 +523,9 @@ ORACLES.update({
     "baseline_drift": sql(SCORES + _CENTS + """blr as (select recency, frequency, round(monetary, 6) monetary from cents), late as (select * from cents where recency > 60),"""
         + _samples(["recency", "frequency", "monetary"], "late", "blr") + "," + KS,
         "select feature, 'Baseline Drift' drift_type, round(d, 4) ks_statistic from kp"),
+    "sketch_drift": sql(SCORES + _CENTS + """blr as (select recency, frequency, monetary from cents), late as (select * from cents where recency > 60),"""
+        + _samples(["recency", "frequency", "monetary"], "late", "blr") + "," + KS,
+        "select feature, 1 in_bound, round(d, 4) ks_exact, (p < 0.05 / 3)::int drifted from kp"),
     "drift_summary": sql(_FLAGS + """, fl as (select *, p < 0.05 / 5 drifted from kp),
         ag as (select count(*) total_features, count(*) filter (drifted) drifted_count, median(p) mp,
           round(count(*) filter (drifted) / count(*) * 100, 1) pc from fl),
