@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,12 +22,15 @@ SAMPLE_DOCS = 1500
 EM_ROUNDS = 2
 #: Added to every expected piece count, so that no piece of the vocabulary is impossible.
 SMOOTHING = 0.02
-#: Bytes of the longest piece that is used, and of a word; longer words are scored in such parts.
-PIECE_BYTES, WORD_BYTES = 12, 24
+#: Bytes that are held at a time: of words of like size, and of a word that is longer than that.
+CELLS, SEGMENT_BYTES = 480_000, 65_536
+#: Positions after which running chances are brought back to 1, so that none vanishes.
+RESCALED_EVERY = 16
 UNKNOWN = "und"
 KNOWN_WORDS = 150_000
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: A letter with the letters and marks that follow it.
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _STEP = np.uint64(1_099_511_628_211)
 _END = np.uint64(0x5851F42D4C957F2D)
 
@@ -48,96 +51,142 @@ class Pieces:
         model = json.loads(file_text)["model"]
         end = model["end_of_word_suffix"]
         byte = {c: b for b, c in enumerate(byte_letters())}
-        keys = []
+        keys, self.longest = [], 1
         for token in model["vocab"]:
             final = token.endswith(end)
             piece = bytes(byte[c] for c in (token[: -len(end)] if final else token))
-            if len(piece) <= PIECE_BYTES:
-                keys.append(_hash(piece) ^ (int(_END) if final else 0))
+            keys.append(_hash(piece) ^ (int(_END) if final else 0))
+            self.longest = max(self.longest, len(piece))
         self.keys = np.unique(np.array(keys, dtype=np.uint64))
 
     def __len__(self) -> int:
         return len(self.keys)
 
-    def find(self, words: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-        """For each piece length, the piece numbers at all starts of the padded words; the number
-        behind the last piece where there is none."""
+    def find(self, words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """[word, j, size - 1]: the number of the piece of that size that ends behind byte j of the
+        padded word; the number behind the last piece where there is none."""
         width = words.shape[1]
-        out = []
+        most = min(self.longest, width)
+        out = np.full((len(words), width + 1, most), len(self.keys), dtype=np.int32)
         h = np.full(words.shape, 14_695_981_039_346_656_037, dtype=np.uint64)
-        for size in range(1, min(PIECE_BYTES, width) + 1):
+        for size in range(1, most + 1):
             h = h[:, : width - size + 1] * _STEP + (words[:, size - 1 :].astype(np.uint64) + np.uint64(1))
             stop = np.arange(size, width + 1)[None, :]
             key = np.where(stop == sizes[:, None], h ^ _END, h)
             inside = stop <= sizes[:, None]
-            found = np.full(key.shape, len(self.keys), dtype=np.int32)
             asked = key[inside]
             at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
-            found[inside] = np.where(self.keys[at] == asked, at, len(self.keys))
-            out.append(found)
+            out[:, size:, size - 1][inside] = np.where(self.keys[at] == asked, at, len(self.keys))
         return out
 
 
 def _padded(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(places, matrix, sizes) of words of similar length."""
+    """(places, matrix, sizes) of words of similar length, up to SEGMENT_BYTES."""
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    low = 0
-    for width in (4, 8, 12, 16, WORD_BYTES):
+    low, width = 0, 4
+    while low < min(int(sizes.max(initial=0)), SEGMENT_BYTES):
         places = np.flatnonzero((sizes > low) & (sizes <= width))
-        for i in range(0, len(places), 20_000):
-            part = places[i : i + 20_000]
+        each = max(1, CELLS // width)
+        for i in range(0, len(places), each):
+            part = places[i : i + each]
             raw = b"".join([words[p].ljust(width, b"\0") for p in part])
             yield part, np.frombuffer(raw, dtype=np.uint8).reshape(len(part), width), sizes[part]
-        low = width
-
-
-def _forward(found: list[np.ndarray], chances: np.ndarray, width: int) -> np.ndarray:
-    """alpha[word, j, language]: the chance of the first j bytes, over all their segmentations."""
-    n = found[0].shape[0]
-    alpha = np.zeros((n, width + 1, chances.shape[1]))
-    alpha[:, 0] = 1.0
-    for j in range(1, width + 1):
-        for size in range(1, min(PIECE_BYTES, j) + 1):
-            alpha[:, j] += alpha[:, j - size] * chances[found[size - 1][:, j - size]]
-    return alpha
+        low, width = width, width + 4 if width < 16 else width * 3 // 2
+
+
+def _forward(ends: np.ndarray, chances: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """alpha[word, j, language]: the chance of the first j bytes, over all their segmentations, and the
+    logarithm of what it was divided by. `first` are the chances of earlier positions, the nearest last."""
+    n, width, most = ends.shape
+    start = 1 if first is None else first.shape[1]
+    alpha = np.zeros((n, start + width - 1, chances.shape[1]))
+    alpha[:, :start] = 1.0 if first is None else first
+    scale = np.zeros_like(alpha)
+    for j in range(1, width):
+        at = start - 1 + j
+        reach = min(most, at)
+        alpha[:, at] = np.einsum("nsl,nsl->nl", chances[ends[:, j, :reach]], alpha[:, at - reach : at][:, ::-1])
+        scale[:, at] = scale[:, at - 1]
+        if j % RESCALED_EVERY == 0:
+            near = slice(max(0, at - most + 1), at + 1)
+            top = alpha[:, near].max(axis=1)
+            top[top == 0] = 1.0
+            alpha[:, near] /= top[:, None]
+            scale[:, near] += np.log(top)[:, None]
+    return alpha[:, start - 1 :], scale[:, start - 1 :]
+
+
+def _long_score(pieces: Pieces, chances: np.ndarray, word: bytes) -> np.ndarray:
+    """Log chance of a word of any length: segments in turn, each with the last chances of the one before."""
+    whole = np.frombuffer(word, dtype=np.uint8)
+    first, total, done = np.ones((1, 1, chances.shape[1])), np.zeros(chances.shape[1]), 0
+    while done < len(whole):
+        start, stop = done - first.shape[1] + 1, min(done + SEGMENT_BYTES, len(whole))
+        part = whole[None, start:stop]
+        size = np.array([len(whole) - start])  # a piece is final only at the end of the word
+        ends = pieces.find(part, size)[:, done - start :]
+        alpha, scale = _forward(ends, chances, first)
+        keep = min(pieces.longest, alpha.shape[1] + first.shape[1] - 1)
+        both = np.concatenate([first[:, :-1], alpha], axis=1)[:, -keep:]
+        shift = np.concatenate([np.zeros_like(first[:, :-1]), scale], axis=1)[:, -keep:]
+        total += scale[0, -1]
+        first = both * np.exp(shift - scale[:, -1:])
+        done = stop
+    return total + np.log(first[0, -1])
 
 
 def word_scores(pieces: Pieces, chances: np.ndarray, words: list[bytes]) -> np.ndarray:
     """Log chance of every word in every language. chances has a zero row behind the last piece."""
     out = np.zeros((len(words), chances.shape[1]))
     for part, matrix, sizes in _padded(words):
-        alpha = _forward(pieces.find(matrix, sizes), chances, matrix.shape[1])
-        out[part] = np.log(alpha[np.arange(len(part)), sizes])
+        alpha, scale = _forward(pieces.find(matrix, sizes), chances)
+        rows = np.arange(len(part))
+        out[part] = np.log(alpha[rows, sizes]) + scale[rows, sizes]
+    for i, word in enumerate(words):
+        if len(word) > SEGMENT_BYTES:
+            out[i] = _long_score(pieces, chances, word)
     return out
 
 
 def expected_counts(pieces: Pieces, chances: np.ndarray, words: list[bytes], times: np.ndarray) -> np.ndarray:
-    """Expected uses of every piece in the words of one language, over all segmentations."""
+    """Expected uses of every piece in the words of one language, over all segmentations.
+
+    Words above SEGMENT_BYTES are scored like others, but nothing is learned from them.
+    """
     total = np.zeros(len(pieces) + 1)
     for part, matrix, sizes in _padded(words):
-        width = matrix.shape[1]
-        found = pieces.find(matrix, sizes)
-        alpha = _forward(found, chances[:, None], width)[:, :, 0]
-        beta = np.zeros_like(alpha)
+        ends = pieces.find(matrix, sizes)
+        width, most = matrix.shape[1], ends.shape[2]
+        alpha, scale = (x[:, :, 0] for x in _forward(ends, chances[:, None]))
+        # from the end of each word backwards, in the same scales as from its start
         rows = np.arange(len(part))
+        whole = np.log(alpha[rows, sizes]) + scale[rows, sizes]
+        beta, held = np.zeros_like(alpha), np.zeros_like(alpha)
         beta[rows, sizes] = 1.0
         for i in range(width - 1, -1, -1):
-            for size in range(1, min(PIECE_BYTES, width - i) + 1):
-                beta[:, i] += chances[found[size - 1][:, i]] * beta[:, i + size]
-        weight = times[part] / alpha[rows, sizes]
-        for size, numbers in enumerate(found, 1):
-            uses = alpha[:, : width - size + 1] * chances[numbers] * beta[:, size:] * weight[:, None]
+            reach = min(most, width - i)
+            after = np.arange(1, reach + 1)
+            own = chances[ends[:, i + after, after - 1]] * beta[:, i + 1 : i + 1 + reach]
+            inside = i < sizes
+            beta[inside, i] = own[inside].sum(axis=1)
+            held[:, i] = held[:, i + 1]
+            if (width - i) % RESCALED_EVERY == 0:
+                near = slice(i, min(i + most, width + 1))
+                top = beta[:, near].max(axis=1)
+                top[top == 0] = 1.0
+                beta[:, near] /= top[:, None]
+                held[:, near] += np.log(top)[:, None]
+        for size in range(1, most + 1):
+            numbers = ends[:, size:, size - 1]
+            shift = np.exp(scale[:, : width - size + 1] + held[:, size:] - whole[:, None])
+            uses = alpha[:, : width - size + 1] * chances[numbers] * beta[:, size:] * shift * times[part][:, None]
             total += np.bincount(numbers.ravel(), uses.ravel(), minlength=len(total))
     return total[:-1]
 
 
 def words_of(piece: str) -> list[bytes]:
-    """The letter runs of a lower-cased piece of text as UTF-8, in parts of WORD_BYTES."""
-    out = []
-    for run in [piece] if piece.isalpha() else _LETTERS.findall(piece):
-        raw = run.encode("utf-8", "surrogatepass")
-        out += [raw] if len(raw) <= WORD_BYTES else [raw[i : i + WORD_BYTES] for i in range(0, len(raw), WORD_BYTES)]
-    return out
+    """The letter runs of a lower-cased piece of text as UTF-8."""
+    return [run.encode("utf-8", "surrogatepass") for run in ([piece] if piece.isalpha() else _LETTERS.findall(piece))]
 
 
 @dataclass

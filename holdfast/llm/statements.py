@@ -13,14 +13,48 @@ _HOST = _LOWER.format("coalesce(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1),
 _PATH = "coalesce(regexp_extract({0}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
 _KEY = f"""case when contains({{0}}, '://') then {_HOST} || regexp_extract({{0}}, '(?s)^.*?://[^/?#]*([^#]*)', 1) end"""
 
+_UNSEEN = r"(?is)<!--.*?(?:-->|$)|<script\b.*?(?:</script|$)|<style\b.*?(?:</style|$)|<template\b.*?(?:</template|$)"
+_TAGS = r"""(?is)<(?:link|meta)[\s/](?:[^>"'']|"[^"]*"|''[^'']*'')*>"""
+_ATTRIBUTE = r"""([^\s"''<>/=]+)(?:\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+))?"""
+_REFRESH = r"""(?is)^\s*[0-9.]*\s*[;,]?\s*url\s*=\s*["'']?([^"'']*)"""
+#: A path without the steps . and .., which go from the left; the query stays.
+_STEPS = "string_split(substr(regexp_extract({0}, '(?s)^([^?#]*)', 1), 2), '/')"
+_NO_DOTS = f"""case when regexp_matches({{0}}, '^[^?#]*/[.][.]?(/|[?#]|$)') then '/' || array_to_string(list_reduce(
+    list_prepend([]::varchar[], list_transform({_STEPS}, lambda x: [x])), lambda d, x: case
+      when x[1] = '..' then d[1:len(d) - 1] when x[1] = '.' then d else d || x end), '/')
+    || case when regexp_matches({{0}}, '^[^?#]*/[.][.]?([?#]|$)') then '/' else '' end
+    || regexp_extract({{0}}, '(?s)^[^?#]*(.*)', 1) else {{0}} end"""
+
 OP2 = f"""
 with recursive rules(verdict, rule, name, start) as (
   values ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'),
          ('block', 'example.org/en/1', 'example.org', '/en/1'), ('allow', 'com/fr/', 'com', '/fr/'),
          ('block', 'com/de/', 'com', '/de/')),
+tags as (
+  select url, unnest(regexp_extract_all(regexp_replace(html, '{_UNSEEN}', '', 'g'), '{_TAGS}', 0)) as tag from pages),
+parsed as (
+  select url, list_transform(regexp_extract_all(tag, '{_ATTRIBUTE}', 1), lambda x: lower(x)) as names,
+         list_transform(regexp_extract_all(tag, '{_ATTRIBUTE}', 2),
+           lambda x: replace(trim(regexp_replace(x, '^["'']|["'']$', '', 'g'), e' \t\r\n'), '&amp;', '&')) as vals from tags),
+named as (
+  select url, case
+    when names[1] = 'link' and list_contains(regexp_split_to_array(lower(coalesce(vals[list_position(names, 'rel')], '')), '\\s+'), 'canonical')
+      then vals[list_position(names, 'href')]
+    when names[1] = 'meta' and lower(vals[list_position(names, 'http-equiv')]) = 'refresh'
+      then trim(regexp_extract(vals[list_position(names, 'content')], '{_REFRESH}', 1)) end as target from parsed),
+placed as (
+  select url, target, regexp_extract(url, '(?s)^(.*?)://', 1) as scheme, {_HOST.format("url")} as host,
+         case when {_PATH.format("url")} = '' then '/' else {_PATH.format("url")} end as path,
+         regexp_extract(url, '(?s)^.*?://[^?#]*(\\?[^#]*)', 1) as query from named where target <> ''),
 linked as (
-  select url, regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'),
-             '(?is)\\bhref\\s*=\\s*["'']([a-z]+://[^"'']*)', 1) as target from pages),
+  select url, case
+    when regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') then target
+    when regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') then null
+    when starts_with(target, '//') then scheme || ':' || target
+    when starts_with(target, '/') then scheme || '://' || host || {_NO_DOTS.format("target")}
+    when starts_with(target, '?') then scheme || '://' || host || path || target
+    when starts_with(target, '#') then scheme || '://' || host || path || query
+    else scheme || '://' || host || {_NO_DOTS.format("(regexp_extract(path, '(?s)^(.*/)', 1) || target)")} end as target from placed),
 edges as (select {_KEY.format("url")} as a, {_KEY.format("target")} as b from linked where target <> ''),
 ways as (select a, b from edges where a <> b union select b, a from edges where a <> b),
 reach(a, b) as (select a, a from ways union select reach.a, ways.b from reach join ways on reach.b = ways.a),

@@ -47,30 +47,72 @@ def alias_key(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), F.concat(host_of(url), rest))
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    value = F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", 1)
-    return F.replace(F.btrim(value, F.lit("\"' \t\n\r")), F.lit("&amp;"), F.lit("&"))
+#: What holds no tags of the page itself, and the tags that may name another address.
+UNSEEN = r"(?is)<!--.*?(?:-->|$)|<script\b.*?(?:</script|$)|<style\b.*?(?:</style|$)|<template\b.*?(?:</template|$)"
+TAGS = r"""(?is)<(?:link|meta)[\s/](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+#: An attribute's name, and its value with the quotes, read from the left: values are never taken for names.
+ATTRIBUTE = r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
+REFRESH = r"""(?is)^\s*[0-9.]*\s*[;,]?\s*url\s*=\s*["']?([^"']*)"""
 
 
-def link_target(url: Column, html: Column) -> Column:
-    """Absolute targets that the page names as its other address: canonical link, refresh, og:url."""
-    canonical = F.regexp_extract(html, r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
-    refresh = F.regexp_extract(html, r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
-    later = F.regexp_extract(_attribute(refresh, "content"), r"""(?is)url\s*=\s*["']?([^"']*)""", 1)
-    named = F.array(_attribute(canonical, "href"), F.btrim(later))
+def link_targets(url: Column, html: Column) -> Column:
+    """Absolute targets that the page names as its other address: canonical links and refreshes.
+
+    Comments, scripts, styles and templates hold no tags. A link is canonical if one of the words of its rel is.
+    Targets are resolved against the page's address; one that names only a fragment is the page itself.
+    """
+    seen = F.regexp_replace(html, UNSEEN, "")
+    tags = F.regexp_extract_all(seen, F.lit(TAGS), F.lit(0))
+    parsed = F.transform(tags, lambda tag: F.struct(
+        F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(1)), F.lower).alias("names"),
+        F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(2)).alias("texts")))
+
+    def attribute(tag: Column, name: str) -> Column:
+        at = F.array_position(tag["names"], F.lit(name))
+        value = F.when(at > 0, F.get(tag["texts"], (at - 1).cast("int")))
+        value = F.btrim(F.regexp_replace(value, r"""^["']|["']$""", ""), F.lit(" \t\r\n"))
+        return F.replace(F.coalesce(value, F.lit("")), F.lit("&amp;"), F.lit("&"))
+
+    def named(tag: Column) -> Column:
+        canonical = F.array_contains(F.split(F.lower(attribute(tag, "rel")), r"\s+"), "canonical")
+        refresh = F.lower(attribute(tag, "http-equiv")) == "refresh"
+        later = F.btrim(F.regexp_extract(attribute(tag, "content"), REFRESH, 1))
+        is_link = F.get(tag["names"], F.lit(0)) == "link"
+        return F.when(is_link & canonical, attribute(tag, "href")).when(~is_link & refresh, later).otherwise("")
+
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
     site = F.concat(scheme, F.lit("://"), host_of(url))
-    folder = F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1)
+    path = F.when(path_of(url) == "", "/").otherwise(path_of(url))
+    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)
+    folder = F.regexp_extract(path, r"(?s)^(.*/)", 1)
 
     def absolute(target: Column) -> Column:
         return (
             F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+            .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
             .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-            .when(target.startswith("/"), F.concat(site, target))
-            .when(target != "", F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), target))
+            .when(target.startswith("/"), F.concat(site, without_dots(target)))
+            .when(target.startswith("?"), F.concat(site, path, target))
+            .when(target.startswith("#"), F.concat(site, path, query))
+            .when(target != "", F.concat(site, without_dots(F.concat(folder, target))))
         )
 
-    return F.filter(F.transform(named, absolute), lambda t: t.isNotNull())
+    return F.array_distinct(F.filter(F.transform(F.transform(parsed, named), absolute), lambda t: t.isNotNull()))
+
+
+def without_dots(address: Column) -> Column:
+    """A path (with its query) without the steps `.` and `..`."""
+    path, rest = F.regexp_extract(address, r"(?s)^([^?#]*)", 1), F.regexp_extract(address, r"(?s)^[^?#]*(.*)", 1)
+    steps = F.split(F.substring(path, 2, 2**31 - 1), "/")
+    ends = F.when(path.rlike(r"/\.\.?$"), "/").otherwise("")
+
+    def step(done: Column, name: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(name == "..", up).when(name == ".", done).otherwise(F.concat(done, F.array(name)))
+
+    made = F.aggregate(steps, F.array().cast("array<string>"), step)
+    clean = F.concat(F.lit("/"), F.array_join(made, "/"), F.when(F.size(made) > 0, ends).otherwise(""))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(clean, rest)).otherwise(address)
 
 
 def url_verdicts(
@@ -96,7 +138,7 @@ def url_verdicts(
     at = F.col("at")
     judged = pages.select("page", host_of(at).alias("host"), path_of(at).alias("path"), F.md5(alias_key(at)).alias("node"))
     judged = judged.withColumn("own", matched_rule(F.col("host"), F.col("path"), rules))
-    named = pages.select("at", F.explode(link_target(at, F.col("source"))).alias("target"))
+    named = pages.select("at", F.explode(link_targets(at, F.col("source"))).alias("target"))
     named = named.select(alias_key(at).alias("address"), alias_key(F.col("target")).alias("other"),
                          at.alias("url"), "target")
     named = cut_lineage(named.filter("address is not null and other is not null and address <> other").distinct(), "aliases")

@@ -117,6 +117,62 @@ def test_allow_precedes_block_among_aliases(spark):
     assert url_rules.url_verdicts(df.limit(0)).count() == 0
 
 
+LINKS = [  # (address, what it holds, the addresses it names)
+    ("http://a.net/x/v?q=1", '<link rel="canonical" href="?q=2">', ["http://a.net/x/v?q=2"]),
+    ("http://a.net/x/v?q=1", '<link rel="canonical" href="#top">', ["http://a.net/x/v?q=1"]),
+    ("http://a.net/x/v", "<link rel='alternate  Canonical' href='w'>", ["http://a.net/x/w"]),
+    ("http://a.net/x/y/v", "<link rel=canonical href=../w?z=../1>", ["http://a.net/x/w?z=../1"]),
+    ("http://a.net/x/y/v", "<link rel=canonical href=/a/./b/../../..>", ["http://a.net/"]),
+    ("http://a.net/x/y/v", "<link rel=canonical href=..>", ["http://a.net/x/"]),
+    ("http://a.net", "<link rel=canonical href=w>", ["http://a.net/w"]),
+    ("https://A.net/x", "<link rel=canonical href=//b.net/c>", ["https://b.net/c"]),
+    ("http://a.net/", '<link rel="canonical" data-href="http://x.com/de/5" href="http://b.net/1">', ["http://b.net/1"]),
+    ("http://a.net/", '<link title="href=http://x.com/de/5" rel=canonical href="http://b.net/1">', ["http://b.net/1"]),
+    ("http://a.net/", '<!-- <link rel="canonical" href="http://x.com/de/5"> -->', []),
+    ("http://a.net/", "<script>s='<link rel=canonical href=/x>'</script><style><link rel=canonical href=/x></style>", []),
+    ("http://a.net/", "<link rel=canonical href='/a>b'><p>", ["http://a.net/a>b"]),
+    ("http://a.net/", '<link rel=canonicals href="/x"><link rel=canonical><a rel=canonical href=/x>', []),
+    ("http://a.net/", '<link rel="canonical" href="mailto:a@b.c">', []),
+    ("http://a.net/", '<meta http-equiv="Refresh" content="5;URL=\'/next?a=1&amp;b=2\'">', ["http://a.net/next?a=1&b=2"]),
+    ("http://a.net/", '<meta name=refresh content="0; url=/x"><meta http-equiv=refresh content="5">', []),
+    ("http://a.net/", '<meta property="og:url" content="http://b.net/og">', []),
+    ("http://a.net/", "<LINK HREF=/1 REL=canonical><link rel=canonical href=/2>", ["http://a.net/1", "http://a.net/2"]),
+    ("http://a.net/", "<link rel=canonical href='/unclosed", []),
+    ("http://a.net/", None, []),
+    ("http://a.net/", "<link " + "x " * 400_000 + "rel=canonical href=/far>", ["http://a.net/far"]),
+    ("http://a.net/", "<link " + "'\"'\"" * 200_000, []),
+    ("http://a.net/", "<!--" + "<link rel=canonical href=/x>" * 20_000, []),
+]
+
+
+def test_link_targets(spark):
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(LINKS)], "i int, url string, html string")
+    got = {r.i: r.t for r in df.select("i", url_rules.link_targets(F.col("url"), F.col("html")).alias("t")).collect()}
+    for i, (url, html, want) in enumerate(LINKS):
+        assert (got[i] or []) == want, (url, html, got[i])
+
+
+def test_verdicts_equal_the_statement_on_planted_links(spark):
+    """The DuckDB twin over links of every kind, in chains and rings, to blocked and allowed addresses."""
+    import duckdb
+    import pandas as pd
+
+    from holdfast.llm.statements import ORACLES
+
+    rows = [(i, u, h) for i, (u, h, _) in enumerate(LINKS)] + [(100 + r[0], r[1], r[2]) for r in PAGES]
+    for i, target in enumerate(["http://x.com/de/1", "/c2", "../s2/c3", "?q=3", "//x.com/fr/1", "http://s5.net/d", "http://s0.net/s/c0"]):
+        rows += [(200 + i, f"http://s{i}.net/s/c{i}", f'<!-- x --><link class="a b" rel="me canonical" data-href="/no" href="{target}">'),
+                 (300 + i, f"http://s{i}.net/c{(i + 1) % 5}?q={i}", f'<meta content="0;url={target}" http-equiv=refresh>')]
+    pages = pd.DataFrame(rows, columns=["page_id", "url", "html"])
+    con = duckdb.connect()
+    con.register("pages", pages)
+    want = sorted(map(str, con.execute(ORACLES["op2_url_filters"]).fetchall()))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = url_rules.url_verdicts(df).select("page_id", "host", "path", "rule", "verdict")
+    assert sorted(str(tuple(r)) for r in got.collect()) == want
+    assert {"allow", "block"} == {r.verdict for r in got.where("rule is null").collect()}
+
+
 BLANKS = " \t\n\x0b\x0c\r"
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -251,42 +253,46 @@ def model(spark):
     return language.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), VOCAB, sample_docs=150)
 
 
-def test_forward_sums_all_segmentations(model):
+def test_forward_sums_all_segmentations(model, monkeypatch):
     pieces = language.Pieces(model.file_text)
     number = {int(k): i for i, k in enumerate(pieces.keys)}
 
     def brute(word, k):
-        chance = [1.0] + [0.0] * len(word)
+        """The logarithm of the sum over all segmentations into pieces of any length, with exact fractions."""
+        chance = [Fraction(1)] + [Fraction(0)] * len(word)
         for j in range(1, len(word) + 1):
-            for i in range(max(0, j - language.PIECE_BYTES), j):
+            for i in range(j):
                 at = number.get(language._hash(word[i:j]) ^ (int(language._END) if j == len(word) else 0))
                 if at is not None:
-                    chance[j] += chance[i] * model.chances[at, k]
-        return chance[-1]
-
-    words = ["the", "été", "über", "a", "internationalisations", "zzzz"]
+                    chance[j] += chance[i] * Fraction(float(model.chances[at, k]))
+        return math.log(chance[-1].numerator) - math.log(chance[-1].denominator)
+
+    vocab = json.loads(model.file_text)["model"]["vocab"]
+    longest = max((t.removesuffix("</w>") for t in vocab if t.removesuffix("</w>").isascii()), key=len)
+    assert pieces.longest >= len(longest) > 12
+    words = ["the", "été", "über", "a", "internationalisations", "zzzz", longest, longest + "s", "donaudampfschifffahrtsgesellschaft", "日本語テキスト", "é" * 60]
+    words += ["w" * 70, "thequickbrownfoxjumpsoverthelazydog" * 4]
     scores = language.word_scores(pieces, model.chances, [w.encode() for w in words])
     for i, word in enumerate(words):
         for k in range(len(model.languages)):
-            assert np.exp(scores[i, k]) == pytest.approx(brute(word.encode(), k))
+            assert scores[i, k] == pytest.approx(brute(word.encode(), k), rel=1e-9), word
+    monkeypatch.setattr(language, "SEGMENT_BYTES", 23)
+    assert np.allclose(language.word_scores(pieces, model.chances, [w.encode() for w in words]), scores, rtol=1e-9)
     assert model.chances[:-1].sum(axis=0) == pytest.approx(np.ones(len(model.languages)))
 
 
 def test_expected_counts_cover_the_words(model):
     """Pieces used in expectation spell exactly the bytes of the words."""
     pieces = language.Pieces(model.file_text)
-    words, times = [b"the", "été".encode(), b"internationalisation"], np.array([3.0, 2.0, 1.0])
+    words, times = [b"the", "été".encode(), b"internationalisation", b"abcdefgh" * 60], np.array([3.0, 2.0, 1.0, 2.0])
     uses = language.expected_counts(pieces, model.chances[:, 0], words, times)
-    import json
-
     vocab = json.loads(model.file_text)["model"]
     byte = {c: b for b, c in enumerate(bpe.byte_letters())}
     size = np.zeros(len(pieces))
     for token in vocab["vocab"]:
         final = token.endswith(vocab["end_of_word_suffix"])
         piece = bytes(byte[c] for c in token.removesuffix(vocab["end_of_word_suffix"]))
-        if len(piece) <= language.PIECE_BYTES:
-            size[np.searchsorted(pieces.keys, np.uint64(language._hash(piece) ^ (int(language._END) if final else 0)))] = len(piece)
+        size[np.searchsorted(pieces.keys, np.uint64(language._hash(piece) ^ (int(language._END) if final else 0)))] = len(piece)
     assert (uses * size).sum() == pytest.approx(sum(len(w) * t for w, t in zip(words, times)))
 
 
@@ -300,13 +306,14 @@ def test_held_out_accuracy(spark, model):
 
 
 def test_languages_of_odd_texts(spark, model):
-    rows = [(1, None), (2, ""), (3, "123 !? 45"), (4, "the of and"), (None, "le la les des"), (6, "der " * 50_000), (7, "w" * 5_000)]
+    rows = [(1, None), (2, ""), (3, "123 !? 45"), (4, "the of and"), (None, "le la les des"), (6, "der " * 50_000), (7, "w" * 200_000), (8, "½ ² ① _ 7"), (9, "½the"), (10, "の")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang_pred", F.lit("old")).withColumn("_text", F.lit(0))
     got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(df, model).collect()}
-    assert got[1] == got[2] == got[3] == ("und", 0.0)
+    assert got[1] == got[2] == got[3] == got[8] == ("und", 0.0)
+    assert got[9][0] in model.languages and got[10][0] in model.languages
     assert got[4][0] == "en" and got[None][0] == "fr" and got[6][0] == "de" and got[7][0] in model.languages
     kept = language.keep_identified(df, model)
-    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} <= {4, None, 6, 7}
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} <= {4, None, 6, 7, 9, 10}
     nothing = language.learn(spark.createDataFrame([], "doc_id long, text string, lang string"), VOCAB)
     assert {r.lang_pred for r in language.identify(df, nothing).collect()} == {"und"}
 
