@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import html
+import pickle
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from holdfast.llm.bpe import ARROW_ROWS
+from holdfast.llm.common import text_batches
 from holdfast.llm.url_rules import host_of
 from holdfast.session import cut_lineage
 
@@ -20,9 +24,9 @@ from holdfast.session import cut_lineage
 #: article, or if the importance of its own content is below the latter. Sites that show the branch
 #: fewer times, or the content on fewer pages, say nothing about it.
 LEAST_OUTSIDE, LEAST_INSIDE, LEAST_PAGES = 0.5, 0.2, 8
-#: Removed branches up to this number are broadcast; beyond it pages meet them by a salted join.
-BROADCAST_ROWS = 100_000
-SALTS = 32
+#: Removed branches up to this number are sent to every task; beyond it a unit of pages, of so many
+#: bytes, gets those that its own pages have.
+BROADCAST_ROWS, UNIT_BYTES = 100_000, 2_000_000
 
 # Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,6 +62,8 @@ NEVER_WORDS = frozenset(
     "navigation breadcrumb breadcrumbs pagination pager footer comment comments disqus respond reply replies related "
     "recommended share sharing social toolbar skip copyright".split()
 )
+#: Of these, the ones that name an advert, on whatever element a class or role says so.
+ADVERT_WORDS = frozenset("ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion".split())
 #: Of these, the ones that count on an article or main element itself.
 MAIN_WORDS = frozenset("ad ads advert comment comments reply replies related recommended sponsored".split())
 OUTSIDE_WORDS = frozenset("header masthead topbar search".split())
@@ -69,6 +75,8 @@ SIDE_WORDS = frozenset(
 )
 #: Never weighed; and weighed by all their appearances only, as a value of a table may repeat.
 WHOLE, CELLS = frozenset(["html", "body"]), frozenset(["td", "th"])
+#: Headings of an article are its text however often the site has them.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 #: Possessive throughout: no text makes the search go back.
 _TOKEN = re.compile(
@@ -97,11 +105,13 @@ def _chain(a: int, b: int) -> int:
     return xxh64_intdigest(a.to_bytes(8, "little") + b.to_bytes(8, "little"))
 
 
-def _mark(tag: str, attributes: str) -> tuple[int, frozenset[str], frozenset[str]]:
-    """Number of an element's presentation, the words of its names, and those that name a part of the
-    page: the words of a name count if each names a part or may stand beside one."""
+def _mark(tag: str, attributes: str) -> tuple[int, frozenset[str], frozenset[str], bool]:
+    """Number of an element's presentation, the words of its names, those that name a part of the
+    page, and whether one names an advert: the words of a name count if each names a part or may stand
+    beside one."""
     words: set[str] = set()
     parts: set[str] = set()
+    advert = False
     if "=" in attributes:
         for kind, value in _NAMES.findall(attributes):
             value = value.strip("\"'")
@@ -113,7 +123,8 @@ def _mark(tag: str, attributes: str) -> tuple[int, frozenset[str], frozenset[str
                 own = set(_PARTS.findall(_STATES.sub(" ", _JOINT.sub("-", name).lower())))
                 if own <= _PART_WORDS:
                     parts |= own
-    return xxh64_intdigest(" ".join([tag, *sorted(words)])), frozenset(words), frozenset(parts)
+                    advert = advert or kind.lower() != "id" and bool(own & ADVERT_WORDS)
+    return xxh64_intdigest(" ".join([tag, *sorted(words)])), frozenset(words), frozenset(parts), advert
 
 
 class Page:
@@ -121,8 +132,8 @@ class Page:
 
     blocks: (text, main, dropped, number of the element around it); parents: for each element the number
     of the one around it; weighed: for each element its path and, once closed, the mark of its content
-    (None where it is not weighed); branches: (path, presentation, mark of content) of every closed
-    element that holds text.
+    (None where it is not weighed); wholes: the marks of the body and of its articles; branches: (path,
+    presentation, mark of content) of every closed element that holds text.
     """
 
     def __init__(self, source: str):
@@ -131,6 +142,7 @@ class Page:
         self.stack = [_Open("", 0, False, False, 0)]
         self.parents = [0]
         self.weighed: list[tuple[int | None, int | None]] = [(None, None)]
+        self.wholes: list[int] = []
         self.text: list[str] = []
         self._read(source)
 
@@ -152,7 +164,9 @@ class Page:
             if done.content:
                 mark = _chain(done.path, done.content)
                 self.branches.append((done.path, done.children, mark))
-                if done.tag not in WHOLE:
+                if done.tag in MAIN or done.tag in WHOLE:
+                    self.wholes.append(mark)
+                if done.tag not in WHOLE and not (done.main and done.tag in HEADINGS):
                     self.weighed[done.number] = (done.path, None if done.tag in CELLS else mark)
                 self.stack[-1].content = _chain(self.stack[-1].content, done.content)
 
@@ -168,14 +182,14 @@ class Page:
             self._close_until({"p"}, KEEPS_P)
             if tag in ENDS:
                 self._close_until(*ENDS[tag])
-        mark, words, parts = _mark(tag, attributes)
+        mark, words, parts, advert = _mark(tag, attributes)
         parent = self.stack[-1]
         parent.children = _chain(parent.children, mark)
         if tag in VOID:
             self.text.append(" ")
             return
         named = tag not in WHOLE and not (parent.main and tag in TEXT)
-        no = tag in NEVER or named and bool(parts & (MAIN_WORDS if tag in MAIN else NEVER_WORDS))
+        no = tag in NEVER or advert or named and bool(parts & (MAIN_WORDS if tag in MAIN else NEVER_WORDS))
         if not parent.main:
             no = no or tag in OUTSIDE or named and tag not in MAIN and bool(parts & OUTSIDE_WORDS)
         dropped = parent.dropped or no
@@ -218,7 +232,8 @@ class Page:
         """The blocks of the article, or of the whole body where no element is named so.
 
         `unimportant` has the importance of paths, and of contents by their marks. An element is as
-        important as the least important one around it, however far out that is.
+        important as the least important one around it, however far out that is. A site that repeats a
+        whole article, or a whole body, shows copies of one page, which say nothing about its parts.
         """
         worst: list[float] = []
         for (path, mark), parent in zip(self.weighed, self.parents):
@@ -230,7 +245,9 @@ class Page:
         def kept(main: bool) -> list[str]:
             least = LEAST_INSIDE if main else LEAST_OUTSIDE
             own = [b for b in self.blocks if not b[2] and (b[1] or not main)]
-            return [b[0] for b in own if worst[b[3]] >= least] or [b[0] for b in own]
+            some = [b[0] for b in own if worst[b[3]] >= least]
+            copied = not some and any(unimportant.get(mark, 1.0) < LEAST_INSIDE for mark in self.wholes)
+            return [b[0] for b in own] if copied else some
 
         return "\n".join(kept(any(b[1] and not b[2] for b in self.blocks)))
 
@@ -299,7 +316,8 @@ def main_texts(
     out are elements that are no main text by their markup or names (menus, headers, footers,
     sidebars, notices, adverts, forms, reader comments, scripts, styles), and branches that are
     unimportant in the merged tree of the site or whose content the site repeats, inside the article
-    as outside. If these would leave nothing, importance is ignored.
+    as outside, but for the headings of an article. A page that holds nothing else gives an empty
+    text; only where the site repeats whole articles, so that its pages are copies, is nothing weighed.
 
     A null html counts as empty and gives an empty text. Pages without a host form one site. Repeated
     rows each give a row; broken or unclosed markup is read as far as it goes. Other columns are
@@ -308,28 +326,82 @@ def main_texts(
     spark = pages.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     tree = cut_lineage(style_tree(pages, url_col, html_col), "tree")
-    found = F.map_from_entries(F.collect_list(F.struct("path", "importance"))).alias("_branches")
-    sites = tree.groupBy("host").agg(found)
-    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).cast("string").alias("_html"))
-    rows = rows.withColumn("host", host_of(F.col("_url").cast("string")))
-    if tree.count() <= BROADCAST_ROWS:
-        rows = rows.join(F.broadcast(sites), "host", "left")
-    else:
-        salt = F.pmod(F.xxhash64("_id", "_url"), F.lit(SALTS)).cast("int")
-        spread = sites.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("_salt", salt).join(spread, ["host", "_salt"], "left")
-    rows = rows.select("_id", "_url", "_html", "_branches")
-    schema = T.StructType([T.StructField(id_col, rows.schema["_id"].dataType), T.StructField(url_col, rows.schema["_url"].dataType),
-                           T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host_of(F.col(url_col).cast("string")).alias("_host"),
+                        F.col(html_col).cast("string").alias("_html"))
+    kinds = [T.StructField("_id", rows.schema["_id"].dataType), T.StructField("_url", rows.schema["_url"].dataType)]
+    schema = T.StructType([*kinds, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    few = tree.count() <= BROADCAST_ROWS
+    out = _with_whole_tree(rows, tree, schema) if few else _with_own_branches(rows, tree, schema)
+    return out.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", "n_chars")
+
+
+def _with_whole_tree(rows: DataFrame, tree: DataFrame, schema: T.StructType) -> DataFrame:
+    """Texts where the removed branches of all sites, at most BROADCAST_ROWS, go to every task."""
+    sites: dict[str, dict[int, float]] = {}
+    for r in tree.toPandas().itertuples(index=False):
+        sites.setdefault(r.host, {})[r.path % 2**64] = r.importance
+    shared = rows.sparkSession.sparkContext.broadcast(sites)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none: dict[int, float] = {}
         for batch in batches:
-            texts = []
-            for source, branches in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                low = {p % 2**64: v for p, v in branches or ()}
-                texts.append(Page(source or "").main_text(low))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
-                names=[id_col, url_col, "text", "n_chars"])
+            low = [shared.value.get(host, none) for host in batch.column(2).to_pylist()]
+            texts = [Page(source or "").main_text(own) for source, own in zip(batch.column(3).to_pylist(), low)]
+            yield _text_batch(batch.column(0), batch.column(1), texts)
 
     return rows.mapInArrow(run, schema)
+
+
+def _with_own_branches(rows: DataFrame, tree: DataFrame, schema: T.StructType) -> DataFrame:
+    """Texts where every unit of pages meets the removed branches that its pages have, and no others.
+
+    The join is on (host, branch) with each branch once a unit, so neither the branches of a large
+    site nor its pages meet in one place.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in schema.fields}
+    made = f"unit long, _id {kinds['_id']}, _url {kinds['_url']}, _host string, data binary, path long"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = TaskContext.get().partitionId() << 32
+        for batch in text_batches(batches, 3, UNIT_BYTES):
+            keys, data = set(), []
+            for host, source in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                page = Page(source or "")
+                keys |= {(host, key) for pair in page.weighed for key in pair if key is not None}
+                keys |= {(host, mark) for mark in page.wholes}
+                data.append(zlib.compress(pickle.dumps((page.blocks, page.parents, page.weighed, page.wholes)), 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([unit] * len(data), pa.int64()), *batch.columns[:3], pa.array(data, pa.binary()), pa.nulls(len(data), pa.int64())],
+                names=["unit", "_id", "_url", "_host", "data", "path"])
+            hosts, paths = zip(*keys) if keys else ((), ())
+            n = len(hosts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([unit] * n, pa.int64()), pa.nulls(n, batch.column(0).type), pa.nulls(n, batch.column(1).type),
+                 pa.array(hosts, pa.string()), pa.nulls(n, pa.binary()), pa.array(map(_signed, paths), pa.int64())],
+                names=["unit", "_id", "_url", "_host", "data", "path"])
+            unit += 1
+
+    units = cut_lineage(rows.mapInArrow(read, made), "units")
+    # two elements of a site may lead to one number as path and as content; the lower importance counts
+    low = tree.groupBy(F.col("host").alias("site"), F.col("path").alias("branch")).agg(F.min("importance").alias("importance"))
+    own = units.filter("data is null").select(F.col("unit").alias("of"), F.col("_host").alias("site"), F.col("path").alias("branch"))
+    own = own.join(low, ["site", "branch"])
+
+    def write(unit: pa.Table, found: pa.Table) -> pa.Table:
+        sites: dict[str, dict[int, float]] = {}
+        for host, path, importance in zip(*(found[c].to_pylist() for c in ("site", "branch", "importance"))):
+            sites.setdefault(host, {})[path % 2**64] = importance
+        texts = []
+        for host, data in zip(unit["_host"].to_pylist(), unit["data"].to_pylist()):
+            page = Page.__new__(Page)
+            page.blocks, page.parents, page.weighed, page.wholes = pickle.loads(zlib.decompress(data))
+            texts.append(page.main_text(sites.get(host, {})))
+        return pa.Table.from_batches([_text_batch(unit["_id"].combine_chunks(), unit["_url"].combine_chunks(), texts)])
+
+    whole = units.filter("data is not null").select("unit", "_id", "_url", "_host", "data")
+    return whole.groupBy("unit").cogroup(own.groupBy("of")).applyInArrow(write, schema)
+
+
+def _text_batch(ids: pa.Array, urls: pa.Array, texts: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [ids, urls, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["_id", "_url", "text", "n_chars"])

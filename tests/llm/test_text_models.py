@@ -386,3 +386,77 @@ def test_names_of_passages_drop_no_text():
     for source, want in inside:
         assert html_text.Page(f"<article>{source}</article>").main_text({}) == want, source
     assert html_text.Page("<noscript>enable it</noscript><p>t</p>").main_text({}) == "t"
+
+
+def test_adverts_and_headings_of_articles(spark):
+    inside = [
+        ("<figure class=ad>adv</figure><p class='ad box'>b</p><span class=sponsored>s</span><p>t<table role=ad><tr><td>x</table>", "t"),
+        ("<p id=ad>not by id</p><p class=additive>t</p><figure class='adapted ad-hoc'>f</figure>", "not by id\nt\nf"),
+    ]
+    for source, want in inside:
+        assert html_text.Page(f"<article>{source}</article>").main_text({}) == want, source
+    page = "<body><article><h1>Recipes</h1><h2>Ingredients</h2><p>flour {0}</p><div class=tip><h2>Note</h2><p>Always the same</p></div></article></body>"
+    only = "<body><article><h1>Recipes</h1><p>Only this notice</p></article></body>"
+    told = page.replace("</article>", "<p>Only this notice</p></article>")
+    rows = [(i, f"http://one.net/{i}", told.format(i)) for i in range(40)] + [(50, "http://one.net/x", only), (51, "http://one.net/y", only.replace("h1", "p"))]
+    rows += [(100 + i, f"http://copy.net/{i}", page.format("for all")) for i in range(30)]  # copies of one page
+    rows += [(200 + i, f"http://bare.net/{i}", "<body><p>Same words</p></body>") for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_texts(df).collect()}
+    assert got[3] == "Recipes\nIngredients\nflour 3" and got[50] == "Recipes" and "notice" not in got[51]
+    assert got[107] == "Recipes\nIngredients\nflour for all\nNote\nAlways the same" and got[201] == "Same words"
+
+
+def brute_tree(rows):
+    """{host: {path or mark: importance}} by plain dictionaries over whole pages."""
+    shapes, contents, on, pages_of = {}, {}, {}, {}
+    for host, source in rows:
+        seen = set()
+        for path, shape, content in html_text.Page(source or "").branches:
+            shapes.setdefault((host, path), []).append(shape)
+            contents.setdefault((host, path), []).append(content)
+            seen |= {(host, path, content)}
+        for host_, path, content in seen:
+            on[host_, path, content] = on.get((host_, path, content), 0) + 1
+        for key in {(h, p) for h, p, _ in seen}:
+            pages_of[key] = pages_of.get(key, 0) + 1
+
+    def entropy(values):
+        n = len(values)
+        shares = [values.count(v) / n for v in set(values)]
+        return -sum(p * math.log(p) for p in shares) / math.log(n) if n > 1 else 1.0
+
+    out = {}
+    for (host, path), own in shapes.items():
+        if len(own) >= html_text.LEAST_PAGES and (value := max(entropy(own), entropy(contents[host, path]))) < 0.5:
+            out.setdefault(host, {})[path] = value
+    for (host, path, content), n in on.items():
+        if n >= html_text.LEAST_PAGES and (value := 1 - math.log(n) / math.log(pages_of[host, path])) < html_text.LEAST_INSIDE:
+            out.setdefault(host, {})[content] = value
+    return out
+
+
+def test_texts_equal_a_plain_style_tree(spark, monkeypatch):
+    """200 generated pages of five sites: the Spark tree, in both ways of delivery, against dictionaries."""
+    rnd = random.Random(13)
+    notes = ["Subscribe now", "Follow us", "All rights", "Read more"]
+    rows = []
+    for i in range(200):
+        site = rnd.choice("aaabcde")
+        parts = []
+        for _ in range(rnd.randrange(1, 7)):
+            words = " ".join(rnd.choice("lorem ipsum dolor sit amet elit".split()) for _ in range(rnd.choice([1, 3, 9])))
+            parts.append(rnd.choice(["<p>{}</p>", "<div class=box><p>{}</p></div>", "<ul><li>{}</ul>", "<h2>{}</h2>", "<table><tr><td>{}</table>"]).format(
+                rnd.choice([words, words, rnd.choice(notes)])))
+        body = "".join(parts) + f"<p>{site} repeats this</p>"
+        rows.append((i, f"http://{site}.net/{i}", f"<body><div class=top>{site}</div>" + (f"<article>{body}</article>" if rnd.random() < 0.6 else body) + "</body>"))
+    rows += [(900 + i, None, "<p>no host</p><p>%d</p>" % i) for i in range(12)] + [(990, "http://a.net/", None), (990, "http://a.net/", None)]
+    host = lambda url: url.split("/")[2] if url else ""
+    low = brute_tree([(host(u), h) for _, u, h in rows])
+    assert len(low) == 6 and all(low.values())
+    want = sorted((i, html_text.Page(h or "").main_text(low.get(host(u), {}))) for i, u, h in rows)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5).withColumn("data", F.lit(1)).withColumn("_id", F.lit(2))
+    assert sorted((r.page_id, r.text) for r in html_text.main_texts(df).collect()) == want
+    monkeypatch.setattr(html_text, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(html_text, "UNIT_BYTES", 2_000)
+    assert sorted((r.page_id, r.text) for r in html_text.main_texts(df).collect()) == want
