@@ -1,8 +1,9 @@
-"""Nearest neighbours by a Hilbert order of projected vectors, with exact bounds for the windows not looked at."""
+"""Nearest neighbours by several shifted Hilbert orders of projected vectors, certified by exact bounds."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +13,14 @@ from pyspark.sql import types as T
 
 from holdfast.session import cut_lineage, shuffle_width
 
-#: Axes of the projection and bits of each axis (together at most 64).
-AXES, BITS = 16, 4
-#: Key windows that the order is cut into, and rows of one at least. A window, and the queries that meet
-#: it in one task, hold at most BLOCK_BYTES of double precision; larger tables have more windows.
-WINDOWS, WINDOW, BLOCK_BYTES = 64, 128, 1 << 25
+#: Orders, axes of each projection and bits of each axis (axes times bits at most 64).
+ORDERS, AXES, BITS = 4, 16, 4
+#: Rows of a key window; a query is compared with its own window and both neighbours of each order.
+WINDOW = 512
+#: Bytes of the queries, in double precision, that go to the tasks together in the last pass.
+QUERY_BYTES = 1 << 26
+#: Rows that travel to a task at once.
+ARROW_ROWS = 2048
 #: Distances that a task holds at once.
 DISTANCES = 1 << 22
 #: Vectors that the middle and the spread of the projections are taken from.
@@ -69,10 +73,10 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Curve:
-    """Projection, scale and shift of the order, from a sample of vectors."""
+    """Projection, scale and shift of one order, from a sample of vectors and the order's number."""
 
-    def __init__(self, sample: np.ndarray, seed: int = SEED):
-        rng = np.random.default_rng(seed)
+    def __init__(self, sample: np.ndarray, number: int, seed: int = SEED):
+        rng = np.random.default_rng([seed, number])
         width = sample.shape[1]
         axes = min(AXES, width)
         self.middle = sample.mean(axis=0)
@@ -115,35 +119,61 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
-def _laid(classes: DataFrame, curve: Curve, window: int) -> DataFrame:
-    """Every class with its `cell`, the number of its key window, in the shared folder."""
+def _laid(classes: DataFrame, curves: list[Curve]) -> DataFrame:
+    """Every class once per curve, in the order of that curve: (turn, key, vector, id, asked)."""
     spark = classes.sparkSession
-    shared = spark.sparkContext.broadcast(curve)
+    shared = spark.sparkContext.broadcast(curves)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                keys = shared.value.keys(_matrix(batch.column(0))) ^ np.uint64(1 << 63)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *batch.columns], names=["key", "vector", "id", "members", "asked"])
-
-    kind = f"key long, vector {classes.schema['vector'].dataType.simpleString()}, id long, members array<long>, asked int"
-    rows = classes.select("vector", "id", "members", "asked").mapInArrow(run, kind)
-    rows = rows.repartitionByRange(shuffle_width(spark), "key", "id").sortWithinPartitions("key", "id")
-    # Number of the partition in the upper bits, number of the row in the lower 33.
-    rows = cut_lineage(rows.withColumn("at", F.monotonically_increasing_id()), "orders")
-    parts = rows.groupBy(F.shiftright("at", 33).alias("_part")).agg(F.count("*").alias("n"))
-    # One row per partition, so a window without a key is small.
-    parts = parts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("start"))
-    placed = rows.join(F.broadcast(parts), F.shiftright("at", 33) == F.col("_part"))
-    cell = F.expr(f"(start + at % {2**33}) div {window}")
-    return placed.select(cell.alias("cell"), "vector", "id", "members", "asked")
+            if not batch.num_rows:
+                continue
+            matrix = _matrix(batch.column(0))
+            for turn, curve in enumerate(shared.value):
+                keys = (curve.keys(matrix) ^ np.uint64(1 << 63)).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(keys), turn, dtype=np.int32)), pa.array(keys), *batch.columns], names=["turn", "key", "vector", "id", "asked"])
+
+    kind = f"turn int, key long, vector {classes.schema['vector'].dataType.simpleString()}, id long, asked int"
+    rows = classes.select("vector", "id", "asked").mapInArrow(run, kind)
+    return rows.repartitionByRange(shuffle_width(spark), "turn", "key", "id").sortWithinPartitions("turn", "key", "id")
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(turn, vectors, ids, asked) of WINDOW consecutive rows of one curve."""
+    held: list[tuple] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        turns = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(np.r_[True, turns[1:] != turns[:-1], True])
+        for start, end in zip(cuts, cuts[1:]):
+            at = start
+            while at < end:
+                if held and held[0][0] != turns[at]:
+                    yield _joined(held)
+                    held, size = [], 0
+                part = batch.slice(at, min(end - at, WINDOW - size))
+                held.append((int(turns[at]), _matrix(part.column(2)), part.column(3).to_numpy(), part.column(4).to_numpy()))
+                size, at = size + part.num_rows, at + part.num_rows
+                if size == WINDOW:
+                    yield _joined(held)
+                    held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[tuple]) -> tuple:
+    return held[0][0], *(np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
 
 
 def _nearest_in(base: np.ndarray, own: np.ndarray, asks: np.ndarray, most: int, bounds: np.ndarray) -> Iterator[tuple]:
-    """(query, places, distances) of the `most` nearest rows of `base` within the bound of each query.
+    """(query, places, distances) of the `most` nearest rows of `base` within the bound of each query that has any.
 
-    Products of matrices leave out rows that are surely too far, by more than their rounding; the
-    distances of the others are sums of squared differences. Ties go to the smaller id in `own`.
+    Products of matrices, in single precision where numbers are small enough, leave out rows that are
+    surely too far, by more than their rounding; the distances of the others are sums of squared
+    differences. Ties go to the smaller id in `own`.
     """
     middle = base.mean(axis=0)
     moved, norms = base - middle, ((base - middle) ** 2).sum(axis=1)
@@ -151,20 +181,59 @@ def _nearest_in(base: np.ndarray, own: np.ndarray, asks: np.ndarray, most: int,
     for i in range(0, len(asks), step):
         turned = asks[i : i + step] - middle
         lengths = (turned**2).sum(axis=1)
-        slack = 1e-9 * (lengths + norms.max())
-        far = norms + lengths[:, None] - 2 * (turned @ moved.T)
+        size = lengths + norms.max()
+        single = size.max() < 1e30
+        slack = ((base.shape[1] + 8) * 3e-7 if single else 1e-9) * size
         last = bounds[i : i + step] ** 2
         if not np.isfinite(bounds[i : i + step]).all() and len(base) > most:
+            far = norms + lengths[:, None] - 2 * (turned @ moved.T)
             last = np.minimum(last, np.partition(far, most - 1, axis=1)[:, most - 1])
         sure = np.isfinite(slack) & ~np.isnan(last)
-        for k in range(len(turned)):
-            some = np.flatnonzero(far[k] <= last[k] + 2 * slack[k]) if sure[k] else np.arange(len(base))
+        # |a - b|^2 = |a|^2 + |b|^2 - 2ab is in the bound where ab - |b|^2 / 2 is large enough
+        kind = np.float32 if single else np.float64
+        sides = np.c_[turned, np.ones(len(turned))].astype(kind), np.c_[moved, -norms / 2].astype(kind)
+        least = np.where(sure, (lengths - last) / 2 - 2 * slack, -np.inf)
+        near = sides[0] @ sides[1].T >= least.astype(kind)[:, None]
+        near[~sure] = True
+        for k in np.flatnonzero(near.any(axis=1)).tolist():
+            some = np.flatnonzero(near[k])
             distance = np.sqrt(((base[some] - asks[i + k]) ** 2).sum(axis=1))
             some, distance = some[distance <= bounds[i + k]], distance[distance <= bounds[i + k]]
             first = np.lexsort((own[some], distance))[:most]
             yield i + k, some[first], distance[first]
 
 
+_PAIRS = "query long, point long, score double"
+
+
+def _found(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """(query, points, distances) of several queries as pairs."""
+    sizes = [len(points) for _, points, _ in rows]
+    query = np.repeat(np.array([q for q, _, _ in rows], dtype=np.int64), sizes)
+    points = np.concatenate([np.zeros(0, dtype=np.int64), *(p for _, p, _ in rows)])
+    scores = np.concatenate([np.zeros(0), *(s for _, _, s in rows)])
+    return pa.RecordBatch.from_arrays([pa.array(query), pa.array(points), pa.array(scores)], names=["query", "point", "score"])
+
+
+def met_in_windows(classes: DataFrame, curves: list[Curve], most: int) -> DataFrame:
+    """(query, point, score): the `most` nearest points of every query among its window and the two
+    beside it, of every order, each pair once. A window beside a part's edge is met in other orders."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, now = None, None
+        for after in _ended(_windows(batches)):
+            if now is not None and now[3].any():
+                near = [w for w in (before, now, after) if w is not None and w[0] == now[0]]
+                base, own = (np.concatenate([w[i] for w in near]) for i in (1, 2))
+                asks = np.flatnonzero(now[3])
+                some = _nearest_in(base, own, now[1][asks], most, np.full(len(asks), np.inf))
+                yield _found([(now[2][asks[q]], own[at], distance) for q, at, distance in some])
+            before, now = now, after
+
+    met = _laid(classes, curves).mapInArrow(look, _PAIRS)
+    return met.groupBy("query", "point").agg(F.min("score").alias("score"))
+
+
 def nearest(
     vectors: DataFrame, every: int = 100, count: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = SEED
 ) -> DataFrame:
@@ -174,11 +243,14 @@ def nearest(
     on the original vectors; ties go to the smaller id. Equal vectors are one point of the order and
     come back as their ids.
 
-    The result is exact at every size. A query first looks at its own window of the order, whose last
-    distance wanted bounds the true one; then it meets every window whose middle and radius do not put
-    all its points beyond that bound. Where vectors form clusters most windows are passed over; where
-    dimensions are independent none are, and the work grows with rows times queries (README has
-    figures). A task meets one window and as many queries as BLOCK_BYTES hold.
+    The vectors are laid out along ORDERS Hilbert curves of different projections and shifts. In each
+    order a query is compared with the rows of its key window and the two beside it; the answers of
+    all orders are merged by true distance. The last distance wanted then bounds the true one, and a
+    last pass over one order makes the result exact at every size: a window is passed over where its
+    middle and radius put all its points beyond the bound, else its rows within the bound are taken.
+    Where vectors form clusters most windows are passed over; where dimensions are independent none
+    are, and this pass compares all queries with all rows (README has figures). It runs once per
+    QUERY_BYTES of queries; tasks hold a window and a block of queries, and give back pairs in the bound only.
 
     Null ids, unusable vectors (`usable`) and vectors of another length than most take no part. Rows
     that repeat id and vector count once. Fewer candidates than `count` give fewer rows, an empty
@@ -190,63 +262,38 @@ def nearest(
     out = f"query_id long, rank int, {id_col} long, score double"
     if not len(sample):
         return spark.createDataFrame([], out)
-    points, asking = classes.agg(F.count("*"), F.coalesce(F.sum("asked"), F.lit(0))).first()
-    block = max(1, BLOCK_BYTES // (8 * len(sample[0])))
-    laid = _laid(classes, Curve(np.stack(sample.to_list()).astype(float), seed), min(block, max(WINDOW, -(-points // WINDOWS))))
-
-    def look(cell: pa.Table) -> pa.Table:
-        """The queries of a window with the last distance wanted in it, and (asks 0) its middle and radius."""
-        base, own, asks = _matrix(cell["vector"]), cell["id"].to_numpy(), np.flatnonzero(cell["asked"].to_numpy())
-        middle = base.mean(axis=0)
-        bounds = np.full(len(asks), np.inf)
-        for q, some, distance in _nearest_in(base, own, base[asks], count + 1, bounds.copy()):
-            bounds[q] = distance[count] if len(some) > count else np.inf
-        rows = [middle, *base[asks]]
-        radius = np.sqrt(((base - middle) ** 2).sum(axis=1)).max()
-        return pa.table({
-            "cell": pa.array(np.full(len(rows), cell["cell"][0].as_py())), "query": pa.array(np.r_[own[:1], own[asks]]),
-            "asks": pa.array(np.r_[0, np.ones(len(asks), dtype=int)].astype(np.int32)),
-            "vector": pa.array(list(np.array(rows))), "bound": pa.array(np.r_[radius, bounds]),
-        })
-
-    seen = laid.select("cell", "vector", "id", "asked").groupBy("cell")
-    seen = seen.applyInArrow(look, "cell long, query long, asks int, vector array<double>, bound double")
-    seen = cut_lineage(seen, "bounds")
-    cells = seen.filter("asks = 0").select("cell", "vector", "bound").toPandas()
-    shared = spark.sparkContext.broadcast((cells["cell"].to_numpy(), np.stack(cells["vector"].to_list()), cells["bound"].to_numpy()))
-
-    def open_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, middles, radii = shared.value
-        for batch in batches:
-            near = []
-            for q, bound in zip(_matrix(batch.column(1)) if batch.num_rows else (), batch.column(2).to_numpy()):
-                away = np.sqrt(((middles - q) ** 2).sum(axis=1))
-                beyond = away - radii > bound + 1e-9 * (away + radii)  # false for what is not a number
-                near.append(numbers[~beyond])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.int64()))], names=["query", "vector", "bound", "cells"])
-
-    groups = -(-asking // block) or 1
-    turn = F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int").alias("turn")
-    asks = seen.filter("asks = 1").select("query", "vector", "bound")
-    asks = asks.mapInArrow(open_cells, "query long, vector array<double>, bound double, cells array<long>")
-    asks = asks.select(F.explode("cells").alias("cell"), turn, F.col("vector").cast(laid.schema["vector"].dataType), F.col("query").alias("id"), "bound")
-    every_turn = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("turn")
-    points = laid.select("cell", every_turn, "vector", "id", F.lit(None).cast("double").alias("bound"))
-
-    def search(cell: pa.Table) -> pa.Table:
-        asks = np.flatnonzero(cell["bound"].is_valid().to_numpy())
-        there = np.flatnonzero(cell["bound"].is_null().to_numpy())
-        ids, matrix = cell["id"].to_numpy(), _matrix(cell["vector"])
-        query, at, scores = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
-        if len(asks):
-            bounds = cell["bound"].to_numpy()[asks]
-            for q, some, distance in _nearest_in(matrix[there], ids[there], matrix[asks], count + 1, bounds):
-                query.append(np.full(len(some), ids[asks[q]]))
-                at.append(ids[there[some]])
-                scores.append(distance)
-        return pa.table({"query": np.concatenate(query), "point": np.concatenate(at), "score": np.concatenate(scores)})
-
-    found = points.unionByName(asks).groupBy("cell", "turn").applyInArrow(search, "query long, point long, score double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    curves = [Curve(np.stack(sample.to_list()).astype(float), number, seed) for number in range(ORDERS)]
+
+    met = met_in_windows(classes, curves, count + 1)
+    place = F.row_number().over(Window.partitionBy("query").orderBy("score", "point"))
+    bounds = met.withColumn("place", place).filter(F.col("place") == count + 1).select(F.col("query").alias("id"), F.col("score").alias("bound"))
+    asks = classes.filter("asked = 1").select("id", "vector").join(bounds, "id", "left")
+    asks = cut_lineage(asks.withColumn("bound", F.coalesce("bound", F.lit(float("inf")))), "bounds")
+
+    one_order = cut_lineage(_laid(classes, curves[:1]), "order")
+    parts = []
+    for block in _query_blocks(asks, max(1, QUERY_BYTES // (8 * len(sample[0])))):
+        shared = spark.sparkContext.broadcast(block)
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            """Rows within the bound of a query, of the windows that may hold one."""
+            ids, asked, bound = shared.value
+            for _, base, own, _ in _windows(batches):
+                middle = base.mean(axis=0)
+                radius = np.sqrt(((base - middle) ** 2).sum(axis=1)).max()
+                away = np.sqrt(((asked - middle) ** 2).sum(axis=1))
+                beyond = away - radius > bound + 1e-9 * (away + radius)  # false for what is not a number
+                some = np.flatnonzero(~beyond)
+                if len(some):
+                    yield _found([(ids[some[q]], own[near], distance)
+                                  for q, near, distance in _nearest_in(base, own, asked[some], count + 1, bound[some])])
+
+        parts.append(cut_lineage(one_order.mapInArrow(search, _PAIRS), "near"))
+    if not parts:
+        return spark.createDataFrame([], out)
+    found = reduce(DataFrame.unionByName, parts)
+
     first = F.row_number().over(Window.partitionBy("query").orderBy("score", "point"))
     found = found.withColumn("place", first).filter(F.col("place") <= count + 1)
     found = found.join(classes.select(F.col("id").alias("point"), "members"), "point")
@@ -261,3 +308,21 @@ def nearest(
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
     answers = answers.withColumn("rank", rank).filter(F.col("rank") <= count)
     return answers.select("query_id", "rank", F.col("id").alias(id_col), "score")
+
+
+def _ended(windows: Iterator[tuple]) -> Iterator[tuple | None]:
+    """The windows and, behind the last, None."""
+    yield from windows
+    yield None
+
+
+def _query_blocks(asks: DataFrame, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, vectors, bounds) of at most `most` queries at a time; one block is on the driver."""
+    held: list = []
+    for r in asks.select("id", "vector", "bound").toLocalIterator():
+        held.append((r["id"], r["vector"], r["bound"]))
+        if len(held) == most:
+            yield tuple(np.array(c, dtype=kind) for c, kind in zip(zip(*held), (np.int64, float, float)))
+            held = []
+    if held:
+        yield tuple(np.array(c, dtype=kind) for c, kind in zip(zip(*held), (np.int64, float, float)))

@@ -237,8 +237,7 @@ def test_recall_of_windows_smaller_than_the_table(spark, monkeypatch):
 def test_nearest_beyond_the_own_window_is_exact(spark, monkeypatch):
     """Independent dimensions, and windows of a two-hundredth of the rows: no window order shows the neighbours."""
     monkeypatch.setattr(neighbours, "WINDOW", 16)
-    monkeypatch.setattr(neighbours, "WINDOWS", 200)
-    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 16 * 8 * 32)  # several groups of queries too
+    monkeypatch.setattr(neighbours, "QUERY_BYTES", 7 * 8 * 32)  # several blocks of queries too
     rng = np.random.default_rng(8)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(3000, 32)))]
     want = brute_nearest(rows, 100)
@@ -248,6 +247,23 @@ def test_nearest_beyond_the_own_window_is_exact(spark, monkeypatch):
     assert got == want
 
 
+def test_orders_alone_find_most_neighbours_in_clusters(spark, monkeypatch):
+    """What the windows of all orders find before the last pass; one order finds fewer than four."""
+    monkeypatch.setattr(neighbours, "WINDOW", 64)
+    rng = np.random.default_rng(9)
+    points = (rng.normal(size=(100, 24))[rng.integers(0, 100, 4000)] + 0.05 * rng.normal(size=(4000, 24)))
+    rows = [(i, v.tolist()) for i, v in enumerate(points)]
+    want = {i: {j for _, j, _ in near} for i, near in brute_nearest(rows, 100).items()}
+    classes = spark.createDataFrame([(v, i, int(i % 100 == 0)) for i, v in rows], "vector array<double>, id long, asked int")
+    shares = []
+    for orders in (1, 4):
+        got: dict[int, set] = {}
+        for r in neighbours.met_in_windows(classes, [neighbours.Curve(points[:500], k) for k in range(orders)], 11).collect():
+            got.setdefault(r["query"], set()).add(r.point)
+        shares.append(sum(len(got[q] & near) for q, near in want.items()) / sum(map(len, want.values())))
+    assert shares[1] >= 0.9 and shares[1] >= shares[0]
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     return language.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), VOCAB, sample_docs=150)
