@@ -5,7 +5,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -59,20 +59,10 @@ HEADS_AT_ONCE = 16
 
 @dataclass
 class FolderRead:
-    """Rows of all files, and what one pass over them has seen (known after an action on `rows`)."""
+    """Rows of all files, and the files of each kind of header."""
 
     rows: DataFrame
     kinds: dict[tuple[str, str], list[str]]  # (header, separator) -> files
-    seen: Observation
-
-    @property
-    def other_lines(self) -> int:
-        """Lines that were no UTF-8 and were read as ISO-8859-1."""
-        return self.seen.get["other_lines"]
-
-    @property
-    def lines(self) -> int:
-        return self.seen.get["lines"]
 
 
 def first_lines(spark: SparkSession, paths: list[str]) -> list[str]:
@@ -102,12 +92,14 @@ def separator_of(header: str) -> str:
     return best if header.count(best) else ","
 
 
-def read_csv_folder(spark: SparkSession, path: str, schema: StructType | str | None = None) -> FolderRead:
+def read_csv_folder(
+    spark: SparkSession, path: str, schema: StructType | str | None = None, mark: str | None = None
+) -> FolderRead:
     """CSV files whose headers, separators and encodings differ from file to file, in one pass.
 
     The header of each file names its columns and its separator. Every line is read as UTF-8 if it is
-    valid, else as ISO-8859-1; the pass that parses counts those. Columns are matched by name and
-    are strings unless `schema` names types; a file without a column gives nulls. A line equal to
+    valid, else as ISO-8859-1; `mark` names a column that tells which lines these were, so the pass that
+    uses the rows can count them. Columns are matched by name and are strings unless `schema` names types; a file without a column gives nulls. A line equal to
     its file's header is no row. Quoted line ends are not supported, as files are split anywhere.
     """
     text = spark.read.text(path)
@@ -129,9 +121,7 @@ def read_csv_folder(spark: SparkSession, path: str, schema: StructType | str | N
             rows = rows.unionByName(more, allowMissingColumns=True)
     if wanted is not None:
         rows = rows.select(*[F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted], "_other")
-    seen = Observation()
-    rows = rows.observe(seen, F.count(F.lit(1)).alias("lines"), F.count_if("_other").alias("other_lines"))
-    return FolderRead(rows.drop("_other"), kinds, seen)
+    return FolderRead(rows.withColumnRenamed("_other", mark) if mark else rows.drop("_other"), kinds)
 
 
 def _fields(schema: StructType | str | None) -> StructType | None:
