@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,20 @@ def _one_batch(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def byte_slices(batch: pa.RecordBatch, columns: tuple[int, ...], most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose texts together have at most so many bytes; one longer row is a slice of its own."""
+    if not batch.num_rows:
+        return
+    sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy().astype(np.int64) for c in columns)
+    start, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > start and held + size > most:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    yield batch.slice(start)
+
+
 def lenient_text(raw: bytes) -> str:
     """UTF-8 decoded; every byte that is part of no character becomes U+FFFD."""
     try:

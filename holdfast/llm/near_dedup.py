@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.llm import shingles as sh
-from holdfast.llm.common import free_name
+from holdfast.llm.common import byte_slices, free_name
 from holdfast.llm.components import components
 from holdfast.session import cut_lineage, shuffle_width
 
@@ -30,6 +30,8 @@ LEAST_ESTIMATE = 0.65
 PARTS_MERGED = 64
 PERCENT = 80
 ARROW_ROWS = 500
+#: Bytes of texts that are shingled at a time: the arrays of their words take some forty times as much.
+SHINGLED_BYTES = 2_000_000
 
 #: Equal half bytes in a byte of the difference of two sketches.
 _EQUAL = np.array([(v & 15 == 0) + (v >> 4 == 0) for v in range(256)], dtype=np.uint8)
@@ -43,7 +45,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int = sh.WORD
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in byte_slices(whole, (1,), SHINGLED_BYTES)):
             sets = sh.shingle_sets(batch.column(1), words)
             hashes = sh.min_hashes(sets, HASHES)
             low = (hashes & np.uint32(15)).astype(np.uint8)
@@ -302,7 +304,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, words:
     both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in byte_slices(whole, (2, 3), SHINGLED_BYTES)):
             left, right = sh.shingle_sets(batch.column(2), words), sh.shingle_sets(batch.column(3), words)
             good = pa.array([sh.linked(x, y, percent) for x, y in zip(left, right)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])

@@ -137,6 +137,18 @@ def test_a_star_sends_few_pairs_to_the_confirmation(spark, monkeypatch):
     assert sum(sent) <= 4 * len(rows), sent
 
 
+def test_texts_are_shingled_in_slices(spark, monkeypatch):
+    from holdfast.llm.common import byte_slices
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["aaaa", None, "b", "c" * 50, "", "dd"])], names=["t"])
+    assert [p.column(0).to_pylist() for p in byte_slices(batch, (0,), 6)] == [["aaaa", None, "b"], ["c" * 50], ["", "dd"]]
+    assert list(byte_slices(batch.slice(0, 0), (0,), 6)) == []
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    want = sorted(map(tuple, near_dedup.near_components(docs).collect()))
+    monkeypatch.setattr(near_dedup, "SHINGLED_BYTES", 3_000)
+    assert sorted(map(tuple, near_dedup.near_components(docs).collect())) == want
+
+
 def test_parity_never_rules_out_a_link():
     rng = np.random.default_rng(4)
     for _ in range(300):
