@@ -22,8 +22,8 @@ SAMPLE_DOCS = 1500
 EM_ROUNDS = 2
 #: Added to every expected piece count, so that no piece of the vocabulary is impossible.
 SMOOTHING = 0.02
-#: Bytes that are held at a time: of words of like size, and of a word that is longer than that.
-CELLS, SEGMENT_BYTES = 480_000, 65_536
+#: Places (byte and piece size) that are held at a time, and bytes of a word that is longer than that.
+CELLS, SEGMENT_BYTES = 4_000_000, 65_536
 #: Positions after which running chances are brought back to 1, so that none vanishes.
 RESCALED_EVERY = 16
 UNKNOWN = "und"
@@ -80,13 +80,13 @@ class Pieces:
         return out
 
 
-def _padded(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _padded(words: list[bytes], longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(places, matrix, sizes) of words of similar length, up to SEGMENT_BYTES."""
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     low, width = 0, 4
     while low < min(int(sizes.max(initial=0)), SEGMENT_BYTES):
         places = np.flatnonzero((sizes > low) & (sizes <= width))
-        each = max(1, CELLS // width)
+        each = max(1, CELLS // (width * min(width, longest)))
         for i in range(0, len(places), each):
             part = places[i : i + each]
             raw = b"".join([words[p].ljust(width, b"\0") for p in part])
@@ -138,7 +138,7 @@ def _long_score(pieces: Pieces, chances: np.ndarray, word: bytes) -> np.ndarray:
 def word_scores(pieces: Pieces, chances: np.ndarray, words: list[bytes]) -> np.ndarray:
     """Log chance of every word in every language. chances has a zero row behind the last piece."""
     out = np.zeros((len(words), chances.shape[1]))
-    for part, matrix, sizes in _padded(words):
+    for part, matrix, sizes in _padded(words, pieces.longest):
         alpha, scale = _forward(pieces.find(matrix, sizes), chances)
         rows = np.arange(len(part))
         out[part] = np.log(alpha[rows, sizes]) + scale[rows, sizes]
@@ -154,7 +154,7 @@ def expected_counts(pieces: Pieces, chances: np.ndarray, words: list[bytes], tim
     Words above SEGMENT_BYTES are scored like others, but nothing is learned from them.
     """
     total = np.zeros(len(pieces) + 1)
-    for part, matrix, sizes in _padded(words):
+    for part, matrix, sizes in _padded(words, pieces.longest):
         ends = pieces.find(matrix, sizes)
         width, most = matrix.shape[1], ends.shape[2]
         alpha, scale = (x[:, :, 0] for x in _forward(ends, chances[:, None]))
