@@ -7,7 +7,7 @@ the units of epoch times and tenures need a one-row aggregate over the data.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
 from pyspark.sql import Column, DataFrame
@@ -25,16 +25,20 @@ NUMBERS_FIRST = r"^\s*(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})" + _CLOCK
 DAY_NAME = r"^\s*(?:[A-Za-z]{3,9},?\s+)?(\d{1,2})(?:st|nd|rd|th)?[\s-]+([A-Za-z]{3})[A-Za-z]*\.?[\s,-]+(\d{4}|\d{2})" + _CLOCK
 NAME_DAY = r"^\s*(?:[A-Za-z]{3,9},\s+)?([A-Za-z]{3})[A-Za-z]*\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})" + _CLOCK
 COMPACT = r"^\s*((?:19|20)\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(?:[T ]?([01]\d|2[0-3])([0-5]\d)([0-5]\d)?)?()\s*$"
+#: Year-first with dashes: no other shape fits such a text, so it needs no more than the cast.
+DASHED = r"^\s*\d{4}-\d"
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 
 @dataclass(frozen=True)
 class TimeLook:
-    """How a raw time column is written: text, seconds, milliseconds or nothing readable; and whether
-    two leading numbers are day and month (None: month first with slashes, day first otherwise)."""
+    """How a raw time column is written: text, seconds, milliseconds or nothing readable; whether two
+    leading numbers are day and month (None: month first with slashes, day first otherwise); and whether
+    every text is year-first with dashes, which the cast reads alone."""
 
     mode: str
     day_first: bool | None = None
+    dashed: bool = field(default=False, compare=False)
 
 
 def q(name: str) -> Column:
@@ -59,8 +63,12 @@ def squash(name: str) -> str:
     return name.lower().strip().replace(" ", "").replace("_", "").replace("-", "")
 
 
+def missing_columns(df: DataFrame, cols: Sequence[str] = fixed.CORE_FIELDS) -> list[str]:
+    return [c for c in cols if c not in df.columns]
+
+
 def require_columns(df: DataFrame, cols: Sequence[str] = fixed.CORE_FIELDS) -> DataFrame:
-    missing = [c for c in cols if c not in df.columns]
+    missing = missing_columns(df, cols)
     if missing:
         raise ValueError(
             f"missing columns {missing}; found {df.columns}; domain {detect_domain(df.columns)}"
@@ -273,14 +281,17 @@ def look_at_time(df: DataFrame, name: str = "timestamp") -> TimeLook:
     if kind in ("timestamp", "timestamp_ntz", "date"):
         return TimeLook("typed")
     text, plain = q(name).cast("string"), plain_number(name)
-    yearly = F.rlike(text, F.lit(r"^\s*\d{4}[-/.]\d"))  # needs no further look
+    dashed = F.rlike(text, F.lit(DASHED)) & ~F.contains(text, F.lit("/"))
+    yearly = F.col("dashed") | F.rlike(text, F.lit(r"^\s*\d{4}[-/.]\d"))  # needs no further look
     other = ~F.col("yearly")
     shape = F.rlike(text, F.lit(r"\d[-/.]|[A-Za-z]{3}.*\d|\d.*[A-Za-z]{3}"))
     numbered = other & F.rlike(text, F.lit(NUMBERS_FIRST))
     part = lambda i: F.regexp_extract(text, NUMBERS_FIRST, i).try_cast("int")
     seen = facts(
-        df.select(q(name), yearly.alias("yearly")),
+        df.select(q(name), dashed.alias("dashed")).withColumn("yearly", yearly),
         rows=F.count(F.lit(1)),
+        texts=F.count(q(name)),
+        dashed=F.count_if("dashed"),
         numbers=F.count(F.when(other, plain)),
         top=F.max(F.when(other, plain)),
         compact=F.count_if(other & F.rlike(text, F.lit(COMPACT))),
@@ -295,7 +306,7 @@ def look_at_time(df: DataFrame, name: str = "timestamp") -> TimeLook:
     if not seen["shaped"] and not seen["compact"]:
         return TimeLook("nothing")
     first, second = (seen["first"] or 0) > 12, (seen["second"] or 0) > 12
-    return TimeLook("text", None if first == second else first)
+    return TimeLook("text", None if first == second else first, seen["dashed"] == seen["texts"])
 
 
 def parse_timestamp(df: DataFrame, mode: str | TimeLook = "auto") -> DataFrame:
@@ -319,6 +330,8 @@ def parse_timestamp(df: DataFrame, mode: str | TimeLook = "auto") -> DataFrame:
 def read_time(name: str, look: TimeLook) -> Column:
     if look.mode == "typed":
         return q(name).cast("timestamp")
+    if look.mode == "text" and look.dashed:
+        return q(name).try_cast("timestamp")
     return text_time(name, look.day_first) if look.mode == "text" else epoch_time(name, look.mode == "ms")
 
 
