@@ -20,7 +20,7 @@ from holdfast.session import hold, shuffle_width
 
 #: Rows that one bucket should hold, buckets that a table has at most, and rows sampled per cut.
 BUCKET_ROWS = 200_000
-MOST_BUCKETS = 512
+MOST_BUCKETS = 2048
 SAMPLED_PER_CUT = 40
 #: A lookup of so many rows at most is broadcast.
 BROADCAST_ROWS = 200_000
@@ -68,8 +68,22 @@ def bucket_of(df: DataFrame, keys: Sequence[str]) -> Column | None:
     if not cuts:
         return None
     rows = [F.struct(*[F.lit(v).cast(t).alias(k) for v, t, k in zip(cut, kinds, keys)]) for cut in cuts]
-    own = F.struct(*[F.col(k) for k in keys])
-    return F.size(F.filter(F.array(*rows), lambda c: c < own))
+    return cuts_below(F.struct(*[F.col(k) for k in keys]), rows)
+
+
+def cuts_below(own: Column, cuts: Sequence[Column]) -> Column:
+    """How many of the ascending, literal `cuts` lie below `own`, in two steps of about their root.
+
+    Every width-th cut is compared first; only the cuts between two of them are compared after.
+    """
+    width = math.isqrt(len(cuts)) + 1
+    groups = [list(cuts[i : i + width]) for i in range(0, len(cuts), width)]
+    if len(groups) == 1:
+        return F.size(F.filter(F.array(*cuts), lambda c: c < own))
+    # a group is passed when its last cut lies below the value
+    passed = F.size(F.filter(F.array(*[g[-1] for g in groups[:-1]]), lambda c: c < own))
+    inside = F.element_at(F.array(*[F.array(*g) for g in groups]), passed + 1)
+    return passed * width + F.size(F.filter(inside, lambda c: c < own))
 
 
 def running_totals(

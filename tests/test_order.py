@@ -118,3 +118,11 @@ def test_pct_rank_keeps_rows_without_a_value(spark, both_ways):
     df = hold(spark.createDataFrame([("a", 1.0), ("b", None), ("c", 1.0), ("d", 5.0)], "user_id string, x double"))
     got = {r.user_id: r.pct for r in order.pct_rank(df, "x", "pct").collect()}
     assert got == {"a": 0.5, "b": None, "c": 0.5, "d": 1.0}
+
+
+@pytest.mark.parametrize("cuts", [1, 2, 3, 7, 16, 50, 101])
+def test_cuts_below_equals_counting(spark, cuts):
+    ends = [3 * i for i in range(cuts)]
+    df = spark.range(-2, 3 * cuts + 3).withColumn("own", F.col("id").cast("long"))
+    got = df.withColumn("n", order.cuts_below(F.col("own"), [F.lit(e).cast("long") for e in ends])).collect()
+    assert [r["n"] for r in got] == [sum(e < r["own"] for e in ends) for r in got]
