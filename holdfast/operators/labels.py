@@ -68,6 +68,11 @@ def _with_means(users: DataFrame, tx: DataFrame) -> DataFrame:
     return ft.join_users(users, tx.groupBy("user_id").agg(*[F.avg(c).alias(c) for c in extra]))
 
 
+def lapsed_users(past: DataFrame, later: DataFrame) -> DataFrame:
+    """Users of `past` without any row in `later`: an anti join on distinct users, shuffled map-side combined."""
+    return past.select("user_id").distinct().join(later.select("user_id").distinct(), "user_id", "left_anti")
+
+
 def temporal_training_set(tx: DataFrame, domain: str = "retail", days: int | None = None) -> DataFrame | None:
     """Features of the past, label 1 for users without any event after the cutoff.
 

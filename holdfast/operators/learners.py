@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
@@ -19,12 +21,14 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.functions.order import facts
+from holdfast.functions.order import dealt_order, draw, facts
 from holdfast.operators import evaluation as ev
 from holdfast.operators.labels import feature_names, folds, split3
 from holdfast.session import cut_lineage, hold, small_table
 
 SEED = 42
+#: Users whose silhouette is measured, and rows that meet them at a time in a task.
+SILHOUETTE_POINTS, _SILHOUETTE_BLOCK = 5000, 256
 FEATURES, LABEL, WEIGHT = "_features", "label", "_weight"
 #: Fewer rows than these do not carry the step: tuning, its three folds, calibration (rows of each
 #: class), the isotonic map, stacking, and each fold of the cross-validated AUC.
@@ -43,13 +47,18 @@ GBT_PARAMS = {
 
 # ---- F1, F2 --------------------------------------------------------------------------------------
 
+def fit_clusters(users: DataFrame, k: int = 4):
+    """The fitted K-means and the users with their standardised values (`_scaled`)."""
+    scaled = _scaled(users)
+    return KMeans(k=k, seed=SEED, featuresCol="_scaled", predictionCol="cluster").fit(scaled), scaled
+
+
 def clusters(users: DataFrame, k: int = 4) -> DataFrame:
     """K-means on standardised recency, frequency and monetary."""
     n = facts(users, n=F.count(F.lit(1)))["n"]
     if n < 2:
         return users.withColumn("cluster", F.lit(0))
-    scaled = _scaled(users)
-    model = KMeans(k=min(k, n), seed=SEED, featuresCol="_scaled", predictionCol="cluster").fit(scaled)
+    model, scaled = fit_clusters(users, min(k, n))
     return model.transform(scaled).drop("_rfm", "_scaled")
 
 
@@ -67,6 +76,59 @@ def silhouette(clustered: DataFrame) -> DataFrame:
     return small_table(clustered.sparkSession, [(float(value),)], "silhouette double")
 
 
+def silhouette_euclidean(clustered: DataFrame, points: int = SILHOUETTE_POINTS) -> DataFrame:
+    """Silhouette with plain Euclidean distances: the mean over `points` users, drawn by the digest of
+    their ids, each measured against all users.
+
+    Distances cannot be summed up without the points, so the drawn points (at most `points` rows of
+    three numbers) travel with the tasks; a task adds up its distances per point and cluster and gives
+    back one row for each. Work is points times users; with at most `points` users it is the exact
+    figure. A point alone in its cluster counts 0, a single cluster gives 0. Rows without a value in
+    one of the three columns take no part.
+    """
+    spark = clustered.sparkSession
+    cols = ["recency", "frequency", "monetary"]
+    seen = facts(clustered.dropna(subset=cols),
+                 **{f"m_{c}": F.avg(c) for c in cols}, **{f"s_{c}": F.stddev_samp(c) for c in cols})
+
+    def scaled(c: str):
+        return ((F.col(c).cast("double") - F.lit(seen[f"m_{c}"])) / F.lit(seen[f"s_{c}"] or 1.0)).alias(c)
+
+    rows = hold(clustered.dropna(subset=cols).select("user_id", F.col("cluster").cast("int").alias("cluster"), *map(scaled, cols)))
+    sizes = {r["cluster"]: r["count"] for r in rows.groupBy("cluster").count().collect()}
+    if len(sizes) < 2:
+        return small_table(spark, [(0.0,)], "silhouette double")
+    last = draw(rows, min(points, sum(sizes.values())))
+    drawn = rows.where(dealt_order("user_id") <= F.lit(last)).toPandas()
+    at, names = drawn[cols].to_numpy(dtype="float64"), np.array(sorted(sizes))
+
+    def sums(batches):
+        total = np.zeros((len(names), len(at)))
+        for batch in batches:
+            for start in range(0, len(batch), _SILHOUETTE_BLOCK):
+                part = batch.iloc[start : start + _SILHOUETTE_BLOCK]
+                away = part[cols].to_numpy(dtype="float64")[:, None, :] - at[None, :, :]
+                member = part["cluster"].to_numpy()[None, :] == names[:, None]
+                total += member.astype("float64") @ np.sqrt((away * away).sum(axis=2))
+        for i, name in enumerate(names):
+            yield pd.DataFrame({"point": np.arange(len(at), dtype="int32"), "other": int(name), "total": total[i]})
+
+    far = rows.select("cluster", *cols).mapInPandas(sums, "point int, other int, total double")
+    far = far.groupBy("point", "other").agg(F.sum("total").alias("total"))
+    owners = [(i, int(c)) for i, c in enumerate(drawn["cluster"])]
+    far = far.join(F.broadcast(small_table(spark, owners, "point int, own int")), "point")
+    counts = F.create_map(*[F.lit(v) for pair in sizes.items() for v in pair])
+    size, mine = counts[F.col("other")], F.col("own") == F.col("other")
+    each = far.groupBy("point").agg(
+        F.max(F.when(mine, size)).alias("n"),
+        F.max(F.when(mine & (size > 1), F.col("total") / (size - 1))).alias("a"),
+        F.min(F.when(~mine, F.col("total") / size)).alias("b"),
+    )
+    most = F.greatest("a", "b")
+    value = F.when((F.col("n") == 1) | (most == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / most)
+    return each.agg(F.avg(value).alias("silhouette"))
+
+
 # ---- F5 ------------------------------------------------------------------------------------------
 
 def assemble(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -275,9 +275,7 @@ def _(d):
 def _(d):
     last = order.facts(d.act, t=F.max("as_of_us"))["t"]
     cut = F.timestamp_micros(F.lit(last - 120 * DAY_US))
-    future = d.tx.where(F.col("timestamp") > cut).select("user_id").distinct()
-    past = d.act.where(F.timestamp_micros("first_us") <= cut).select("user_id")
-    return past.join(future, "user_id", "left_anti")
+    return labels.lapsed_users(d.act.where(F.timestamp_micros("first_us") <= cut), d.tx.where(F.col("timestamp") > cut))
 
 
 @query("join_scalar")
@@ -562,6 +560,21 @@ def _(d):
     return rounded(kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total")), 2)
 
 
+@query("require_columns")
+def _(d):
+    """Tables that have the core columns with their rows, and what the others miss."""
+    made = None
+    for name, df in (("orders", d.tx), ("events", d.events), ("customer", fx.table(d.spark, d.folder, "customer"))):
+        missing = ingest.missing_columns(df)
+        try:
+            rows = ingest.require_columns(df).agg(F.count(F.lit(1)).alias("rows"))
+        except ValueError:  # refused as a whole
+            rows = df.agg((F.count(F.lit(1)) * 0).alias("rows"))
+        one = rows.select(F.lit(name).alias("source"), F.lit(",".join(missing)).alias("missing"), "rows")
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
 @query("detect_domain")
 def _(d):
     frames = {
@@ -1014,6 +1027,23 @@ def _(d):
     return rounded(learners.silhouette(d.users.withColumn("cluster", F.col("r_score").cast("int"))), 5)
 
 
+@query("silhouette_euclidean")
+def _(d):
+    """The same clusters with plain distances: drawn users against all."""
+    return rounded(learners.silhouette_euclidean(d.users.withColumn("cluster", F.col("r_score").cast("int"))), 5)
+
+
+@query("kmeans_nearest")
+def _(d):
+    """For every user: whether no centre is nearer than that of the own cluster."""
+    model, scaled = learners.fit_clusters(d.users)
+    at = vector_to_array("_scaled")
+    away = [sum((F.get(at, i) - F.lit(float(v))) ** 2 for i, v in enumerate(c)) for c in model.clusterCenters()]
+    rows = model.transform(scaled).select("user_id", "cluster", F.array(*away).alias("away"))
+    nearest = F.get("away", F.col("cluster")) - F.array_min("away") < 1e-9
+    return rows.select("user_id", nearest.cast("int").alias("nearest"))
+
+
 @query("kmeans_clusters")
 def _(d):
     return learners.clusters(d.users).groupBy("cluster").agg(F.count(F.lit(1)).alias("users"))
@@ -1162,9 +1192,10 @@ def _(d):
 
 @query("model_hash")
 def _(d):
-    names = F.sort_array(F.collect_list("feature"))
-    features = order.long_form(d.users, ["recency", "monetary", "frequency"]).select("feature").distinct()
-    return features.agg(registry.schema_hash(names).alias("schema_hash"))
+    """Digest of the columns that models of this data are fitted on, those without any value left out."""
+    rows = _trained_rows(d)
+    features = order.long_form(rows, labels.feature_names(rows)).select("feature").distinct()
+    return features.agg(registry.schema_hash(F.sort_array(F.collect_list("feature"))).alias("schema_hash"))
 
 
 @query("model_registry")
@@ -1272,6 +1303,26 @@ def _(d):
     return rows.select("section", F.size(F.from_json("body", "array<map<string,string>>")).alias("entries"))
 
 
+@query("report_bodies")
+def _(d):
+    """Every number of the JSON of six sections, read back: section, item, field, value."""
+    sections = {
+        "segments": ft.value_counts(d.users, "segment"),
+        "lifecycle_stages": ft.value_counts(d.scored, "lifecycle"),
+        "kpis": money.kpis(d.scored),
+        "risk_counts": money.risk_counts(d.scored),
+        "revenue_at_risk": money.rar_summary(d.scored, 0.3),
+        "revenue_by_segment": money.rar_by_segment(d.scored, 0.3),
+    }
+    entries = report.report_json(sections).select(
+        "section", F.explode(F.from_json("body", "array<map<string,string>>")).alias("entry")
+    )
+    item = F.coalesce(F.col("entry")["segment"], F.col("entry")["lifecycle"], F.lit(""))
+    fields = entries.select("section", item.alias("item"), F.explode("entry").alias("field", "value"))
+    fields = fields.where(~F.col("field").isin("segment", "lifecycle"))
+    return fields.select("section", "item", "field", F.round(F.col("value").try_cast("double"), 2).alias("value"))
+
+
 @query("users_json")
 def _(d):
     users = rounded(d.scored.select("user_id", "segment", "lifecycle", "churn_probability"), 6)

@@ -81,7 +81,7 @@ def analyse(
         "data_health": reports.data_health(tx),
         "segments": features.value_counts(users, "segment"),
         "clusters": features.value_counts(grouped.withColumn("cluster", F.col("cluster").cast("string")), "cluster"),
-        "silhouette": learners.silhouette(grouped),
+        "silhouette": learners.silhouette_euclidean(grouped),
         "lifecycle_stages": features.value_counts(users, "lifecycle"),
         "segment_churn": segments,
         "cohorts": cohorts,

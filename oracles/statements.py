@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from holdfast.functions.fixed import DRIFT_ACTIONS, DRIFT_REASONS, ROI_BAD, ROI_GOOD
+from string import Formatter
+
+from holdfast.functions.fixed import DRIFT_ACTIONS, DRIFT_REASONS, HYPOTHESIS_TEXT, ROI_BAD, ROI_GOOD
 
 DAY = 86400000000
 
@@ -551,8 +553,16 @@ _SPREAD = " union all ".join(
 ORACLES["driver_table"] = sql(SCORES + _CENTS + f"sp as ({_SPREAD}), im as (select *, v / sum(v) over () i from sp)",
     """select raw_feature, feature, round(i, 5) importance, 'unknown' direction,
     case when i > 0.2 then 'Critical' when i > 0.1 then 'High' when i > 0.05 then 'Medium' else 'Low' end impact from im""")
-ORACLES["model_hash"] = """select sha256(string_agg(f, ',' order by f)) schema_hash from
-    (values ('recency'), ('monetary'), ('frequency')) t(f) where exists (select 1 from orders)"""
+#: Columns that models of the orders are fitted on.
+_FITTED = [
+    "account_age_days", "avg_basket_value", "f_score", "frequency", "frequency_trend", "frequency_velocity",
+    "ipi_consistency", "ipi_median", "ipi_ratio", "ipi_std", "log_avg_basket_value", "log_frequency",
+    "log_max_spend", "log_monetary", "log_monetary_velocity", "m_score", "max_spend", "min_spend", "monetary",
+    "monetary_per_txn", "monetary_ratio", "monetary_std", "monetary_trend", "monetary_velocity",
+    "monetary_x_frequency", "r_score", "recency", "recency_deviation", "recency_pct", "recency_x_ipi",
+    "recent_spend_ratio",
+]
+ORACLES["model_hash"] = f"""select sha256('{",".join(sorted(_FITTED))}') schema_hash from (select count(*) n from orders) where n > 0"""
 
 # ---- what-if, experiments, hypotheses ------------------------------------------------------------
 
@@ -658,3 +668,76 @@ ORACLES.update({
     "ticker": """select cast(event_id as varchar) event_id, cast(user_id as varchar) user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') ts
         from events order by events.ts desc, events.event_id desc limit 20""",
 })
+
+# ---- plain silhouette, centres, hypotheses, sections as JSON -------------------------------------
+
+ORACLES.update({
+    "silhouette_euclidean": sql(SCORES + """,
+        st as (select avg(recency) mr, stddev_samp(recency) sr, avg(frequency) mf, stddev_samp(frequency) sf, avg(monetary) mm, stddev_samp(monetary) sm from users),
+        pt as (select user_id, r_score c, (recency - mr) / sr x, (frequency - mf) / sf y, (monetary - mm) / sm z from users, st),
+        dr as (select * from pt order by md5(user_id || ':42') limit 5000),
+        ds as (select a.user_id, a.c own, b.c other, count(*) n, sum(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)) t
+            from dr a, pt b group by all),
+        ab as (select user_id, max(case when own = other and n > 1 then t / (n - 1) end) a, min(case when own <> other then t / n end) b,
+            max(case when own = other then n end) k from ds group by 1)""",
+        "select round(avg(case when k = 1 or greatest(a, b) = 0 then 0 else (b - a) / greatest(a, b) end), 5) silhouette from ab"),
+    "kmeans_nearest": sql(USERS, "select user_id, 1 nearest from u"),
+    "require_columns": """select 'orders' source, '' missing, count(*) "rows" from orders union all
+        select 'events', '', count(*) from events union all
+        select 'customer', 'user_id,timestamp,amount', 0 from (select count(*) from customer)""",
+})
+
+
+def _said(template: str, **columns: str) -> str:
+    """SQL text of a wording with its fields filled from columns."""
+    parts = []
+    for words, field, _spec, _turn in Formatter().parse(template):
+        if words:
+            parts.append("'" + words.replace("'", "''") + "'")
+        if field:
+            parts.append(columns[field])
+    return " || ".join(parts)
+
+
+def _hypothesis(rank: int, concept: str, shown: str, a: str, b: str, lift: str, where: str = "true") -> str:
+    words = {"f": f"'{shown}'", "fl": f"'{shown.lower()}'", "a": a, "b": b, "lift": f"printf('%.1f', {lift})"}
+    title, text, test, stat = (_said(t, **words) for t in HYPOTHESIS_TEXT[(concept, "")][:4])
+    return f"""select {rank} "rank", {title} title, {text} hypothesis, {test} test, '{shown}' driver, {stat} stat,
+        '{HYPOTHESIS_TEXT[(concept, "")][4]}' impact, cast({lift} as double) expected_lift_pct from hy where {where}"""
+
+
+def _rupees(value: str) -> str:
+    return f"'₹' || format('{{:,}}', cast(trunc({value}) as bigint))"
+
+
+_HYPOTHESES = """,
+mxr as (select max(recency) m from u),
+hs as (select avg(recency) hr, avg(frequency) hf, avg(monetary_velocity) hv, avg(p) o from scored where p >= 0.3),
+ls as (select avg(monetary_velocity) lv from scored where p < 0.3),
+hg as (select *, cast(trunc(greatest(7, hr * 0.8)) as bigint) rg, cast(trunc(greatest(hf + 1, hf * 1.25)) as bigint) fg,
+  case when hv < 10 then greatest(hv * 1.2, 50) else hv * 1.2 end vg from hs, ls),
+hy as (select hg.*, round(greatest(0.5, least(25, (o - (select avg(least(recency, rg) / m) from scored, mxr, hg where p >= 0.3))
+  / greatest(o, 0.001) * 100)), 1) lift from hg)"""
+ORACLES["hypotheses"] = sql(SCORED + _HYPOTHESES, " union all ".join([
+    _hypothesis(1, "recency", "Recency", "cast(trunc(hr) as bigint)", "rg", "lift"),
+    _hypothesis(2, "frequency", "Frequency", "cast(trunc(hf) as bigint)", "fg", "0.5"),
+    _hypothesis(3, "monetary", "Velocity", _rupees("hv"), _rupees("vg"), "0.5", "abs(hv - lv) >= lv * 0.05"),
+]))
+
+
+def _section(name: str, source: str, label: str | None = None) -> str:
+    """The numbers of another statement's result as rows."""
+    item, numbers = (label, f"* exclude {label}") if label else ("''", "*")
+    return f"""select '{name}' section, item, field, round(value, 2) "value" from (unpivot
+        (select {item} item, cast(columns({numbers}) as double) as "\\0" from ({ORACLES[source]}) t)
+        on columns(* exclude item) into name field value value)"""
+
+
+ORACLES["report_bodies"] = " union all ".join([
+    _section("segments", "value_counts_segment", "segment"),
+    _section("lifecycle_stages", "value_counts_lifecycle", "lifecycle"),
+    _section("kpis", "kpis"),
+    _section("risk_counts", "risk_counts"),
+    _section("revenue_at_risk", "rar_summary"),
+    _section("revenue_by_segment", "rar_by_segment", "segment"),
+])

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -93,6 +95,65 @@ def test_calibration_is_monotone(spark):
     assert np.array_equal(same["p"], got["q"])
 
 
+def test_isotonic_map_equals_pooled_neighbours(spark):
+    """Adjacent violators pooled by hand give the calibrated value of every score."""
+    rng = np.random.default_rng(5)
+    p = rng.integers(0, 40, 900) / 40
+    label = (rng.random(900) < 0.2 + 0.5 * p * p).astype(int)
+    raw = hold(spark.createDataFrame(pd.DataFrame({"p": p, "label": label})))
+    blocks = []  # sum, rows, scores
+    for score, group in pd.DataFrame({"p": p, "y": label}).groupby("p"):
+        blocks.append([group["y"].sum(), len(group), [score]])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+            total, n, scores = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + total, blocks[-1][1] + n, blocks[-1][2] + scores]
+    want = {score: total / n for total, n, scores in blocks for score in scores}
+    got = learners.apply_calibrator(learners.calibrate(raw), raw.withColumn("s", F.col("p")), "p", "q").toPandas()
+    assert len(got) == 900
+    assert np.allclose(got["q"], got["s"].map(want))
+
+
+def _silhouette_by_hand(points, cluster, chosen):
+    away = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
+    values = []
+    for i in chosen:
+        mine = cluster == cluster[i]
+        if mine.sum() == 1:
+            values.append(0.0)
+            continue
+        a = away[i][mine].sum() / (mine.sum() - 1)
+        b = min(away[i][cluster == c].mean() for c in set(cluster) - {cluster[i]})
+        values.append((b - a) / max(a, b) if max(a, b) else 0.0)
+    return np.mean(values)
+
+
+@pytest.mark.parametrize("points", [5000, 60])
+def test_plain_silhouette_equals_brute_force(spark, points):
+    rng = np.random.default_rng(3)
+    data = pd.DataFrame(rng.normal(size=(400, 3)), columns=["recency", "frequency", "monetary"])
+    data["cluster"] = rng.integers(0, 3, 400)
+    data.loc[7, "cluster"] = 9  # alone
+    data.loc[20:30, ["recency", "frequency", "monetary"]] = 1.0  # repeated rows
+    data["user_id"] = [f"u{i}" for i in range(400)]
+    got = learners.silhouette_euclidean(spark.createDataFrame(data).repartition(5), points).first()[0]
+    at = data[["recency", "frequency", "monetary"]]
+    turn = data["user_id"].map(lambda u: hashlib.md5(f"{u}:42".encode()).hexdigest())
+    chosen = turn.sort_values().index[:points]
+    assert got == pytest.approx(_silhouette_by_hand(((at - at.mean()) / at.std()).to_numpy(), data["cluster"].to_numpy(), chosen), abs=1e-9)
+
+
+def test_plain_silhouette_of_one_cluster_or_no_row(spark):
+    rows = spark.createDataFrame([("a", 1.0, 2.0, 3.0, 0), ("b", None, 2.0, 3.0, 1)], "user_id string, recency double, frequency double, monetary double, cluster int")
+    assert learners.silhouette_euclidean(rows).first()[0] == 0.0
+    assert learners.silhouette_euclidean(rows.where("false")).first()[0] == 0.0
+
+
+def test_lapsed_users(spark):
+    past = spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "user_id string")
+    later = spark.createDataFrame([("b",), ("b",), ("d",)], "user_id string")
+    assert sorted(r[0] for r in labels.lapsed_users(past, later).collect()) == ["a", "c"]
+
+
 @pytest.mark.parametrize("kind", ["forest", "boosted"])
 def test_attributions_add_up_to_the_prediction(spark, training, kind):
     names = ["recency", "frequency", "monetary", "ipi_median"]
