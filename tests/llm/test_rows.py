@@ -81,7 +81,9 @@ def test_columns_and_numpy_permute_alike(spark):
         assert got == sharding.permuted_array(np.arange(n), n).tolist()
 
 
-def test_shards(spark):
+@pytest.mark.parametrize("each", [250_000, 7])
+def test_shards(spark, monkeypatch, each):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", each)
     rows = [(i, f"text {i}") for i in range(200)] + [(None, None), (None, ""), (7, "text 7"), (7, "text 7"), (7, "é")] + [(1000, "same")] * 100
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("size", F.lit("x")).withColumn("shard", F.lit(1)).withColumn("_times", F.lit(1))
     got = sharding.shards(df).collect()
@@ -98,3 +100,8 @@ def test_shards(spark):
     again = sharding.shards(df.repartition(5))
     assert Counter(map(tuple, again.collect())) == Counter(map(tuple, got))
     assert sharding.shards(df.limit(0)).count() == 0
+
+
+def test_ranges_grow_with_the_rows():
+    assert sharding.buckets_for(1) == 64
+    assert sharding.buckets_for(10**11) == 64 + 400_000 < 2**24
