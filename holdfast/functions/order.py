@@ -147,8 +147,12 @@ def value_histogram(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """(feature, total, q): exact, linearly interpolated quantiles of each column."""
-    run = running_totals(value_histogram(df, cols), "value", ["n"], by=["feature"])
+    """(feature, total, distinct, q): exact, linearly interpolated quantiles of each column."""
+    return quantiles_of(running_totals(value_histogram(df, cols), "value", ["n"], by=["feature"]), probs)
+
+
+def quantiles_of(run: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """The quantiles of a histogram with running totals."""
     picks, made = [], []
     for i, p in enumerate(probs):
         for side, edge in (("lo", "floor"), ("hi", "ceil")):
@@ -157,8 +161,8 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -
             picks.append(F.expr(f"max(case when {hit} then value end)").alias(f"{side}{i}"))
         place = f"(total - 1) * {p}D"
         made.append(f"lo{i} + (hi{i} - lo{i}) * ({place} - floor({place}))")
-    picked = run.groupBy("feature").agg(F.max("tot_n").alias("total"), *picks)
-    return picked.select("feature", "total", F.expr(f"array({', '.join(made)})").alias("q"))
+    picked = run.groupBy("feature").agg(F.max("tot_n").alias("total"), F.count(F.lit(1)).alias("distinct"), *picks)
+    return picked.select("feature", "total", "distinct", F.expr(f"array({', '.join(made)})").alias("q"))
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
@@ -213,17 +217,19 @@ def value_ranks(df: DataFrame, col: str) -> DataFrame:
 
 
 def salted_lookup(
-    df: DataFrame, lookup: DataFrame, key: str, weight: str, spread: str | Sequence[str], how: str = "inner"
+    df: DataFrame, lookup: DataFrame, key: str, weight: str, spread: str | Sequence[str], how: str = "inner",
+    rows: int | None = None,
 ) -> DataFrame:
     """Join `lookup` (one row per key, `weight` = rows that hold the key) without a hot partition.
 
     A lookup of a counted size is broadcast. Beyond it a key with more than 1/width of all
     rows is dealt over several salts: there are fewer than `width` such keys, so the list of them is
     broadcast, and their lookup rows are copied per salt. The salt is a digest of the `spread`
-    columns, so rows that agree in one of them still part. Callers hold `lookup`.
+    columns, so rows that agree in one of them still part. Callers hold `lookup`; `rows` is its size
+    where it is known.
     """
     spread = [spread] if isinstance(spread, str) else list(spread)
-    if fits_broadcast(lookup):
+    if rows <= BROADCAST_ROWS if rows is not None else fits_broadcast(lookup):
         return df.join(F.broadcast(lookup.drop(weight)), key, how)
     width = shuffle_width(df.sparkSession)
     total = facts(lookup, total=F.sum(weight))["total"] or 1
@@ -254,18 +260,32 @@ def pct_rank_days(df: DataFrame, col: str, name: str) -> DataFrame:
     return df.join(F.broadcast(ranks), col, "left")
 
 
+def _clipped(cols: Sequence[str], caps: dict[str, float]) -> dict[str, Column]:
+    return {c: F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(caps[c])) for c in cols if c in caps}
+
+
 def winsorise(
     df: DataFrame, cols: Sequence[str], q: float = 0.99, measured: DataFrame | None = None
 ) -> DataFrame:
     """Clip to [0, q-quantile]; the quantile of `measured` when given (same rows, already held)."""
-    caps = quantiles(df if measured is None else measured, cols, [q])
-    return df.withColumns(
-        {
-            c: F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(caps[c][0]))
-            for c in cols
-            if c in caps
-        }
-    )
+    found = quantiles(df if measured is None else measured, cols, [q])
+    return df.withColumns(_clipped(cols, {c: v[0] for c, v in found.items()}))
+
+
+def ranked_and_clipped(
+    df: DataFrame, col: str, name: str, clip: Sequence[str], q: float = 0.99, spread: str = "user_id"
+) -> DataFrame:
+    """`pct_rank` of `col` and `winsorise` of the `clip` columns, by one histogram of all of them.
+
+    Callers hold `df`; `col` is a double and none of the `clip` columns.
+    """
+    run = running_totals(value_histogram(df, [col, *clip]), "value", ["n"], by=["feature"])
+    seen = {r["feature"]: r for r in quantiles_of(run, [q]).collect()}  # a row per column
+    share = (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2) / F.col("tot_n")
+    ranks = run.where(F.col("feature") == col).select(F.col("value").alias(col), "n", share.alias(name))
+    size = seen[col]["distinct"] if col in seen else 0
+    ranked = salted_lookup(df, hold(ranks), col, "n", spread, "left", size)
+    return ranked.withColumns(_clipped(clip, {c: r["q"][0] for c, r in seen.items()}))
 
 
 def dealt_order(key: str = "user_id", seed: int = 42) -> Column:

@@ -13,10 +13,9 @@ from holdfast.functions.order import (
     dealt_order,
     draw,
     facts,
-    pct_rank,
     quantile,
     quantiles,
-    winsorise,
+    ranked_and_clipped,
 )
 from holdfast.session import hold
 
@@ -88,8 +87,7 @@ def financials(users: DataFrame, domain: str = "retail") -> DataFrame:
         .withColumns({"predicted_ltv": predicted_ltv(), "revenue_at_risk": revenue_at_risk(domain)})
         .withColumn("_raw_priority", _p() * F.col("revenue_at_risk"))
     )
-    ranked = pct_rank(valued, "_raw_priority", "_pct")
-    clipped = winsorise(ranked, ["revenue_at_risk", "predicted_ltv"], measured=valued)
+    clipped = ranked_and_clipped(valued, "_raw_priority", "_pct", ["revenue_at_risk", "predicted_ltv"])
     costed = clipped.withColumn("intervention_cost", intervention_cost())
     return costed.withColumn(
         "is_profitable", F.col("predicted_ltv") > F.col("monetary") + F.col("intervention_cost")

@@ -20,6 +20,7 @@ _RUNTIME_SETTINGS = {
 }
 
 _held: list[DataFrame] = []
+_written: list[str] = []
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -90,9 +91,23 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a table to the shared folder and read it back: a restart point for training loops."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+def clear_written(spark: SparkSession) -> int:
+    """Delete the tables that `cut_lineage` has written since the last call; returns how many.
+
+    Call it when the results that were built from them are written: plans that read them no longer run.
+    """
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    gone = 0
+    while _written:
+        path = folder(_written.pop())
+        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A few literal rows as a local relation (no Python workers at run time)."""
     names = [part.strip().split(" ")[0] for part in schema.split(",")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from holdfast.functions import order
-from holdfast.session import hold
+from holdfast.session import clear_written, cut_lineage, hold
 
 
 @pytest.fixture(scope="module")
@@ -126,3 +127,24 @@ def test_cuts_below_equals_counting(spark, cuts):
     df = spark.range(-2, 3 * cuts + 3).withColumn("own", F.col("id").cast("long"))
     got = df.withColumn("n", order.cuts_below(F.col("own"), [F.lit(e).cast("long") for e in ends])).collect()
     assert [r["n"] for r in got] == [sum(e < r["own"] for e in ends) for r in got]
+
+
+def test_ranks_and_caps_from_one_histogram(spark, values, both_ways):
+    data = values.assign(z=values["x"] * 100 - 20)
+    data.loc[5:9, "x"] = None
+    df = hold(spark.createDataFrame(data).withColumn("x", F.expr("nullif(x, double('NaN'))")))
+    got = order.ranked_and_clipped(df, "x", "pct", ["y", "z"], 0.9).orderBy("user_id").toPandas()
+    apart = order.winsorise(order.pct_rank(df, "x", "pct"), ["y", "z"], 0.9, measured=df).orderBy("user_id").toPandas()
+    pd.testing.assert_frame_equal(got[apart.columns], apart, check_exact=False, rtol=1e-12)
+    assert got["pct"].isna().sum() == 5
+    assert order.ranked_and_clipped(hold(df.where("false")), "x", "pct", ["y"]).count() == 0
+
+
+def test_written_tables_are_cleared(spark):
+    clear_written(spark)
+    kept = cut_lineage(spark.range(10), "kept")
+    assert kept.count() == 10
+    folder = kept.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    assert os.path.isdir(folder)
+    assert clear_written(spark) == 1 and not os.path.exists(folder)
+    assert clear_written(spark) == 0
