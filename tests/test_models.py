@@ -375,3 +375,16 @@ def test_heuristic_fallback(spark):
     users = frame(spark, [("a", 10.0), ("b", 5.0), ("c", None)], "user_id string, recency double")
     got = {r["user_id"]: r["churn_probability"] for r in money.heuristic_churn(users).collect()}
     assert got == {"a": 1.0, "b": 0.5, "c": 0.5}
+
+
+def test_training_starts_from_a_written_table(training, monkeypatch):
+    seen = []
+    plain = learners.split3
+    monkeypatch.setattr(learners, "split3", lambda rows: seen.append(rows.inputFiles()) or plain(rows))
+    learners.train(training, "retail", {"numTrees": 2, "maxDepth": 2}, {"maxIter": 1, "maxDepth": 2}, stacked=False)
+    assert len(seen) == 1 and all("labelled" in f for f in seen[0]) and seen[0]
+
+
+def test_held_tables_have_few_partitions_when_small(spark):
+    held = hold(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count())
+    assert held.count() == 7 and held.rdd.getNumPartitions() == 1
