@@ -50,6 +50,17 @@ def test_hot_user_is_one_row_per_day_after_the_first_step(spark):
     assert "partial_count" in plan  # combined before the shuffle
 
 
+def test_day_rows_carry_no_average_beside_sum_and_count(spark):
+    """Sum and count give the mean; its own buffers would be shuffled twice more."""
+    rows = [("a", "2024-01-01 01:00", 10.0), ("a", "2024-01-01 05:00", 20.0), ("a", "2024-01-03", 60.0), ("a", "2024-01-04", None),
+            ("b", "2024-01-02", None), ("b", "2024-01-05", 4.0)]
+    tx = tx_of(spark, rows)
+    assert "partial_avg" not in daily_ledger(tx)._jdf.queryExecution().executedPlan().toString()
+    got = ft.rfm(tx).toPandas().set_index("user_id")
+    assert got.loc["a", "monetary_std"] == pytest.approx(pd.Series([10.0, 20.0, 60.0]).std())
+    assert got.loc["b", "monetary_std"] == 0.0
+
+
 def test_single_purchase_users(spark):
     tx = tx_of(spark, [("a", "2024-01-01", 10.0), ("b", "2024-01-01", 5.0), ("b", "2024-01-11", 5.0), ("c", "2024-01-01", 1.0), ("c", "2024-01-05", 1.0)])
     got = ft.rfm(tx).toPandas().set_index("user_id")
