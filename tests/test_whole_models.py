@@ -59,6 +59,14 @@ def test_model_comparison_fits_whole_candidates(spark, folder, asked):
     assert got["auc"].between(0, 1).all() and got["f1"].between(0, 1).all()
 
 
+def test_select_model_chooses_among_whole_candidates_and_stack(spark, folder, asked):
+    got = catalog.QUERIES["select_model"](spark, folder).toPandas().set_index("model")
+    assert whole(asked), asked
+    assert set(got.index) == {"Random Forest", "Boosted Trees", "Boosted Trees (subsampled)", "Stacking"}
+    assert got["auc"].between(0, 1).all() and got["selected"].sum() == 1
+    assert got.loc[got["selected"], "auc"].iloc[0] == got["auc"].max()
+
+
 def test_side_by_side_fits_equal_single_ones(spark):
     rows = spark.range(300).select(F.col("id").cast("string").alias("user_id"), (F.col("id") % 7).alias("x"), (F.col("id") % 5 < 2).cast("int").alias("churned"))
     learn = learners.weighted(learners.assemble(rows, ["x"])).repartition(2, "user_id").cache()
